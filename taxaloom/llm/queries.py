@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe
+from . import bpe, simhash
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 
@@ -17,5 +18,10 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), TOKENIZER))
 
 
-QUERIES = {"op4_bpe": op4_bpe}
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
+
+
+QUERIES = {"op4_bpe": op4_bpe, "op5_simhash": op5_simhash}
 ORACLES: dict[str, str] = {}
