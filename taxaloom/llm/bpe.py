@@ -32,7 +32,7 @@ def word_splitter(added: list[str]) -> re.Pattern:
         return re.compile(f" ?{word}+|{white}+(?!{word})|{white}+")
     special = "|".join(map(re.escape, sorted(added, key=len, reverse=True)))
     inner = f"(?:(?!{special}){word})"
-    return re.compile(f"{special}| ?{inner}+|{white}+(?!{word})|{white}+(?={special})|{white}+")
+    return re.compile(f"{special}| ?{inner}+|{white}+(?={special})|{white}+(?!{word})|{white}+")
 
 
 def read_vocabulary(path: str) -> tuple[list[str], list[bytes]]:
@@ -47,11 +47,43 @@ def read_vocabulary(path: str) -> tuple[list[str], list[bytes]]:
     return list(added.values()), [pieces.get(i, b"") for i in range(max(pieces) + 1)]
 
 
-def _split(table: pa.Table, splitter: re.Pattern) -> tuple[pa.DictionaryArray, np.ndarray]:
-    """The block's words in a row, and how many each document has."""
-    found = [splitter.findall(t) if t else [] for t in table.column("text").to_pylist()]
-    words = pa.array(itertools.chain.from_iterable(found), pa.string(), size=sum(map(len, found)))
-    return words.dictionary_encode(), np.fromiter(map(len, found), np.int64, len(found))
+def _split(table: pa.Table, added: list[str]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The block's distinct words, each position's word, and how many positions each document has.
+
+    A text may be cut before every space, as the pre-tokenizer cuts there too and then
+    sees the same on both sides, unless it has an added token or a space with white
+    space before it and white space or the end behind; such texts go through the
+    splitter.
+    """
+    text = pc.fill_null(table.column("text"), "").combine_chunks()
+    odd = pc.match_substring_regex(text, f"[{WHITE}] (?:[{WHITE}]|$)")
+    for token in added:
+        odd = pc.or_(odd, pc.match_substring(text, token))
+    odd = odd.to_numpy(zero_copy_only=False)
+    lists = pc.split_pattern(text.filter(pa.array(~odd)), " ")
+    parts, offsets = pc.list_flatten(lists).dictionary_encode(), lists.offsets.to_numpy()
+    first = np.zeros(len(parts), bool)
+    first[offsets[:-1] - offsets[0]] = True
+    code = parts.indices.to_numpy().astype(np.int64) * 2 + ~first
+    blank = pc.index(parts.dictionary, "").as_py()
+    kept = code != 2 * blank
+    code = code[kept]
+    n_even = np.add.reduceat(kept, offsets[:-1] - offsets[0]) if len(lists) else np.zeros(0, np.int64)
+    seen = np.flatnonzero(np.bincount(code, minlength=2 * len(parts.dictionary)))
+    bare, spaced = seen[seen % 2 == 0], seen[seen % 2 == 1]
+    number = np.empty(2 * len(parts.dictionary), np.int64)
+    number[bare], number[spaced] = np.arange(len(bare)), len(bare) + np.arange(len(spaced))
+    words = [parts.dictionary.take(pa.array(bare // 2)), pc.binary_join_element_wise(" ", parts.dictionary.take(pa.array(spaced // 2)), "")]
+    splitter = word_splitter(added)
+    found = [splitter.findall(t) for t in text.filter(pa.array(odd)).to_pylist()]
+    rest = pa.array(list(itertools.chain.from_iterable(found)), pa.string())
+    both = pa.concat_arrays([*words, rest]).dictionary_encode()
+    codes, n_seen = both.indices.to_numpy(), len(seen)
+    per_doc = np.zeros(len(text), np.int64)
+    per_doc[~odd], per_doc[odd] = n_even, list(map(len, found))
+    place, from_odd = np.empty(int(per_doc.sum()), np.int64), np.repeat(odd, per_doc)
+    place[~from_odd], place[from_odd] = codes[:n_seen][number[code]], codes[n_seen:]
+    return both.dictionary, place, per_doc
 
 
 def _word_keys(words: pa.Array) -> np.ndarray:
@@ -60,10 +92,6 @@ def _word_keys(words: pa.Array) -> np.ndarray:
     return pd.util.hash_array(words.to_numpy(zero_copy_only=False), categorize=False) if len(words) else np.zeros(0, np.uint64)
 
 
-def _byte_rows(words: pa.Array) -> bytes:
-    return X.pack(pa.table({"w": words}))
-
-
 def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = X.BLOCK_BYTES) -> DataFrame:
     """Token ids of every text, and the text that the ids decode to, as doc_id, ids array<int>, decoded binary (UTF-8).
 
@@ -81,12 +109,12 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
     buckets = X.buckets_for(docs, X.sizes(docs))
 
     def emit(table: pa.Table) -> Iterator[tuple[int, bytes]]:
-        words = _split(table, word_splitter(read_vocabulary(tokenizer_path)[0]))[0].dictionary
+        words = _split(table, read_vocabulary(tokenizer_path)[0])[0]
         keys = _word_keys(words)
         order = np.argsort(keys, kind="stable")
         edges = X.bucket_edges(keys[order], buckets)
         for b in np.flatnonzero(np.diff(edges)):
-            yield int(b), _byte_rows(words.take(pa.array(order[edges[b] : edges[b + 1]])))
+            yield int(b), X.send_words(words.take(pa.array(order[edges[b] : edges[b + 1]])))
 
     def reply(payloads: list[bytes]) -> list[bytes]:
         import os
@@ -95,7 +123,7 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(tokenizer_path)
-        sent = [X.unpack(p).column("w").combine_chunks() for p in payloads]
+        sent = [X.read_words(p) for p in payloads]
         table = pa.concat_arrays(sent).dictionary_encode()
         ids: list[np.ndarray] = []
         for at in range(0, len(table.dictionary), 20_000):
@@ -112,15 +140,14 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
 
     def done(table: pa.Table, got: dict[int, bytes]) -> pa.Table:
         added, pieces = read_vocabulary(tokenizer_path)
-        words, per_doc = _split(table, word_splitter(added))
-        keys = _word_keys(words.dictionary)
-        order = np.argsort(keys, kind="stable")
+        words, place, per_doc = _split(table, added)
+        order = np.argsort(_word_keys(words), kind="stable")
         parts = [X.split_parts(got[b]) for b in sorted(got)]
         counts = np.concatenate([X.read_values(c).astype(np.int64) for c, _ in parts]) if parts else np.zeros(0, np.int64)
         flat = np.concatenate([X.read_values(f).astype(np.int32) for _, f in parts]) if parts else np.zeros(0, np.int32)
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
-        place = rank[words.indices.to_numpy()]
+        place = rank[place]
         ids = _gather(flat, counts, place)
         ends = np.concatenate([[0], np.cumsum(counts[place])])[np.concatenate([[0], np.cumsum(per_doc)])]
         decoded = []

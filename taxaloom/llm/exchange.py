@@ -20,12 +20,15 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Text bytes in a block. A task holds a few dozen times this much.
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 5 << 20
+#: Bytes of an Arrow batch on its way to Python, where the session names no bound.
+BATCH_BYTES = 4 << 20
 #: Text bytes for each bucket of keys.
 BUCKET_BYTES = 16 << 20
 
@@ -102,7 +105,7 @@ def cut(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[tuple[i
 
     block, held, size = TaskContext.get().partitionId() << 32, [], 0
     for batch in batches:
-        lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+        lengths = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
         at = 0
         for k, n in enumerate(lengths):
             if size and size + n > block_bytes:
@@ -115,9 +118,9 @@ def cut(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[tuple[i
         yield block, pa.Table.from_batches(held)
 
 
-def pack(table: pa.Table) -> bytes:
+def pack(table: pa.Table, level: int = 6) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=level))) as w:
         w.write_table(table)
     return sink.getvalue().to_pybytes()
 
@@ -126,11 +129,17 @@ def unpack(payload: bytes) -> pa.Table:
     return pa.ipc.open_stream(payload).read_all()
 
 
-def in_order(table: pa.Table, column: str, key: str) -> list[bytes]:
-    """The column's values in the order of an integer key."""
-    keys = table.column(key).to_numpy()
-    values = table.column(column).combine_chunks()
-    return [values[int(k)].as_py() for k in np.argsort(keys, kind="stable")]
+def send_words(words: pa.Array) -> bytes:
+    """Strings as their lengths and their bytes in a row. The array must start its buffer, as one from take() does."""
+    body = words.buffers()[2]
+    return join_parts([send_values(pc.binary_length(words).to_numpy().astype(np.int64)), zstandard.ZstdCompressor(level=3).compress(body.to_pybytes() if body else b"")])
+
+
+def read_words(b: bytes) -> pa.Array:
+    lengths, body = split_parts(b)
+    offsets = np.concatenate([[0], np.cumsum(read_values(lengths), dtype=np.int32)]).astype(np.int32)
+    raw = zstandard.ZstdDecompressor().decompress(body, max_output_size=1 << 31)
+    return pa.StringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets.tobytes()), pa.py_buffer(raw))
 
 
 def sizes(docs: DataFrame) -> int:
@@ -189,4 +198,7 @@ def finish(state: DataFrame, answers: DataFrame, done: Callable[[pa.Table, dict[
 
 def texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The two columns that blocks carry; other columns, whatever their names, stay behind."""
+    conf = docs.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
