@@ -19,7 +19,7 @@ FOLDS = 10
 #: Added to each count of the base model.
 ADDED = 0.1
 #: How many words of the base model's opinion a state weighs against its own counts.
-PRIOR = 300.0
+PRIOR = 500.0
 #: Keys of the two things that are no words: the end of a text, and the state before its first word.
 END, START = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 PAIR = np.uint64(0x9FB21C651E98DF25)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, simhash
+from . import bpe, ngram_lm, simhash
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 
@@ -23,5 +23,9 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op4_bpe": op4_bpe, "op5_simhash": op5_simhash}
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.score(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op4_bpe": op4_bpe, "op5_simhash": op5_simhash, "op10_lm_score": op10_lm_score}
 ORACLES: dict[str, str] = {}
