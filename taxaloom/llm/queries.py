@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, ngram_lm, secrets, simhash
+from . import bpe, ngram_lm, pii, secrets, simhash
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 
@@ -27,9 +27,13 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(pii.find(table(spark, sf_dir, "documents")))
+
+
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_lm.score(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op3_secrets": op3_secrets, "op4_bpe": op4_bpe, "op5_simhash": op5_simhash, "op10_lm_score": op10_lm_score}
+QUERIES = {"op3_secrets": op3_secrets, "op4_bpe": op4_bpe, "op5_simhash": op5_simhash, "op6_pii": op6_pii, "op10_lm_score": op10_lm_score}
 ORACLES: dict[str, str] = {}
