@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, ngram_lm, pii, secrets, simhash
+from . import bpe, ngram_lm, pii, secrets, simhash, substrings
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 
@@ -14,6 +14,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.deduplicate(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(secrets.find(table(spark, sf_dir, "documents")))
 
@@ -35,5 +40,5 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_lm.score(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op3_secrets": op3_secrets, "op4_bpe": op4_bpe, "op5_simhash": op5_simhash, "op6_pii": op6_pii, "op10_lm_score": op10_lm_score}
+QUERIES = {"op2_substring_dedup": op2_substring_dedup, "op3_secrets": op3_secrets, "op4_bpe": op4_bpe, "op5_simhash": op5_simhash, "op6_pii": op6_pii, "op10_lm_score": op10_lm_score}
 ORACLES: dict[str, str] = {}
