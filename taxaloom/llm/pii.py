@@ -5,10 +5,12 @@ from __future__ import annotations
 import bisect
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -65,6 +67,8 @@ class Transducers:
         domain = rf"[A-Za-z0-9-]+(?:(?:\.|{dotted})[A-Za-z0-9-]+)*{dotted}[A-Za-z0-9-]+"
         self.at = re.compile(rf"(?i)(?<=[A-Za-z0-9_%+-])(?:{wrap(AT + '|@')}|[ \t](?:{AT})[ \t](?={domain}))(?=[A-Za-z0-9])")
         self.dot = re.compile(rf"(?i)(?<=[A-Za-z0-9]){dotted}(?=[A-Za-z0-9])")
+        #: What a text needs for each step to do anything, without look-around, for Arrow's linear-time matcher.
+        self.needs = ["[" + "".join(map(re.escape, self.glyphs)) + "]", rf"(?i)(?:(?:{words}|\+?[0-9]+)[ \t,.\-]{{0,2}}){{6}}", rf"(?i)[A-Za-z0-9_%+\-](?:{wrap(AT + '|@')}|[ \t](?:{AT})[ \t]{domain})"]
 
     def edits(self, text: str, step: int) -> list[tuple[int, int, str]]:
         if step == 0:
@@ -117,9 +121,13 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
-def detect(text: str) -> list[tuple[int, int, int]]:
-    """(start, kind, end) of the plain patterns, leftmost and without overlap in each kind."""
-    out, done, at = [], 0, text.find("@")
+#: What a text needs to hold a plain identifier of each kind, for Arrow's matcher.
+NEEDS = ("@[A-Za-z0-9-]", r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]", "[0-9](?:[ -]?[0-9]){13}", r"\+[0-9]")
+
+
+def detect(text: str, kinds: Sequence[bool] = (True,) * len(KINDS)) -> list[tuple[int, int, int]]:
+    """(start, kind, end) of the plain patterns, leftmost and without overlap in each kind; kinds says which may occur."""
+    out, done, at = [], 0, text.find("@") if kinds[0] else -1
     while at >= 0:
         start = at
         while start > done and text[start - 1] in LOCAL_SET:
@@ -128,15 +136,15 @@ def detect(text: str) -> list[tuple[int, int, int]]:
             out.append((start, 0, m.end()))
             done = m.end()
         at = text.find("@", at + 1)
-    for m in IP.finditer(text):
+    for m in IP.finditer(text) if kinds[1] else ():
         if all(len(p.lstrip("0")) < 4 and int(p) <= 255 for p in m[0].split(".")):
             out.append((m.start(), 1, m.end()))
-    for m in CARD.finditer(text):
+    for m in CARD.finditer(text) if kinds[2] else ():
         if m.end() - m.start() >= 14:
             digits = m[0].replace(" ", "").replace("-", "")
             if 14 <= len(digits) <= 19 and luhn(digits):
                 out.append((m.start(), 2, m.end()))
-    for m in PHONE.finditer(text):
+    for m in PHONE.finditer(text) if kinds[3] else ():
         if 10 <= sum(c in "0123456789" for c in m[0]) <= 15:
             out.append((m.start(), 3, m.end()))
     return sorted(out)
@@ -176,7 +184,13 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rewrite = Transducers()
         for batch in batches:
-            spans = [[dict(zip(("start", "kind", "end"), s, strict=True)) for s in find_all(t or "", rewrite)] for t in batch.column(1).to_pylist()]
+            text = pc.fill_null(batch.column(1), "")
+            may = np.stack([pc.match_substring_regex(text, p).to_numpy(zero_copy_only=False) for p in (*NEEDS, *rewrite.needs)], axis=1)
+            found: list[list] = [[] for _ in range(batch.num_rows)]
+            for k in np.flatnonzero(may.any(axis=1)):
+                whole, plain = text[int(k)].as_py(), may[k, : len(KINDS)]
+                found[k] = find_all(whole, rewrite) if may[k, len(KINDS) :].any() else detect(whole, plain)
+            spans = [[dict(zip(("start", "kind", "end"), s, strict=True)) for s in f] for f in found]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, pa.list_(kind))], ["doc_id", "spans"])
 
     return X.texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, spans array<struct<start:int,kind:int,end:int>>")
