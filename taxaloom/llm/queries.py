@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, ngram_lm, pii, secrets, simhash, substrings
+from . import bpe, ngram_lm, pii, secrets, simhash, substrings, toxicity
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 
@@ -36,9 +36,15 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(pii.find(table(spark, sf_dir, "documents")))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    predicted = F.when(F.col("score") >= toxicity.THRESHOLD, 1).otherwise(0)
+    return found.select("doc_id", toxicity.is_held_out("doc_id").alias("held_out"), "score", predicted.alias("predicted"), "spans")
+
+
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_lm.score(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_substring_dedup": op2_substring_dedup, "op3_secrets": op3_secrets, "op4_bpe": op4_bpe, "op5_simhash": op5_simhash, "op6_pii": op6_pii, "op10_lm_score": op10_lm_score}
+QUERIES = {"op2_substring_dedup": op2_substring_dedup, "op3_secrets": op3_secrets, "op4_bpe": op4_bpe, "op5_simhash": op5_simhash, "op6_pii": op6_pii, "op9_toxicity": op9_toxicity, "op10_lm_score": op10_lm_score}
 ORACLES: dict[str, str] = {}
