@@ -40,13 +40,10 @@ def grams(raw: np.ndarray) -> np.ndarray:
     n = len(raw) - Q + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    out = np.zeros(n, np.uint64)
-    for j in range(8):
-        out |= raw[j : j + n].astype(np.uint64) << np.uint64(8 * j)
-    rest = np.zeros(n, np.uint64)
-    for j in range(8, Q):
-        rest = (rest << np.uint64(8)) | raw[j : j + n]
-    return X.mix(out + rest * np.uint64(0x9E3779B97F4A7C15))
+    raw = np.ascontiguousarray(raw)
+    head = np.ndarray((n,), "<u8", raw, strides=(1,))
+    tail = np.ndarray((n,), "<u2", raw, offset=Q - 2, strides=(1,))
+    return head * np.uint64(0x9E3779B97F4A7C15) + tail * np.uint64(0xD6E8FEB86659FD93)
 
 
 @dataclass
@@ -95,13 +92,18 @@ def align(item: np.ndarray, text: np.ndarray, low: int, width: int) -> tuple[int
         return int(far), 0
     padded[lo - low : hi - low] = text[lo:hi].astype(np.int32) + 1  # 0 lies outside
     steps = np.arange(width, dtype=np.int32)
-    inside = lambda i: (steps + i + low >= 0) & (steps + i + low <= len(text))
-    row = np.where(inside(0), 0, far).astype(np.int32)
+    # Rows hold edits less the step in the band, so that a move along a row costs nothing.
+    row = np.where((steps + low >= 0) & (steps + low <= len(text)), 0, far).astype(np.int32) - steps
     for i, c in enumerate(item.astype(np.int32) + 1):
         best = row + (padded[i : i + width] != c)
-        best[:-1] = np.minimum(best[:-1], row[1:] + 1)
-        best = np.where(inside(i + 1), best, far)
-        row = np.minimum.accumulate(best - steps) + steps
+        np.minimum(best[:-1], row[1:] + 2, out=best[:-1])
+        first, last = -(i + 1 + low), len(text) - (i + 1 + low)  # the steps that lie in the text
+        if first > 0:
+            best[:first] = far
+        if last < width - 1:
+            best[max(0, last + 1) :] = far
+        row = np.minimum.accumulate(best, out=best)
+    row = row + steps
     k = int(row.argmin())
     return int(row[k]), low + k + len(item)
 
@@ -139,10 +141,15 @@ def scan(index: Index, texts: list[bytes]) -> Iterator[tuple[int, int, int, int,
     w = index.edits[item] + 1
     band = (at - starts[doc] - place) // w
     # Every strip of e + 1 diagonals lies in one of the bands, which overlap by half.
-    groups = np.stack([np.tile(doc, 2), np.tile(item, 2), np.concatenate([band, band - 1])], axis=1)
-    found, count = np.unique(groups, axis=0, return_counts=True) if len(groups) else (groups, np.zeros(0, np.int64))
+    pair = doc * len(index.items) + item
+    few = np.bincount(pair, minlength=1)[pair] < index.need[item] if len(pair) and pair.max() < 1 << 27 else np.zeros(len(pair), bool)
+    pair, band = pair[~few], band[~few]
+    low, span = (int(band.min()) - 1, int(band.max() - band.min()) + 3) if len(band) else (0, 1)
+    groups, count = np.unique(np.concatenate([pair * span + (band - low), pair * span + (band - 1 - low)]), return_counts=True)
+    d_all, i_all, b_all = groups // span // max(1, len(index.items)), groups // span % max(1, len(index.items)), groups % span + low
+    enough = count >= index.need[i_all] if len(i_all) else np.zeros(0, bool)
     seen = set()
-    for d, i, b in found[count >= index.need[found[:, 1]]]:
+    for d, i, b in zip(d_all[enough], i_all[enough], b_all[enough], strict=True):
         got = verify(index, int(i), raw[starts[d] : starts[d] + len(texts[d])], int(b))
         if got and (d, i, *got[:2]) not in seen:
             seen.add((d, i, *got[:2]))
