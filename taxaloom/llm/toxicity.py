@@ -17,7 +17,7 @@ from . import exchange as X
 #: A label is held out when the CRC-32 of the id as text leaves this.
 FOLDS, HELD_OUT = 4, 2
 #: Labelled documents of each class that the model may be fitted on, by hash order of the id.
-SAMPLE = 2500
+SAMPLE = 1500
 THRESHOLD = 0.3
 #: Marginals below this count as nothing in a document's measures.
 DOUBT = 0.2
