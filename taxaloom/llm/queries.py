@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, ngram_lm, pii, secrets, simhash, substrings, toxicity
+from . import bpe, decontaminate, main_text, ngram_lm, pii, secrets, simhash, substrings, toxicity
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 
@@ -40,6 +40,11 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = main_text.extract(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     predicted = F.when(F.col("score") >= toxicity.THRESHOLD, 1).otherwise(0)
@@ -50,5 +55,5 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_lm.score(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_substring_dedup": op2_substring_dedup, "op3_secrets": op3_secrets, "op4_bpe": op4_bpe, "op5_simhash": op5_simhash, "op6_pii": op6_pii, "op7_decontaminate": op7_decontaminate, "op9_toxicity": op9_toxicity, "op10_lm_score": op10_lm_score}
+QUERIES = {"op2_substring_dedup": op2_substring_dedup, "op3_secrets": op3_secrets, "op4_bpe": op4_bpe, "op5_simhash": op5_simhash, "op6_pii": op6_pii, "op7_decontaminate": op7_decontaminate, "op8_main_text": op8_main_text, "op9_toxicity": op9_toxicity, "op10_lm_score": op10_lm_score}
 ORACLES: dict[str, str] = {}
