@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, main_text, ngram_lm, pii, secrets, simhash, substrings, toxicity
+from . import bpe, covertree, decontaminate, main_text, ngram_lm, pii, secrets, simhash, substrings, toxicity
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 
@@ -14,6 +14,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return covertree.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substrings.deduplicate(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
@@ -55,5 +59,5 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_lm.score(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_substring_dedup": op2_substring_dedup, "op3_secrets": op3_secrets, "op4_bpe": op4_bpe, "op5_simhash": op5_simhash, "op6_pii": op6_pii, "op7_decontaminate": op7_decontaminate, "op8_main_text": op8_main_text, "op9_toxicity": op9_toxicity, "op10_lm_score": op10_lm_score}
+QUERIES = {"op1_embedding_dedup": op1_embedding_dedup, "op2_substring_dedup": op2_substring_dedup, "op3_secrets": op3_secrets, "op4_bpe": op4_bpe, "op5_simhash": op5_simhash, "op6_pii": op6_pii, "op7_decontaminate": op7_decontaminate, "op8_main_text": op8_main_text, "op9_toxicity": op9_toxicity, "op10_lm_score": op10_lm_score}
 ORACLES: dict[str, str] = {}
