@@ -11,7 +11,6 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from . import exchange as X
 
@@ -185,9 +184,3 @@ def digests(encoded: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.diff(offsets).astype(np.int64)), pa.array(hashes), pa.array(text)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return encoded.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
-
-
-def decoded_documents(docs: DataFrame, tokenizer_path: str) -> DataFrame:
-    """The documents' columns with the decoded text in place of the text, and n_chars to match."""
-    out = encode(docs, tokenizer_path).select("doc_id", F.col("decoded").cast("string").alias("text"))
-    return out

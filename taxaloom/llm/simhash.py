@@ -10,6 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import exchange as X
 from . import graph, storage
 
 SEGMENTS, SEGMENT_BITS = 4, 16
@@ -102,3 +103,75 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", t
     named = vertices.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
     smallest = named.groupBy("component").agg(F.min("first").alias("component_id"))
     return prints.join(named.join(smallest, "component").select(F.col("fp").alias("fingerprint"), "component_id"), "fingerprint").select("doc_id", "fingerprint", "component_id")
+
+
+#: The wide fingerprint: words of 64 bits, keys cut from them, and the distance that stands for a Jaccard similarity of 0.8.
+WIDE_WORDS, WIDE_KEYS, KEY_BITS = 6, 16, 24
+WIDE_DISTANCE, FIRST_WORD_DISTANCE = 62, 20
+
+
+def wide_fingerprints(docs: DataFrame, shingle: int = 5) -> DataFrame:
+    """doc_id, words array<long> (a SimHash of 384 bits) and keys array<long> (its 24-bit segments, each with its number)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        digest = xxhash.xxh64_intdigest
+        weights = (1 << np.arange(KEY_BITS - 1, -1, -1)).astype(np.int64)
+        for batch in batches:
+            packed = np.zeros((batch.num_rows, WIDE_WORDS * 64), bool)
+            for row, text in enumerate(pc.ascii_lower(batch.column(1))):
+                words = text.as_buffer().to_pybytes().split() if text.is_valid else []
+                if not words:
+                    continue
+                n = max(1, len(words) - shingle + 1)
+                hashes = np.fromiter((digest(b" ".join(words[i : i + shingle]), 42) for i in range(n)), np.uint64, n)
+                counts = np.zeros(WIDE_WORDS * 64, np.int64)
+                for at in range(0, n, CHUNK):
+                    for w in range(WIDE_WORDS):
+                        part = X.mix(hashes[at : at + CHUNK] + np.uint64(w))
+                        counts[w * 64 : w * 64 + 64] += np.unpackbits(part.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+                packed[row] = counts * 2 > n
+            keys = packed.reshape(-1, WIDE_KEYS, KEY_BITS) @ weights + (np.arange(WIDE_KEYS) << KEY_BITS)
+            words = np.packbits(packed, axis=1).view(">u8").astype(np.uint64).view(np.int64)
+            as_list = lambda a, k: pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * k, pa.int32()), pa.array(a.reshape(-1)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), as_list(words, WIDE_WORDS), as_list(keys.astype(np.int64), WIDE_KEYS)], ["doc_id", "words", "keys"])
+
+    return docs.mapInArrow(run, "doc_id long, words array<long>, keys array<long>")
+
+
+def similar_groups(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and component_id, the smallest id among texts whose word shingles are similar (Jaccard about 0.8 or more).
+
+    Equal texts are one class. A 384-bit SimHash is cut into 16 segments; each text
+    looks up every segment and the ball of keys with one set bit cleared, in a table
+    that holds the smallest class of each key, so that a key shared by thousands gives
+    a star and not all its pairs; complete distances are then verified. Ids must be
+    distinct; rows with a null id or null text are left out; an empty text is no
+    class. An empty table gives no rows.
+    """
+    given = X.texts(docs, id_col, text_col).where("doc_id is not null and text is not null")
+    key = F.struct(F.sha2("text", 256), F.length("text"))
+    classes = given.select("doc_id", key.alias("class"))
+    first = storage.stored(classes.groupBy("class").agg(F.min("doc_id").alias("first")))
+    whole = given.join(first.select(F.col("first").alias("doc_id")), "doc_id", "left_semi").where(F.col("text").rlike("[^\\x20\\x09-\\x0D]"))
+    prints = storage.stored(wide_fingerprints(whole, shingle))
+    seen = prints.select("doc_id", F.col("words")[0].alias("w"), F.explode("keys").alias("key"))
+    table = seen.groupBy("key").agg(F.min(F.struct("doc_id", "w")).alias("least")).select("key", F.col("least.doc_id").alias("other"), F.col("least.w").alias("v"))
+    bits = F.array(*[F.lit(1 << p) for p in range(KEY_BITS)])
+    near = F.transform(F.filter(bits, lambda b: F.col("key").bitwiseAND(b) != 0), lambda b: F.col("key").bitwiseXOR(b))
+    probes = seen.select("doc_id", "w", F.explode(F.concat(F.array("key"), near)).alias("key"))
+    close = F.bit_count(F.col("w").bitwiseXOR(F.col("v"))) <= FIRST_WORD_DISTANCE
+    pairs = probes.join(table, "key").where((F.col("doc_id") != F.col("other")) & close).select(F.col("doc_id").alias("a"), F.col("other").alias("b")).distinct()
+    words = prints.select("doc_id", "words")
+    both = pairs.join(words.select(F.col("doc_id").alias("a"), F.col("words").alias("x")), "a").join(words.select(F.col("doc_id").alias("b"), F.col("words").alias("y")), "b")
+    distance = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, d: s + d)
+    found = graph.components(both.where(distance <= WIDE_DISTANCE).select("a", "b"))
+    named = first.join(found, first["first"] == found["node"], "left").select("class", F.coalesce("component", "first").alias("component_id"))
+    return classes.join(named, "class").select("doc_id", "component_id")
+
+
+def keep_first(docs: DataFrame) -> DataFrame:
+    """The documents, all columns, without those that are similar to one of a smaller id. Rows without an id or text stay."""
+    gone = similar_groups(docs).where("doc_id <> component_id").select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
