@@ -187,6 +187,8 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     n_blocks = sized.groupBy("label", "dim").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     dealt = sized.join(n_blocks, ["label", "dim"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     meeting = dealt.select("label", "dim", "node", "copies", "vector", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")}).drop("other")
+    # Without this, the join's dealing by label alone would serve, and put all pairs of blocks of a label in one task.
+    meeting = meeting.repartition("label", "dim", "low", "high")
     found = storage.stored(meeting.groupBy("label", "dim", "low", "high").applyInArrow(_pairs_task(similarity), "node long, n long, to long"))
     joined = graph.components(found.select(F.col("node").alias("a"), F.col("to").alias("b")))
     counts = found.groupBy("node").agg(F.sum("n").alias("n"))
