@@ -177,17 +177,22 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     give no rows. Other columns are not read.
     """
     plain = X.texts(docs, id_col, text_col)
-    items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text is not null")
-    passes = max(1, math.ceil(X.sizes(items) / pass_bytes))
     out = None
-    for k in range(passes):
-        chosen = items if passes == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k)
-        index = Index.of([(r[0], r[1]) for r in chosen.collect()])
+    for index in _indexes(benchmark, pass_bytes):
         part = plain.mapInArrow(_scanner(index), SCHEMA)
         out = part if out is None else out.unionByName(part)
     return out
 
 
+def _indexes(benchmark: DataFrame, pass_bytes: int) -> Iterator[Index]:
+    """The benchmark in parts that one pass can carry."""
+    items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text is not null")
+    passes = max(1, math.ceil(X.sizes(items) / pass_bytes))
+    for k in range(passes):
+        chosen = items if passes == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k)
+        yield Index.of([(r[0], r[1]) for r in chosen.collect()])
+
+
 def _scanner(index: Index):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -203,6 +208,21 @@ def _scanner(index: Index):
     return run
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents, all columns, in which no benchmark item was found. Ids must be distinct; rows without an id stay."""
-    return docs.join(find(docs, benchmark).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+def keep_clean(docs: DataFrame, benchmark: DataFrame, pass_bytes: int = PASS_BYTES) -> DataFrame:
+    """The documents, all columns, in whose text no benchmark item is found. Each row is judged by itself, where it lies."""
+    X.texts(docs, "doc_id", "text")  # bounds the batches
+    place, out = docs.columns.index("text"), docs
+    for index in _indexes(benchmark, pass_bytes):
+        out = out.mapInArrow(_filter(index, place), docs.schema)
+    return out
+
+
+def _filter(index: Index, place: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = [v.as_buffer().to_pybytes() for v in pc.fill_null(batch.column(place), "")]
+            keep = np.ones(batch.num_rows, bool)
+            keep[[d for d, *_ in scan(index, raw)]] = False
+            yield batch.filter(pa.array(keep))
+
+    return run

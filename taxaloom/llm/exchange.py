@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Text bytes in a block. A task holds a few dozen times this much.
-BLOCK_BYTES = 5 << 20
+BLOCK_BYTES = 4 << 20
 #: Bytes of an Arrow batch on its way to Python, where the session names no bound.
 BATCH_BYTES = 4 << 20
 #: Text bytes for each bucket of keys.
@@ -151,6 +151,16 @@ def buckets_for(docs: DataFrame, n_bytes: int) -> int:
     return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(n_bytes / BUCKET_BYTES))
 
 
+def settle() -> None:
+    """Gives memory that a worker no longer uses back to the machine; the workers stay, idle, beside those of later stages."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def requests(docs: DataFrame, emit: Callable[[pa.Table], Iterator[tuple[int, bytes]]], block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """What emit says of each block, as (bucket, block, payload)."""
 
@@ -159,6 +169,8 @@ def requests(docs: DataFrame, emit: Callable[[pa.Table], Iterator[tuple[int, byt
             said = list(emit(table))
             if said:
                 yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in said], pa.int32()), pa.array([block] * len(said), pa.int64()), pa.array([p for _, p in said], pa.binary())], ["bucket", "block", "payload"])
+            del said, table
+            settle()
 
     return docs.mapInArrow(run, MESSAGE)
 
@@ -169,6 +181,7 @@ def answer(messages: DataFrame, reply: Callable[[list[bytes]], list[bytes]]) ->
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("block")
         out = reply(table.column("payload").to_pylist())
+        settle()
         return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "payload": pa.array(out, pa.binary())})
 
     return messages.groupBy("bucket").applyInArrow(run, ANSWER)
@@ -191,7 +204,9 @@ def finish(state: DataFrame, answers: DataFrame, done: Callable[[pa.Table, dict[
         if not left.num_rows:
             raise ValueError("an answer for a block that the second scan did not make: the input is not read alike each time")
         got = dict(zip(right.column("bucket").to_pylist(), right.column("payload").to_pylist(), strict=True))
-        return done(unpack(left.column("payload")[0].as_py()), got)
+        out = done(unpack(left.column("payload")[0].as_py()), got)
+        settle()
+        return out
 
     return state.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)
 

@@ -174,4 +174,4 @@ def similar_groups(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", te
 def keep_first(docs: DataFrame) -> DataFrame:
     """The documents, all columns, without those that are similar to one of a smaller id. Rows without an id or text stay."""
     gone = similar_groups(docs).where("doc_id <> component_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return storage.without(docs, gone, "doc_id")

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -26,6 +27,16 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Ids that a join may broadcast, at some 20 bytes each; beyond that both sides are shuffled.
+BROADCAST_IDS = 500_000
+
+
+def without(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The rows whose key is not among the ids. The ids are counted first."""
+    ids = stored(ids)
+    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, key, "left_anti").select(*rows.columns)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows without lineage, for loops."""
     shared_folder(df.sparkSession)

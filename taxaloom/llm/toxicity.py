@@ -271,6 +271,13 @@ def is_held_out(doc_id) -> F.Column:
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents, all columns, whose score lies below the threshold. Ids must be distinct; rows without an id stay."""
-    toxic = score(docs, labels).where(F.col("score") >= threshold).select("doc_id")
-    return docs.join(toxic, "doc_id", "left_anti").select(*docs.columns)
+    """The documents, all columns, whose text scores below the threshold. Each row is judged by itself, where it lies."""
+    model = train(X.texts(docs, "doc_id", "text"), labels)
+    place = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p, _ = document_scores(Chains(batch.column(place)), model)
+            yield batch.filter(pa.array(p < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
