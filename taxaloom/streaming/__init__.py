@@ -1 +1 @@
-
+"""Streams of stage events."""
