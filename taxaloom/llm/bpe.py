@@ -182,5 +182,6 @@ def digests(encoded: DataFrame) -> DataFrame:
             hashes = [hashlib.sha256(values[x:y].astype("<u4").tobytes()).hexdigest() for x, y in zip(offsets[:-1], offsets[1:], strict=True)]
             text = [hashlib.sha256(v.as_py()).hexdigest() for v in b.column("decoded")]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.diff(offsets).astype(np.int64)), pa.array(hashes), pa.array(text)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        X.settle()
 
     return encoded.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -204,6 +204,7 @@ def _scanner(index: Index):
                 rows.append((batch.column(0)[d].as_py(), index.ids[i], a, a + len(raw[d][start:end].decode("utf-8", "ignore")), edits))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()), strict=True)], ["doc_id", "item_id", "start", "end", "edits"])
+        X.settle()
 
     return run
 
@@ -224,5 +225,6 @@ def _filter(index: Index, place: int):
             keep = np.ones(batch.num_rows, bool)
             keep[[d for d, *_ in scan(index, raw)]] = False
             yield batch.filter(pa.array(keep))
+        X.settle()
 
     return run

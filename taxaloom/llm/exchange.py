@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 #: Text bytes in a block. A task holds a few dozen times this much.
 BLOCK_BYTES = 4 << 20
 #: Bytes of an Arrow batch on its way to Python, where the session names no bound.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 #: Text bytes for each bucket of keys.
 BUCKET_BYTES = 16 << 20
 

@@ -179,11 +179,13 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                     for path, worth in scores(blocks(source or "")).items():
                         votes[host, ">".join(path)] += worth
             yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in votes], pa.string()), pa.array([p for _, p in votes], pa.string()), pa.array(votes.values(), pa.float64())], ["host", "path", "worth"])
+        X.settle()
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             text = [text_at(blocks(source or ""), tuple(path.split(">")) if path else None) for source, path in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(text, pa.string())], ["page_id", "url", "text"])
+        X.settle()
 
     votes = rows.select("url", "html").mapInArrow(vote, "host string, path string, worth double").groupBy("host", "path").agg(F.round(F.sum("worth"), 3).alias("worth"))
     winners = storage.stored(votes.groupBy("host").agg(F.max_by("path", F.struct("worth", "path")).alias("path")))

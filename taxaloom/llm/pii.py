@@ -192,6 +192,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                 found[k] = find_all(whole, rewrite) if may[k, len(KINDS) :].any() else detect(whole, plain)
             spans = [[dict(zip(("start", "kind", "end"), s, strict=True)) for s in f] for f in found]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, pa.list_(kind))], ["doc_id", "spans"])
+        X.settle()
 
     return X.texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, spans array<struct<start:int,kind:int,end:int>>")
 

@@ -52,8 +52,9 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text
                 joined = b" ".join(words)
                 out.append(_fingerprint(np.fromiter((digest(joined[x:y], 42) for x, y in zip(starts, ends, strict=True)), np.uint64, n)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(out, np.uint64).view(np.int64))], ["doc_id", "fingerprint"])
+        X.settle()
 
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, "doc_id long, fingerprint long")
+    return X.texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, fingerprint long")
 
 
 def _segment(k: int) -> Column:
@@ -136,6 +137,7 @@ def wide_fingerprints(docs: DataFrame, shingle: int = 5) -> DataFrame:
             words = np.packbits(packed, axis=1).view(">u8").astype(np.uint64).view(np.int64)
             as_list = lambda a, k: pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * k, pa.int32()), pa.array(a.reshape(-1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), as_list(words, WIDE_WORDS), as_list(keys.astype(np.int64), WIDE_KEYS)], ["doc_id", "words", "keys"])
+        X.settle()
 
     return docs.mapInArrow(run, "doc_id long, words array<long>, keys array<long>")
 

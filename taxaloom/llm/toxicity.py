@@ -262,6 +262,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 places = [w.span() for w in WORD.finditer(batch.column(1)[int(d)].as_py())]
                 spans[d] = [{"start": places[h - chains.ends[d]][0], "end": places[h - chains.ends[d]][1], "p": float(m[h])} for h in hits[np.searchsorted(chains.doc[hits], d) : np.searchsorted(chains.doc[hits], d, "right")]]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p), pa.array(spans, pa.list_(span))], ["doc_id", "score", "spans"])
+        X.settle()
 
     return plain.mapInArrow(run, "doc_id long, score double, spans array<struct<start:int,end:int,p:double>>")
 
@@ -279,5 +280,6 @@ def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
         for batch in batches:
             p, _ = document_scores(Chains(batch.column(place)), model)
             yield batch.filter(pa.array(p < threshold))
+        X.settle()
 
     return docs.mapInArrow(run, docs.schema)
