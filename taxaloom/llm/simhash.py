@@ -106,9 +106,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", t
     return prints.join(named.join(smallest, "component").select(F.col("fp").alias("fingerprint"), "component_id"), "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
-#: The wide fingerprint: words of 64 bits, keys cut from them, and the distance that stands for a Jaccard similarity of 0.8.
+#: The wide fingerprint: words of 64 bits, keys cut from them, and distances that texts of a similarity of 0.8 hardly exceed.
 WIDE_WORDS, WIDE_KEYS, KEY_BITS = 6, 16, 24
-WIDE_DISTANCE, FIRST_WORD_DISTANCE = 62, 20
+WIDE_DISTANCE, FIRST_WORD_DISTANCE = 80, 22
+SIMILARITY = 0.8
 
 
 def wide_fingerprints(docs: DataFrame, shingle: int = 5) -> DataFrame:
@@ -142,14 +143,32 @@ def wide_fingerprints(docs: DataFrame, shingle: int = 5) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, words array<long>, keys array<long>")
 
 
-def similar_groups(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and component_id, the smallest id among texts whose word shingles are similar (Jaccard about 0.8 or more).
+def _similar(shingle: int, similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def shingles(text: str) -> set:
+            words = text.encode().split()
+            return {b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))}
+
+        for batch in batches:
+            keep = []
+            for x, y in zip(pc.ascii_lower(batch.column(2)).to_pylist(), pc.ascii_lower(batch.column(3)).to_pylist(), strict=True):
+                s, t = shingles(x), shingles(y)
+                both = len(s & t)
+                keep.append(both >= similarity * (len(s) + len(t) - both))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        X.settle()
+
+    return run
+
+
+def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and component_id, the smallest id among texts whose sets of word shingles have a Jaccard similarity of 0.8 or more.
 
     Equal texts are one class. A 384-bit SimHash is cut into 16 segments; each text
     looks up every segment and the ball of keys with one set bit cleared, in a table
     that holds the smallest class of each key, so that a key shared by thousands gives
-    a star and not all its pairs; complete distances are then verified. Ids must be
-    distinct; rows with a null id or null text are left out; an empty text is no
+    a star and not all its pairs. Complete distances are then verified, and at last the
+    shingles of the few pairs that are left are compared. Ids must be distinct; rows with a null id or null text are left out; an empty text is no
     class. An empty table gives no rows.
     """
     given = X.texts(docs, id_col, text_col).where("doc_id is not null and text is not null")
@@ -168,7 +187,9 @@ def similar_groups(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", te
     words = prints.select("doc_id", "words")
     both = pairs.join(words.select(F.col("doc_id").alias("a"), F.col("words").alias("x")), "a").join(words.select(F.col("doc_id").alias("b"), F.col("words").alias("y")), "b")
     distance = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, d: s + d)
-    found = graph.components(both.where(distance <= WIDE_DISTANCE).select("a", "b"))
+    near_pairs = both.where(distance <= WIDE_DISTANCE).select("a", "b")
+    with_text = near_pairs.join(whole.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), "a").join(whole.select(F.col("doc_id").alias("b"), F.col("text").alias("y")), "b")
+    found = graph.components(with_text.select("a", "b", "x", "y").mapInArrow(_similar(shingle, similarity), "a long, b long"))
     named = first.join(found, first["first"] == found["node"], "left").select("class", F.coalesce("component", "first").alias("component_id"))
     return classes.join(named, "class").select("doc_id", "component_id")
 
