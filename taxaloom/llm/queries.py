@@ -60,4 +60,20 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_embedding_dedup": op1_embedding_dedup, "op2_substring_dedup": op2_substring_dedup, "op3_secrets": op3_secrets, "op4_bpe": op4_bpe, "op5_simhash": op5_simhash, "op6_pii": op6_pii, "op7_decontaminate": op7_decontaminate, "op8_main_text": op8_main_text, "op9_toxicity": op9_toxicity, "op10_lm_score": op10_lm_score}
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op1_embedding_dedup": """WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, label FROM embeddings WHERE label IS NOT NULL),
+      l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+        WHERE list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) >= 0.98),
+      r AS (SELECT vec_id, vec_id AS reached FROM embeddings UNION SELECT r.vec_id, l.b FROM r JOIN l ON r.reached = l.a),
+      n AS (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY 1)
+      SELECT vec_id, coalesce(any_value(n), 0) AS n_links, min(reached) AS component_id, vec_id = min(reached) AS kept FROM r LEFT JOIN n USING (vec_id) GROUP BY vec_id""",
+    "op2_substring_dedup": r"""WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+      s AS (SELECT doc_id, unnest(range(1, len(w) - 18)) AS i, w FROM d WHERE len(w) >= 20),
+      k AS (SELECT doc_id, i, row_number() OVER (PARTITION BY array_to_string(w[i:i + 19], ' ') ORDER BY doc_id, i) AS nth FROM s),
+      gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS i FROM k WHERE nth > 1),
+      g AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY 1),
+      j AS (SELECT d.doc_id, w, coalesce(n, 0) AS n FROM d LEFT JOIN g USING (doc_id)),
+      x AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, w FROM d),
+      t AS (SELECT x.doc_id, string_agg(w[x.i], ' ' ORDER BY x.i) AS kept FROM x ANTI JOIN gone ON x.doc_id = gone.doc_id AND x.i = gone.i GROUP BY 1)
+      SELECT j.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(n AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM j LEFT JOIN t USING (doc_id)""",
+}
