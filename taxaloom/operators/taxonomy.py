@@ -42,19 +42,16 @@ def ancestors(taxa: DataFrame, nodes: DataFrame, max_depth: int = MAX_DEPTH) ->
     it would come back to a node it has been at. All paths take each step together in
     one join, and the recursion ends when none can go on.
     """
-    spark = taxa.sparkSession
-    asked, tree = "__taxaloom_asked", "__taxaloom_tree"
-    taxa.select(F.col("tax_id").cast("bigint")).distinct().createOrReplaceTempView(asked)
-    nodes.select(F.col("tax_id").cast("bigint"), F.col("parent_tax_id").cast("bigint"), "rank").createOrReplaceTempView(tree)
-    return spark.sql(
-        f"""
-        WITH RECURSIVE path(tax_id, ancestor, up, rank, depth, seen) MAX RECURSION LEVEL {max_depth} AS (
+    asked = taxa.select(F.col("tax_id").cast("bigint")).distinct()
+    tree = nodes.select(F.col("tax_id").cast("bigint"), F.col("parent_tax_id").cast("bigint"), "rank")
+    sql = """
+        WITH RECURSIVE path(tax_id, ancestor, up, rank, depth, seen) MAX RECURSION LEVEL {depth} AS (
           SELECT a.tax_id, n.tax_id, n.parent_tax_id, n.rank, 0, array(n.tax_id) FROM {asked} a JOIN {tree} n ON a.tax_id = n.tax_id
           UNION ALL
           SELECT p.tax_id, n.tax_id, n.parent_tax_id, n.rank, p.depth + 1, concat(p.seen, array(n.tax_id))
           FROM path p JOIN {tree} n ON p.up = n.tax_id WHERE NOT array_contains(p.seen, n.tax_id))
         SELECT tax_id, ancestor, depth, rank FROM path"""
-    )
+    return taxa.sparkSession.sql(sql, asked=asked, tree=tree, depth=max_depth)
 
 
 def lineage(closure: DataFrame, names: DataFrame) -> DataFrame:
