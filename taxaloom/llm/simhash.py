@@ -175,8 +175,9 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = SIMILA
     key = F.struct(F.sha2("text", 256), F.length("text"))
     classes = given.select("doc_id", key.alias("class"))
     first = storage.stored(classes.groupBy("class").agg(F.min("doc_id").alias("first")))
-    whole = given.join(first.select(F.col("first").alias("doc_id")), "doc_id", "left_semi").where(F.col("text").rlike("[^\\x20\\x09-\\x0D]"))
-    prints = storage.stored(wide_fingerprints(whole, shingle))
+    # copies get fingerprints too: reading them twice is linear, while leaving them out first would shuffle every text
+    whole = given.where(F.col("text").rlike("[^\\x20\\x09-\\x0D]"))
+    prints = storage.stored(wide_fingerprints(whole, shingle).join(first.select(F.col("first").alias("doc_id")), "doc_id", "left_semi"))
     seen = prints.select("doc_id", F.col("words")[0].alias("w"), F.explode("keys").alias("key"))
     table = seen.groupBy("key").agg(F.min(F.struct("doc_id", "w")).alias("least")).select("key", F.col("least.doc_id").alias("other"), F.col("least.w").alias("v"))
     bits = F.array(*[F.lit(1 << p) for p in range(KEY_BITS)])
@@ -187,7 +188,8 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = SIMILA
     words = prints.select("doc_id", "words")
     both = pairs.join(words.select(F.col("doc_id").alias("a"), F.col("words").alias("x")), "a").join(words.select(F.col("doc_id").alias("b"), F.col("words").alias("y")), "b")
     distance = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, d: s + d)
-    near_pairs = both.where(distance <= WIDE_DISTANCE).select("a", "b")
+    near_pairs = storage.stored(both.where(distance <= WIDE_DISTANCE).select("a", "b"))
+    whole = storage.within(whole, near_pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "doc_id")
     with_text = near_pairs.join(whole.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), "a").join(whole.select(F.col("doc_id").alias("b"), F.col("text").alias("y")), "b")
     found = graph.components(with_text.select("a", "b", "x", "y").mapInArrow(_similar(shingle, similarity), "a long, b long"))
     named = first.join(found, first["first"] == found["node"], "left").select("class", F.coalesce("component", "first").alias("component_id"))

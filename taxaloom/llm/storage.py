@@ -37,6 +37,12 @@ def without(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, key, "left_anti").select(*rows.columns)
 
 
+def within(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The rows whose key is among the ids. The ids are counted first."""
+    ids = stored(ids)
+    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, key, "left_semi").select(*rows.columns)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows without lineage, for loops."""
     shared_folder(df.sparkSession)
