@@ -1,7 +1,8 @@
-"""SimHash near-duplicates by multi-index hashing."""
+"""SimHash near-duplicates by multi-index hashing; and texts of similar shingles by an exact prefix join."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -106,41 +107,82 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", t
     return prints.join(named.join(smallest, "component").select(F.col("fp").alias("fingerprint"), "component_id"), "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
-#: The wide fingerprint: words of 64 bits, keys cut from them, and distances that texts of a similarity of 0.8 hardly exceed.
-WIDE_WORDS, WIDE_KEYS, KEY_BITS = 6, 16, 24
-WIDE_DISTANCE, FIRST_WORD_DISTANCE = 80, 22
 SIMILARITY = 0.8
+#: One text in so many shows which shingles are common, and so many of them at most go to the tasks. Both only choose an order: any finds all pairs.
+SAMPLE, COMMON = 16, 200_000
 
 
-def wide_fingerprints(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """doc_id, words array<long> (a SimHash of 384 bits) and keys array<long> (its 24-bit segments, each with its number)."""
+def _shingles(text: pa.Scalar, shingle: int) -> np.ndarray:
+    """The XXH64 (seed 42) of each distinct shingle of a lower-cased text, ascending."""
+    import xxhash
+
+    words = text.as_buffer().to_pybytes().split() if text.is_valid else []
+    if not words:
+        return np.empty(0, np.uint64)
+    n = max(1, len(words) - shingle + 1)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    starts, ends = np.concatenate([[0], ends[:-1]])[:n].tolist(), (ends[shingle - 1 :] - 1 if len(words) >= shingle else ends[-1:] - 1).tolist()
+    joined, digest = b" ".join(words), xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(joined[x:y], 42) for x, y in zip(starts, ends, strict=True)), np.uint64, n))
+
+
+def _common(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several of a sample of the texts have, ascending, and how many have each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
+        for batch in batches:
+            found = [_shingles(t, shingle) for t in pc.ascii_lower(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.uint64), *found]).view(np.int64))], ["token"])
+        X.settle()
 
-        digest = xxhash.xxh64_intdigest
-        weights = (1 << np.arange(KEY_BITS - 1, -1, -1)).astype(np.int64)
+    sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0)
+    top = sample.mapInArrow(run, "token long").groupBy("token").count().where("count > 2").orderBy(F.desc("count"), "token").limit(COMMON).toArrow()
+    tokens, counts = top.column(0).to_numpy().view(np.uint64), top.column(1).to_numpy()
+    by = np.argsort(tokens)
+    return tokens[by], counts[by].astype(np.int32)
+
+
+def prefixes(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """doc_id, size (its number of distinct shingles), and its first shingles in an order that all texts share, rare ones first: token, left (how many follow), low.
+
+    If a text and another of no more shingles have the similarity, then a shingle of
+    the first one's rows is among the other's rows that are low: what the two share is
+    at least `similarity` of the larger, and 2 * similarity / (1 + similarity) of the
+    smaller one.
+    """
+    tokens, counts = _common(docs, shingle)
+
+    def least(share: float, n: int) -> int:
+        return math.ceil(share * n - 1e-9)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            packed = np.zeros((batch.num_rows, WIDE_WORDS * 64), bool)
-            for row, text in enumerate(pc.ascii_lower(batch.column(1))):
-                words = text.as_buffer().to_pybytes().split() if text.is_valid else []
-                if not words:
+            out = []
+            for doc, text in zip(batch.column(0).to_numpy(zero_copy_only=False), pc.ascii_lower(batch.column(1)), strict=True):
+                own = _shingles(text, shingle)
+                if not (n := len(own)):
                     continue
-                n = max(1, len(words) - shingle + 1)
-                hashes = np.fromiter((digest(b" ".join(words[i : i + shingle]), 42) for i in range(n)), np.uint64, n)
-                counts = np.zeros(WIDE_WORDS * 64, np.int64)
-                for at in range(0, n, CHUNK):
-                    for w in range(WIDE_WORDS):
-                        part = X.mix(hashes[at : at + CHUNK] + np.uint64(w))
-                        counts[w * 64 : w * 64 + 64] += np.unpackbits(part.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-                packed[row] = counts * 2 > n
-            keys = packed.reshape(-1, WIDE_KEYS, KEY_BITS) @ weights + (np.arange(WIDE_KEYS) << KEY_BITS)
-            words = np.packbits(packed, axis=1).view(">u8").astype(np.uint64).view(np.int64)
-            as_list = lambda a, k: pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * k, pa.int32()), pa.array(a.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), as_list(words, WIDE_WORDS), as_list(keys.astype(np.int64), WIDE_KEYS)], ["doc_id", "words", "keys"])
+                count = np.zeros(n, np.int32)
+                if len(tokens):
+                    at = np.minimum(np.searchsorted(tokens, own), len(tokens) - 1)
+                    count = np.where(tokens[at] == own, counts[at], 0)
+                first = own[np.lexsort((own, count))[: n - least(similarity, n) + 1]]
+                k = len(first)
+                out.append((np.full(k, doc), np.full(k, n, np.int32), first.view(np.int64), n - 1 - np.arange(k, dtype=np.int32), np.arange(k) <= n - least(2 * similarity / (1 + similarity), n)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["doc_id", "size", "token", "left", "low"])
         X.settle()
 
-    return docs.mapInArrow(run, "doc_id long, words array<long>, keys array<long>")
+    return docs.mapInArrow(run, "doc_id long, size int, token long, left int, low boolean")
+
+
+def _may_pair(x: str, y: str, similarity: float) -> Column:
+    """Whether rows x and y of prefixes() with a shingle in common, their texts' first one, leave room for the similarity."""
+    col = lambda side, name: F.col(f"{side}.{name}")
+    small, large = F.least(col(x, "size"), col(y, "size")), F.greatest(col(x, "size"), col(y, "size"))
+    low = (col(x, "low") & (col(x, "size") <= col(y, "size"))) | (col(y, "low") & (col(y, "size") <= col(x, "size")))
+    room = 1 + F.least(col(x, "left"), col(y, "left")) >= (small + large) * F.lit(similarity / (1 + similarity)) - 1e-6
+    return low & room & (small >= large * F.lit(similarity) - 1e-6)
 
 
 def _similar(shingle: int, similarity: float):
@@ -161,39 +203,48 @@ def _similar(shingle: int, similarity: float):
     return run
 
 
+def _confirmed(whole: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose texts are similar."""
+    whole = storage.within(whole, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "doc_id")
+    with_text = pairs.join(whole.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), "a").join(whole.select(F.col("doc_id").alias("b"), F.col("text").alias("y")), "b")
+    return storage.stored(with_text.select("a", "b", "x", "y").mapInArrow(_similar(shingle, similarity), "a long, b long"))
+
+
 def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and component_id, the smallest id among texts whose sets of word shingles have a Jaccard similarity of 0.8 or more.
-
-    Equal texts are one class. A 384-bit SimHash is cut into 16 segments; each text
-    looks up every segment and the ball of keys with one set bit cleared, in a table
-    that holds the smallest class of each key, so that a key shared by thousands gives
-    a star and not all its pairs. Complete distances are then verified, and at last the
-    shingles of the few pairs that are left are compared. Ids must be distinct; rows with a null id or null text are left out; an empty text is no
-    class. An empty table gives no rows.
+    """doc_id and component_id, the smallest id reachable by pairs of texts whose sets of word shingles have a Jaccard similarity of 0.8 or more.
+
+    Equal texts are one class. Texts meet in the shingles of their prefixes(), which
+    every similar pair shares. Each is first compared with the smallest text of each of
+    its shingles, so that thousands of copies give a star and not all their pairs; then,
+    of each shingle whose texts are not all in one component, all pairs across its
+    components are. Every pair is confirmed by its shingles. Ids must be distinct; rows
+    with a null id or null text are left out; an empty text is no class. An empty table
+    gives no rows.
     """
     given = X.texts(docs, id_col, text_col).where("doc_id is not null and text is not null")
-    key = F.struct(F.sha2("text", 256), F.length("text"))
-    classes = given.select("doc_id", key.alias("class"))
-    first = storage.stored(classes.groupBy("class").agg(F.min("doc_id").alias("first")))
-    # copies get fingerprints too: reading them twice is linear, while leaving them out first would shuffle every text
-    whole = given.where(F.col("text").rlike("[^\\x20\\x09-\\x0D]"))
-    prints = storage.stored(wide_fingerprints(whole, shingle).join(first.select(F.col("first").alias("doc_id")), "doc_id", "left_semi"))
-    seen = prints.select("doc_id", F.col("words")[0].alias("w"), F.explode("keys").alias("key"))
-    table = seen.groupBy("key").agg(F.min(F.struct("doc_id", "w")).alias("least")).select("key", F.col("least.doc_id").alias("other"), F.col("least.w").alias("v"))
-    bits = F.array(*[F.lit(1 << p) for p in range(KEY_BITS)])
-    near = F.transform(F.filter(bits, lambda b: F.col("key").bitwiseAND(b) != 0), lambda b: F.col("key").bitwiseXOR(b))
-    probes = seen.select("doc_id", "w", F.explode(F.concat(F.array("key"), near)).alias("key"))
-    close = F.bit_count(F.col("w").bitwiseXOR(F.col("v"))) <= FIRST_WORD_DISTANCE
-    pairs = probes.join(table, "key").where((F.col("doc_id") != F.col("other")) & close).select(F.col("doc_id").alias("a"), F.col("other").alias("b")).distinct()
-    words = prints.select("doc_id", "words")
-    both = pairs.join(words.select(F.col("doc_id").alias("a"), F.col("words").alias("x")), "a").join(words.select(F.col("doc_id").alias("b"), F.col("words").alias("y")), "b")
-    distance = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, d: s + d)
-    near_pairs = storage.stored(both.where(distance <= WIDE_DISTANCE).select("a", "b"))
-    whole = storage.within(whole, near_pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "doc_id")
-    with_text = near_pairs.join(whole.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), "a").join(whole.select(F.col("doc_id").alias("b"), F.col("text").alias("y")), "b")
-    found = graph.components(with_text.select("a", "b", "x", "y").mapInArrow(_similar(shingle, similarity), "a long, b long"))
-    named = first.join(found, first["first"] == found["node"], "left").select("class", F.coalesce("component", "first").alias("component_id"))
-    return classes.join(named, "class").select("doc_id", "component_id")
+    classes = given.select("doc_id", F.struct(F.sha2("text", 256), F.length("text")).alias("class"))
+    first = classes.groupBy("class").agg(F.min("doc_id").alias("first"))
+    members = storage.stored(classes.join(first, "class").select("doc_id", "first"))
+    whole = storage.without(given.where(F.col("text").rlike("[^\\x20\\x09-\\x0D]")), members.where("doc_id <> first").select("doc_id"), "doc_id")
+    rows = storage.stored(prefixes(whole, shingle, similarity))
+    heads = rows.groupBy("token").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "size", "left", "low")).alias("head")).where("n > 1")
+    shared = storage.stored(rows.join(heads.select("token", "head"), "token"))
+    stars = shared.select(F.struct("doc_id", "size", "left", "low").alias("x"), F.col("head").alias("y")).where(F.col("x.doc_id") != F.col("y.doc_id")).where(_may_pair("x", "y", similarity))
+    tried = storage.stored(stars.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct())
+    links = _confirmed(whole, tried, shingle, similarity)
+
+    named = storage.stored(shared.drop("head").join(graph.components(links).withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")))
+    open_tokens = named.groupBy("token").agg(F.min("component").alias("m"), F.max("component").alias("n")).where("m < n").select("token")
+    open_rows = storage.stored(named.join(open_tokens, "token"))
+    sides = open_rows.select("token", "component").distinct()
+    across = sides.withColumnRenamed("component", "c").join(sides.withColumnRenamed("component", "d"), "token").where("c < d")
+    one = open_rows.select("token", F.col("component").alias("c"), F.struct("doc_id", "size", "left", "low").alias("x"))
+    two = open_rows.select("token", F.col("component").alias("d"), F.struct("doc_id", "size", "left", "low").alias("y"))
+    met = across.join(one, ["token", "c"]).join(two, ["token", "d"]).where(_may_pair("x", "y", similarity))
+    pairs = met.select(F.greatest("x.doc_id", "y.doc_id").alias("a"), F.least("x.doc_id", "y.doc_id").alias("b")).distinct()
+    rest = _confirmed(whole, storage.stored(pairs.join(tried, ["a", "b"], "left_anti")), shingle, similarity)
+    found = graph.components(links.unionByName(rest))
+    return members.join(found, members["first"] == found["node"], "left").select("doc_id", F.coalesce("component", "first").alias("component_id"))
 
 
 def keep_first(docs: DataFrame) -> DataFrame:

@@ -64,3 +64,37 @@ def test_similar_groups_against_jaccard(make_docs):
     assert sum(got[g * 10 + c] == g * 10 for g in range(60) for c in (1, 2)) >= 114
     assert got[5003] == 5002 and got[5000] == 5000
     assert {got[g * 10] for g in range(60)} == {g * 10 for g in range(60)}
+
+
+def jaccard_groups(rows, k=5):
+    """The smallest id of each text's component, by comparing all pairs."""
+    sets = {i: {tuple(w[j : j + k]) for j in range(max(1, len(w) - k + 1))} for i, t in rows if (w := t.lower().split())}
+    best = {i: i for i in sets}
+
+    def find(i):
+        while best[i] != i:
+            i = best[i]
+        return i
+
+    for i in sets:
+        for j in sets:
+            if i < j and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                best[b] = a
+    return {i: find(i) for i in sets}
+
+
+def test_near_copies_in_a_crowd_meet(make_docs):
+    """Texts of one long passage: buckets hold many that are not similar, and copies must meet whoever is smallest."""
+    rnd = random.Random(11)
+    new = lambda n: [f"w{rnd.randrange(10**6)}" for _ in range(n)]
+    passage, rows = new(320), [(2, "")]
+    rows += [(10 + k, " ".join(passage + new(44))) for k in range(400)]
+    for g in range(40):
+        own = new(44)
+        copy = own[:19] + new(25)
+        rows += [(1000 + g, " ".join(passage + own)), (2000 + g, " ".join(passage + copy))]
+    want = jaccard_groups(rows)
+    assert all(want[2000 + g] == 1000 + g for g in range(40)) and len(set(want.values())) == 440
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(make_docs(rows)).collect()}
+    assert got == want | {2: 2}
