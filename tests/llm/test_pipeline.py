@@ -98,3 +98,19 @@ def test_near_copies_in_a_crowd_meet(make_docs):
     assert all(want[2000 + g] == 1000 + g for g in range(40)) and len(set(want.values())) == 440
     got = {r.doc_id: r.component_id for r in simhash.similar_groups(make_docs(rows)).collect()}
     assert got == want | {2: 2}
+
+
+def test_all_pairs_just_over_the_similarity(make_docs):
+    """Copies at 0.8 to 0.83, just under it, and texts that differ only in how often a paragraph comes."""
+    rnd = random.Random(12)
+    new = lambda n: [f"w{rnd.randrange(10**6)}" for _ in range(n)]
+    rows = []
+    for g in range(150):
+        base = new(204)  # 200 shingles; a changed end of c words keeps 200 - c
+        rows += [(g, " ".join(base)), (1000 + g, " ".join(base[: 204 - (c := 18 + g % 6)] + new(c)))]
+    for g in range(5):
+        lead, paragraph = new(60), new(60)
+        rows += [(2000 + g, " ".join(lead + paragraph * 2)), (3000 + g, " ".join(lead + paragraph * 50))]
+    want = jaccard_groups(rows)
+    assert sum(want[1000 + g] == g for g in range(150)) == 125 and all(want[3000 + g] == 2000 + g for g in range(5))
+    assert {r.doc_id: r.component_id for r in simhash.similar_groups(make_docs(rows)).collect()} == want
