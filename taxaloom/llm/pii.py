@@ -39,6 +39,8 @@ SPELLED = {
     "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9", "plus": "+",
 }
 AT, DOT = "at|arroba|arobase", "dot|punkt|point|punto"
+#: The fewest digits of any kind, an address of four.
+LEAST_DIGITS = 4
 
 
 def _glyphs() -> dict[str, str]:
@@ -60,29 +62,32 @@ class Transducers:
         self.glyphs = _glyphs()
         self.glyph = re.compile("[" + "".join(map(re.escape, self.glyphs)) + "]")
         words = "|".join(sorted(SPELLED, key=len, reverse=True))
-        self.number = re.compile(rf"(?i)\b(?:(?:{words}|\+?[0-9]+)\b[ \t,.\-]{{0,2}}){{6,}}+")
+        self.number = re.compile(rf"(?i)\b(?:(?:{words}|\+?[0-9]+)\b[ \t,.\-]{{0,2}})++")
         self.spelled = re.compile(rf"(?i)\b(?:(plus)\b[ \t]*|(?:{words})\b)")
         wrap = lambda w: rf"[ \t]?[\[({{<][ \t]?(?:{w})[ \t]?[\])}}>][ \t]?"
-        dotted = rf"(?:[ \t](?:{DOT})[ \t]|{wrap(DOT)})"
+        dotted = rf"(?:[ \t](?:{DOT})[ \t]|{wrap(DOT + '|[.]')})"
         domain = rf"[A-Za-z0-9-]+(?:(?:\.|{dotted})[A-Za-z0-9-]+)*{dotted}[A-Za-z0-9-]+"
         self.at = re.compile(rf"(?i)(?<=[A-Za-z0-9_%+-])(?:{wrap(AT + '|@')}|[ \t](?:{AT})[ \t](?={domain}))(?=[A-Za-z0-9])")
         self.dot = re.compile(rf"(?i)(?<=[A-Za-z0-9]){dotted}(?=[A-Za-z0-9])")
         #: What a text needs for each step to do anything, without look-around, for Arrow's linear-time matcher.
-        self.needs = ["[" + "".join(map(re.escape, self.glyphs)) + "]", rf"(?i)(?:(?:{words}|\+?[0-9]+)[ \t,.\-]{{0,2}}){{6}}", rf"(?i)[A-Za-z0-9_%+\-](?:{wrap(AT + '|@')}|[ \t](?:{AT})[ \t]{domain})"]
+        self.needs = ["[" + "".join(map(re.escape, self.glyphs)) + "]", rf"(?i)\b(?:{words})\b[ \t,.\-]{{0,2}}\b(?:{words}|[0-9])|(?:{words})\b[ \t,.\-]{{0,2}}\+[0-9]|[0-9][ \t,.\-]{{0,2}}\b(?:{words})\b", rf"(?i)[A-Za-z0-9_%+\-](?:{wrap(AT + '|@')}|[ \t](?:{AT})[ \t]{domain})", rf"(?i)(?:@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*{dotted}[A-Za-z0-9]|[0-9]{dotted}[0-9])"]
 
     def edits(self, text: str, step: int) -> list[tuple[int, int, str]]:
         if step == 0:
             return [] if text.isascii() else [(m.start(), m.end(), self.glyphs[m[0]]) for m in self.glyph.finditer(text)]
         if step == 1:
-            return [(m.start() + w.start(), m.start() + w.end(), "+" if w[1] else SPELLED[w[0].lower()]) for m in self.number.finditer(text) for w in self.spelled.finditer(m[0])]
+            out = []
+            for m in self.number.finditer(text):
+                said = list(self.spelled.finditer(m[0]))
+                if said and len(re.findall("[0-9]", m[0])) + sum(not w[1] for w in said) >= LEAST_DIGITS:
+                    out += [(m.start() + w.start(), m.start() + w.end(), "+" if w[1] else SPELLED[w[0].casefold()]) for w in said]
+            return out
         return [(m.start(), m.end(), "@" if step == 2 else ".") for m in (self.at if step == 2 else self.dot).finditer(text)]
 
     def normalise(self, text: str) -> tuple[str, list[Rewritten]]:
         steps = []
         for step in range(4):
             found = self.edits(text, step)
-            if step == 3 and "@" not in text:
-                found = []
             if found:
                 steps.append(Rewritten(text, found))
                 text = steps[-1].text

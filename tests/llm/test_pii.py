@@ -60,3 +60,28 @@ def test_plain_neighbours_stay(make_docs):
 
 def test_empty_table(make_docs):
     assert pii.find(make_docs([])).count() == 0
+
+
+def test_prefilter_loses_nothing(make_docs):
+    cases = {
+        "write bob@example dot com now": "hidden_email:6:25",
+        "bob@mail [dot] example (dot) com": "hidden_email:0:32",
+        "bob@example[.]com": "hidden_email:0:17",
+        "host 10 dot 0 dot 0 dot 1 is up": "hidden_ip:5:25",
+        "host 10[.]0[.]0[.]1 is up": "hidden_ip:5:19",
+        "host 10.0.zero.one": "hidden_ip:5:18",
+        "+1 2125550 one two three": "hidden_phone:0:24",
+        "plus 49 123 4567890": "hidden_phone:0:19",
+        "at this point we met, one or two of us": "",
+        "\u017fix \u017fix \u017feven one": "",
+    }
+    rnd = random.Random(10)
+    parts = ["a", "bob", "@", " dot ", "[.]", "(dot)", " at ", ".", "-", " ", "+1 ", "12", "255", "one ", "zero", "plus ", "seven ", ",", "0", "\u0430", " point ", "555", "com"]
+    rows = list(enumerate([*cases, *("".join(rnd.choice(parts) for _ in range(rnd.randrange(2, 22))) for _ in range(4000))]))
+    rewrite = pii.Transducers()
+    got = {r.doc_id: [tuple(s) for s in r.spans] for r in pii.find(make_docs(rows)).collect()}
+    names = pii.KINDS + pii.HIDDEN
+    for (i, text), want in zip(rows, cases.values(), strict=False):
+        assert ",".join(f"{names[k]}:{s}:{e}" for s, k, e in got[i]) == want, text
+    for i, text in rows:
+        assert got[i] == pii.find_all(text, rewrite), text
