@@ -17,10 +17,10 @@ BASE = {
     "hex": r"[0-9a-f]{24,}",
 }
 KEPT_LENGTH = 6  # of what an assignment assigns
-#: A candidate is a whole run of these characters that has a letter and a digit.
-RUN = "A-Za-z0-9+/_=-"
+#: A candidate is a whole run of these characters that has a letter and a digit, with the padding behind it.
+RUN = "A-Za-z0-9+/_-"
 LEAST_RUN = 20
-CANDIDATE = rf"(?<![{RUN}])(?=[0-9+/_=-]*+[A-Za-z])(?=[A-Za-z+/_=-]*+[0-9])[{RUN}]{{{LEAST_RUN},}}+"
+CANDIDATE = rf"(?<![{RUN}])(?=[0-9+/_-]*+[A-Za-z])(?=[A-Za-z+/_-]*+[0-9])[{RUN}]{{{LEAST_RUN},}}+=*+"
 #: Encodings by their alphabets, the smallest that fits being taken.
 ENCODINGS = {
     "hex": "0123456789abcdef",

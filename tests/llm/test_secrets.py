@@ -63,3 +63,14 @@ def test_redaction(spark):
 
 def test_empty_table(make_docs):
     assert secrets.find(make_docs([])).count() == 0
+
+
+def test_values_behind_a_name(make_docs):
+    rnd = random.Random(13)
+    alphabet = string.ascii_letters + string.digits + "+/"
+    keys = ["".join(rnd.choice(alphabet) for _ in range(46)) + "a1" for _ in range(60)]
+    names = ["AWS_SECRET_ACCESS_KEY=", "sig=", "export X9_CREDENTIAL_OF_THE_HOST="]
+    rows = [(i, f"{names[i % 3]}{k}{'=' * (i % 2)}") for i, k in enumerate(keys)]
+    got = {r.doc_id: r.spans for r in secrets.digests(secrets.find(make_docs(rows))).collect()}
+    found = sum(f"random:{len(names[i % 3])}:{len(t)}" in got[i].split(",") for i, t in rows)
+    assert found >= 0.85 * len(keys)
