@@ -54,3 +54,12 @@ def test_nothing_imports_the_optional_subpackage():
 def test_extraction_does_not_read_curated_data():
     found = set(imports(ROOT / "taxaloom/operators/curation.py"))
     assert not any(w in i for i in found for w in ("scoring", "sets", "alignment")) and ".curated.curated_tree" not in found
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="no test tables")
+def test_signature_alignment_has_every_order(spark):
+    from taxaloom.plans import registry
+
+    rows = registry.QUERIES["signature_alignment"](spark, str(DATA)).collect()
+    keys = {r[0] for r in spark.read.parquet(f"{DATA}/orders.parquet").select("o_orderkey").collect()}
+    assert sorted(k for r in rows for k in (r.p, r.g) if k is not None) == sorted(keys)
