@@ -54,7 +54,9 @@ def battery(rows: DataFrame) -> DataFrame:
     """The rows with p: the p-value that their string `value` is random over the alphabet of its inferred encoding.
 
     Three tests: chi-squared for even use of the alphabet, runs of its lower and upper
-    half, and correlation of neighbours; Fisher's method combines them. Small values
+    half, and correlation of neighbours; Fisher's method combines them. A short string
+    has few letters to a cell, where chi-squared is far from its limit: the tail is that
+    of a gamma distribution with the statistic's exact first three moments. Small values
     speak for structure. Null where the string is null, short or fits no alphabet.
     Padding is left aside. Work on a string is linear in its length.
     """
@@ -70,14 +72,15 @@ def battery(rows: DataFrame) -> DataFrame:
     start = F.struct(F.lit(0.0).alias("lag"), F.lit(0.0).alias("spread"), F.lit(0.0).alias("v"))
     step = lambda s, v: F.struct((s["lag"] + v * s["v"]).alias("lag"), (s["spread"] + v * v).alias("spread"), v.alias("v"))
     out = (
-        rows.withColumn("body", F.regexp_replace("value", "=+$", ""))
+        rows.select(F.struct(*rows.columns).alias("given"), F.regexp_replace("value", "=+$", "").alias("body"))
         .withColumn("alphabet", F.when(F.length("body") >= LEAST_RUN // 2, alphabet))
         .withColumns({"n": F.length("body").cast("double"), "k": F.length("alphabet").cast("double"), "halves": F.call_function("translate", F.col("body"), F.col("alphabet"), halves), "places": places, "squares": squares})
         .withColumns({"ones": F.length(F.replace(F.col("halves"), F.lit("0"), F.lit(""))).cast("double"), "runs": F.length(F.regexp_replace("halves", "0+|1+", "x")).cast("double"), "centre": F.aggregate("places", F.lit(0.0), lambda s, v: s + v) / n})
-        .withColumns({"mean": 2 * ones * (n - ones) / n + 1, "moments": F.aggregate(F.transform("places", lambda v: v - centre), start, step)})
+        .withColumns({"mean": 2 * ones * (n - ones) / n + 1, "pairs": n * (n - 1) / 2 / k, "equal": (F.col("squares") - n) / 2, "moments": F.aggregate(F.transform("places", lambda v: v - centre), start, step), "spread": F.sqrt(F.col("pairs") * (1 - 1 / k))})
+        .withColumns({"deviate": (F.col("equal") - 0.5 - F.col("pairs")) / F.col("spread"), "root": 2 * F.col("spread") / (1 - 2 / k + 2 * (n - 2) / k)})  # root: of the gamma's shape, 2 / skewness
         .withColumns(
             {
-                "z1": (F.col("squares") * k / n - n - (k - 1)) / F.sqrt(2.0 * (k - 1) * (n - 1) / n),
+                "z1": 3 * F.col("root") * (F.cbrt(F.greatest(1 + F.col("deviate") / F.col("root"), F.lit(0.0))) - 1) + 1 / (3 * F.col("root")),  # Wilson and Hilferty's cube root
                 "z2": F.abs((F.col("runs") - mean) / F.sqrt(F.greatest((mean - 1) * (mean - 2) / (n - 1), F.lit(1e-9)))),
                 "z3": F.abs((F.col("moments.lag") / F.greatest("moments.spread", F.lit(1e-9)) + 1 / (n - 1)) * F.sqrt(n)),
             }
@@ -86,7 +89,7 @@ def battery(rows: DataFrame) -> DataFrame:
         .withColumn("half", -sum((F.log(F.greatest(c, F.lit(1e-300))) for c in ("p1", "p2", "p3")), F.lit(0.0)))
     )
     half = F.col("half")
-    return out.select(*rows.columns, F.when(F.col("alphabet").isNotNull(), F.exp(-half) * (1 + half + half * half / 2)).alias("p"))
+    return out.select("given.*", F.when(F.col("alphabet").isNotNull(), F.exp(-half) * (1 + half + half * half / 2)).alias("p"))
 
 
 def _found(text: Column, kind: str, pattern: str) -> Column:
@@ -96,12 +99,11 @@ def _found(text: Column, kind: str, pattern: str) -> Column:
     return F.when(text.rlike(pattern), F.filter(each, lambda x: x["value"].isNotNull())).otherwise(F.array().cast("array<struct<kind:int,i:int,gap:int,value:string>>"))
 
 
-def _pieces(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """A row for each match, its value's place and, of a candidate, its p-value; a document without any has one empty row."""
-    text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), docs[id_col].cast("long").alias("doc_id"), text.alias("text"))
+def _pieces(rows: DataFrame) -> DataFrame:
+    """Of rows (id, text): a row for each match, its value's place and, of a candidate, its p-value; a text without any has one empty row."""
+    rows = rows.select(F.monotonically_increasing_id().alias("row"), "id", "text")
     every = F.flatten(F.array(*[_found(F.col("text"), k, p) for k, p in BASE.items()], _found(F.col("text"), "random", CANDIDATE)))
-    exploded = rows.select("row", "doc_id", F.explode_outer(every).alias("x")).select("row", "doc_id", "x.*").repartition("row")
+    exploded = rows.select("row", "id", F.explode_outer(every).alias("x")).select("row", "id", "x.*").repartition("row")
     before = Window.partitionBy("row", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = exploded.withColumn("end", F.sum(F.col("gap") + F.length("value")).over(before))
     long_enough = (F.col("kind") != KINDS.index("assign")) | (F.length(F.regexp_extract("value", BASE["assign"], 1)) >= KEPT_LENGTH)
@@ -111,7 +113,7 @@ def _pieces(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         stratum = F.when(n >= s, F.lit(s)).otherwise(stratum)
     span = F.when(F.col("kind").isNotNull() & long_enough, F.struct((F.col("end") - n).alias("start"), "kind", "end"))
     candidate = F.when(F.col("kind") == KINDS.index("random"), F.col("value"))
-    return battery(placed.select("row", "doc_id", span.alias("span"), stratum.alias("stratum"), candidate.alias("value"))).drop("value")
+    return battery(placed.select("row", "id", span.alias("span"), stratum.alias("stratum"), candidate.alias("value"))).drop("value")
 
 
 def thresholds(candidates: DataFrame, rate: float = RATE) -> DataFrame:
@@ -140,14 +142,20 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate:
     count as empty and have no spans; a null id stays null; repeated rows are each
     scanned; an empty table gives no rows. Other columns are not read.
     """
-    pieces = storage.stored(_pieces(docs, id_col, text_col))
+    text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
+    return _spans(docs.select(docs[id_col].cast("long").alias("id"), text.alias("text")), rate).withColumnRenamed("id", "doc_id")
+
+
+def _spans(rows: DataFrame, rate: float) -> DataFrame:
+    """row, id, spans of every row (id, text)."""
+    pieces = storage.stored(_pieces(rows))
     limits = thresholds(pieces, rate)
     judged = pieces.join(F.broadcast(limits), "stratum", "left")  # a row for each of the few strata
     is_random = F.col("span.kind") == KINDS.index("random")
     base, random = F.collect_list(F.when(~is_random, F.col("span"))), F.collect_list(F.when(is_random & (F.col("p") >= F.col("least_p")), F.col("span")))
-    grouped = judged.groupBy("row", "doc_id").agg(F.array_sort(base).alias("base"), F.array_sort(random).alias("random"))
+    grouped = judged.groupBy("row", "id").agg(F.array_sort(base).alias("base"), F.array_sort(random).alias("random"))
     alone = F.filter("random", lambda r: ~F.exists("base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
-    return grouped.select("row", "doc_id", F.array_sort(F.concat("base", alone)).alias("spans"))
+    return grouped.select("row", "id", F.array_sort(F.concat("base", alone)).alias("spans"))
 
 
 def kind_name(kind: Column) -> Column:
@@ -169,19 +177,39 @@ def digests(found: DataFrame) -> DataFrame:
     return found.select("doc_id", *counts[: len(BASE)], F.sha2(as_text(base), 256).alias("base_sha256"), as_text(F.col("spans")).alias("spans"), counts[-1])
 
 
-def redact(docs: DataFrame) -> DataFrame:
-    """The documents' columns, each text without its secrets: overlapping spans are one, and become REPLACEMENT.
+#: Bytes of spans that may be broadcast; beyond it, the texts that may hold secrets meet them in a shuffle.
+BROADCAST_BYTES = 16 << 20
 
-    Ids must be distinct. A null text stays null.
-    """
-    spans = find(docs).where(F.size("spans") > 0).select(F.col("doc_id").alias("__id"), F.col("spans").alias("__spans"))
-    start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
 
-    def step(s: Column, x: Column) -> Column:
-        between = F.when(x["start"] >= s["at"], F.concat(F.substring(F.col("text"), (s["at"] + 1).cast("int"), (x["start"] - s["at"]).cast("int")), F.lit(REPLACEMENT))).otherwise(F.lit(""))
-        return F.struct(F.concat(s["out"], between).alias("out"), F.greatest(s["at"], x["end"]).alias("at"))
+def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars", rate: float = RATE) -> DataFrame:
+    """The rows and columns of docs, each text without its secrets: overlapping spans are one, and become REPLACEMENT.
 
-    text = F.aggregate(F.col("__spans"), start, step, lambda s: F.concat(s["out"], F.substring(F.col("text"), (s["at"] + 1).cast("int"), F.length("text"))))
-    clean = F.when(F.col("__spans").isNull(), F.col("text")).otherwise(text)
-    joined = docs.join(spans, docs["doc_id"] == spans["__id"], "left").withColumn("text", clean)
-    return joined.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    Spans depend on the text alone, and meet it again by its SHA-256: a row without an
+    id is mended like any other, rows that repeat (with one text or several) stay as
+    many as they were, and one text is mended alike everywhere. length_col, where there
+    is such a column, is set anew for a text that changed. Null and empty texts, other
+    columns of any name and rows without secrets stay as they are; an empty table
+    gives no rows.
+    """
+    whole = "row" + "_" * max(map(len, docs.columns))  # no column of docs
+    column = lambda name: F.col(f"{whole}.`{name}`")
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias(whole))
+    text, key = column(text_col), F.sha2(column(text_col), 256)
+    may = F.coalesce(text.rlike("|".join(f"(?:{p})" for p in [*BASE.values(), CANDIDATE])), F.lit(False))
+    suspects = rows.where(may).withColumn("key", key)
+    found = _spans(suspects.select(F.col("key").alias("id"), text.alias("text")), rate).groupBy(F.col("id").alias("key")).agg(F.any_value("spans").alias("spans"))
+    each = found.select("key", F.explode("spans").alias("x")).select("key", "x.start", "x.end")
+    earlier = Window.partitionBy("key").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    # Where a span overlaps one before it, the two are one; what is kept lies between.
+    opens = each.withColumn("from", F.coalesce(F.max("end").over(earlier), F.lit(0).cast("long"))).withColumn("gap", F.when(F.col("start") >= F.col("from"), F.struct("from", F.col("start").alias("to"))))
+    spans = storage.stored(opens.groupBy("key").agg(F.array_sort(F.collect_list("gap")).alias("gaps"), F.max("end").alias("last")))
+    size = spans.agg(F.sum(96 + 24 * F.size("gaps"))).first()[0] or 0
+    joined = suspects.join(F.broadcast(spans) if size <= BROADCAST_BYTES else spans, "key", "left")
+    kept = F.transform("gaps", lambda g: F.substring(text, (g["from"] + 1).cast("int"), (g["to"] - g["from"]).cast("int")))
+    rest = F.substring(text, (F.col("last") + 1).cast("int"), F.length(text))
+    clean = F.when(F.col("gaps").isNull(), text).otherwise(F.concat(F.array_join(kept, REPLACEMENT), F.lit(REPLACEMENT), rest))
+    changed = {text_col: clean.cast(docs.schema[text_col].dataType)}
+    if length_col in docs.columns:
+        changed[length_col] = F.when(F.col("gaps").isNull(), column(length_col)).otherwise(F.length(clean)).cast(docs.schema[length_col].dataType)
+    mended = joined.select(*[changed.get(c, column(c)).alias(c) for c in docs.columns])
+    return rows.where(~may).select(*[column(c).alias(c) for c in docs.columns]).unionByName(mended)

@@ -55,10 +55,47 @@ def test_battery_finds_random_strings_and_leaves_structure(make_docs):
 
 
 def test_redaction(spark):
-    rows = [(1, "x token=abcdef y " + "0f" * 12, "en", "s", 1), (2, None, None, None, None), (3, "clean", "en", "s", 5)]
-    out = secrets.redact(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"))
-    assert out.columns == ["doc_id", "text", "lang", "source", "n_chars"]
-    assert sorted(tuple(r)[:2] for r in out.collect()) == [(1, "x [secret] y [secret]"), (2, None), (3, "clean")]
+    """Null ids, repeated ids and rows, clashing columns, empty and very long texts, and overlapping spans."""
+    key = "0f" * 12
+    rows = [
+        (1, f"x token=abcdef y {key}", "en", "s", 1), (2, None, None, None, None), (3, "clean", "en", "s", 5), (None, "token=abcdefgh x", "en", "s", 16), (None, "fine", None, None, 4),
+        (4, "a token=abcdef", "en", "s", 14), (4, "a token=abcdef", "en", "s", 14), (4, "b secret: abcdefg", "en", "s", 17), (4, "b", "en", "s", 1), (5, "", "en", "s", 0),
+        (6, "w " * 200_000 + "passwd=abcdef", "en", "s", 0), (7, f"{key}api_key=abcdefg token=é", "en", "s", 0), (8, "token=abcdef " * 2000, "en", "s", 0), (9, f"password={key}K é token=abcdef", "en", "s", 0),
+    ]
+    frame = spark.createDataFrame([(*r, "k", "g") for r in rows], "doc_id long, text string, lang string, source string, n_chars long, key string, gaps string").withColumnRenamed("lang", "row")
+    out = secrets.redact(frame)
+    assert out.schema == frame.schema
+
+    def clean(text):
+        if text is None:
+            return None
+        out, at, spans = [], 0, [list(s[1:]) for s in base(text)]
+        merged = []
+        for s, e in spans:
+            if merged and s < merged[-1][1]:
+                merged[-1][1] = max(merged[-1][1], e)
+            else:
+                merged.append([s, e])
+        for s, e in merged:
+            out += [text[at:s], "[secret]"]
+            at = e
+        return "".join(out) + text[at:]
+
+    want = [(i, clean(t), len(clean(t)) if t and clean(t) != t else n, "k", "g") for i, t, _, _, n in rows]
+    assert sorted(((r.doc_id, r.text, r.n_chars, r.key, r.gaps) for r in out.collect()), key=str) == sorted(want, key=str)
+    assert secrets.redact(frame.limit(0)).count() == 0
+
+
+def test_tail_against_uniform_strings(spark):
+    """p-values of random strings are about even for each length and alphabet, short ones included."""
+    rnd = random.Random(5)
+    cases = {("hex", 24): "0123456789abcdef", ("base64", 20): string.ascii_letters + string.digits + "+/", ("base64", 44): string.ascii_letters + string.digits + "+/", ("lower36", 30): string.digits + string.ascii_lowercase}
+    rows = [(f"{k}", "".join(rnd.choice(a) for _ in range(k[1]))) for k, a in cases.items() for _ in range(2000)]
+    got = {k: [] for k in map(str, cases)}
+    for r in secrets.battery(spark.createDataFrame(rows, "k string, value string").repartition(4)).collect():
+        if r.p is not None:
+            got[r.k].append(r.p)
+    assert all(len(p) > 1900 and 0.4 < sum(p) / len(p) < 0.6 and sum(x < 0.05 for x in p) < 0.1 * len(p) for p in got.values()), {k: (len(p), sum(p) / len(p), sum(x < 0.05 for x in p)) for k, p in got.items()}
 
 
 def test_empty_table(make_docs):
