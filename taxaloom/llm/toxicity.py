@@ -13,11 +13,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import exchange as X
+from . import storage
 
 #: A label is held out when the CRC-32 of the id as text leaves this.
 FOLDS, HELD_OUT = 4, 2
-#: Labelled documents of each class that the model may be fitted on, by hash order of the id.
-SAMPLE = 1500
+#: Labelled documents of each class that the model may be fitted on, by hash order of the id, and UTF-8 bytes of their texts.
+#: A text that would go over the bytes is passed by, whatever its class; none is cut.
+SAMPLE, SAMPLE_BYTES = 1500, 8 << 20
 THRESHOLD = 0.3
 #: Marginals below this count as nothing in a document's measures.
 DOUBT = 0.2
@@ -213,28 +215,53 @@ def document_scores(chains: Chains, model: Model) -> tuple[np.ndarray, np.ndarra
     return 1 / (1 + np.exp(-np.clip(x @ model.scale, -500, 500))), m
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """A model from at most `sample` labelled documents of each class, never the held-out ones.
+def _fitted(rows: DataFrame, sample_bytes: int) -> tuple[Model, list[int]]:
+    """The model of (h, doc_id, toxic, text) rows, and how many of each class it took. One task reads them in order and holds what it takes only."""
 
-    The sample is the labelled ids first in hash order; it is all that comes to the
-    driver. Rows whose label or id is null do not count; of several labels the
-    larger holds. A corpus without both classes gives a model that knows nothing.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, spent = [], [0, 0]
+        for batch in batches:
+            toxic, size = batch.column(2).to_numpy(), pc.fill_null(pc.binary_length(batch.column(3)), 0).to_numpy(zero_copy_only=False)
+            keep = np.zeros(batch.num_rows, bool)
+            for k, (t, n) in enumerate(zip(toxic, size, strict=True)):
+                if spent[t] + n <= sample_bytes:
+                    keep[k], spent[t] = True, spent[t] + int(n)
+            held.append(batch.filter(pa.array(keep)))
+        if held:
+            table = pa.Table.from_batches(held).select([2, 3]).combine_chunks()
+            toxic = table.column(0).to_numpy() == 1
+            m = fit(table.column(1).combine_chunks(), toxic)
+            parts = [m.keys, m.weights, np.array([m.bias]), m.moves.ravel(), m.scale, np.array([(~toxic).sum(), toxic.sum()], np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array([np.ascontiguousarray(a).tobytes()], pa.binary()) for a in parts], ["keys", "weights", "bias", "moves", "scale", "taken"])
+        X.settle()
+
+    columns = ", ".join(f"{c} binary" for c in ("keys", "weights", "bias", "moves", "scale", "taken"))
+    got = rows.select("h", "doc_id", "toxic", "text").repartition(1).sortWithinPartitions("h", "doc_id").mapInArrow(run, columns).collect()
+    if not got:
+        return fit(pa.array([], pa.string()), np.zeros(0, bool)), [0, 0]
+    r = {c: np.frombuffer(bytes(got[0][c]), np.uint64 if c == "keys" else np.int64 if c == "taken" else np.float64) for c in got[0].asDict()}
+    return Model(r["keys"], r["weights"], float(r["bias"][0]), r["moves"].reshape(2, 2), r["scale"]), r["taken"].tolist()
+
+
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model:
+    """A model from at most `sample` labelled documents and `sample_bytes` of text of each class, never the held-out ones.
+
+    The sample is the labelled ids first in hash order. It is fitted in one task, which
+    both bounds serve; no text comes to the driver. Rows whose label or id is null do
+    not count; of several labels of an id the larger holds, of several texts the
+    smallest. A corpus without both classes gives a model that knows nothing.
     """
-    known = labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
-    ours = known.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS != HELD_OUT)
+    known = labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
+    ours = known.where((F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS != HELD_OUT) & F.col("toxic").isin(0, 1))
     with_text = ours.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "toxic", F.xxhash64("doc_id").alias("h"))
     totals = {r.toxic: r["count"] for r in with_text.groupBy("toxic").count().collect()}
     picked = None
     for toxic in (0, 1):
-        part = with_text.where(F.col("toxic") == toxic).orderBy("h").limit(sample)
+        part = with_text.where(F.col("toxic") == toxic).orderBy("h", "doc_id").limit(sample)
         picked = part if picked is None else picked.unionByName(part)
-    ids = {r.doc_id: r.toxic for r in picked.collect()}
-    spark = docs.sparkSession
-    chosen = spark.createDataFrame([(i,) for i in ids], "doc_id long")
-    rows = {r.doc_id: r.text for r in docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "text").dropDuplicates(["doc_id"]).collect()}
-    order = sorted(rows)
-    model = fit(pa.array([rows[i] for i in order], pa.string()), np.array([ids[i] == 1 for i in order], bool))
-    taken = [sum(v == c for v in ids.values()) for c in (0, 1)]
+    chosen = storage.stored(picked)  # at most 2 * sample rows of three numbers
+    rows = docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic", "h").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    model, taken = _fitted(rows, sample_bytes)
     if all(taken):  # the classes' shares in the sample are not those in the corpus
         model.scale = model.scale + np.array([0, 0, np.log(totals[1] / taken[1]) - np.log(totals[0] / taken[0])])
     return model
@@ -272,7 +299,12 @@ def is_held_out(doc_id) -> F.Column:
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents, all columns, whose text scores below the threshold. Each row is judged by itself, where it lies."""
+    """The documents, all columns, whose text scores below the threshold. Each row is judged by itself, where it lies.
+
+    A null or empty text scores what no toxic word does, and stays unless the labels
+    know toxic texts only; rows without an id and repeated rows are judged like any
+    other; other columns may have any name; an empty table gives no rows.
+    """
     model = train(X.texts(docs, "doc_id", "text"), labels)
     place = docs.columns.index("text")
 

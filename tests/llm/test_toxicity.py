@@ -62,3 +62,33 @@ def test_no_labels_and_empty_tables(make_docs, spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert toxicity.score(make_docs([]), none).count() == 0
     assert toxicity.score(make_docs([(1, "a b")]), none).first().score < 0.3
+
+
+def test_the_model_does_not_depend_on_the_order_of_repeated_ids(make_docs, spark):
+    rows, labels = corpus(200)
+    rows += [(0, "zz yy xx"), (5, None), (5, "aa bb")]
+    table = spark.createDataFrame([(i, 1, t) for i, t in labels], "doc_id long, quality int, toxic int")
+    models = [toxicity.train(make_docs(r).repartition(n), table) for r, n in ((rows, 3), (rows[::-1], 2))]
+    assert all(np.array_equal(a, b) for a, b in zip(vars(models[0]).values(), vars(models[1]).values(), strict=True))
+
+
+def test_a_long_text_does_not_fill_the_sample(make_docs, spark):
+    rows, labels = corpus(300)
+    rows = [(i, t + " pad" * 40_000 if i % 7 == 0 else t) for i, t in rows]
+    table = spark.createDataFrame([(i, 1, t) for i, t in labels], "doc_id long, quality int, toxic int")
+    model = toxicity.train(make_docs(rows), table, sample_bytes=150_000)
+    chains = toxicity.Chains(pa.array([t for i, t in rows if i % 7]))
+    got = toxicity.document_scores(chains, model)[0] >= 0.3
+    want = np.array([i % 5 == 0 for i, _ in rows if i % 7])
+    assert (got == want).mean() > 0.9
+
+
+def test_clean_rows_stay(spark):
+    rows, labels = corpus(300)
+    frame = spark.createDataFrame([("b", t, 1, i, 0.5) for i, t in [*rows, (None, None), (900, ""), (901, "w1ord"), (901, "w1ord"), (None, "loser idiot scum")]], "p string, text string, score int, doc_id long, toxic double")
+    table = spark.createDataFrame([(i, 1, t) for i, t in labels], "doc_id long, quality int, toxic int")
+    out = toxicity.keep_clean(frame, table)
+    assert out.schema == frame.schema
+    ids = sorted((r.doc_id, r.text) for r in out.where("doc_id >= 900 or doc_id is null").collect() if r.doc_id)
+    assert ids == [(900, ""), (901, "w1ord"), (901, "w1ord")] and [r.text for r in out.where("doc_id is null").collect()] == [None]
+    assert toxicity.keep_clean(frame.limit(0), table).count() == 0
