@@ -99,11 +99,11 @@ def _found(text: Column, kind: str, pattern: str) -> Column:
     return F.when(text.rlike(pattern), F.filter(each, lambda x: x["value"].isNotNull())).otherwise(F.array().cast("array<struct<kind:int,i:int,gap:int,value:string>>"))
 
 
-def _pieces(rows: DataFrame) -> DataFrame:
-    """Of rows (id, text): a row for each match, its value's place and, of a candidate, its p-value; a text without any has one empty row."""
+def _pieces(rows: DataFrame, every_row: bool) -> DataFrame:
+    """Of rows (id, text): a row for each match, its value's place and, of a candidate, its p-value; a text without any has one empty row, if asked."""
     rows = rows.select(F.monotonically_increasing_id().alias("row"), "id", "text")
     every = F.flatten(F.array(*[_found(F.col("text"), k, p) for k, p in BASE.items()], _found(F.col("text"), "random", CANDIDATE)))
-    exploded = rows.select("row", "id", F.explode_outer(every).alias("x")).select("row", "id", "x.*").repartition("row")
+    exploded = rows.select("row", "id", (F.explode_outer if every_row else F.explode)(every).alias("x")).select("row", "id", "x.*").repartition("row")
     before = Window.partitionBy("row", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = exploded.withColumn("end", F.sum(F.col("gap") + F.length("value")).over(before))
     long_enough = (F.col("kind") != KINDS.index("assign")) | (F.length(F.regexp_extract("value", BASE["assign"], 1)) >= KEPT_LENGTH)
@@ -146,9 +146,9 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate:
     return _spans(docs.select(docs[id_col].cast("long").alias("id"), text.alias("text")), rate).withColumnRenamed("id", "doc_id")
 
 
-def _spans(rows: DataFrame, rate: float) -> DataFrame:
-    """row, id, spans of every row (id, text)."""
-    pieces = storage.stored(_pieces(rows))
+def _spans(rows: DataFrame, rate: float, every_row: bool = True) -> DataFrame:
+    """row, id, spans of every row (id, text), or of those with a match."""
+    pieces = storage.stored(_pieces(rows, every_row))
     limits = thresholds(pieces, rate)
     judged = pieces.join(F.broadcast(limits), "stratum", "left")  # a row for each of the few strata
     is_random = F.col("span.kind") == KINDS.index("random")
@@ -195,21 +195,23 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leng
     column = lambda name: F.col(f"{whole}.`{name}`")
     rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias(whole))
     text, key = column(text_col), F.sha2(column(text_col), 256)
-    may = F.coalesce(text.rlike("|".join(f"(?:{p})" for p in [*BASE.values(), CANDIDATE])), F.lit(False))
-    suspects = rows.where(may).withColumn("key", key)
-    found = _spans(suspects.select(F.col("key").alias("id"), text.alias("text")), rate).groupBy(F.col("id").alias("key")).agg(F.any_value("spans").alias("spans"))
+    found = _spans(rows.select(key.alias("id"), text.alias("text")), rate, every_row=False).groupBy(F.col("id").alias("key")).agg(F.any_value("spans").alias("spans"))
     each = found.select("key", F.explode("spans").alias("x")).select("key", "x.start", "x.end")
     earlier = Window.partitionBy("key").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
     # Where a span overlaps one before it, the two are one; what is kept lies between.
     opens = each.withColumn("from", F.coalesce(F.max("end").over(earlier), F.lit(0).cast("long"))).withColumn("gap", F.when(F.col("start") >= F.col("from"), F.struct("from", F.col("start").alias("to"))))
     spans = storage.stored(opens.groupBy("key").agg(F.array_sort(F.collect_list("gap")).alias("gaps"), F.max("end").alias("last")))
     size = spans.agg(F.sum(96 + 24 * F.size("gaps"))).first()[0] or 0
-    joined = suspects.join(F.broadcast(spans) if size <= BROADCAST_BYTES else spans, "key", "left")
+    if size <= BROADCAST_BYTES:
+        rest, joined = None, rows.withColumn("key", key).join(F.broadcast(spans), "key", "left")
+    else:  # texts that no pattern touches stay where they are
+        may = F.coalesce(sum((text.rlike(p).cast("int") for p in (*BASE.values(), CANDIDATE)), F.lit(0)) > 0, F.lit(False))
+        rest, joined = rows.where(~may), rows.where(may).withColumn("key", key).join(spans, "key", "left")
     kept = F.transform("gaps", lambda g: F.substring(text, (g["from"] + 1).cast("int"), (g["to"] - g["from"]).cast("int")))
-    rest = F.substring(text, (F.col("last") + 1).cast("int"), F.length(text))
-    clean = F.when(F.col("gaps").isNull(), text).otherwise(F.concat(F.array_join(kept, REPLACEMENT), F.lit(REPLACEMENT), rest))
+    behind = F.substring(text, (F.col("last") + 1).cast("int"), F.length(text))
+    clean = F.when(F.col("gaps").isNull(), text).otherwise(F.concat(F.array_join(kept, REPLACEMENT), F.lit(REPLACEMENT), behind))
     changed = {text_col: clean.cast(docs.schema[text_col].dataType)}
     if length_col in docs.columns:
         changed[length_col] = F.when(F.col("gaps").isNull(), column(length_col)).otherwise(F.length(clean)).cast(docs.schema[length_col].dataType)
     mended = joined.select(*[changed.get(c, column(c)).alias(c) for c in docs.columns])
-    return rows.where(~may).select(*[column(c).alias(c) for c in docs.columns]).unionByName(mended)
+    return mended if rest is None else rest.select(*[column(c).alias(c) for c in docs.columns]).unionByName(mended)

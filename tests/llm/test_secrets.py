@@ -3,6 +3,8 @@ import random
 import re
 import string
 
+import pytest
+
 from taxaloom.llm import secrets
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -54,8 +56,10 @@ def test_battery_finds_random_strings_and_leaves_structure(make_docs):
     assert not any(got[i] for i in range(len(keys), len(rows)))
 
 
-def test_redaction(spark):
+@pytest.mark.parametrize("broadcast", [secrets.BROADCAST_BYTES, 0])
+def test_redaction(spark, monkeypatch, broadcast):
     """Null ids, repeated ids and rows, clashing columns, empty and very long texts, and overlapping spans."""
+    monkeypatch.setattr(secrets, "BROADCAST_BYTES", broadcast)
     key = "0f" * 12
     rows = [
         (1, f"x token=abcdef y {key}", "en", "s", 1), (2, None, None, None, None), (3, "clean", "en", "s", 5), (None, "token=abcdefgh x", "en", "s", 16), (None, "fine", None, None, 4),
