@@ -7,7 +7,9 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,136 +22,178 @@ CONTAINERS = frozenset("body div section article main td".split())
 SKIPPED = frozenset("head nav footer aside form button select textarea noscript template svg iframe object menu dialog fieldset header".split())
 RAW = frozenset("script style textarea title noscript template iframe svg".split())
 BREAKS = frozenset("p br hr h1 h2 h3 h4 h5 h6 li ul ol dl dt dd tr th td table caption blockquote pre address figure figcaption details summary thead tbody tfoot".split()) | CONTAINERS | SKIPPED
-CLOSED_BY_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: A class or id names boilerplate if it is made of such words, and perhaps of words that say nothing ("site-footer", but not "has-footer").
 BOILERPLATE = re.compile(
-    r"(?i)(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner\w*|cookie\w*|consent|gdpr|notices?|alerts?|menus?|nav\w*|breadcrumbs?|side\w*|foot\w*|masthead|topbar|comments?|commentlist|disqus|respond|repl(?:y|ies)|reactions?|shar(?:e|ing)|social|related|recommend\w*|newsletter|subscri\w*|signup|login|popup|modal|overlay|widgets?|toolbar|pag(?:ination|er)|skip\w*|search\w*|hidden)(?:$|[\s_-])"
+    "ads?|advert.*|sponsor.*|promo.*|banner.*|cookie.*|consent|gdpr|notices?|alerts?|menus?|nav.*|breadcrumbs?|side|sidebar.*|foot|footer.*|masthead|topbar|comments?|commentlist|disqus|respond|repl(?:y|ies)|reactions?|shar(?:e|ing)|social|related|recommend.*|newsletter|subscri.*|signup|login|popup|modal|overlay|widgets?|toolbar|pagination|pager|skip.*|search|hidden"
 )
-HEADER = re.compile(r"(?i)(?:^|[\s_-])(?:header|head|top)(?:$|[\s_-])")
-CONTENT = re.compile(r"(?i)(?:^|[\s_-])(?:article|content|post|entry|story|text|main|body)(?:$|[\s_-])")
+HEADER = re.compile("header|head|top")
+PLAIN = re.compile("site|page|main|global|primary|secondary|left|right|bottom|list|lists|section|box|area|wrap|wrapper|container|block|bar|inner|outer|item|items|links?|buttons?|slot|unit|posts?|articles?|news|stories|form|thread|panel|column|col|sm|md|lg|[0-9]*")
+CONTENT = re.compile("article|content|post|entry|story|text|main|body")
+PARTS = re.compile("[^A-Za-z0-9]+|(?<=[a-z])(?=[A-Z])")
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert".split())
 TAG = re.compile(r"""<(/?)([A-Za-z][A-Za-z0-9:-]*+)([^>"']*+(?:"[^"]*+"[^>"']*+|'[^']*+'[^>"']*+)*+)>""")
 ATTRIBUTE = re.compile(r"""(?i)(?<![\w-])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 #: How much of a container's worth its parent has, and what a heading right in it adds.
 DECAY, HEADING = 0.9, 0.3
 
-Block = tuple[tuple[str, ...], str, int, bool]  # path, text, characters in links, first heading
-
-
-def _step(tag: str, attributes: str, inside_main: bool) -> tuple[str, bool]:
-    """The container's part of the path, and whether it holds no article text."""
-    names = {m[1].lower(): next((g for g in m.groups()[1:] if g is not None), "") for m in ATTRIBUTE.finditer(attributes)} if attributes else {}
-    label = f"{names.get('class', '')} {names.get('id', '')}"
-    bad = tag in SKIPPED and not (tag == "header" and inside_main) or names.get("role", "").lower() in ROLES or "hidden" in names or names.get("aria-hidden") == "true" or "display:none" in names.get("style", "").replace(" ", "")
-    bad = bad or tag not in ("body", "article", "main") and bool(BOILERPLATE.search(label)) or not inside_main and tag in CONTAINERS - {"body"} and bool(HEADER.search(label)) and not CONTENT.search(label)
-    kinds = sorted({re.sub(r"[0-9]+", "", c) for c in names.get("class", "").lower().split()} - {""})
-    return ".".join([tag, *kinds]), bad
-
-
-def blocks(source: str) -> list[Block]:
-    """The page's stretches of text between breaks, outside boilerplate, with the path of their containers."""
-    out: list[Block] = []
-    stack: list[tuple[str, str, bool]] = []  # tag, step, boilerplate
-    words: list[str] = []
-    linked, in_link, heading, at, seen_heading = 0, False, False, 0, False
-
-    def flush() -> None:
-        nonlocal linked, seen_heading
-        if words:
-            text = " ".join("".join(words).split())
-            if text:
-                out.append((tuple(s for _, s, _ in stack), text, linked, heading and not seen_heading))
-                seen_heading |= heading
-            words.clear()
-        linked = 0
-
-    n = len(source)
-    while at < n:
-        lt = source.find("<", at)
-        stop = n if lt < 0 else lt
-        if stop > at and not (stack and stack[-1][2]):
-            text = source[at:stop]
-            text = entities.unescape(text) if "&" in text else text
-            words.append(text)
-            linked += len(text) if in_link else 0
-        if lt < 0:
-            break
-        if source.startswith("<!--", lt):
-            end = source.find("-->", lt + 4)
-            at = n if end < 0 else end + 3
-            continue
-        m = TAG.match(source, lt)
-        if not m:
-            if source[lt + 1 : lt + 2] in ("!", "?"):
-                end = source.find(">", lt)
-                at = n if end < 0 else end + 1
-            else:
-                if not (stack and stack[-1][2]):
-                    words.append("<")
-                at = lt + 1
-            continue
-        at, closing, tag, attributes = m.end(), m[1], m[2].lower(), m[3]
-        if not closing and tag in RAW and not attributes.endswith("/"):
-            end = re.compile(rf"(?i)</{tag}\s*>").search(source, at)
-            at = end.end() if end else n
-            continue
-        if tag == "a":
-            in_link = not closing
-            continue
-        if tag not in BREAKS:
-            holds = tag
-            if not (closing or holds in ("span", "b", "i", "em", "strong")) and attributes and "class" in attributes and BOILERPLATE.search(attributes):
-                pass  # inline elements are kept whatever their class
-            continue
-        flush()
-        if tag in CLOSED_BY_HEADINGS:
-            heading = not closing
-        if tag in CONTAINERS or tag in SKIPPED or tag in ("ul", "ol", "table", "dl", "details"):
-            if closing:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == tag:
-                        del stack[k:]
-                        break
-                    if stack[k][0] == "td" and tag != "table":
-                        break
-            elif not attributes.endswith("/"):
-                if tag == "td" and stack and stack[-1][0] == "td":
-                    stack.pop()
-                if stack and stack[-1][2]:
-                    stack.append((tag, stack[-1][1], True))
-                else:
-                    step, bad = _step(tag, attributes, any(s[0] in ("article", "main") for s in stack))
-                    stack.append((tag, step, bad))
-    flush()
-    return out
-
+#: Share of a page's text outside links and boilerplate from which a container that also names content is no boilerplate.
+MOST = 0.5
 
-def scores(found: list[Block]) -> Counter:
-    """The worth of each path on a page: text in it outside links, less with each level above it."""
-    out: Counter = Counter()
-    for path, text, linked, heading in found:
-        worth = len(text) - 1.5 * min(linked, len(text))
-        for k in range(len(path), 0, -1):
-            out[path[:k]] += worth * DECAY ** (len(path) - k)
-    for path, _, _, heading in found:
-        if heading and path:
-            out[path] *= 1 + HEADING
-    for path in out:
-        tag, _, kinds = path[-1].partition(".")
-        out[path] *= 3 if tag == "article" else 2.5 if tag == "main" else 1.3 if CONTENT.search(kinds.replace(".", " ")) else 1
-        out[path] *= 0.5 if tag in ("ul", "ol", "table", "dl", "td") else 1
-    return out
 
+class Page:
+    """A page's containers as a tree, and its blocks: stretches of text between breaks.
 
-def best(of: Counter) -> tuple[str, ...] | None:
-    return min(of, key=lambda p: (-of[p], p)) if of else None
+    Of a container: its parent, the hash of its path (tags with classes, digits
+    dropped), its tag, whether it names content, and what speaks against it (0 nothing,
+    1 a word among its classes, 2 surely no article). Of a block: its container, text,
+    characters in links, and whether it is its page's first heading. Work is linear in
+    the source.
+    """
 
+    def __init__(self, source: str) -> None:
+        self.parent, self.path, self.tag, self.content, self.against = [-1], [0], [""], [False], [0]
+        self.blocks: list[tuple[int, str, int, bool]] = []
+        self._parse(source)
+        text = [0.0] * len(self.parent)  # characters outside links, of a container and all in it
+        for node, words, linked, _ in self.blocks:
+            text[node] += max(0, len(words) - linked)
+        for k in range(len(self.parent) - 1, 0, -1):
+            text[self.parent[k]] += text[k]
+        junk = [a == 1 and not c for a, c in zip(self.against, self.content, strict=True)]
+        most = text[0]
+        for k in range(1, len(self.parent)):
+            if junk[k] and not junk[self.parent[k]]:
+                most -= text[k]
+            junk[k] |= junk[self.parent[k]]
+        for k in range(1, len(self.parent)):
+            junk[k] |= junk[self.parent[k]] or self.against[k] == 1 and text[k] < MOST * most
+        self.blocks = [b for b in self.blocks if not junk[b[0]]]
+
+    def _open(self, tag: str, attributes: str, parent: int, inside_main: bool) -> int:
+        names = {m[1].lower(): next((g for g in m.groups()[1:] if g is not None), "") for m in ATTRIBUTE.finditer(attributes)} if attributes else {}
+        labels = [[w.lower() for w in PARTS.split(label) if w] for label in f"{names.get('class', '')} {names.get('id', '')}".split()]
+        sure = tag in SKIPPED and not (tag == "header" and inside_main) or names.get("role", "").lower() in ROLES or "hidden" in names or names.get("aria-hidden") == "true" or "display:none" in names.get("style", "").replace(" ", "")
+        bad = lambda w: BOILERPLATE.fullmatch(w) or not inside_main and tag in CONTAINERS and HEADER.fullmatch(w)
+        named = tag not in ("body", "article", "main") and any(any(map(bad, words)) and all(bad(w) or PLAIN.fullmatch(w) for w in words) for words in labels)
+        kinds = sorted({re.sub(r"[0-9]+", "", c) for c in names.get("class", "").lower().split()} - {""})
+        self.parent.append(parent)
+        self.path.append(xxhash.xxh64_intdigest(".".join([tag, *kinds]), self.path[parent]))
+        self.tag.append(tag)
+        self.content.append(any(CONTENT.fullmatch(w) for words in labels for w in words))
+        self.against.append(2 if sure else int(named))
+        return len(self.parent) - 1
+
+    def _parse(self, source: str) -> None:
+        stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]  # tag, container, surely no article, inside the main part
+        scopes: list[Counter] = [Counter()]  # open tags, anew in each table cell
+        words: list[str] = []
+        linked, in_link, heading, at, seen_heading = 0, False, False, 0, False
+
+        def flush() -> None:
+            nonlocal linked, seen_heading
+            if words:
+                text = " ".join("".join(words).split())
+                if text:
+                    self.blocks.append((stack[-1][1], text, linked, heading and not seen_heading))
+                    seen_heading |= heading
+                words.clear()
+            linked = 0
+
+        def pop() -> None:
+            scopes[-1][stack[-1][0]] -= 1
+            if stack.pop()[0] == "td":
+                scopes.pop()
+                scopes[-1]["td"] -= 1
+
+        n = len(source)
+        while at < n:
+            lt = source.find("<", at)
+            stop = n if lt < 0 else lt
+            if stop > at and not stack[-1][2]:
+                text = source[at:stop]
+                text = entities.unescape(text) if "&" in text else text
+                words.append(text)
+                linked += len(text) if in_link else 0
+            if lt < 0:
+                break
+            if source.startswith("<!--", lt):
+                end = source.find("-->", lt + 4)
+                at = n if end < 0 else end + 3
+                continue
+            m = TAG.match(source, lt)
+            if not m:
+                if source[lt + 1 : lt + 2] in ("!", "?"):
+                    end = source.find(">", lt)
+                    at = n if end < 0 else end + 1
+                else:
+                    if not stack[-1][2]:
+                        words.append("<")
+                    at = lt + 1
+                continue
+            at, closing, tag, attributes = m.end(), m[1], m[2].lower(), m[3]
+            if not closing and tag in RAW and not attributes.endswith("/"):
+                end = re.compile(rf"(?i)</{tag}\s*>").search(source, at)
+                at = end.end() if end else n
+                continue
+            if tag == "a":
+                in_link = not closing
+                continue
+            if tag not in BREAKS:
+                continue
+            flush()
+            if tag in HEADINGS:
+                heading = not closing
+            if tag in CONTAINERS or tag in SKIPPED or tag in ("ul", "ol", "table", "dl", "details"):
+                if closing:
+                    if tag == "table":
+                        inner = next((k for k in range(len(scopes) - 1, -1, -1) if scopes[k]["table"] > 0), -1)
+                    else:
+                        inner = len(scopes) - (1 if scopes[-1][tag] > 0 else 2 if tag == "td" and len(scopes) > 1 else len(scopes) + 1)
+                    if inner >= 0:
+                        while stack[-1][0] != tag:
+                            pop()
+                        pop()
+                elif not attributes.endswith("/"):
+                    if tag == "td" and stack[-1][0] == "td":
+                        pop()
+                    _, above, lost, inside = stack[-1]
+                    node = above if lost else self._open(tag, attributes, above, inside)
+                    scopes[-1][tag] += 1
+                    stack.append((tag, node, lost or self.against[node] == 2, inside or tag in ("article", "main")))
+                    if tag == "td":
+                        scopes.append(Counter({"td": 1}))
+        flush()
 
-def text_at(found: list[Block], path: tuple[str, ...] | None) -> str:
-    """The text of all containers with the path; of the page's own best where it has none."""
-    taken = [b for b in found if path and b[0][: len(path)] == path] if path else []
-    if not taken and (own := best(scores(found))):
-        taken = [b for b in found if b[0][: len(own)] == own]
-    return " ".join(b[1] for b in (taken or found))
+    def scores(self) -> dict[int, float]:
+        """The worth of each path: text in its containers outside links, less with each level above it."""
+        worth, leads = [0.0] * len(self.parent), set()
+        for node, text, linked, heading in self.blocks:
+            worth[node] += len(text) - 1.5 * min(linked, len(text))
+            if heading:
+                leads.add(node)
+        out: dict[int, float] = {}
+        for k in range(len(self.parent) - 1, 0, -1):
+            worth[self.parent[k]] += DECAY * worth[k]
+        for k in range(1, len(self.parent)):
+            if worth[k]:
+                tag = self.tag[k]
+                factor = 3 if tag == "article" else 2.5 if tag == "main" else 1.3 if self.content[k] else 0.5 if tag in ("ul", "ol", "table", "dl", "td") else 1
+                out[self.path[k]] = out.get(self.path[k], 0.0) + worth[k] * factor * (1 + HEADING * (k in leads))
+        return out
+
+    def text_at(self, path: int | None) -> str:
+        """The text of all containers with the path; of the page's own best where it has none."""
+        taken = self._inside(path) if path is not None else []
+        if not taken and (own := self.scores()):
+            taken = self._inside(min(own, key=lambda p: (-own[p], p)))
+        return " ".join(b[1] for b in (taken or self.blocks))
+
+    def _inside(self, path: int) -> list[tuple[int, str, int, bool]]:
+        within = [False]
+        for k in range(1, len(self.parent)):
+            within.append(within[self.parent[k]] or self.path[k] == path)
+        return [b for b in self.blocks if within[b[0]]]
 
 
 def host_of(url: str | None) -> str:
@@ -161,7 +205,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """page_id, url, text of every page: the article without menus, notices, adverts, forms, comments and other parts around it.
 
     Each page's containers are scored by their text; the scores of generalised paths
-    (tags with classes, digits dropped) are votes, summed for each host in Spark; the
+    (tags with classes, digits dropped; told apart by 64-bit hashes, so that a vote
+    has one size however deep the page) are votes, summed for each host in Spark; the
     text is then taken again from the containers on the host's winning path. A page
     without them, or without a host, falls back to its own best container.
 
@@ -173,23 +218,24 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            votes: Counter = Counter()
+            votes: dict[tuple[str, int], float] = {}
             for url, source in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if host := host_of(url):
-                    for path, worth in scores(blocks(source or "")).items():
-                        votes[host, ">".join(path)] += worth
-            yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in votes], pa.string()), pa.array([p for _, p in votes], pa.string()), pa.array(votes.values(), pa.float64())], ["host", "path", "worth"])
+                    for path, worth in Page(source or "").scores().items():
+                        votes[host, path] = votes.get((host, path), 0.0) + worth
+            paths = np.array([p for _, p in votes], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in votes], pa.string()), pa.array(paths), pa.array(votes.values(), pa.float64())], ["host", "path", "worth"])
         X.settle()
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            text = [text_at(blocks(source or ""), tuple(path.split(">")) if path else None) for source, path in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            text = [Page(source or "").text_at(None if path is None else path % (1 << 64)) for source, path in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(text, pa.string())], ["page_id", "url", "text"])
         X.settle()
 
-    votes = rows.select("url", "html").mapInArrow(vote, "host string, path string, worth double").groupBy("host", "path").agg(F.round(F.sum("worth"), 3).alias("worth"))
+    votes = rows.select("url", "html").mapInArrow(vote, "host string, path long, worth double").groupBy("host", "path").agg(F.round(F.sum("worth"), 3).alias("worth"))
     winners = storage.stored(votes.groupBy("host").agg(F.max_by("path", F.struct("worth", "path")).alias("path")))
-    size = winners.agg(F.sum(F.octet_length("host") + F.octet_length("path"))).first()[0] or 0
+    size = winners.agg(F.sum(F.octet_length("host") + 16)).first()[0] or 0
     host = F.lower(F.regexp_extract("url", r"(?i)^(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)", 1))
     keyed = rows.withColumn("host", F.coalesce(host, F.lit("")))
     placed = keyed.join(F.broadcast(winners) if size <= BROADCAST_BYTES else winners, "host", "left")

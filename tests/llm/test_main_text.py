@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 from taxaloom.llm import main_text as M
@@ -13,7 +15,7 @@ AROUND = (
 
 @pytest.mark.parametrize("wrap", ["<article>%s</article>", '<main class="x1">%s</main>', '<div class="wrap"><div class="post-content c12">%s</div></div>', '<div id="page"><div class="row">%s</div></div>', '<section><article class="a">%s</article></section>'])
 def test_layouts(wrap):
-    assert M.text_at(M.blocks(AROUND % (wrap % ARTICLE)), None) == WANT
+    assert M.Page(AROUND % (wrap % ARTICLE)).text_at(None) == WANT
 
 
 def test_host_consensus(spark):
@@ -33,8 +35,23 @@ def test_host_consensus(spark):
 
 
 def test_broken_markup():
-    assert M.text_at(M.blocks("<body><article><p>a < b & c &lt;d <b>e<p>f</div></article>g</body>"), None) == "a < b & c <d e f"
-    assert M.blocks("<!-- open") == []
-    assert M.text_at(M.blocks("<article>" + "<div>" * 3000 + "x" + "</div>" * 3000), None) == "x"
-    assert M.text_at(M.blocks("plain text only"), None) == "plain text only"
-    assert M.text_at(M.blocks("<article><p>x" + " y" * 100_000), None) == "x" + " y" * 100_000
+    assert M.Page("<body><article><p>a < b & c &lt;d <b>e<p>f</div></article>g</body>").text_at(None) == "a < b & c <d e f"
+    assert M.Page("<!-- open").blocks == []
+    assert M.Page("<article>" + "<div>" * 3000 + "x" + "</div>" * 3000).text_at(None) == "x"
+    assert M.Page("plain text only").text_at(None) == "plain text only"
+    assert M.Page("<article><p>x" + " y" * 100_000).text_at(None) == "x" + " y" * 100_000
+
+
+@pytest.mark.parametrize("classes", ["content has-sidebar", "post-content comments-open", "entry side-padding", "page search-enabled", "article-body share", "[&>p]:mt-4", "topStory"])
+def test_an_article_is_not_lost_to_a_word_of_its_classes(spark, classes):
+    page = f'<body><div class="{classes}">{ARTICLE}<div class="share-buttons">Share this</div></div><div class="related-posts">Other posts to read.</div><ol class="commentlist"><li>{"A reader says a lot about it. " * 9}</li></ol></body>'
+    assert M.Page(page).text_at(None) == WANT
+    rows = spark.createDataFrame([(i, "http://h.example/", page) for i in range(3)], "page_id long, url string, html string")
+    assert [r.text for r in M.extract(rows).collect()] == [WANT] * 3
+
+
+def test_work_is_linear():
+    began = time.time()
+    page = M.Page('<div class="x">' * 10_000 + "text" + "</ul>" * 10_000 + "<td>" * 1000 + "</div>" * 1000)
+    assert page.text_at(next(iter(page.scores()))) == "text"
+    assert time.time() - began < 5
