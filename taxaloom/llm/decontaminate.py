@@ -13,30 +13,43 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import exchange as X
+from . import storage
 
-#: Bytes in a gram, and edits allowed for each byte of an item.
+#: Characters in a gram, and edits allowed for each character of an item.
 Q, ERROR = 10, 0.08
-#: Benchmark bytes that one pass over the documents carries; a larger benchmark takes more passes.
-PASS_BYTES = 32 << 20
+#: UTF-8 bytes of the benchmark that one pass over the documents carries; tasks hold some 25 times this. A larger benchmark takes more passes.
+PASS_BYTES = 4 << 20
 FILTER_BITS = 22
+#: Places of a stretch of texts whose grams are counted at once, and gram pairs among them.
+STRETCH, PAIRS = 1 << 16, 1 << 20
+#: A gram that occurs so often in the items is looked at only now and then inside a run of one character.
+OFTEN = 8
 SCHEMA = "doc_id long, item_id long, start int, end int, edits int"
-FOLD = np.arange(256, dtype=np.uint8)
-FOLD[65:91] += 32
-FOLD[9:14] = 32
+FOLDED = {c: c + 32 for c in range(65, 91)} | dict.fromkeys(range(9, 14), 32)
+FOLD = np.array([FOLDED.get(c, c) for c in range(256)], np.uint8)
 
 
-def fold(raw: np.ndarray) -> np.ndarray:
-    """Bytes with A-Z as a-z and white space as spaces; their number stays."""
-    return FOLD[raw]
+def fold(text: str) -> str:
+    """A-Z as a-z and white space as spaces; the number of characters stays."""
+    return text.translate(FOLDED)
+
+
+def bytes_of(text: str) -> np.ndarray:
+    """A folded byte for each character, one and the same for all beyond Latin-1: equal characters have equal bytes, so grams of bytes miss nothing."""
+    return FOLD[np.frombuffer(text.encode("latin-1", "replace"), np.uint8)]
+
+
+def points(text: str) -> np.ndarray:
+    return np.frombuffer(fold(text).encode("utf-32-le"), np.uint32)
 
 
 def budget(m: int) -> int:
-    """Edits that an item of m bytes may have and still share a gram in any case."""
+    """Edits that an item of m characters may have and still share a gram in any case."""
     return max(0, min(int(m * ERROR), (m - Q) // Q))
 
 
 def grams(raw: np.ndarray) -> np.ndarray:
-    """A hash of the Q bytes from each place on."""
+    """A number for the Q bytes from each place on, equal for equal bytes."""
     n = len(raw) - Q + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
@@ -51,33 +64,33 @@ class Index:
     """The benchmark items of one pass, their grams ascending, and a bit table that most other grams fail."""
 
     ids: list[int | None]
-    items: list[np.ndarray]
+    items: list[str]
     keys: np.ndarray
     item: np.ndarray
     place: np.ndarray
     table: np.ndarray
     edits: np.ndarray
     need: np.ndarray
+    step: np.ndarray  # of each key: the narrowest strip of the items that have it
     short: list[int]
 
     @classmethod
     def of(cls, rows: list[tuple[int | None, str | None]]) -> Index:
-        ids, items = [], []
-        for i, text in rows:
-            raw = fold(np.frombuffer((text or "").encode(), np.uint8)).tobytes().strip()
-            if raw:
-                ids.append(i)
-                items.append(np.frombuffer(raw, np.uint8))
-        every = [grams(x) for x in items]
-        keys = np.concatenate(every) if every else np.zeros(0, np.uint64)
+        given = [(i, x) for i, text in rows if (x := fold(text or "").strip(" "))]
+        items = [x for _, x in given]
+        every = [grams(bytes_of(x)) for x in items]
+        keys = np.concatenate([np.zeros(0, np.uint64), *every])
         order = np.argsort(keys, kind="stable")
         table = np.zeros(1 << FILTER_BITS, bool)
         table[keys >> np.uint64(64 - FILTER_BITS)] = True
         edits = np.array([budget(len(x)) for x in items], np.int64)
         need = np.array([len(x) - Q + 1 for x in items], np.int64) - Q * edits
-        owner = np.repeat(np.arange(len(items)), [len(e) for e in every]) if items else np.zeros(0, np.int64)
-        places = np.concatenate([np.arange(len(e)) for e in every]) if every else np.zeros(0, np.int64)
-        return cls(ids, items, keys[order], owner[order], places[order], table, edits, need, [k for k, x in enumerate(items) if len(x) < Q])
+        owner = np.repeat(np.arange(len(items)), [len(e) for e in every])[order] if items else np.zeros(0, np.int64)
+        places = np.concatenate([np.zeros(0, np.int64), *(np.arange(len(e)) for e in every)])[order]
+        keys = keys[order]
+        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+        step = np.repeat(np.minimum.reduceat(edits[owner] + 1, first), np.diff(np.append(first, len(keys)))) if len(keys) else np.zeros(0, np.int64)
+        return cls([i for i, _ in given], items, keys, owner, places, table, edits, need, step, [k for k, x in enumerate(items) if len(x) < Q])
 
 
 def align(item: np.ndarray, text: np.ndarray, low: int, width: int) -> tuple[int, int]:
@@ -108,100 +121,162 @@ def align(item: np.ndarray, text: np.ndarray, low: int, width: int) -> tuple[int
     return int(row[k]), low + k + len(item)
 
 
-def verify(index: Index, item: int, text: np.ndarray, band: int) -> tuple[int, int, int] | None:
+def verify(index: Index, item: int, text: str, band: int) -> tuple[int, int, int] | None:
     """(start, end, edits) of the item in the band of the text, if within its budget."""
     raw, e = index.items[item], int(index.edits[item])
     w, m = e + 1, len(raw)
-    lo = max(0, band * w - e)
-    exact = text[lo : (band + 2) * w + m + e].tobytes().find(raw.tobytes())
+    low, width = band * w - e, 2 * w + 2 * e
+    lo = max(0, low)
+    near = text[lo : max(lo, low + width + m)]
+    exact = fold(near).find(raw)
     if exact >= 0:
         return lo + exact, lo + exact + m, 0
-    low, width = band * w - e, 2 * w + 2 * e
-    edits, end = align(raw, text, low, width)
+    # Each character that the item has more often than the stretch takes an edit.
+    lacking = np.bincount(bytes_of(raw), minlength=256) - np.bincount(bytes_of(near), minlength=256)
+    if lacking[lacking > 0].sum() > e:
+        return None
+    edits, end = align(points(raw), points(near), low - lo, width)
     if edits > e:
         return None
-    _, back = align(raw[::-1], text[:end][::-1], -e, 2 * e + 1)
+    end += lo
+    _, back = align(points(raw)[::-1], points(text[max(0, end - m - 2 * e - 1) : end])[::-1], -e, 2 * e + 1)
     return max(0, end - back), end, edits
 
 
-def scan(index: Index, texts: list[bytes]) -> Iterator[tuple[int, int, int, int, int]]:
-    """(text, item, start, end, edits), in bytes, of all matches."""
-    gap = b"\0" * Q
+def candidates(index: Index, raw: np.ndarray, starts: np.ndarray) -> Iterator[np.ndarray]:
+    """Columns (text, item, band) of bands with as many of an item's grams as its budget leaves it; texts begin at `starts` of raw.
+
+    Bands hold two strips of e + 1 diagonals and overlap by one, so every strip of e + 1
+    lies in one. A gram of the item counts once in a band, however often the text
+    repeats it. Texts are looked at in stretches, each longer than its successor's
+    start by any item, so memory holds whatever they repeat.
+    """
+    reach = max(map(len, index.items), default=0) * 2 + Q
+    for begin in range(0, len(raw), STRETCH):
+        code = grams(raw[begin : begin + STRETCH + reach + Q - 1])
+        at = np.flatnonzero(index.table[code >> np.uint64(64 - FILTER_BITS)])
+        left = np.searchsorted(index.keys, code[at], "left")
+        n = np.searchsorted(index.keys, code[at], "right") - left
+        at, left, n = at[n > 0], left[n > 0], n[n > 0]
+        if not len(at):
+            continue
+        # Inside a run of one character, places a strip apart meet every band that all its places do.
+        same = np.zeros(len(code), bool)
+        same[1:-1] = (code[1:-1] == code[:-2]) & (code[1:-1] == code[2:])
+        keep = ~(same[at] & (n > OFTEN) & (at % index.step[left] != 0))
+        at, left, n = at[keep], left[keep], n[keep]
+        doc = np.searchsorted(starts, at + begin, "right") - 1
+        found, total = [], np.cumsum(n)
+        cuts = np.unique(np.append(np.searchsorted(total, np.arange(PAIRS, int(total[-1]), PAIRS), "right"), len(n)))
+        for x, y in zip(np.append(0, cuts[:-1]), cuts, strict=True):
+            k = n[x:y]
+            entry = np.repeat(left[x:y] - (np.cumsum(k) - k), k) + np.arange(int(k.sum()))
+            item, d = index.item[entry], np.repeat(doc[x:y], k)
+            band = (np.repeat(at[x:y], k) + begin - starts[d] - index.place[entry]) // (index.edits[item] + 1)
+            hits = np.stack([d, item, band, index.place[entry]])
+            found.append(_distinct(hits)[0] if len(cuts) > 1 else hits)
+        hits = np.concatenate(found, axis=1)
+        pair = (hits[0] - hits[0].min()) * len(index.items) + hits[1]
+        if pair.max() < 1 << 24:  # most pairs have too few grams in all their bands; else the same is found out band by band
+            hits = hits[:, np.bincount(pair)[pair] >= index.need[hits[1]]]
+        if hits.size:
+            before = hits.copy()
+            before[2] -= 1  # a band holds its own strip and the next one's
+            bands, count = _distinct(_distinct(np.concatenate([hits, before], axis=1))[0][:3])
+            yield bands[:, count >= index.need[bands[1]]]
+
+
+def _distinct(columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct columns of a table of integers, and how often each occurs."""
+    if not columns.size:
+        return columns, np.zeros(0, np.int64)
+    low = columns.min(axis=1)
+    span = [int(s) for s in columns.max(axis=1) - low + 1]
+    if math.prod(span) >= 1 << 62:
+        return np.unique(columns, axis=1, return_counts=True)
+    key = np.zeros(columns.shape[1], np.int64)
+    for row, first, size in zip(columns, low, span, strict=True):
+        key *= size
+        key += row - first
+    key.sort()
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    count, key = np.diff(np.append(first, len(key))), key[first]
+    out = np.empty((len(columns), len(key)), np.int64)
+    for k in range(len(columns) - 1, 0, -1):
+        key, rest = np.divmod(key, span[k])
+        out[k] = rest + low[k]
+    out[0] = key + low[0]
+    return out, count
+
+
+def scan(index: Index, texts: list[str], first_only: bool = False) -> Iterator[tuple[int, int, int, int, int]]:
+    """(text, item, start, end, edits) of all matches, or of one for each text that has any."""
+    gap = np.zeros(Q, np.uint8)
     starts = np.cumsum([0, *(len(t) + Q for t in texts)])
-    raw = fold(np.frombuffer(gap.join(texts) + gap, np.uint8))
-    code = grams(raw)
-    at = np.flatnonzero(index.table[code >> np.uint64(64 - FILTER_BITS)])
-    left = np.searchsorted(index.keys, code[at], "left")
-    n = np.searchsorted(index.keys, code[at], "right") - left
-    at, left, n = at[n > 0], left[n > 0], n[n > 0]
-    entry = np.repeat(left - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-    at = np.repeat(at, n)
-    item, place = index.item[entry], index.place[entry]
-    doc = np.searchsorted(starts, at, "right") - 1
-    w = index.edits[item] + 1
-    band = (at - starts[doc] - place) // w
-    # Every strip of e + 1 diagonals lies in one of the bands, which overlap by half.
-    pair = doc * len(index.items) + item
-    few = np.bincount(pair, minlength=1)[pair] < index.need[item] if len(pair) and pair.max() < 1 << 27 else np.zeros(len(pair), bool)
-    pair, band = pair[~few], band[~few]
-    low, span = (int(band.min()) - 1, int(band.max() - band.min()) + 3) if len(band) else (0, 1)
-    groups, count = np.unique(np.concatenate([pair * span + (band - low), pair * span + (band - 1 - low)]), return_counts=True)
-    d_all, i_all, b_all = groups // span // max(1, len(index.items)), groups // span % max(1, len(index.items)), groups % span + low
-    enough = count >= index.need[i_all] if len(i_all) else np.zeros(0, bool)
-    seen = set()
-    for d, i, b in zip(d_all[enough], i_all[enough], b_all[enough], strict=True):
-        got = verify(index, int(i), raw[starts[d] : starts[d] + len(texts[d])], int(b))
-        if got and (d, i, *got[:2]) not in seen:
-            seen.add((d, i, *got[:2]))
-            yield int(d), int(i), *got
-    for i in index.short:
-        needle = index.items[i].tobytes()
-        for d, s in enumerate(starts[:-1]):
-            text, k = raw[s : s + len(texts[d])].tobytes(), -1
-            while (k := text.find(needle, k + 1)) >= 0:
-                yield d, i, k, k + len(needle), 0
+    raw = np.concatenate([p for t in texts for p in (bytes_of(t), gap)] or [gap])
+    seen, matched = set(), set()
+    for found in candidates(index, raw, starts):
+        for d, i, b in found.T.tolist():
+            if first_only and d in matched or (d, i, b) in seen:
+                continue
+            seen.add((d, i, b))
+            got = verify(index, i, texts[d], b)
+            if got and (d, i, -1, *got[:2]) not in seen:
+                seen.add((d, i, -1, *got[:2]))
+                matched.add(d)
+                yield d, i, *got
+    for d, text in enumerate(texts if index.short else []):
+        plain = fold(text)
+        for i in index.short:
+            k = -1
+            while not (first_only and d in matched) and (k := plain.find(index.items[i], k + 1)) >= 0:
+                matched.add(d)
+                yield d, i, k, k + len(index.items[i]), 0
 
 
 def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", pass_bytes: int = PASS_BYTES) -> DataFrame:
     """A row for each stretch of a text within an item's edit budget: doc_id, item_id, start, end (code points), edits.
 
-    Case of A-Z and kind of white space don't count; edits are counted in UTF-8 bytes.
-    By the q-gram lemma a stretch within e edits of an item of m bytes shares at least
-    m - Q + 1 - Q e grams with it on a strip of e + 1 diagonals; texts are scanned for
-    such strips, and only these are aligned. Items shorter than Q are looked up as they
-    are. The benchmark's size is looked at first: each pass carries at most pass_bytes
-    of it, a larger one takes several passes over the documents.
+    Case of A-Z and kind of white space don't count; edits are counted in characters.
+    By the q-gram lemma a stretch within e edits of an item of m characters shares at
+    least m - Q + 1 - Q e of its grams with it on a strip of e + 1 diagonals; texts are
+    scanned for such strips, and only these are aligned. Items shorter than Q are looked
+    up as they are. The benchmark's size is looked at first: each pass carries at most
+    pass_bytes of it, as plain text; a larger one takes several passes over the
+    documents, each finished before the next one's items are fetched.
 
     Null and empty texts match nothing, null and empty items are none; a null id stays
     null; repeated rows give repeated matches, equal items a match each; empty tables
-    give no rows. Other columns are not read.
+    give no rows. Very long and repetitive texts take memory in proportion to their
+    length. Other columns are not read.
     """
     plain = X.texts(docs, id_col, text_col)
+    items, passes = _passes(benchmark, pass_bytes)
+    if passes == 1:
+        return plain.mapInArrow(_scanner(_part(items, 1, 0)), SCHEMA)
     out = None
-    for index in _indexes(benchmark, pass_bytes):
-        part = plain.mapInArrow(_scanner(index), SCHEMA)
+    for k in range(passes):
+        part = storage.stored(plain.mapInArrow(_scanner(_part(items, passes, k)), SCHEMA))
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def _indexes(benchmark: DataFrame, pass_bytes: int) -> Iterator[Index]:
-    """The benchmark in parts that one pass can carry."""
+def _passes(benchmark: DataFrame, pass_bytes: int) -> tuple[DataFrame, int]:
     items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text is not null")
-    passes = max(1, math.ceil(X.sizes(items) / pass_bytes))
-    for k in range(passes):
-        chosen = items if passes == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k)
-        yield Index.of([(r[0], r[1]) for r in chosen.collect()])
+    return items, max(1, math.ceil(X.sizes(items) / pass_bytes))
+
 
+def _part(items: DataFrame, passes: int, k: int) -> list[tuple[int | None, str]]:
+    """The items of one pass, which are of a bounded size."""
+    chosen = items if passes == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k)
+    return [(r[0], r[1]) for r in chosen.collect()]
 
-def _scanner(index: Index):
+
+def _scanner(items: list[tuple[int | None, str]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = Index.of(items)
         for batch in batches:
-            text = pc.fill_null(batch.column(1), "")
-            raw = [v.as_buffer().to_pybytes() for v in text]
-            rows = []
-            for d, i, start, end, edits in scan(index, raw):
-                a = len(raw[d][:start].decode("utf-8", "ignore"))
-                rows.append((batch.column(0)[d].as_py(), index.ids[i], a, a + len(raw[d][start:end].decode("utf-8", "ignore")), edits))
+            rows = [(batch.column(0)[d].as_py(), index.ids[i], start, end, edits) for d, i, start, end, edits in scan(index, pc.fill_null(batch.column(1), "").to_pylist())]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()), strict=True)], ["doc_id", "item_id", "start", "end", "edits"])
         X.settle()
@@ -210,20 +285,27 @@ def _scanner(index: Index):
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, pass_bytes: int = PASS_BYTES) -> DataFrame:
-    """The documents, all columns, in whose text no benchmark item is found. Each row is judged by itself, where it lies."""
+    """The documents, all columns, in whose text no benchmark item is found. Each row is judged by itself, where it lies.
+
+    A null or empty text stays; rows without an id and repeated rows are judged like
+    any other; other columns may have any name; an empty table gives no rows, an empty
+    benchmark takes none away.
+    """
     X.texts(docs, "doc_id", "text")  # bounds the batches
-    place, out = docs.columns.index("text"), docs
-    for index in _indexes(benchmark, pass_bytes):
-        out = out.mapInArrow(_filter(index, place), docs.schema)
+    items, passes = _passes(benchmark, pass_bytes)
+    out = docs
+    for k in range(passes):
+        out = out.mapInArrow(_filter(_part(items, passes, k), docs.columns.index("text")), docs.schema)
+        out = out if passes == 1 else storage.stored(out)
     return out
 
 
-def _filter(index: Index, place: int):
+def _filter(items: list[tuple[int | None, str]], place: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = Index.of(items)
         for batch in batches:
-            raw = [v.as_buffer().to_pybytes() for v in pc.fill_null(batch.column(place), "")]
             keep = np.ones(batch.num_rows, bool)
-            keep[[d for d, *_ in scan(index, raw)]] = False
+            keep[[d for d, *_ in scan(index, pc.fill_null(batch.column(place), "").to_pylist(), first_only=True)]] = False
             yield batch.filter(pa.array(keep))
         X.settle()
 

@@ -1,6 +1,8 @@
 import random
+import resource
+import time
 
-import numpy as np
+import pytest
 
 from taxaloom.llm import decontaminate as D
 
@@ -34,7 +36,7 @@ def test_finds_what_brute_force_finds(make_docs, spark):
     again = D.find(make_docs(rows), bench, pass_bytes=200).collect()
     assert sorted(map(str, got)) == sorted(map(str, again))
     found = {(r.doc_id, r.item_id) for r in got}
-    raw = lambda t: D.fold(np.frombuffer((t or "").encode(), np.uint8)).tobytes().strip()
+    raw = lambda t: D.fold(t or "").strip()
     want = set()
     for d, t in rows:
         for k, item in items:
@@ -46,9 +48,31 @@ def test_finds_what_brute_force_finds(make_docs, spark):
         assert distance(raw(dict(items)[r.item_id]), raw(whole[r.doc_id][r.start : r.end])) <= r.edits
 
 
+@pytest.mark.parametrize("unit", ["-", "ab", "– "])
+def test_repetitive_texts(unit):
+    """Half a million characters of a repeated unit, against items of it, in bounded time and memory."""
+    items = [(1, unit * (300 // len(unit))), (2, "x" + unit * (60 // len(unit)) + "something else altogether, of some length, that is not there")]
+    index = D.Index.of(items)
+    n = 500_000 // len(unit)
+    before, began = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss, time.time()
+    got = {(i, s) for _, i, s, _, _ in D.scan(index, [unit * n, "none"])}
+    assert {i for i, _ in got} == {0} and len(got) > 1000
+    assert {d for d, *_ in D.scan(index, ["none", unit * n], first_only=True)} == {1}
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 600_000 and time.time() - began < 60
+
+
+def test_edits_are_of_characters(make_docs, spark):
+    item = "ein Satz über Äpfel und Öfen, der lang genug für fünf Änderungen ist, weil er so weitergeht"
+    plain = item.translate(str.maketrans("üÄÖäö", "uAOao"))
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert [(r.doc_id, r.start, r.end, r.edits) for r in D.find(make_docs([(1, "é " + plain)]), bench).collect()] == [(1, 2, 2 + len(item), sum(a != b for a, b in zip(D.fold(item), D.fold(plain), strict=True)))]
+
+
 def test_keep_clean_and_empty(make_docs, spark):
     bench = spark.createDataFrame([(1, "the quick brown fox jumps over the lazy dog again and again")], "item_id long, text string")
     rows = [(1, "so The quick brown fox jumps over the lazy dog again\nand again."), (2, "clean"), (None, "null id"), (3, None)]
     assert sorted((r.doc_id for r in D.keep_clean(make_docs(rows), bench).collect()), key=str) == [2, 3, None]
+    assert sorted((r.doc_id for r in D.keep_clean(make_docs([*rows, rows[1], (4, "w " * 100_000)]), bench, pass_bytes=8).collect()), key=str) == [2, 2, 3, 4, None]
+    assert D.keep_clean(make_docs([]), bench).count() == 0 and D.keep_clean(make_docs(rows), bench.limit(0)).count() == 4
     assert D.find(make_docs([]), bench).count() == 0
     assert D.find(make_docs(rows), bench.limit(0)).count() == 0
