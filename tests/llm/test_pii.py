@@ -85,3 +85,10 @@ def test_prefilter_loses_nothing(make_docs):
         assert ",".join(f"{names[k]}:{s}:{e}" for s, k, e in got[i]) == want, text
     for i, text in rows:
         assert got[i] == pii.find_all(text, rewrite), text
+
+
+def test_spelled_ones_of_other_languages():
+    rewrite = pii.Transducers()
+    for said in ("plus trois trois un deux trois quatre cinq six sept huit", "plus vier neun eins ein drei vier fünf sechs sieben acht"):
+        text = f"tel: {said} merci"
+        assert (5, len(pii.KINDS) + 3, 5 + len(said)) in pii.find_all(text, rewrite)
