@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import coerce as C
 from ..functions import text as T
-from ..operators import normalize
+from ..operators import analytics, markup, normalize
 from ..operators.validation import Slot, validate
+from ..sources import services
 from .registry import Tables, query
 
 DIRTY = "CASE CAST(c_custkey % 7 AS INT) WHEN 0 THEN 'NA' WHEN 1 THEN '' WHEN 2 THEN concat(' +', CAST(c_custkey AS STRING), ' ') WHEN 3 THEN concat(CAST(c_custkey AS STRING), '.5') WHEN 4 THEN concat(CAST(c_custkey AS STRING), '_000') WHEN 5 THEN concat(CAST(c_custkey AS STRING), 'd') ELSE concat('-', CAST(c_custkey AS STRING)) END"
@@ -139,19 +140,60 @@ def distinct_ordered(t: Tables) -> DataFrame:
     return t.pages.select("page_id", F.array_join(found, "|").alias("hrefs"), F.size(found).cast("long").alias("n"))
 
 
+def _articles(t: Tables) -> DataFrame:
+    """An article for each customer, as XML."""
+    c, n = F.col("c_custkey").cast("string"), F.col("c_name")
+    fig = F.concat(F.lit("<fig><label>Figure "), c, F.lit("</label><caption><p>LEfSe of "), n, F.lit('</p></caption><graphic xlink:href="f'), c, F.lit('"/></fig>'))
+    table = F.concat(F.lit("<table-wrap><label>Table "), c, F.lit("</label><caption><p>Ages</p></caption><table><tr><th>a</th><td>"), n, F.lit("</td></tr></table></table-wrap>"))
+    front = F.concat(F.lit("<front><journal-title>"), F.col("c_mktsegment"), F.lit('</journal-title><article-id pub-id-type="doi">10.1/'), c, F.lit("</article-id><article-title>On "), n, F.lit("</article-title><pub-date><year>20"), F.lpad((F.col("c_nationkey")).cast("string"), 2, "0"), F.lit("</year></pub-date></front>"))
+    xml = F.concat(F.lit('<article xmlns:xlink="http://www.w3.org/1999/xlink">'), front, F.lit("<body><sec><title>One</title><p>Text  of "), n, F.lit("</p></sec>"), fig, table, F.lit("</body></article>"))
+    return t.customer.select("c_custkey", F.when(F.col("c_custkey") % 10 == 0, "<broken").otherwise(xml).alias("xml"))
+
+
 @query(
-    """SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, len(regexp_extract_all(html, '<p>')) AS paragraphs, length(trim(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '[ \\t\\n\\r\\f\\v]+', ' ', 'g'))) AS n_chars FROM pages"""
+    """SELECT c_custkey, c_custkey % 10 = 0 AS broken, CASE WHEN c_custkey % 10 <> 0 THEN 'On ' || c_name END AS title, CASE WHEN c_custkey % 10 <> 0 THEN c_mktsegment END AS journal, CASE WHEN c_custkey % 10 <> 0 THEN 2000 + c_nationkey END AS year, CASE WHEN c_custkey % 10 <> 0 THEN '10.1/' || c_custkey END AS doi,
+      CASE WHEN c_custkey % 10 <> 0 THEN 'Figure ' || c_custkey || ':' || c_custkey || ':LEfSe of ' || c_name || ':f' || c_custkey ELSE '' END AS figures, CASE WHEN c_custkey % 10 <> 0 THEN 'One:Text of ' || c_name ELSE '' END AS sections, CASE WHEN c_custkey % 10 <> 0 THEN 'a:' || c_name ELSE '' END AS cells FROM customer"""
 )
-def html_outline(t: Tables) -> DataFrame:
-    html = F.col("html")
-    text = F.btrim(F.regexp_replace(F.regexp_replace(html, "<[^>]*>", " "), r"[ \t\n\r\f\x0b]+", " "))
-    return t.pages.select("page_id", F.regexp_extract(html, "<title>([^<]*)</title>", 1).alias("title"), F.regexp_count(html, F.lit("<p>")).cast("long").alias("paragraphs"), F.length(text).cast("long").alias("n_chars"))
+def article_parts(t: Tables) -> DataFrame:
+    a = markup.parse_articles(_articles(t), "c_custkey")
+    joined = lambda column, *names: F.array_join(F.transform(column, lambda x: F.concat_ws(":", *[x[n] for n in names])), ",")
+    cells = F.array_join(F.transform("tables", lambda x: F.array_join(F.flatten(x["rows"]), ":")), ",")
+    return a.select("c_custkey", F.col("parse_error").isNotNull().alias("broken"), "meta.title", "meta.journal", F.col("meta.year").cast("long").alias("year"), "meta.doi", joined("figures", "label", "number", "legend", "graphic_filename").alias("figures"), joined("sections", "title", "text").alias("sections"), cells.alias("cells"))
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 10 <> 0 THEN 'f' || c_custkey END AS image, CASE WHEN c_custkey % 10 <> 0 THEN 'Figure ' || c_custkey END AS artifact FROM customer")
+def article_evidence(t: Tables) -> DataFrame:
+    """The image address of each figure from the article's page, and the artifact to read."""
+    pages = t.customer.select("c_custkey", F.concat(F.lit('<img src="https://cdn.example/blobs/a/f'), "c_custkey", F.lit('.jpg">')).alias("html"))
+    found = markup.evidence(markup.parse_articles(_articles(t), "c_custkey"), pages, "c_custkey")
+    image = F.regexp_extract(F.get("figures", F.lit(0))["image_url"], "/(f[0-9]+)[.]jpg$", 1)
+    return found.select("c_custkey", image.alias("image"), markup.located(F.col("tables"), F.col("figures"))["said"].alias("artifact"))
+
+
+@query("SELECT c_custkey AS pmid, CASE WHEN c_custkey % 3 <> 0 THEN 'PMC' || c_custkey END AS pmcid, '10.1/' || c_custkey AS doi FROM customer")
+def id_conversions(t: Tables) -> DataFrame:
+    """Answers of a conversion service, one for each nation."""
+    c = F.col("c_custkey").cast("string")
+    record = F.struct(c.alias("pmid"), F.when(F.col("c_custkey") % 3 != 0, F.concat(F.lit("PMC"), c)).alias("pmcid"), F.concat(F.lit("10.1/"), c).alias("doi"))
+    answers = t.customer.groupBy("c_nationkey").agg(F.to_json(F.struct(F.lit("ok").alias("status"), F.collect_list(record).alias("records"))).alias("json"))
+    return services.conversions(answers).withColumn("pmid", F.col("pmid").cast("long"))
+
+
+@query("SELECT c_nationkey, count(*) AS n, count(*) FILTER (WHERE c_custkey % 4 <> 0) AS licensed FROM customer GROUP BY 1")
+def licenses(t: Tables) -> DataFrame:
+    xml = F.when(F.col("c_custkey") % 4 == 0, '<OA><error code="x">no</error></OA>').otherwise('<OA><records><record license="CC BY"/></records></OA>')
+    return t.customer.select("c_nationkey", services.full_text_license(xml).alias("l")).groupBy("c_nationkey").agg(F.count("*").alias("n"), F.count("l").alias("licensed"))
 
 
-@query("SELECT event_type, count(*) AS n, count(json_extract_string(props, '$.k')) AS with_k, CAST(sum(try_cast(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS sum_k FROM events GROUP BY 1")
-def json_props(t: Tables) -> DataFrame:
-    k = F.get_json_object("props", "$.k")
-    return t.events.groupBy("event_type").agg(F.count("*").alias("n"), F.count(k).alias("with_k"), F.sum(k.try_cast("bigint")).alias("sum_k"))
+@query("SELECT 'x' || n_nationkey || CASE WHEN n_regionkey = 0 THEN '.gmt' ELSE '.csv' END AS path, n_nationkey AS size FROM nation WHERE n_regionkey = 0 AND n_nationkey <> 5")
+def listing_to_download(t: Tables) -> DataFrame:
+    """Root files of a known kind that are not there yet in the same size."""
+    ending = F.when(F.col("n_regionkey") == 0, ".gmt").otherwise(".csv")
+    entry = F.struct(F.concat(F.when(F.col("n_regionkey") == 1, "folder/").otherwise("x"), "n_nationkey", ending).alias("path"), F.lit("blob").alias("type"), F.col("n_nationkey").alias("size"))
+    answer = t.nation.agg(F.to_json(F.struct(F.collect_list(entry).alias("tree"))).alias("json"))
+    files = services.of_kind(services.listed_files(answer, ("full_dump.csv",)), "gmt")
+    present = t.nation.where("n_nationkey = 5").select(F.lit("x5.gmt").alias("path"), F.col("n_nationkey").cast("bigint").alias("size"))
+    return services.to_download(files, present).select("path", "size")
 
 
 RECORD = {"uid": Slot(required=True), "pmid": Slot("integer"), "state": Slot(("Complete", "Incomplete")), "tags": Slot(("a", "b"), many=True)}
@@ -184,4 +226,4 @@ def ontology_ids(t: Tables) -> DataFrame:
 @query("SELECT p_partkey, CAST(unnest(generate_series(CAST(p_size // 10 AS BIGINT), CAST(p_size // 10 + p_size % 10 AS BIGINT))) AS BIGINT) AS region FROM part")
 def region_expand(t: Tables) -> DataFrame:
     low = F.floor(F.col("p_size") / 10).cast("long")
-    return t.part.select("p_partkey", F.explode(F.sequence(low, low + F.col("p_size") % 10)).alias("region"))
+    return analytics.regions(t.part.select("p_partkey", low.alias("low"), (low + F.col("p_size") % 10).alias("high"))).select("p_partkey", F.col("region").cast("long").alias("region"))

@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import curated, normalize
+from ..operators import analytics
+from ..sources.dump import COLUMNS, ORDER
 from ..sources.services import batches
+from ..streaming import events
 from .registry import Tables, query
 
 LINE_ORDER = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_returnflag")
@@ -33,31 +36,56 @@ def explode_lineage_last_wins(t: Tables) -> DataFrame:
     return last.join(rows.groupBy("l_partkey").agg(F.count("*").alias("links")), "l_partkey")
 
 
-@query(
-    """SELECT c_custkey, count(DISTINCT o_orderkey) AS experiments, count(DISTINCT (o_orderkey, l_returnflag)) FILTER (WHERE l_returnflag IS NOT NULL) AS signatures, count(DISTINCT l_partkey) AS taxa
-    FROM customer LEFT JOIN orders ON o_custkey = c_custkey LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1"""
-)
+def _dump(t: Tables) -> DataFrame:
+    """The lines as a flat dump: a customer is a study, an order an experiment, a line a signature unless its flag is N."""
+    rows = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    text = lambda c: F.col(c).cast("string")
+    given = {
+        "Study": text("o_custkey"), "PMID": text("o_custkey"), "Experiment": text("o_orderkey"), "BSDB ID": F.concat_ws("/", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"), "Condition": F.concat_ws(",", "o_orderpriority", "o_orderstatus"),
+        "Signature page name": F.when(F.col("l_returnflag") != "N", F.concat(F.lit("Signature "), "l_linenumber")).otherwise("NA"), "Abundance in Group 1": F.when(F.col("l_returnflag") == "A", "increased").otherwise("decreased"), "NCBI Taxonomy IDs": F.concat_ws(";", F.concat(F.lit("1|"), "l_partkey"), text("l_suppkey")), "MetaPhlAn taxon names": F.lit("k__root|s__part,s__supplier"),
+    }
+    order = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    return rows.select(order.alias(ORDER), *[given.get(c, F.lit("NA")).alias(c) for c in COLUMNS])
+
+
+SIGNED = "count(*) FILTER (WHERE l_returnflag <> 'N')"
+
+
+@query(f"SELECT CAST(o_custkey AS VARCHAR) AS uid, o_custkey AS pmid, count(DISTINCT o_orderkey) AS experiments, {SIGNED} AS signatures, 2 * {SIGNED} AS taxa FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2")
 def nested_summary(t: Tables) -> DataFrame:
-    signatures = t.lineitem.groupBy("l_orderkey", "l_returnflag").agg(F.collect_set("l_partkey").alias("taxa"))
-    experiments = signatures.groupBy("l_orderkey").agg(F.collect_list(F.struct("l_returnflag", "taxa")).alias("signatures"))
-    orders = t.orders.join(experiments, F.col("o_orderkey") == F.col("l_orderkey"), "left").select("o_custkey", F.struct("o_orderkey", F.coalesce("signatures", F.array().cast(experiments.schema["signatures"].dataType)).alias("signatures")).alias("e"))
-    nested = t.customer.select("c_custkey").join(orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.collect_list("e").alias("experiments")), "c_custkey", "left")
-    many = F.coalesce("experiments", F.array().cast(nested.schema["experiments"].dataType))
-    counted = nested.select("c_custkey", many.alias("x"))
-    total = F.aggregate("x", F.lit(0).cast("long"), lambda s, e: s + F.size(e["signatures"]))
-    taxa = F.size(F.array_distinct(F.flatten(F.flatten(F.transform("x", lambda e: F.transform(e["signatures"], lambda g: g["taxa"]))))))
-    return counted.select("c_custkey", F.size("x").cast("long").alias("experiments"), total.alias("signatures"), taxa.cast("long").alias("taxa"))
+    """Studies as the loader nests them."""
+    s = normalize.load_studies(_dump(t))
+    total = lambda f: F.aggregate("experiments", F.lit(0).cast("long"), lambda n, e: n + f(e))
+    none = F.lit(0).cast("long")
+    return s.select("uid", "pmid", F.size("experiments").cast("long").alias("experiments"), total(lambda e: F.when(e["signatures"].isNull(), none).otherwise(F.size(e["signatures"]).cast("long"))).alias("signatures"), total(lambda e: F.when(e["signatures"].isNull(), none).otherwise(F.aggregate(e["signatures"], none, lambda n, g: n + F.size(g["taxa"])))).alias("taxa"))
+
+
+@query(f"SELECT count(DISTINCT o_custkey) AS studies, count(DISTINCT o_orderkey) AS experiments, {SIGNED} AS signatures FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
+def summarize_studies(t: Tables) -> DataFrame:
+    return normalize.summarize(normalize.load_studies(_dump(t)))
 
 
 @query(
-    """WITH f AS (SELECT o_custkey, min(o_orderkey) AS first FROM orders GROUP BY 1), s AS (SELECT first AS stop FROM f ORDER BY first LIMIT 1 OFFSET 25)
-    SELECT o_custkey, count(*) AS orders_read FROM orders WHERE o_orderkey < coalesce((SELECT stop FROM s), 9223372036854775807) GROUP BY 1"""
+    f"""WITH f AS (SELECT o_custkey AS c, min(o_orderkey) AS first FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem) GROUP BY 1), stop AS (SELECT first FROM f ORDER BY first LIMIT 1 OFFSET 25)
+    SELECT count(DISTINCT o_custkey) AS studies, count(DISTINCT o_orderkey) AS experiments, {SIGNED} AS signatures FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderkey < coalesce((SELECT first FROM stop), 9223372036854775807)"""
 )
 def limit_studies(t: Tables) -> DataFrame:
-    first = t.orders.groupBy("o_custkey").agg(F.min("o_orderkey").alias("first"))
-    stop = first.orderBy("first").offset(25).limit(1).agg(F.min("first").alias("stop"))
-    read = t.orders.join(F.broadcast(stop), F.col("stop").isNull() | (F.col("o_orderkey") < F.col("stop")))  # one row
-    return read.groupBy("o_custkey").agg(F.count("*").alias("orders_read"))
+    """Reading stops at the row of a 26th study."""
+    return normalize.summarize(normalize.load_studies(_dump(t), limit=25))
+
+
+@query(
+    """SELECT count(DISTINCT o_custkey) AS studies, count(DISTINCT o_orderkey) AS experiments, count(DISTINCT (l_orderkey, l_linenumber, l_partkey, l_suppkey)) AS signatures, 2 * count(*) AS signatures_taxa,
+      (SELECT count(*) FROM (SELECT 1 UNION SELECT l_partkey FROM lineitem UNION SELECT l_suppkey FROM lineitem)) AS taxa FROM lineitem JOIN orders ON l_orderkey = o_orderkey"""
+)
+def split_dump_counts(t: Tables) -> DataFrame:
+    """Rows of the five relational tables."""
+    tables = normalize.split_dump(_dump(t))
+    out = None
+    for name, rows in tables.items():
+        one = rows.agg(F.count("*").alias(name))
+        out = one if out is None else out.crossJoin(one)  # a row on each side
+    return out
 
 
 def _tables(t: Tables) -> dict[str, DataFrame]:
@@ -129,13 +157,24 @@ def full_outer_arbitration(t: Tables) -> DataFrame:
 
 @query(
     """WITH d AS (SELECT d.doc_id, lower(trim(regexp_replace(text, '[ \\t\\n\\r\\f\\v]+', ' ', 'g'), ' ')) AS k, l.doc_id AS has FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id) WHERE text IS NOT NULL)
-    SELECT coalesce(min(has), min(doc_id)) AS kept, min(doc_id) AS place, count(*) AS n FROM d GROUP BY k"""
+    SELECT min(has) AS ncbi_id, min(doc_id) AS place FROM d GROUP BY k"""
 )
 def dedup_prefers_labelled(t: Tables) -> DataFrame:
     d = t.documents.where("text is not null").join(t.labels.select("doc_id", F.col("doc_id").alias("ncbi_id")).distinct(), "doc_id", "left")
-    rows = d.select(F.lower(T.one_line(F.col("text"))).alias("taxon_name"), "ncbi_id", F.lit("x").alias("direction"), F.col("doc_id").alias("ord"))
-    picked = rows.groupBy("taxon_name").agg(F.min_by("ord", F.struct(F.col("ncbi_id").isNull(), "ord")).alias("kept"), F.min("ord").alias("place"), F.count("*").alias("n"))
-    return picked.select("kept", "place", "n")
+    rows = d.select(F.lit(1).alias("study"), F.col("text").alias("taxon_name"), "ncbi_id", F.lit("increased").alias("direction"), F.col("doc_id").alias("ord"))
+    return curated.dedup_taxa(rows, ["study"]).select("ncbi_id", F.col("ord").alias("place"))
+
+
+@query(
+    """WITH d AS (SELECT l_orderkey, lower(p_name) AS k, l_partkey, row_number() OVER (PARTITION BY l_orderkey, l_returnflag, lower(p_name) ORDER BY l_linenumber, l_partkey) AS r, l_returnflag FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_returnflag IN ('A', 'R'))
+    SELECT l_orderkey, CASE l_returnflag WHEN 'A' THEN 0 ELSE 1 END AS place, count(*) FILTER (WHERE r = 1) AS n_taxa FROM d GROUP BY 1, 2"""
+)
+def signatures_of_directions(t: Tables) -> DataFrame:
+    """At most two signatures an order, increased and decreased, of taxa named once each."""
+    said = F.when(F.col("l_returnflag") == "A", "increased").when(F.col("l_returnflag") == "R", "decreased").otherwise("unclear")
+    rows = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", said.alias("direction"), F.col("p_name").alias("taxon_name"), F.col("l_partkey").alias("ncbi_id"), F.struct("l_linenumber", "l_partkey").alias("ord"))
+    made = curated.signatures_by_direction(curated.dedup_taxa(rows, ["l_orderkey"]), ["l_orderkey"])
+    return made.select("l_orderkey", "place", F.size("taxa").cast("long").alias("n_taxa"))
 
 
 @query("SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
@@ -155,17 +194,14 @@ def chunk_members(t: Tables) -> DataFrame:
     SELECT n_nationkey, coalesce(r_name, n_name) AS term FROM n LEFT JOIN region ON said = r_name"""
 )
 def glossary_coalesce(t: Tables) -> DataFrame:
-    n = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_name", F.when(F.col("n_nationkey") % 2 == 0, F.col("r_name")).otherwise(F.concat(F.lit("alias"), "n_nationkey")).alias("said"))
-    terms = t.region.select(F.col("r_name").alias("term"))
-    aliases = t.nation.select(F.concat(F.lit("alias"), "n_nationkey").alias("alias"), F.col("n_name").alias("of"))
-    return n.join(terms, F.col("said") == F.col("term"), "left").join(aliases, F.col("said") == F.col("alias"), "left").select("n_nationkey", F.coalesce("term", "of", "said").alias("term"))
+    n = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", F.when(F.col("n_nationkey") % 2 == 0, F.col("r_name")).otherwise(F.concat(F.lit("alias"), "n_nationkey")).alias("said"))
+    aliases = t.nation.select(F.concat(F.lit("alias"), "n_nationkey").alias("alias"), F.col("n_name").alias("term"))
+    return analytics.terms(n, "said", t.region.select(F.col("r_name").alias("term")), aliases).select("n_nationkey", "term")
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderstatus IS DISTINCT FROM lag(o_orderstatus) OVER w THEN o_orderstatus END AS changed FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)")
 def lag_difference(t: Tables) -> DataFrame:
-    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
-    before = F.lag("o_orderstatus").over(w)
-    return t.orders.select("o_orderkey", F.when(~F.col("o_orderstatus").eqNullSafe(before), F.col("o_orderstatus")).alias("changed"))
+    return analytics.changes(t.orders, "o_custkey", "o_orderkey", ["o_orderstatus"]).select("o_orderkey", F.col("o_orderstatus").alias("changed"))
 
 
 @query(
@@ -179,17 +215,58 @@ def two_round_agreement(t: Tables) -> DataFrame:
 
 @query("SELECT user_id, count(*) AS n, count(*) FILTER (WHERE gap < 60) AS too_soon FROM (SELECT user_id, epoch(ts) - epoch(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) AS gap FROM events) GROUP BY 1")
 def rate_gap(t: Tables) -> DataFrame:
-    at = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
-    gap = at - F.lag(at).over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    return t.events.select("user_id", gap.alias("gap")).groupBy("user_id").agg(F.count("*").alias("n"), F.count_if(F.col("gap") < 60).alias("too_soon"))
+    found = events.too_soon(t.events.select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_id"), "user_id", 60.0, "event_id")
+    return found.groupBy("user_id").agg(F.count("*").alias("n"), F.count_if("too_soon").alias("too_soon"))
 
 
-@query("SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY 1, 2")
+@query("SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY 1, 2")
 def daily_event_counts(t: Tables) -> DataFrame:
-    return t.events.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day"), "event_type").agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("users"))
+    given = t.events.select(F.col("ts").cast("timestamp").alias("ts"), F.lit("S1").alias("stage"), F.col("event_type").alias("event"), F.col("user_id").cast("string").alias("study_id"), F.col("value").alias("latency_ms"))
+    return events.stage_counts(given).select(F.date_format("start", "yyyy-MM-dd").alias("day"), F.col("event").alias("event_type"), "n", F.round("mean_latency_ms", 6).alias("mean"))
+
+
+def _page_signatures(t: Tables) -> DataFrame:
+    """Orders' signatures by return flag, their parts being taxa below their brand's taxon."""
+    s = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_custkey", "o_orderkey", "l_returnflag", "o_orderstatus").agg(F.collect_set("l_partkey").alias("taxa"))
+    return s.select(F.col("o_custkey").alias("study_id"), F.col("o_orderkey").alias("experiment_id"), F.concat_ws("/", "o_orderkey", "l_returnflag").alias("signature_id"), "taxa", F.array("o_orderstatus").alias("body_site"))
+
 
+#: The first brand's name in SQL and its taxon: an id no part has.
+BRAND = "(SELECT min(p_brand) FROM part)"
 
-@query("SELECT c_custkey, count(DISTINCT o_orderkey) AS orders, count(DISTINCT l_partkey) AS parts FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey WHERE l_partkey % 10 = 0 GROUP BY 1 ORDER BY orders DESC, c_custkey LIMIT 10")
+
+def _closure(t: Tables) -> DataFrame:
+    first = t.part.agg(F.min("p_brand").alias("b"))
+    own = t.part.select(F.col("p_partkey").alias("tax_id"), F.col("p_partkey").alias("ancestor"), F.lit(0).alias("depth"))
+    up = t.part.join(F.broadcast(first), F.col("p_brand") == F.col("b")).select(F.col("p_partkey").alias("tax_id"), F.lit(-1).cast("bigint").alias("ancestor"), F.lit(1).alias("depth"))  # one row
+    return own.unionByName(up)
+
+
+@query(f"SELECT DISTINCT o_custkey AS study_id, o_orderkey AS experiment_id, o_orderkey || '/' || l_returnflag AS signature_id FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey WHERE p_brand = {BRAND} AND o_orderstatus = 'F' ORDER BY 1, 2, 3 LIMIT 10")
 def taxon_lookup_top(t: Tables) -> DataFrame:
-    rows = t.lineitem.where("l_partkey % 10 = 0").join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).withColumnRenamed("o_custkey", "c_custkey")
-    return rows.groupBy("c_custkey").agg(F.count_distinct("o_orderkey").alias("orders"), F.count_distinct("l_partkey").alias("parts")).orderBy(F.desc("orders"), "c_custkey").limit(10)
+    """The first ten signatures, for a page, that hold any taxon below a given one."""
+    return analytics.taxon_signatures(_page_signatures(t), _closure(t), -1, True, body_site="F").select("study_id", "experiment_id", "signature_id")
+
+
+@query("SELECT count(DISTINCT o_custkey) AS studies FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_partkey = 7")
+def studies_with_taxon(t: Tables) -> DataFrame:
+    return analytics.studies_with(_page_signatures(t), 7)
+
+
+@query("SELECT o_orderpriority AS value, count(*) AS n FROM orders WHERE o_orderpriority NOT IN ('1-URGENT', '2-HIGH') GROUP BY 1")
+def unknown_terms(t: Tables) -> DataFrame:
+    known = t.spark.createDataFrame([("1-URGENT",), ("2-HIGH",)], "value string")
+    return analytics.unknown_values(t.orders, "o_orderpriority", known)
+
+
+@query("SELECT o_orderkey, coalesce(o_orderdate < max(l_shipdate), false) AS stale FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_orderdate")
+def stale_pages(t: Tables) -> DataFrame:
+    last = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.max("l_shipdate").alias("revision_date"))
+    return analytics.stale_reviews(t.orders.withColumnRenamed("o_orderdate", "review_date").join(last, "o_orderkey", "left")).select("o_orderkey", "stale")
+
+
+@query("SELECT r_regionkey, coalesce(string_agg(page, '|' ORDER BY n_nationkey), '') AS pages FROM region LEFT JOIN (SELECT *, 'Study/Experiment ' || n_nationkey AS page FROM nation) ON n_regionkey = r_regionkey GROUP BY 1")
+def pages_in_order(t: Tables) -> DataFrame:
+    pages = t.nation.select(F.col("n_regionkey").alias("parent"), F.concat(F.lit("Study/Experiment "), "n_nationkey").alias("page"))
+    kids = analytics.child_pages(t.region.select(F.col("r_regionkey").alias("parent")), pages)
+    return kids.select(F.col("parent").alias("r_regionkey"), F.array_join("children", "|").alias("pages"))

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import count_bucket
-from ..operators import alignment, scoring, sets
+from ..operators import alignment, scoring, sets, study_scores, taxonomy
+from .joins import _tables
 from .registry import Tables, query
 
 COUNTS = """g AS (SELECT DISTINCT l_orderkey, l_partkey AS k FROM lineitem), p AS (SELECT DISTINCT l_orderkey, l_partkey AS k FROM lineitem WHERE l_discount <= 0.07 UNION SELECT DISTINCT l_orderkey, l_partkey + 1 FROM lineitem WHERE l_quantity > 45),
@@ -87,19 +88,17 @@ def jaccard_policies(t: Tables) -> DataFrame:
 
 
 def _pairs(t: Tables) -> DataFrame:
-    """Up to three predicted (even keys) and three curated (odd) orders of each customer, each with each."""
-    from pyspark.sql import Window
-
-    ranked = t.orders.withColumn("side", F.col("o_orderkey") % 2).withColumn("r", F.row_number().over(Window.partitionBy("o_custkey", "side").orderBy("o_orderkey"))).where("r <= 3")
+    """All predicted (even keys) and curated (odd) orders of each customer, each with each."""
+    ranked = t.orders.withColumn("side", F.col("o_orderkey") % 2)
     item = F.struct(F.array(F.col("o_orderpriority")).alias("body_site"), F.array(F.col("o_orderstatus")).alias("condition"), F.lit(None).cast("string").alias("group_0_name"), F.lit("").alias("group_1_name"), F.when(F.col("o_orderkey") % 3 == 0, "16S").alias("sequencing_type"))
     p = ranked.where("side = 0").select("o_custkey", F.col("o_orderkey").alias("p"), item.alias("x"))
     g = ranked.where("side = 1").select("o_custkey", F.col("o_orderkey").alias("g"), item.alias("y"))
     return p.join(g, "o_custkey").select("o_custkey", "p", "g", "x", "y", alignment.experiment_score(F.col("y"), F.col("x")).alias("score"))
 
 
-PAIRS = """r AS (SELECT *, o_orderkey % 2 AS side, row_number() OVER (PARTITION BY o_custkey, o_orderkey % 2 ORDER BY o_orderkey) AS r, CASE WHEN o_orderkey % 3 = 0 THEN '16S' END AS seq FROM orders),
+PAIRS = """r AS (SELECT *, o_orderkey % 2 AS side, CASE WHEN o_orderkey % 3 = 0 THEN '16S' END AS seq FROM orders),
     pairs AS (SELECT a.o_custkey, a.o_orderkey AS p, b.o_orderkey AS g, ((lower(a.o_orderpriority) = lower(b.o_orderpriority))::INT + (lower(a.o_orderstatus) = lower(b.o_orderstatus))::INT + CASE WHEN a.seq IS NULL AND b.seq IS NULL THEN 0 WHEN a.seq = b.seq THEN 1 ELSE 0 END)::DOUBLE / CASE WHEN a.seq IS NULL AND b.seq IS NULL THEN 2 ELSE 3 END AS score
-      FROM r a JOIN r b ON a.o_custkey = b.o_custkey AND a.side = 0 AND b.side = 1 AND a.r <= 3 AND b.r <= 3)"""
+      FROM r a JOIN r b ON a.o_custkey = b.o_custkey AND a.side = 0 AND b.side = 1)"""
 
 
 @query(f"WITH {PAIRS} SELECT o_custkey, p, g, round(score, 6) AS score FROM pairs")
@@ -107,12 +106,7 @@ def field_overlap_matrix(t: Tables) -> DataFrame:
     return _pairs(t).select("o_custkey", "p", "g", F.round("score", 6).alias("score"))
 
 
-@query(
-    f"""WITH {PAIRS}, one AS (SELECT o_custkey, p AS p1, g AS g1, score AS s FROM pairs), best1 AS (SELECT o_custkey, max(s) AS s FROM one GROUP BY 1),
-    best2 AS (SELECT a.o_custkey, max(a.score + b.score) AS s FROM pairs a JOIN pairs b ON a.o_custkey = b.o_custkey AND a.p < b.p AND a.g <> b.g GROUP BY 1),
-    best3 AS (SELECT a.o_custkey, max(a.score + b.score + c.score) AS s FROM pairs a JOIN pairs b ON a.o_custkey = b.o_custkey AND a.p < b.p AND a.g <> b.g JOIN pairs c ON a.o_custkey = c.o_custkey AND b.p < c.p AND c.g <> a.g AND c.g <> b.g GROUP BY 1)
-    SELECT o_custkey, round(max(s), 6) AS total FROM (FROM best1 UNION ALL FROM best2 UNION ALL FROM best3) GROUP BY 1"""
-)
+@query()
 def hungarian_alignment(t: Tables) -> DataFrame:
     """The weight of the best assignment; which pairs make it up is not unique."""
     return alignment.align(_pairs(t), ["o_custkey"], 0.0).groupBy("o_custkey").agg(F.round(F.sum("score"), 6).alias("total"))
@@ -171,3 +165,85 @@ def report_records(t: Tables) -> DataFrame:
     lines = scoring.records(c.where("study_id % 3 <> 0 and study_id % 7 <> 1").withColumn("f1", F.lit(0.5)), absent, errors)
     parsed = lines.select(F.get_json_object("line", "$.record_type").alias("record_type"), F.get_json_object("line", "$.study_id").cast("long").alias("s"))
     return parsed.groupBy("record_type").agg(F.count("*").alias("n"), F.sum("s").alias("studies"))
+
+
+FLAG = "CASE l_returnflag WHEN 'A' THEN 1000000 WHEN 'R' THEN 2000000 ELSE 3000000 END"
+
+
+def _corpus(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """A tree, predictions, names and retired ids: customers with orders with a signature a return flag.
+
+    The predicted experiment of an open order (status O) has its order's fields; of a
+    status P other ones, so that it matches none; of a finished one (F) there is none. A
+    predicted signature has the parts of little discount, those of one line by a retired
+    id, those of the next by name; and one part that is not known for each large line.
+    """
+    flag = F.expr(FLAG)
+    tables = _tables(t)
+    own = F.concat(F.lit("o"), "experiment_id")
+    tables["experiments"] = tables["experiments"].withColumns({"body_site": own, "condition": own})
+    tables["signatures_taxa"] = t.lineitem.select(F.concat_ws("/", "l_orderkey", "l_returnflag").alias("signature_id"), (F.col("l_partkey") + flag).cast("string").alias("ncbi_id"))
+    tables["signatures"] = tables["signatures"].withColumn("curation_state", F.when(F.col("signature_name") == "N", "Incomplete").otherwise("Complete"))
+    from ..operators import curated
+
+    tree = curated.curated_tree(tables)
+    name = lambda key: F.concat(F.lit("g"), F.col(key) % 100, F.lit(" s"), F.col(key))
+    parts = t.part.select(F.explode(F.array(*[F.col("p_partkey") + k for k in (1000000, 2000000, 3000000)])).alias("tax_id"))
+    names = parts.select("tax_id", name("tax_id").alias("name_txt"), name("tax_id").alias("name_norm"), F.lit(taxonomy.SCIENTIFIC).alias("name_class"))
+    merged = parts.select((F.col("tax_id") + 50000000).alias("old_tax_id"), F.col("tax_id").alias("new_tax_id"))
+    lines = t.lineitem.withColumn("tax_id", F.col("l_partkey") + flag)
+    by_name = F.col("l_linenumber") % 3 == 2
+    given = F.when(F.col("l_linenumber") % 3 == 1, F.col("tax_id") + 50000000).when(~by_name, F.col("tax_id")).cast("string")
+    taxon = F.struct(F.when(by_name, name("tax_id")).alias("taxon_name"), given.alias("ncbi_id"))
+    odd = F.when(F.col("l_quantity") > 45, F.struct(F.concat(F.lit("nobody "), "l_linenumber").alias("taxon_name"), F.lit(None).cast("string").alias("ncbi_id")))
+    low = F.when(F.col("l_discount") <= 0.07, taxon)
+    said = F.when(F.col("l_returnflag") == "R", "decreased").otherwise("increased")
+    signatures = lines.groupBy("l_orderkey", "l_returnflag").agg(F.first(said).alias("abundance_in_group_1"), F.concat(F.collect_set(low), F.collect_set(odd)).alias("taxa"))
+    experiments = signatures.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(F.struct("abundance_in_group_1", "taxa"))).alias("signatures"))
+    place = F.array(F.concat(F.when(F.col("o_orderstatus") == "P", "x").otherwise("o"), "o_orderkey"))
+    none = lambda kind: F.lit(None).cast(kind)
+    e = F.struct(
+        place.alias("body_site"), place.alias("condition"), none("string").alias("group_0_name"), none("string").alias("group_1_name"), none("string").alias("sequencing_type"), none("array<string>").alias("statistical_test"), none("boolean").alias("mht_correction"), F.coalesce("signatures", F.array().cast(experiments.schema["signatures"].dataType)).alias("signatures")
+    )
+    said_orders = t.orders.where("o_orderstatus <> 'F'").join(experiments, "o_orderkey", "left")
+    predictions = said_orders.groupBy(F.col("o_custkey").cast("string").alias("study_id")).agg(F.collect_list(e).cast(study_scores.PREDICTED).alias("experiments"))
+    return tree, predictions, names, merged
+
+
+CORPUS = f"""l AS (SELECT l.*, l_partkey + {FLAG} AS tax, o_custkey, o_orderstatus AS st FROM lineitem l JOIN orders ON l_orderkey = o_orderkey),
+    g AS (SELECT DISTINCT o_custkey, l_orderkey, l_returnflag, st, tax FROM l), p AS (SELECT DISTINCT o_custkey, l_orderkey, l_returnflag, st, tax FROM l WHERE l_discount <= 0.07 AND st <> 'F'),
+    pn AS (SELECT l_orderkey, l_returnflag, count(DISTINCT tax) AS named FROM l WHERE l_discount <= 0.07 AND st <> 'F' AND l_linenumber % 3 = 2 GROUP BY 1, 2),
+    u AS (SELECT l_orderkey, l_returnflag, count(DISTINCT l_linenumber) AS odd FROM l WHERE l_quantity > 45 AND st <> 'F' GROUP BY 1, 2),
+    s AS (SELECT o_custkey, l_orderkey, l_returnflag, any_value(st) AS st, count(DISTINCT tax) AS ng, count(DISTINCT tax % 100) AS gg FROM l GROUP BY 1, 2, 3),
+    q AS (SELECT l_orderkey, l_returnflag, count(*) AS np, count(DISTINCT tax % 100) AS gp FROM p GROUP BY 1, 2),
+    z AS (SELECT s.*, coalesce(np, 0) AS np, coalesce(gp, 0) AS gp, coalesce(odd, 0) AS odd, coalesce(named, 0) AS named, st = 'O' AND coalesce(np, 0)::DOUBLE / ng >= 0.1 AS hit FROM s LEFT JOIN q USING (l_orderkey, l_returnflag) LEFT JOIN u USING (l_orderkey, l_returnflag) LEFT JOIN pn USING (l_orderkey, l_returnflag)),
+    e AS (SELECT o_custkey, l_returnflag, np AS tp, 0 AS fp, ng - np AS fn, gp AS gtp, 0 AS gfp, gg - gp AS gfn, odd AS unknown, named AS found, 1 AS judged FROM z WHERE hit
+      UNION ALL SELECT o_custkey, l_returnflag, 0, 0, ng, 0, 0, gg, 0, 0, 0 FROM z WHERE NOT hit
+      UNION ALL SELECT o_custkey, l_returnflag, 0, np, 0, 0, gp, 0, odd, 0, 0 FROM z WHERE NOT hit AND st <> 'F'),
+    f AS (SELECT *, CASE WHEN 2 * tp + fp + fn = 0 THEN 0.0::DOUBLE ELSE 2 * tp::DOUBLE / (2 * tp + fp + fn) END AS f1, judged = 1 AND l_returnflag IN ('A', 'R') AS dir FROM e)"""
+
+
+@query(
+    f"""WITH {CORPUS}, n AS (SELECT c_custkey, count(o_orderkey) AS n_gold, count(*) FILTER (WHERE o_orderstatus <> 'F') AS n_pred, count(*) FILTER (WHERE o_orderstatus = 'O') AS n_matched FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1),
+    a AS (SELECT o_custkey, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn, CAST(sum(gtp) AS BIGINT) AS genus_tp, CAST(sum(gfp) AS BIGINT) AS genus_fp, CAST(sum(gfn) AS BIGINT) AS genus_fn, CAST(sum(unknown) AS BIGINT) AS unresolved_pred, CAST(sum(found) AS BIGINT) AS names_found, count(*) FILTER (WHERE dir) AS direction_judged, avg(f1) AS macro_f1 FROM f GROUP BY 1),
+    b AS (SELECT CAST(c_custkey AS VARCHAR) AS study_id, n_gold, n_pred, n_matched, greatest(n_pred - n_gold, 0) AS over_segmentation, greatest(n_gold - n_pred, 0) AS under_segmentation, {", ".join(f"coalesce({c}, 0) AS {c}" for c in ("tp", "fp", "fn", "genus_tp", "genus_fp", "genus_fn", "unresolved_pred", "names_found", "direction_judged"))}, round(coalesce(macro_f1, 0.0::DOUBLE), 6) AS macro_f1 FROM n LEFT JOIN a ON o_custkey = c_custkey)
+    SELECT *, names_found AS names_right, direction_judged AS direction_right, {measured()} FROM b"""
+)
+def score_studies(t: Tables) -> DataFrame:
+    """Every customer as a study, from alignment to its sums."""
+    found = study_scores.score_corpus(*_corpus(t))["studies"]
+    return rounded(found.drop("unresolved_gold", "macro_genus_f1"), "macro_f1", *RATIOS)
+
+
+@query(
+    f"""WITH {CORPUS}, k AS (SELECT o_custkey AS c, count(*) AS n FROM orders GROUP BY 1), d AS (SELECT f.*, n FROM f JOIN k ON c = o_custkey),
+    strata AS (SELECT 'source_type' AS stratum, 'figure' AS level, tp, fp, fn FROM d WHERE NOT (tp = 0 AND fn = 0) UNION ALL SELECT 'experiments', CASE WHEN n <= 1 THEN '1' WHEN n <= 5 THEN '2-5' WHEN n <= 20 THEN '6-20' ELSE '21+' END, tp, fp, fn FROM d),
+    sums AS (SELECT stratum, level, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn FROM strata GROUP BY 1, 2) SELECT stratum, level, tp, fp, fn, {measured()} FROM sums"""
+)
+def score_corpus(t: Tables) -> DataFrame:
+    return rounded(study_scores.score_corpus(*_corpus(t))["by_stratum"])
+
+
+@query("SELECT CAST(o_custkey AS VARCHAR) AS study_id, 'figure' AS source_type, count(DISTINCT (l_orderkey, l_returnflag)) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1")
+def source_types_of_studies(t: Tables) -> DataFrame:
+    return study_scores.source_type_counts(_corpus(t)[0])

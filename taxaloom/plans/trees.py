@@ -27,13 +27,13 @@ def _nodes(t: Tables) -> DataFrame:
 
 
 @query(
-    f"""WITH {NAMES}, q AS (SELECT DISTINCT 's__' || replace(p_name, ' ', '_') AS query, lower(p_name) AS k FROM part WHERE p_partkey % 3 = 0),
+    f"""WITH {NAMES}, q AS (SELECT DISTINCT 's__' || replace(p_name, ' ', '_') AS query, lower(p_name) AS k FROM part),
     j AS (SELECT query, tax_id, name_txt, name_class, row_number() OVER (PARTITION BY query ORDER BY name_class <> 'scientific name', tax_id, name_txt) AS r FROM q JOIN names ON k = lower(name_txt)),
     c AS (SELECT query, count(DISTINCT tax_id) > 1 AS ambiguous, array_to_string(list_sort(list(DISTINCT tax_id)), ',') AS candidates FROM j GROUP BY 1)
     SELECT query, tax_id, name_txt AS matched_name, name_class, CASE WHEN tax_id % 2 = 0 THEN 'species' END AS rank, ambiguous, candidates FROM j JOIN c USING (query) WHERE r = 1"""
 )
 def resolve_name(t: Tables) -> DataFrame:
-    asked = t.part.where("p_partkey % 3 = 0").select(F.concat(F.lit("s__"), F.replace("p_name", F.lit(" "), F.lit("_"))).alias("query"))
+    asked = t.part.select(F.concat(F.lit("s__"), F.replace("p_name", F.lit(" "), F.lit("_"))).alias("query"))
     nodes = t.part.where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("tax_id"), F.lit("species").alias("rank"))
     found = taxonomy.resolve(asked, _names(t), nodes)
     return found.withColumn("candidates", F.array_join(F.transform("candidates", lambda x: x.cast("string")), ","))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -27,3 +27,10 @@ def stage_counts(events: DataFrame, window: str = "1 day", late: str = "2 days")
 def write_counts(counts: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
     """Appends closed windows to Parquet; what is there already is taken and the query ends."""
     return counts.writeStream.outputMode("append").format("parquet").option("path", folder).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def too_soon(events: DataFrame, by: str, least_seconds: float, tie: str) -> DataFrame:
+    """The events with `too_soon`: whether less time than the limiter's interval has gone by since the caller's one before."""
+    at = F.unix_micros("ts") / 1e6
+    gap = at - F.lag(at).over(Window.partitionBy(by).orderBy("ts", tie))
+    return events.withColumn("too_soon", F.coalesce(gap < least_seconds, F.lit(False)))

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from taxaloom.operators import alignment, curated, curation, markup, scoring, sets, taxonomy, validation
+from taxaloom.operators import alignment, curated, curation, markup, scoring, sets, study_scores, taxonomy, validation
 from taxaloom.sources import services, sinks, taxdump
 from taxaloom.streaming import events
 
@@ -40,6 +40,53 @@ def test_alignment_floor_and_rest(spark):
     assert sorted(((r.k, r.p, r.g) for r in whole.collect()), key=str) == sorted([("s", 0, 1), ("s", 1, 0), ("t", 0, None), ("t", None, 0)], key=str)
 
 
+def test_group_totals_are_optimal(spark):
+    """Totals of many groups of up to four a side, against all assignments."""
+    rnd = random.Random(6)
+    rows = [(k, p, g, rnd.choice([0.0, 0.25, 0.5, round(rnd.random(), 3)])) for k in range(60) for n, m in [(rnd.randrange(1, 5), rnd.randrange(1, 5))] for p in range(n) for g in range(m)]
+    kept = alignment.align(spark.createDataFrame(rows, "k int, p int, g int, score double"), ["k"], 0.0).groupBy("k").agg(F.sum("score").alias("t")).collect()
+    for r in kept:
+        w = {(p, g): s for k, p, g, s in rows if k == r.k}
+        ps, gs = sorted({p for p, _ in w}), sorted({g for _, g in w})
+        small, large, flip = (ps, gs, False) if len(ps) <= len(gs) else (gs, ps, True)
+        best = max(sum(w[(b, a) if flip else (a, b)] for a, b in zip(small, c, strict=True)) for c in itertools.permutations(large, len(small)))
+        assert r.t == pytest.approx(best)
+    assert len(kept) == 60
+
+
+def test_score_corpus(spark):
+    """Two studies by hand: a retired id, a taxon told by name, an incomplete signature, a merged experiment, a missing prediction."""
+    signature = lambda i, taxa, d, state="Complete": (i, "Signature", "Figure 1", "figure", d, state, taxa)
+    experiment = lambda i, site, *s: (i, i, [site], [], [], None, None, "16S", None, list(s))
+    kind = "study_id string, pmid string, has_pmc boolean, experiments array<struct<experiment_id:string,experiment_name:string,body_site:array<string>,condition:array<string>,statistical_test:array<string>,group_0_name:string,group_1_name:string,sequencing_type:string,mht_correction:boolean,signatures:array<struct<signature_id:string,signature_name:string,source:string,source_type:string,direction:string,curation_state:string,taxa:array<bigint>>>>>"
+    tree = spark.createDataFrame([
+        ("a", "1", True, [experiment("e1", "Feces", signature("s1", [1, 2], "increased"), signature("s2", [3], "decreased", None)), experiment("e2", "Skin", signature("s3", [4], None))]),
+        ("b", "2", None, [experiment("e3", "Mouth", signature("s4", [1], "increased"))]),
+        ("c", "3", None, []),
+    ], kind)
+    said = lambda site, *s: ([site], [], None, None, "16S", [], None, list(s))
+    predictions = spark.createDataFrame([
+        ("a", [said("feces", ("increased", [(None, "11"), ("g__Beta x", None), ("nobody", None)]), ("increased", [(None, "3"), (None, "9")]))]),
+        ("c", [said("Liver", ("increased", [(None, "1")]))]),
+        ("z", [said("Liver")]),
+    ], f"study_id string, experiments {study_scores.PREDICTED}")
+    names = spark.createDataFrame([(1, "Alpha x"), (2, "Beta x"), (3, "Alpha y"), (4, "Delta z"), (9, "Alpha q")], "tax_id bigint, name_txt string")
+    names = names.select("tax_id", "name_txt", F.lower("name_txt").alias("name_norm"), F.lit(taxonomy.SCIENTIFIC).alias("name_class"))
+    out = study_scores.score_corpus(tree, predictions, names, spark.createDataFrame([(11, 1)], "old_tax_id bigint, new_tax_id bigint"))
+    got = {r.study_id: r for r in out["studies"].collect()}
+    a, b, c = got["a"], got["b"], got["c"]
+    # s1: both found; s2 is incomplete, so id 9 does not count; s3 of the unmatched experiment is missed.
+    assert (a.tp, a.fp, a.fn, a.n_matched, a.under_segmentation, a.unresolved_pred) == (3, 0, 1, 1, 1, 1)
+    assert (a.genus_tp, a.genus_fp, a.genus_fn) == (3, 0, 1) and (a.direction_right, a.direction_judged) == (1, 2)
+    assert (a.names_found, a.names_right) == (1, 1) and a.macro_f1 == pytest.approx(2 / 3)
+    assert (b.tp, b.fn, b.n_pred) == (0, 1, 0) and (c.fp, c.over_segmentation) == (1, 1)
+    assert [r.study_id for r in out["missing"].collect()] == ["b"]
+    total = out["totals"].first()
+    assert (total.tp, total.fp, total.fn, total.n_studies, total.name_to_id_accuracy, total.direction_accuracy) == (3, 1, 2, 3, 1.0, 0.5)
+    assert {(r.study_id, r.n) for r in study_scores.source_type_counts(tree).collect()} == {("a", 3), ("b", 1)}
+    assert {r.f1 for r in out["pairs"].where("study_id = 'a'").collect()} == {0.0, 1.0}
+
+
 def test_scores(spark):
     rows = [([1, 2], [2, 3], ["a"], ["a"], "increased", "decreased", "Complete", "figure", 1), ([1], None, ["a"], None, None, None, None, "figure", 1), ([5], [6], ["x"], ["y"], "increased", "increased", None, "table", 7), (None, [9], None, ["q"], None, "increased", None, None, 7)]
     pairs = spark.createDataFrame(rows, "gold_taxa array<bigint>, pred_taxa array<bigint>, gold_genera array<string>, pred_genera array<string>, gold_direction string, pred_direction string, gold_state string, source_type string, n_experiments int")
