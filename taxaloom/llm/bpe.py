@@ -106,9 +106,16 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
     """
     docs = X.texts(docs, id_col, text_col)
     buckets = X.buckets_for(docs, X.sizes(docs))
+    held: dict = {}  # what a task has read of the tokenizer's file, for its further blocks
+
+    def vocabulary() -> tuple[list[str], pa.Array]:
+        if "vocabulary" not in held:
+            added, pieces = read_vocabulary(tokenizer_path)
+            held["vocabulary"] = added, pa.array(pieces, pa.binary())
+        return held["vocabulary"]
 
     def emit(table: pa.Table) -> Iterator[tuple[int, bytes]]:
-        words = _split(table, read_vocabulary(tokenizer_path)[0])[0]
+        words = _split(table, vocabulary()[0])[0]
         keys = _word_keys(words)
         order = np.argsort(keys, kind="stable")
         edges = X.bucket_edges(keys[order], buckets)
@@ -121,7 +128,9 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(tokenizer_path)
+        if "tokenizer" not in held:
+            held["tokenizer"] = Tokenizer.from_file(tokenizer_path)
+        tokenizer = held["tokenizer"]
         sent = [X.read_words(p) for p in payloads]
         table = pa.concat_arrays(sent).dictionary_encode()
         ids: list[np.ndarray] = []
@@ -138,7 +147,7 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
         return out
 
     def done(table: pa.Table, got: dict[int, bytes]) -> pa.Table:
-        added, pieces = read_vocabulary(tokenizer_path)
+        added, piece_table = vocabulary()
         words, place, per_doc = _split(table, added)
         order = np.argsort(_word_keys(words), kind="stable")
         parts = [X.split_parts(got[b]) for b in sorted(got)]
@@ -150,7 +159,6 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
         ids = _gather(flat, counts, place)
         ends = np.concatenate([[0], np.cumsum(counts[place])])[np.concatenate([[0], np.cumsum(per_doc)])]
         decoded = []
-        piece_table = pa.array(pieces, pa.binary())
         for x, y in zip(ends[:-1], ends[1:], strict=True):
             raw = piece_table.take(pa.array(ids[x:y]))
             n = int(pc.sum(pc.binary_length(raw)).as_py() or 0)
