@@ -18,11 +18,11 @@ from . import storage
 FOLDS = 10
 #: Added to each count of the base model.
 ADDED = 0.1
-#: How many words of the base model's opinion a state weighs against its own counts.
-PRIOR = 500.0
+#: Words of the longest context, and how much a state of each length weighs the next shorter one's opinion against its own counts.
+ORDER, PRIORS = 2, (500.0, 10.0)
 #: Keys of the two things that are no words: the end of a text, and the state before its first word.
 END, START = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-PAIR = np.uint64(0x9FB21C651E98DF25)
+PAIR, WIDER = np.uint64(0x9FB21C651E98DF25), np.uint64(0xA0761D6478BD642F)
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -53,12 +53,18 @@ def tokens(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return out, starts, np.repeat(trains, per_doc + 1)
 
 
-def _grams(token: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The state before each token, and the key of the arc that the token takes from it."""
-    state = np.empty_like(token)
-    state[1:] = token[:-1]
-    state[starts] = START
-    return state, X.mix(state * PAIR + token)
+def _arcs(token: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
+    """Keys of the arcs that each token takes from states of one word and more; the start counts as a word, of which one comes before any text."""
+    word = np.empty_like(token)
+    word[1:] = token[:-1]
+    word[starts] = START
+    arcs, state = [X.mix(word * PAIR + token)], word
+    for _ in range(ORDER - 1):
+        older = np.empty_like(state)  # the state before, one word longer than the last one's beginning
+        older[1:] = arcs[-1][:-1]
+        older[starts] = START
+        arcs.append(X.mix(older * PAIR + token * WIDER))
+    return arcs
 
 
 def _distinct(keys: np.ndarray, trains: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -67,22 +73,47 @@ def _distinct(keys: np.ndarray, trains: np.ndarray) -> tuple[np.ndarray, np.ndar
     return found, np.bincount(place, trains, len(found)).astype(np.int64), place
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prior: float = PRIOR, block_bytes: int = X.BLOCK_BYTES) -> DataFrame:
+def traverse(counts: list[np.ndarray], starts: np.ndarray, p_word: np.ndarray, n_docs: int, priors: tuple[float, ...]) -> np.ndarray:
+    """The automaton's weight of each token, all texts left to right.
+
+    counts: of each token by itself, then of its arcs from states of one, two and more
+    words. A traversal carries its state, the longest context that training had: the
+    state after a token is the longest arc that led there. A token takes the arc of the
+    state where there is one; else it goes along failure arcs to shorter states, each of
+    which adds its weight, down to the root's arc.
+    """
+    weight = np.log10(p_word)
+    state = np.ones(len(weight), bool)  # whether the state of the length at hand exists before the token
+    for length, prior in enumerate(priors, 1):
+        before = np.empty_like(counts[0])
+        before[1:] = counts[length - 1][:-1]
+        before[starts] = n_docs
+        if length > 1:  # a longer context than the start would be the start's own
+            before[starts] = 0
+        state = before > 0
+        taken = counts[length] > 0
+        lower = 10.0**weight
+        by_arc = np.log10((counts[length] + prior * lower) / (before + prior))
+        by_failure = np.log10(prior / (before + prior)) + weight
+        weight = np.where(state, np.where(taken, by_arc, by_failure), weight)
+    return weight
+
+
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", priors: tuple[float, ...] = PRIORS, block_bytes: int = X.BLOCK_BYTES) -> DataFrame:
     """Log10 probabilities of every whole text, learnt from the documents that aren't held out.
 
-    States of the automaton are the contexts (one word, or the start) and the root.
-    An arc from a state to a seen next word has weight log10((c(hw) + prior p(w)) /
-    (c(h) + prior)), its failure arc, to the root, log10(prior / (c(h) + prior)), and
-    the root's arcs log10 p(w), p being the base model with its share for unknown
-    words. A context that training never had is no state: the failure arc leads to
-    the root at no cost. These weights sum to one in each state. A text is traversed
-    once, left to right, its end included.
+    States of the automaton are the contexts (ORDER words or fewer, with the start) and
+    the root. An arc from a state h to a seen next word has weight log10((c(hw) + prior
+    p(w | h')) / (c(h) + prior)), h' being h without its first word, and its failure arc,
+    to h', log10(prior / (c(h) + prior)); the root's arcs have log10 p(w), p being the
+    base model with its share for unknown words. A context that training never had is
+    no state: the one before it was already shorter. These weights sum to one in each
+    state. A text is traversed once, left to right, its end included.
 
     Counts come from all training documents: a block sends each distinct word and
-    word pair once with its own count, and gets back the corpus's. A pair that only
-    this block has needs no answer. Null texts count as empty (one token, the end), a
-    null id as held out; repeated rows are each scored, and each trains. An empty
-    table gives no rows. Only the two named columns are read.
+    arc once with its own count, and gets back the corpus's. Null texts count as empty
+    (one token, the end), a null id as held out; repeated rows are each scored, and each
+    trains. An empty table gives no rows. Only the two named columns are read.
     """
     docs = X.texts(docs, id_col, text_col)
     buckets = X.buckets_for(docs, X.sizes(docs))
@@ -90,12 +121,11 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prior
     def emit(table: pa.Table) -> Iterator[tuple[int, bytes]]:
         token, starts, trains = tokens(table)
         docs_here = int(trains[starts].sum())
-        words = _distinct(token, trains)
-        pairs = _distinct(_grams(token, starts)[1], trains)
-        cuts = [X.bucket_edges(k, buckets) for k, _, _ in (words, pairs)]
+        kinds = [_distinct(k, trains)[:2] for k in (token, *_arcs(token, starts))]
+        cuts = [X.bucket_edges(k, buckets) for k, _ in kinds]
         for b in range(buckets):
             parts = []
-            for (k, c, _), e in zip((words, pairs), cuts, strict=True):
+            for (k, c), e in zip(kinds, cuts, strict=True):
                 parts += [X.squeeze_sorted(k[e[b] : e[b + 1]]), X.send_values(c[e[b] : e[b + 1]])]
             if any(e[b] < e[b + 1] for e in cuts) or not b:
                 yield b, X.join_parts([*parts, str(docs_here if not b else 0).encode()])
@@ -103,8 +133,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prior
     def reply(payloads: list[bytes]) -> list[bytes]:
         sent = [X.split_parts(p) for p in payloads]
         out: list[list[bytes]] = [[] for _ in sent]
-        facts = [sum(int(s[4]) for s in sent)]
-        for at in (0, 2):
+        facts = [sum(int(s[-1]) for s in sent)]
+        for at in range(0, 2 * (ORDER + 1), 2):
             keys, counts = [X.unsqueeze_sorted(s[at]) for s in sent], [X.read_values(s[at + 1]) for s in sent]
             every, place = np.unique(np.concatenate(keys), return_inverse=True)
             total = np.bincount(place, np.concatenate(counts), len(every)).astype(np.int64)
@@ -113,6 +143,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prior
             for k, mine in enumerate(keys):
                 out[k].append(X.send_values(total[place[n : n + len(mine)]] - counts[k]))
                 n += len(mine)
+            del keys, counts, every, place, total
         return [X.join_parts([*o, repr(facts).encode() if not k else b"[0, 0, 0]"]) for k, o in enumerate(out)]
 
     answers = storage.stored(X.answer(X.requests(docs, emit, block_bytes), reply))
@@ -120,20 +151,13 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prior
 
     def done(table: pa.Table, got: dict[int, bytes]) -> pa.Table:
         token, starts, trains = tokens(table)
-        state, arc = _grams(token, starts)
         parts = [X.split_parts(got[b]) for b in sorted(got)]
         found = []
-        for at, keys in enumerate((token, arc)):
+        for at, keys in enumerate((token, *_arcs(token, starts))):
             _, here, place = _distinct(keys, trains)
             found.append((here + np.concatenate([X.read_values(p[at]).astype(np.int64) for p in parts]))[place])
-        c_word, c_arc = found
-        c_state = np.empty_like(c_word)
-        c_state[1:] = c_word[:-1]
-        c_state[starts] = n_docs
-        p_word = (c_word + ADDED) / (n + ADDED * (distinct + 1))
-        by_arc = np.log10((c_arc + prior * p_word) / (c_state + prior))
-        by_failure = np.where(c_state > 0, np.log10(prior / (c_state + prior)), 0.0) + np.log10(p_word)
-        weight = np.where(c_arc > 0, by_arc, by_failure)
+        p_word = (found[0] + ADDED) / (n + ADDED * (distinct + 1))
+        weight = traverse(found, starts, p_word, n_docs, priors)
         ends = np.append(starts[1:], len(token))
         ids = table.column("doc_id").to_pylist()
         sums = lambda a: np.add.reduceat(a, starts) if len(starts) else np.zeros(0, a.dtype)
@@ -142,7 +166,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prior
                 "doc_id": table.column("doc_id"),
                 "held_out": pa.array([held_out(i) for i in ids], pa.bool_()),
                 "n_tokens": pa.array(ends - starts, pa.int64()),
-                "n_known": pa.array(sums((c_word > 0).astype(np.int64)), pa.int64()),
+                "n_known": pa.array(sums((found[0] > 0).astype(np.int64)), pa.int64()),
                 "train_tokens": pa.array([n] * len(ids), pa.int64()),
                 "base_score": pa.array(sums(np.log10(p_word)), pa.float64()),
                 "score": pa.array(sums(weight), pa.float64()),
@@ -159,7 +183,7 @@ def _totals(answers: DataFrame) -> tuple[int, int, int]:
         import json
 
         for b in batches:
-            facts = np.array([json.loads(X.split_parts(p)[2]) for p in b.column(0).to_pylist()], np.int64).reshape(-1, 3)
+            facts = np.array([json.loads(X.split_parts(p)[-1]) for p in b.column(0).to_pylist()], np.int64).reshape(-1, 3)
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in facts.T], ["d", "v", "n"])
 
     row = answers.select("payload").mapInArrow(run, "d long, v long, n long").agg(F.sum("d"), F.sum("v"), F.sum("n")).first()
