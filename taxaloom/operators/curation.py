@@ -18,7 +18,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions import text as T
 from ..functions import vocabulary as V
-from . import markup
+from . import markup, prompts, review
 from .validation import Slot, problems
 
 #: Characters of an article that a prompt holds; a model's context is bounded.
@@ -32,7 +32,7 @@ class Design(Enum):
 
 
 class Model(Protocol):
-    def complete(self, stage: str, prompt: str) -> dict: ...
+    def complete(self, stage: str, prompt: str) -> dict | str: ...
 
 
 class MockModel:
@@ -46,7 +46,7 @@ class MockModel:
 
 
 def ask(rows: DataFrame, stage: str, make: Callable[[], Model], prompt: str = "prompt") -> DataFrame:
-    """The rows with `answer`, the model's JSON for their prompt, and `failure`. One model serves a partition; a failing call fails its row only."""
+    """The rows with `answer`, the model's text or JSON for their prompt, and `failure`. One model serves a partition; a failing call fails its row only, a null prompt takes no call."""
     place, names = rows.columns.index(prompt), [*rows.columns, "answer", "failure"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -54,8 +54,13 @@ def ask(rows: DataFrame, stage: str, make: Callable[[], Model], prompt: str = "p
         for b in batches:
             answers, failures = [], []
             for p in b.column(place).to_pylist():
+                if p is None:
+                    answers.append(None)
+                    failures.append(None)
+                    continue
                 try:
-                    answers.append(json.dumps(model.complete(stage, p or "")))
+                    said = model.complete(stage, p)
+                    answers.append(said if isinstance(said, str) else json.dumps(said))
                     failures.append(None)
                 except Exception as e:  # noqa: BLE001  whatever a model raises belongs to its row
                     answers.append(None)
@@ -70,9 +75,7 @@ def resolved(studies: DataFrame, id_map: DataFrame) -> DataFrame:
     return studies.join(id_map.select("pmid", "pmcid"), "pmid", "left").withColumn("has_pmc", F.col("pmcid").isNotNull())
 
 
-STUDY_ANSWER, STUBS_ANSWER = "study_design array<string>", "experiments array<string>"
 EXPERIMENT_ANSWER = "body_site array<string>, condition array<string>, group_0_name string, group_1_name string, sequencing_type string, statistical_test array<string>, mht_correction boolean"
-TAXA_ANSWER = "taxa array<struct<taxon_name:string,direction:string,ncbi_id:bigint>>"
 RECORD = {"uid": Slot(required=True), "pmid": Slot("integer"), "title": Slot(), "journal": Slot(), "year": Slot("integer"), "doi": Slot(), "authors": Slot(many=True), "study_design": Slot(V.STUDY_DESIGN, many=True), "citation_mode": Slot(V.CITATION_MODE, required=True), "experiments": Slot(many=True)}
 
 
@@ -81,10 +84,11 @@ def curate(studies: DataFrame, id_map: DataFrame, documents: DataFrame, make: Ca
 
     documents: pmcid, xml, html. A study without full text, or whose text cannot be
     parsed, has an empty record. verify maps rows of names and proposed ids to
-    accepted ids; without it proposed ids are dropped, as none is confirmed. The split
-    designs keep only names that occur in the located artifact; the panel design also
-    drops names whose direction two rounds do not agree on. Records that are not
-    valid are still returned.
+    accepted ids (review.reconciled is one); without it proposed ids are dropped, as none
+    is confirmed. The split designs keep only names that occur in the located artifact;
+    the panel design has a reviewer read it again and settles what the two differ on
+    (review.panel). Answers may be wrapped in prose or fences, and an item that is not as
+    asked is left out alone. Records that are not valid are still returned.
     """
     found = resolved(studies, id_map)
     parsed = markup.parse_articles(documents, "pmcid")
@@ -92,19 +96,22 @@ def curate(studies: DataFrame, id_map: DataFrame, documents: DataFrame, make: Ca
     artifact = markup.located(F.coalesce("tables", F.array().cast(parsed.schema["tables"].dataType)), F.coalesce("figures", F.array().cast(parsed.schema["figures"].dataType)))
     base = article.withColumn("artifact", artifact).withColumn("artifact_text", F.concat_ws("\n", F.aggregate(F.coalesce("tables", F.array().cast(parsed.schema["tables"].dataType)), F.lit(""), lambda s, t: F.concat_ws("\n", s, T.table_text(t["label"], t["caption"], t["rows"]))), F.array_join(F.transform("figures", lambda f: f["legend"]), "\n")))
     text = base.where("has_pmc")
-    prompt = lambda said: F.concat(F.lit(said + "\n\n"), F.coalesce("full_text", F.lit("")))
-    study = ask(text.select("pmid", prompt("Which study design?").alias("prompt")), "study", make).select("pmid", F.array_distinct(F.filter(F.from_json("answer", STUDY_ANSWER)["study_design"], lambda x: x.isin(*V.STUDY_DESIGN))).alias("study_design"))
-    stubs = ask(text.select("pmid", prompt("Which experiments?").alias("prompt")), "segment", make).select("pmid", F.posexplode_outer(F.from_json("answer", STUBS_ANSWER)["experiments"]).alias("e", "stub")).where("e is not null")
+    asking = lambda rows, stage: ask(rows, stage, make)
+    of_text = F.coalesce("full_text", F.lit(""))
+    designs = F.filter(review.answered(F.col("answer"), "study_design", "string"), lambda x: x.isin(*V.STUDY_DESIGN))
+    study = asking(text.select("pmid", prompts.study(of_text, V.STUDY_DESIGN).alias("prompt")), "study").select("pmid", F.array_distinct(designs).alias("study_design"))
+    stubs = asking(text.select("pmid", prompts.segment(of_text).alias("prompt")), "segment").select("pmid", F.posexplode(review.answered(F.col("answer"), "experiments", "string")).alias("e", "stub"))
     with_text = stubs.join(text.select("pmid", "full_text", "artifact", "artifact_text"), "pmid")
-    fields = ask(with_text.select("pmid", "e", F.concat_ws("\n\n", F.lit("Describe the experiment:"), "stub", "full_text").alias("prompt")), "experiment", make).select("pmid", "e", F.from_json("answer", EXPERIMENT_ANSWER).alias("x"))
-    asked = ask(with_text.select("pmid", "e", "artifact", "artifact_text", F.concat_ws("\n\n", F.lit("Which taxa?"), "stub", "artifact_text").alias("prompt")), "taxa" if design is Design.FUSED_LEAN else "names", make)
-    taxa = asked.select("pmid", "e", "artifact", "artifact_text", F.posexplode(F.from_json("answer", TAXA_ANSWER)["taxa"]).alias("ord", "t")).select("pmid", "e", "artifact", "artifact_text", "ord", "t.*")
-    taxa = taxa.withColumn("direction", F.lower(F.btrim("direction"))).where(F.col("direction").isin("increased", "decreased") & (F.btrim("taxon_name") != ""))
-    if design is not Design.FUSED_LEAN:
+    fields = asking(with_text.select("pmid", "e", prompts.experiment(F.col("stub"), F.col("full_text")).alias("prompt")), "experiment").select("pmid", "e", T.loose_json(F.col("answer"), EXPERIMENT_ANSWER).alias("x"))
+    lean = design is Design.FUSED_LEAN
+    said = (prompts.taxa(F.col("stub"), F.col("artifact_text"), F.col("full_text")) if lean else prompts.names(F.col("stub"), F.col("artifact_text"))).alias("prompt")
+    named = lambda stage: asking(with_text.select("pmid", "e", "artifact", "artifact_text", said), stage).select("pmid", "e", "artifact", "artifact_text", F.posexplode(review.names_in(F.col("answer"))).alias("ord", "t")).select("pmid", "e", "artifact", "artifact_text", "ord", "t.*")
+    taxa = named("taxa" if lean else "names")
+    if not lean:
         taxa = taxa.where(F.contains(F.lower("artifact_text"), F.lower("taxon_name")))
     if design is Design.SPLIT_PANEL:
-        agree = taxa.groupBy("pmid", "e", F.lower("taxon_name").alias("k")).agg(F.count_distinct("direction").alias("n"))
-        taxa = taxa.withColumn("k", F.lower("taxon_name")).join(agree.where("n = 1"), ["pmid", "e", "k"], "left_semi").drop("k")
+        kept, _ = review.panel(taxa.drop("artifact"), named("review").drop("artifact"), ["pmid", "e"], asking)
+        taxa = kept.join(with_text.select("pmid", "e", "artifact"), ["pmid", "e"])
     taxa = verify(taxa) if verify else taxa.withColumn("ncbi_id", F.lit(None).cast("bigint"))
     from .curated import dedup_taxa
 

@@ -24,9 +24,12 @@ def schema() -> StructType:
 
 
 def read_dump(spark: SparkSession, path: str) -> DataFrame:
-    """The dump with row_idx, each row's place in the input. Lines that start with # are comments; cells may hold line breaks."""
-    options = {"header": True, "comment": "#", "multiLine": True, "quote": '"', "escape": '"', "encoding": "UTF-8"}
-    return with_order(spark.read.schema(schema()).options(**options).csv(path))
+    """The dump with row_idx, each row's place in the input. A banner line above the header is left out; cells may hold line breaks, and begin with #."""
+    rows = with_order(spark.read.schema(schema()).options(multiLine=True, quote='"', escape='"', encoding="UTF-8").csv(path))
+    header = (F.col(COLUMNS[0]) == COLUMNS[0]) & (F.col(COLUMNS[1]) == COLUMNS[1])
+    first = F.pmod(ORDER, F.lit(1 << 33)) == 0  # of its partition, which a file with line breaks in cells is
+    banner = F.startswith(COLUMNS[0], F.lit("#")) & (first | F.col(COLUMNS[1]).isNull())
+    return rows.where(~F.coalesce(header, F.lit(False)) & ~F.coalesce(banner, F.lit(False)))
 
 
 def read_table(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:

@@ -89,3 +89,14 @@ def test_loose_json(spark):
     frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, v string")
     got = [r.x.a if r.x else None for r in frame.select("i", T.loose_json(F.col("v"), "a int").alias("x")).orderBy("i").collect()]
     assert got == [1, 2, 3, None, None]
+
+
+@pytest.mark.parametrize("banner", ["# v1, of a day\n", ""])
+def test_only_the_banner_is_left_out(spark, tmp_path, banner):
+    rows = [dict.fromkeys(dump.COLUMNS, "NA") | {"BSDB ID": i, "Study": "S"} for i in ("# not a comment", "b/2")]
+    with open(tmp_path / "d.csv", "w", newline="") as f:
+        f.write(banner)
+        w = csv.DictWriter(f, dump.COLUMNS)
+        w.writeheader()
+        w.writerows(rows)
+    assert [r["BSDB ID"] for r in dump.read_dump(spark, str(tmp_path / "d.csv")).orderBy(dump.ORDER).collect()] == ["# not a comment", "b/2"]

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from taxaloom.operators import alignment, curated, curation, markup, scoring, sets, study_scores, taxonomy, validation
+from taxaloom.operators import alignment, curated, curation, markup, review, scoring, sets, study_scores, taxonomy, validation
 from taxaloom.sources import services, sinks, taxdump
 from taxaloom.streaming import events
 
@@ -157,7 +157,8 @@ def test_markup(spark):
 @pytest.mark.parametrize("design", list(curation.Design))
 def test_curation_with_a_mock_model(spark, design):
     taxa = [{"taxon_name": "LEfSe", "direction": "Increased", "ncbi_id": 7}, {"taxon_name": "lefse", "direction": "increased", "ncbi_id": None}, {"taxon_name": "Absent", "direction": "decreased"}, {"taxon_name": "Ages", "direction": "sideways"}]
-    answers = {"study": {"study_design": ["case-control", "no such"]}, "segment": {"experiments": ["one", "two"]}, "experiment": {"body_site": ["Feces"], "sequencing_type": "16S"}, "taxa": {"taxa": taxa}, "names": {"taxa": taxa}}
+    review = taxa[:1] + [{"taxon_name": "Recalled", "direction": "decreased"}, "malformed", {"taxon_name": "Ages", "direction": "increased"}]
+    answers = {"review": {"taxa": review}, "ground": 'Sure: ```json\n{"grounded": ["Ages"]}\n```', "study": {"study_design": ["case-control", "no such"]}, "segment": {"experiments": ["one", "two"]}, "experiment": {"body_site": ["Feces"], "sequencing_type": "16S"}, "taxa": {"taxa": taxa}, "names": {"taxa": taxa}}
     studies = spark.createDataFrame([("1",), ("2",)], "pmid string")
     id_map = spark.createDataFrame([("1", "P1")], "pmid string, pmcid string")
     docs = spark.createDataFrame([("P1", XML)], "pmcid string, xml string")
@@ -166,7 +167,43 @@ def test_curation_with_a_mock_model(spark, design):
     assert got["1"].valid and not got["2"].has_pmc and got["2"].valid
     assert record["study_design"] == ["case-control"] and len(record["experiments"]) == 2
     names = [[t["taxon_name"] for t in s["taxa"]] for s in record["experiments"][0]["signatures"]]
-    assert names == ([["LEfSe"], ["Absent"]] if design is curation.Design.FUSED_LEAN else [["LEfSe"]])
+    want = {curation.Design.FUSED_LEAN: [["LEfSe"], ["Absent"]], curation.Design.SPLIT_VERIFY: [["LEfSe"]], curation.Design.SPLIT_PANEL: [["LEfSe", "Ages"]]}[design]
+    assert [sorted(n, reverse=True) for n in names] == [sorted(n, reverse=True) for n in want]
+
+
+def test_panel_and_repair(spark):
+    """Directions by round, from a table: confirmed at once, flipped after two rounds, never settled, settled back on the claim."""
+    rounds = {"A": ["increased"], "B": ["decreased", "decreased"], "C": ["decreased", None, "increased"], "D": ["decreased", "increased", "increased"]}
+
+    class Scripted:
+        def complete(self, stage, prompt):
+            if stage == "ground":
+                return {"grounded": ["only e", "only r"]}
+            number, name = int(prompt.split("Round ")[1][0]), prompt.split("# taxon\n")[1][0]
+            return {"direction": rounds[name][number - 1]} if number <= len(rounds[name]) else "no idea"
+
+    asking = lambda rows, stage: curation.ask(rows, stage, Scripted)
+    kind = "k int, taxon_name string, direction string, ncbi_id bigint, ord int, artifact_text string"
+    claims = spark.createDataFrame([(1, n, "increased", 7, i, "text") for i, n in enumerate(rounds)], kind)
+    got = {r.taxon_name: (r.settled, r.changed) for r in review.repaired(claims, asking).collect()}
+    assert got == {"A": ("increased", False), "B": ("decreased", True), "C": (None, True), "D": ("increased", False)}
+    extracted = spark.createDataFrame([(1, "g__Same", "increased", 5, 0, "t"), (1, "B", "increased", 6, 1, "t"), (1, "C", "increased", 6, 2, "t"), (1, "only e", "decreased", 8, 3, "t"), (1, "lost", "decreased", 9, 4, "t")], kind)
+    reviewed = spark.createDataFrame([(1, "same", "increased", None, 0, "t"), (1, "B", "decreased", None, 1, "t"), (1, "C", "decreased", None, 2, "t"), (1, "only r", "increased", 3, 3, "t"), (1, "unsure", "increased", 3, 4, "t")], kind)
+    kept, flags = review.panel(extracted, reviewed, ["k"], asking)
+    assert sorted((r.taxon_name, r.direction, r.ncbi_id) for r in kept.collect()) == [("B", "decreased", 6), ("g__Same", "increased", 5), ("only e", "decreased", 8), ("only r", "increased", None)]
+    assert sorted(r.flag for r in flags.collect()) == ["direction not settled: C", "not confirmed: lost"]
+    assert {r.name_norm: r.verdict for r in review.verdicts(extracted, reviewed, ["k"]).collect()}["b"] == "repair"
+
+
+def test_reconciled(spark):
+    class Chooser:
+        def complete(self, stage, prompt):
+            return 'I think {"ncbi_id": 12}' if "Twice" in prompt else {"ncbi_id": 99}
+
+    names = spark.createDataFrame([("Once", "t"), ("g__Twice", "t"), ("Thrice", "t"), ("Never", "t")], "taxon_name string, artifact_text string")
+    taxa = spark.createDataFrame([("once", 1), ("twice", 11), ("twice", 12), ("thrice", 21), ("thrice", 22)], "name_norm string, tax_id bigint")
+    got = review.reconciled(names, taxa, spark.createDataFrame([(12, 13)], "old_tax_id bigint, new_tax_id bigint"), lambda rows, stage: curation.ask(rows, stage, Chooser))
+    assert {r.taxon_name: (r.ncbi_id, r.disambiguated) for r in got.collect()} == {"Once": (1, False), "g__Twice": (13, True), "Thrice": (None, False), "Never": (None, False)}
 
 
 def test_a_failing_call_fails_its_row(spark):
