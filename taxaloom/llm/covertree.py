@@ -179,8 +179,12 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     rows = vectors.select(vectors[id_col].cast("long").alias("vec_id"), vectors[vector_col].cast("array<double>").alias("vector"), vectors[label_col].alias("label"))
     finite = F.forall("vector", lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False)))
+    largest = F.coalesce(F.array_max(F.transform("vector", lambda x: F.abs(x))), F.lit(0.0))
     norm = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x)
-    valid = F.col("label").isNotNull() & F.col("vector").isNotNull() & finite & (norm > 0) & (norm < float("inf"))
+    valid = F.col("label").isNotNull() & F.col("vector").isNotNull() & finite & (largest > 0)
+    # Squares that would leave the range of doubles are taken of the vector over its largest component, which has the same direction.
+    in_range = (norm > 1e-280) & (norm < 1e280)
+    rows = rows.withColumn("vector", F.when(~valid | in_range, F.col("vector")).otherwise(F.transform("vector", lambda x: x / largest)))
     points = rows.where(valid).groupBy("label", "vector").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies"))
     points = storage.stored(points.withColumn("node", F.monotonically_increasing_id()))
     sized = points.withColumn("dim", F.size("vector"))

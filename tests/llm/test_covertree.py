@@ -62,3 +62,9 @@ def test_covering_radii_hold():
 
 def test_empty_table(spark):
     assert covertree.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
+
+
+def test_tiny_and_huge_vectors(spark):
+    rows = [(1, [1e-200, 1e-200], 0), (2, [2e-200, 2e-200], 0), (3, [1e200, 1e200], 0), (4, [3.0, 3.0], 0), (5, [1e-200, -1e-200], 0), (6, [0.0, 0.0], 0)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in covertree.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {1: (3, 1), 2: (3, 1), 3: (3, 1), 4: (3, 1), 5: (0, 5), 6: (0, 6)}
