@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,6 +18,10 @@ SIMILARITY = 0.98
 BLOCK = 2048
 #: A node of at most so many points has no levels below it.
 LEAF = 12
+#: Balls of a cover tree opened at once.
+OPENED = 256
+#: Links held before they are merged into components.
+HELD = 1 << 18
 #: Slack for rounding in bounds; pairs within it are compared one by one.
 SLACK = 1e-7
 
@@ -30,126 +35,164 @@ class Node:
 
 
 def tree(unit: np.ndarray) -> Node:
-    """A cover tree of unit vectors: each level's balls have half the radius of the level above and cover their node."""
+    """A cover tree of unit vectors: each level's balls have half the radius of the level above and cover their node.
+
+    A point of a node opens a ball unless an earlier ball covers it. Balls are opened
+    from the next points in order, many at a time, so that distances are matrix products.
+    """
     top = Node(0, 0.0, np.arange(len(unit)), [])
-    top.radius = float(_far(unit, 0, top.points).max())
+    top.radius = float(_far(unit, np.zeros(1, np.int64), top.points).max())
     todo = [top]
     while todo:
         node = todo.pop()
         if len(node.points) <= LEAF or node.radius <= SLACK:
             continue
-        left, centre, reach = node.points, node.centre, node.radius / 2
+        left, centres, reach = node.points, np.array([node.centre]), node.radius / 2
         while len(left):
-            d = _far(unit, centre, left)
+            if not len(node.children):
+                left = np.concatenate([centres, left[left != node.centre]])
+            centres = left[:OPENED]
+            covers = _far(unit, centres, centres) <= reach
+            opens: list[int] = []
+            for k in range(len(centres)):
+                if not covers[opens, k].any():
+                    opens.append(k)
+            d = _far(unit, centres[opens], left)
             near = d <= reach
-            child = Node(centre, float(d[near].max()), left[near], [])
-            node.children.append(child)
-            todo.append(child)
-            left = left[~near]
-            centre = int(left[0]) if len(left) else centre
+            near[np.arange(len(opens)), opens] = True
+            owner = np.where(near.any(axis=0), near.argmax(axis=0), len(opens))
+            order = np.argsort(owner, kind="stable")
+            ends = np.searchsorted(owner[order], np.arange(len(opens) + 1))
+            for k in range(len(opens)):
+                of = order[ends[k] : ends[k + 1]]
+                child = Node(int(centres[opens[k]]), float(d[k, of].max()) if len(of) > 1 else 0.0, left[of], [])
+                node.children.append(child)
+                if len(of) > LEAF:
+                    todo.append(child)
+            left = left[np.sort(order[ends[-1] :])]
     return top
 
 
-def _far(unit: np.ndarray, centre: int, points: np.ndarray) -> np.ndarray:
-    return np.sqrt(np.maximum(2 - 2 * (unit[points] @ unit[centre]), 0))
+def _far(unit: np.ndarray, centres: np.ndarray, points: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum(2 - 2 * (unit[centres] @ unit[points].T), 0))
 
 
-def _below(node: Node) -> tuple[np.ndarray, np.ndarray, list[Node] | None]:
-    """Centres and radii one level down; a node without levels gives its points."""
+def _below(node: Node) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[Node] | None]:
+    """Centres, radii and numbers of points one level down; a node without levels gives its points."""
     if not node.children:
-        return node.points, np.zeros(len(node.points)), None
-    return np.array([c.centre for c in node.children]), np.array([c.radius for c in node.children]), node.children
+        n = len(node.points)
+        return node.points, np.zeros(n), np.ones(n, np.int64), None
+    below = node.children
+    return np.array([c.centre for c in below]), np.array([c.radius for c in below]), np.array([len(c.points) for c in below]), below
 
 
-def links(raw_a: np.ndarray, tree_a: Node, raw_b: np.ndarray, tree_b: Node, similarity: float) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Groups of (places in a, places in b) in which each of one links with each of the other.
+def links(raw_a: np.ndarray, tree_a: Node, raw_b: np.ndarray, tree_b: Node, similarity: float) -> Iterator[tuple[bool, np.ndarray, np.ndarray]]:
+    """(False, x, y): x[k] in a links with y[k] in b for each k. (True, x, y): each of x links with each of y.
 
     A pair of nodes is left when its centres lie farther apart than both radii and the
-    threshold's distance allow; it is taken whole when even its farthest points are near enough.
+    threshold's distance allow; it is taken whole when even its farthest points are near
+    enough. Single points are compared at once.
     """
     bound = np.sqrt(2 - 2 * similarity)
     norm_a, norm_b = np.linalg.norm(raw_a, axis=1), np.linalg.norm(raw_b, axis=1)
     unit_a, unit_b = raw_a / norm_a[:, None], raw_b / norm_b[:, None]
-    out, todo = [], [(tree_a, tree_b)]
+    todo = [(tree_a, tree_b)]
     while todo:
         a, b = todo.pop()
-        (ca, ra, below_a), (cb, rb, below_b) = _below(a), _below(b)
+        (ca, ra, na, below_a), (cb, rb, nb, below_b) = _below(a), _below(b)
         d = np.sqrt(np.maximum(2 - 2 * (unit_a[ca] @ unit_b[cb].T), 0))
         reach = ra[:, None] + rb[None, :]
         i, j = np.nonzero(d <= bound + reach + SLACK)
-        points = (ra[i] == 0) & (rb[j] == 0)
         near = d[i, j] + reach[i, j] < bound - SLACK
+        single = (na[i] == 1) & (nb[j] == 1)
+        yield False, ca[i[single & near]], cb[j[single & near]]
+        doubt = single & ~near
+        x, y = ca[i[doubt]], cb[j[doubt]]
+        cos = np.einsum("ij,ij->i", raw_a[x], raw_b[y]) / (norm_a[x] * norm_b[y])
+        yield False, x[cos >= similarity], y[cos >= similarity]
         of = lambda below, k, c: below[k] if below else Node(int(c[k]), 0.0, c[k : k + 1], [])
-        single_a, single_b = below_a is None, below_b is None
-        sure = near & (points if single_a and single_b else False)
-        if single_a and single_b:
-            doubt = ~sure
-            x, y = ca[i[doubt]], cb[j[doubt]]
-            cos = np.einsum("ij,ij->i", raw_a[x], raw_b[y]) / (norm_a[x] * norm_b[y])
-            yes = cos >= similarity
-            pairs = np.concatenate([np.stack([ca[i[sure]], cb[j[sure]]]), np.stack([x[yes], y[yes]])], axis=1)
-            out += [(pairs[0, k : k + 1], pairs[1, k : k + 1]) for k in range(pairs.shape[1])] if pairs.shape[1] < 4 else [(pairs[0], pairs[1], None)]
-            continue
-        for k in range(len(i)):
-            na, nb = of(below_a, i[k], ca), of(below_b, j[k], cb)
-            if near[k]:
-                out.append((na.points, nb.points))
-            else:
-                todo.append((na, nb))
-    return out
+        rest = np.flatnonzero(~single)
+        rows, starts = np.unique(i[rest], return_index=True)
+        # What one node meets is taken together: nodes wholly near it, and nodes without levels, whose points are looked at.
+        for row, ks in zip(rows, np.split(rest, starts[1:]), strict=False):
+            node_a = of(below_a, row, ca)
+            sure = [of(below_b, k, cb).points for k in j[ks[near[ks]]]]
+            if sure:
+                yield True, node_a.points, np.concatenate(sure)
+            others = [of(below_b, k, cb) for k in j[ks[~near[ks]]]]
+            todo += [(node_a, other) for other in others if other.children]
+            points = [other.points for other in others if not other.children]
+            if points:
+                todo.append((node_a, Node(int(points[0][0]), 0.0, np.concatenate(points), [])))
+
+
+class Forest:
+    """Components of points, by the smallest of each; links are taken in as arrays."""
+
+    def __init__(self, n: int) -> None:
+        self.root, self.held, self.size = np.arange(n), [], 0
+
+    def add(self, x: np.ndarray, y: np.ndarray) -> None:
+        self.held.append((x, y))
+        self.size += len(x)
+        if self.size > HELD:
+            self.merge()
+
+    def merge(self) -> None:
+        if self.held:
+            x, y = (np.concatenate(side) for side in zip(*self.held, strict=True))
+            self.held, self.size = [], 0
+            while True:
+                p, q = self.root[x], self.root[y]
+                apart = p != q
+                if not apart.any():
+                    break
+                x, y, p, q = x[apart], y[apart], p[apart], q[apart]
+                np.minimum.at(self.root, np.maximum(p, q), np.minimum(p, q))
+                while (self.root != (up := self.root[self.root])).any():
+                    self.root = up
 
 
 def _pairs_task(similarity: float):
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("block")
         blocks = np.unique(table.column("block").to_numpy())
+        same = table.column("low")[0].as_py() == table.column("high")[0].as_py()
+        if not same and len(blocks) < 2:
+            return _rows(*[np.zeros(0, np.int64)] * 3)
         sides = []
         for b in blocks:
             part = table.filter(pa.compute.equal(table.column("block"), int(b)))
-            raw = np.array(part.column("vector").to_pylist(), np.float64)
+            vectors = part.column("vector").combine_chunks()
+            raw = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), -1)
             sides.append((part.column("node").to_numpy(), part.column("copies").to_numpy(), raw, tree(raw / np.linalg.norm(raw, axis=1)[:, None])))
-        same = table.column("low")[0].as_py() == table.column("high")[0].as_py()
-        if not same and len(sides) < 2:
-            return _rows(*[np.zeros(0, np.int64)] * 3)
         (node_a, copies_a, raw_a, tree_a), (node_b, copies_b, raw_b, tree_b) = sides[0], sides[-1]
         count_a, count_b = np.zeros(len(node_a), np.int64), np.zeros(len(node_b), np.int64)
-        parent = np.arange(len(node_a) + (0 if same else len(node_b)))
         shift = 0 if same else len(node_a)
-
-        def root(x: int) -> int:
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
-        for found in links(raw_a, tree_a, raw_b, tree_b, similarity):
-            x, y = found[0], found[1]
-            if len(found) == 3:  # pairs, place by place
-                keep = x != y if same else np.ones(len(x), bool)
-                x, y = x[keep], y[keep]
-                np.add.at(count_a, x, copies_b[y])
-                if not same:
-                    np.add.at(count_b, y, copies_a[x])
-                for p, q in zip(x.tolist(), y.tolist(), strict=True):
-                    if (r := root(p)) != (s := root(q + shift)):
-                        parent[max(r, s)] = min(r, s)
+        forest = Forest(len(node_a) if same else len(node_a) + len(node_b))
+        for whole, x, y in links(raw_a, tree_a, raw_b, tree_b, similarity):
+            if whole:
+                count_a[x] += copies_b[y].sum()
+                if same:
+                    both = np.intersect1d(x, y)
+                    count_a[both] -= copies_a[both]
+                else:
+                    count_b[y] += copies_a[x].sum()
+                forest.add(x, np.full(len(x), y[0] + shift))
+                forest.add(np.full(len(y), x[0]), y + shift)
                 continue
-            count_a[x] += copies_b[y].sum()
             if same:
-                both = np.intersect1d(x, y)
-                count_a[both] -= copies_a[both]
-            else:
-                count_b[y] += copies_a[x].sum()
-            first = root(int(x[0]))
-            for p in [*x.tolist(), *(y + shift).tolist()]:
-                if (r := root(p)) != first:
-                    parent[max(r, first)] = min(r, first)
-                    first = min(r, first)
+                x, y = x[x != y], y[x != y]
+            if not len(x):
+                continue
+            count_a += np.bincount(x, copies_b[y], len(count_a)).astype(np.int64)
+            if not same:
+                count_b += np.bincount(y, copies_a[x], len(count_b)).astype(np.int64)
+            forest.add(x, y + shift)
+        forest.merge()
         node = node_a if same else np.concatenate([node_a, node_b])
         count = count_a if same else np.concatenate([count_a, count_b])
-        roots = np.array([root(k) for k in range(len(parent))], np.int64)
         linked = count > 0
-        return _rows(node[linked], count[linked], node[roots[linked]])
+        return _rows(node[linked], count[linked], node[forest.root[linked]])
 
     return run
 
