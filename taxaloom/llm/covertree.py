@@ -16,6 +16,8 @@ from .exchange import BATCH_BYTES
 SIMILARITY = 0.98
 #: Vectors in a block; each block has a tree of its own.
 BLOCK = 2048
+#: Cells that all vectors of one length are dealt into, at most; their centres, a sample of so many vectors, go to every task.
+CELLS = 256
 #: A node of at most so many points has no levels below it.
 LEAF = 12
 #: Balls of a cover tree opened at once.
@@ -197,6 +199,66 @@ def _pairs_task(similarity: float):
     return run
 
 
+def _deal(pivots: dict[int, np.ndarray], similarity: float):
+    """Rows (label, dim, node, copies, vector, cells) as (label, dim, node, copies, vector, cell, guest).
+
+    A vector lives in the cell of the nearest of the first `cells` centres. It is also a
+    guest in each cell of a lesser number in which a link of it may live: such a link lies
+    beyond the plane midway between both centres, so that plane must be within the
+    threshold's distance.
+    """
+    reach = np.sqrt(2 - 2 * similarity) + SLACK
+
+    def one(batch: pa.RecordBatch, dim: int, cells: int, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        centres = pivots[dim][:cells]
+        raw = batch.column("vector").take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+        along = (raw / np.linalg.norm(raw, axis=1)[:, None]) @ centres.T
+        home = along.argmax(axis=1)
+        apart = np.sqrt(np.maximum(2 - 2 * centres @ centres.T, 0))
+        visits = (along[np.arange(len(rows)), home][:, None] - along <= reach * apart[home] + SLACK) & (np.arange(len(centres)) < home[:, None])
+        who, where = np.nonzero(visits)
+        return np.concatenate([rows, rows[who]]), np.concatenate([home, where]), np.concatenate([np.zeros(len(rows), bool), np.ones(len(who), bool)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dims, cells = batch.column("dim").to_numpy(), batch.column("cells").to_numpy()
+            for dim, n in np.unique(np.stack([dims, cells]), axis=1).T.tolist() if batch.num_rows else []:
+                rows = np.flatnonzero((dims == dim) & (cells == n))
+                if n > 1 and dim in pivots:
+                    rows, cell, guest = one(batch, dim, n, rows)
+                else:
+                    cell, guest = np.zeros(len(rows), np.int64), np.zeros(len(rows), bool)
+                out = batch.select(["label", "dim", "node", "copies", "vector"]).take(pa.array(rows))
+                yield pa.RecordBatch.from_arrays([*out.columns, pa.array(cell, pa.int32()), pa.array(guest)], [*out.schema.names, "cell", "guest"])
+
+    return run
+
+
+def _meeting(points: DataFrame, similarity: float, block: int) -> DataFrame:
+    """A row of each point for each two blocks (low, high) of a cell that it takes part in."""
+    sized = points.withColumn("dim", F.size("vector"))
+    cells = F.least(F.ceil(F.count("*") / block), F.lit(CELLS)).cast("int")
+    sized = sized.join(sized.groupBy("label", "dim").agg(cells.alias("cells")), ["label", "dim"])
+    pivots: dict[int, list] = {}
+    for row in points.orderBy(F.xxhash64("vector", "node")).limit(CELLS).select("vector").collect():
+        pivots.setdefault(len(row.vector), []).append(row.vector)
+    units = {dim: np.array(v) / np.linalg.norm(np.array(v), axis=1)[:, None] for dim, v in pivots.items()}
+    kind = points.schema["label"].dataType.simpleString()
+    schema = f"label {kind}, dim int, node long, copies long, vector array<double>, cell int, guest boolean"
+    dealt = sized.select("label", "dim", "node", "copies", "vector", "cells").mapInArrow(_deal(units, similarity), schema)
+    # Blocks of the cell's own vectors come first; each meets itself, the later ones, and the blocks of guests.
+    blocks = lambda who: F.ceil(F.count_if(who) / block).cast("int")
+    n_blocks = dealt.groupBy("label", "dim", "cell").agg(blocks(~F.col("guest")).alias("own"), blocks(F.col("guest")).alias("guests")).where("own > 0")
+    placed = dealt.join(n_blocks, ["label", "dim", "cell"])
+    hashed = F.xxhash64("node")
+    placed = placed.withColumn("block", F.when(F.col("guest"), F.col("own") + F.pmod(hashed, F.col("guests"))).otherwise(F.pmod(hashed, F.col("own"))).cast("int"))
+    last = F.when(F.col("guest"), F.col("own")).otherwise(F.col("own") + F.col("guests")) - 1
+    meeting = placed.select("label", "dim", "cell", "node", "copies", "vector", "block", F.explode(F.sequence(F.lit(0), last)).alias("other"))
+    meeting = meeting.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")}).drop("other")
+    # Without this, the join's dealing by cell alone would serve, and put all pairs of blocks of a cell in one task.
+    return meeting.repartition("label", "dim", "cell", "low", "high")
+
+
 def _rows(node: np.ndarray, count: np.ndarray, to: np.ndarray) -> pa.Table:
     return pa.table({"node": pa.array(node, pa.int64()), "n": pa.array(count, pa.int64()), "to": pa.array(to, pa.int64())})
 
@@ -204,13 +266,16 @@ def _rows(node: np.ndarray, count: np.ndarray, to: np.ndarray) -> pa.Table:
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
     """vec_id, n_links (other vectors of the same label with cosine >= similarity), component_id, kept.
 
-    Equal vectors of a label are one point with a number of copies. A label's points
-    are dealt into blocks of bounded size, so that no label is gathered whole; each
-    two blocks meet once, and their trees are traversed together. A task gives back
-    counts and a spanning forest of its links, never the pairs, so that a cluster of
-    thousands costs rows in proportion to it. Exact comparison of unstructured
-    high-dimensional vectors stays quadratic in a label's points; trees spare the
-    comparisons that the covering radii rule out.
+    Equal vectors of a label are one point with a number of copies. A label of more than
+    `block` points is dealt into cells around sampled centres (the top level of its cover
+    tree), and a vector also visits the cells in which its links may live. A cell's points
+    and guests are dealt into blocks of bounded size, so that neither a label nor a cell is
+    gathered whole; each two blocks meet once, and their trees are traversed together. A
+    task gives back counts and a spanning forest of its links, never the pairs, so that a
+    cluster of thousands costs rows in proportion to it. The sample of centres decides
+    what is compared, never what is found. Exact comparison of unstructured
+    high-dimensional vectors stays quadratic in a label's points; cells and trees spare
+    the comparisons that planes and covering radii rule out.
 
     Vectors that are null, zero, hold null or non-finite components, or have no label
     link with nothing: no links, a component of their own. Vectors of different length
@@ -230,13 +295,8 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     rows = rows.withColumn("vector", F.when(~valid | in_range, F.col("vector")).otherwise(F.transform("vector", lambda x: x / largest)))
     points = rows.where(valid).groupBy("label", "vector").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies"))
     points = storage.stored(points.withColumn("node", F.monotonically_increasing_id()))
-    sized = points.withColumn("dim", F.size("vector"))
-    n_blocks = sized.groupBy("label", "dim").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    dealt = sized.join(n_blocks, ["label", "dim"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    meeting = dealt.select("label", "dim", "node", "copies", "vector", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")}).drop("other")
-    # Without this, the join's dealing by label alone would serve, and put all pairs of blocks of a label in one task.
-    meeting = meeting.repartition("label", "dim", "low", "high")
-    found = storage.stored(meeting.groupBy("label", "dim", "low", "high").applyInArrow(_pairs_task(similarity), "node long, n long, to long"))
+    meeting = _meeting(points, similarity, block)
+    found = storage.stored(meeting.groupBy("label", "dim", "cell", "low", "high").applyInArrow(_pairs_task(similarity), "node long, n long, to long"))
     joined = graph.components(found.select(F.col("node").alias("a"), F.col("to").alias("b")))
     counts = found.groupBy("node").agg(F.sum("n").alias("n"))
     of_point = points.join(counts, "node", "left").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))

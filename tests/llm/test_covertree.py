@@ -68,3 +68,19 @@ def test_tiny_and_huge_vectors(spark):
     rows = [(1, [1e-200, 1e-200], 0), (2, [2e-200, 2e-200], 0), (3, [1e200, 1e200], 0), (4, [3.0, 3.0], 0), (5, [1e-200, -1e-200], 0), (6, [0.0, 0.0], 0)]
     got = {r.vec_id: (r.n_links, r.component_id) for r in covertree.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
     assert got == {1: (3, 1), 2: (3, 1), 3: (3, 1), 4: (3, 1), 5: (0, 5), 6: (0, 6)}
+
+
+def test_cells_keep_every_link_and_spare_far_clusters(spark):
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(8, 16))
+    near, far = rng.choice([0.02, 0.2, 1.0], size=(400, 1)), rng.normal(size=(400, 16))
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(centres[rng.integers(8, size=400)] + near * far * 0.3)]
+    points = spark.createDataFrame([(0, v, i, 1, i) for i, v, _ in rows], "label int, vector array<double>, first long, copies long, node long")
+    dealt = covertree._meeting(points, 0.98, 20).select("node", "cell", "low", "high").collect()
+    together = {}
+    for r in dealt:
+        together.setdefault((r.cell, r.low, r.high), []).append(r.node)
+    assert max(map(len, together.values())) <= 100
+    assert sum(len(v) ** 2 for v in together.values()) < 400**2  # each two blocks would be over twice as much
+    got = sorted((tuple(r) for r in covertree.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), block=20).select("vec_id", "n_links", "component_id", "kept").collect()), key=str)
+    assert got == brute(rows)
