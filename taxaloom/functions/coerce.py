@@ -82,13 +82,13 @@ def region_bounds(v: Column) -> tuple[Column, Column]:
 
 
 def human_size(n: Column) -> Column:
-    """Bytes with a unit, in steps of 1024."""
+    """Bytes with a unit, in steps of 1024; a tie in the last digit goes to the even one."""
     x = n.cast("double")
     return (
         F.when(x < 1024, F.concat(n.cast("bigint").cast("string"), F.lit(" B")))
-        .when(x < 1024**2, F.format_string("%.1f KB", x / 1024))
-        .when(x < 1024**3, F.format_string("%.1f MB", x / 1024**2))
-        .otherwise(F.format_string("%.1f GB", x / 1024**3))
+        .when(x < 1024**2, F.format_string("%.1f KB", F.bround(x / 1024, 1)))
+        .when(x < 1024**3, F.format_string("%.1f MB", F.bround(x / 1024**2, 1)))
+        .otherwise(F.format_string("%.1f GB", F.bround(x / 1024**3, 1)))
     )
 
 
