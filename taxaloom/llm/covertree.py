@@ -286,13 +286,12 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     rows = vectors.select(vectors[id_col].cast("long").alias("vec_id"), vectors[vector_col].cast("array<double>").alias("vector"), vectors[label_col].alias("label"))
-    finite = F.forall("vector", lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False)))
-    largest = F.coalesce(F.array_max(F.transform("vector", lambda x: F.abs(x))), F.lit(0.0))
-    norm = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x)
-    valid = F.col("label").isNotNull() & F.col("vector").isNotNull() & finite & (largest > 0)
-    # Squares that would leave the range of doubles are taken of the vector over its largest component, which has the same direction.
-    in_range = (norm > 1e-280) & (norm < 1e280)
-    rows = rows.withColumn("vector", F.when(~valid | in_range, F.col("vector")).otherwise(F.transform("vector", lambda x: x / largest)))
+    # Nulls count as infinite; NaN is greater than any number.
+    largest = F.array_max(F.transform("vector", lambda x: F.coalesce(F.abs(x), F.lit(float("inf")))))
+    valid = F.coalesce(F.col("label").isNotNull() & (largest > 0) & (largest < float("inf")), F.lit(False))
+    # Where squares might leave the range of doubles, the vector over its largest component, which has the same direction, is taken.
+    in_range = (largest > 1e-100) & (largest < 1e100)
+    rows = rows.withColumn("vector", F.when(valid & ~in_range, F.transform("vector", lambda x: x / largest)).otherwise(F.col("vector")))
     points = rows.where(valid).groupBy("label", "vector").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies"))
     points = storage.stored(points.withColumn("node", F.monotonically_increasing_id()))
     meeting = _meeting(points, similarity, block)
@@ -303,5 +302,5 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     names = of_point.groupBy("component").agg(F.min("first").alias("component_id"))
     known = of_point.join(names, "component").select("label", "vector", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
     good = rows.where(valid).join(known, ["label", "vector"]).select("vec_id", "n_links", "component_id")
-    alone = rows.where(~F.coalesce(valid, F.lit(False))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    alone = rows.where(~valid).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return good.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
