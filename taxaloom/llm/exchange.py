@@ -211,9 +211,14 @@ def finish(state: DataFrame, answers: DataFrame, done: Callable[[pa.Table, dict[
     return state.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)
 
 
-def texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The two columns that blocks carry; other columns, whatever their names, stay behind."""
-    conf = docs.sparkSession.conf
+def bound_batches(df: DataFrame) -> None:
+    """Sets a bound on the bytes of Arrow batches where the session names none."""
+    conf = df.sparkSession.conf
     if conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
         conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The two columns that blocks carry; other columns, whatever their names, stay behind."""
+    bound_batches(docs)
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
