@@ -172,6 +172,17 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
     return X.finish(X.states(docs, block_bytes), answers, done, SCHEMA)
 
 
+def block_ids(table: pa.Table, tokenizer, added: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The token ids of a block's texts in a row, and where each text ends; each distinct word of the block is encoded once."""
+    words, place, per_doc = _split(table, added)
+    ids: list[np.ndarray] = []
+    for at in range(0, len(words), 20_000):
+        ids += [np.array(e.ids, np.uint32) for e in tokenizer.encode_batch(words.slice(at, 20_000).to_pylist(), add_special_tokens=False)]
+    counts = np.fromiter(map(len, ids), np.int64, len(ids))
+    flat = _gather(np.concatenate(ids) if ids else np.zeros(0, np.uint32), counts, place)
+    return flat, np.concatenate([[0], np.cumsum(counts[place])])[np.cumsum(per_doc)].astype(np.int64)
+
+
 def _gather(flat: np.ndarray, counts: np.ndarray, place: np.ndarray) -> np.ndarray:
     """The rows at these places of a ragged table, in a row."""
     starts, n = (np.cumsum(counts) - counts)[place], counts[place]

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, covertree, decontaminate, main_text, ngram_lm, pii, secrets, simhash, substrings, toxicity
+from . import bpe, covertree, decontaminate, filter_audit, main_text, ngram_lm, packing, pii, secrets, simhash, substrings, toxicity, whitening
 
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+END_OF_DOCUMENT = 2
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,7 +61,19 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_lm.score(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_embedding_dedup": op1_embedding_dedup, "op2_substring_dedup": op2_substring_dedup, "op3_secrets": op3_secrets, "op4_bpe": op4_bpe, "op5_simhash": op5_simhash, "op6_pii": op6_pii, "op7_decontaminate": op7_decontaminate, "op8_main_text": op8_main_text, "op9_toxicity": op9_toxicity, "op10_lm_score": op10_lm_score}
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), TOKENIZER, END_OF_DOCUMENT)
+
+
+QUERIES = {"op1_embedding_dedup": op1_embedding_dedup, "op2_substring_dedup": op2_substring_dedup, "op3_secrets": op3_secrets, "op4_bpe": op4_bpe, "op5_simhash": op5_simhash, "op6_pii": op6_pii, "op7_decontaminate": op7_decontaminate, "op8_main_text": op8_main_text, "op9_toxicity": op9_toxicity, "op10_lm_score": op10_lm_score, "op11_filter_audit": op11_filter_audit, "op12_whitening": op12_whitening, "op13_packing": op13_packing}
 ORACLES = {
     "op1_embedding_dedup": """WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, label FROM embeddings WHERE label IS NOT NULL),
       l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
@@ -76,4 +90,18 @@ ORACLES = {
       x AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, w FROM d),
       t AS (SELECT x.doc_id, string_agg(w[x.i], ' ' ORDER BY x.i) AS kept FROM x ANTI JOIN gone ON x.doc_id = gone.doc_id AND x.i = gone.i GROUP BY 1)
       SELECT j.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(n AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM j LEFT JOIN t USING (doc_id)""",
+    "op11_filter_audit": r"""WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+      l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY 1),
+      f AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, concat(CASE WHEN len(w) < 200 THEN 'A' ELSE '' END, CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END,
+        CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t) THEN 'C' ELSE '' END, CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END,
+        CASE WHEN d.doc_id > min(d.doc_id) OVER (PARTITION BY t) THEN 'E' ELSE '' END) AS code FROM d LEFT JOIN l USING (doc_id)),
+      c AS (SELECT part, code, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY ALL),
+      x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+      o AS (SELECT concat(a.x, b.x, c.x, d.x, e.x) AS filter_order FROM x a, x b, x c, x d, x e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+      s AS (SELECT filter_order, CAST(step AS INTEGER) AS step, substr(filter_order, step, 1) AS letter, left(filter_order, step - 1) AS earlier FROM o, unnest(range(1, 6)) AS r(step)),
+      j AS (SELECT *, contains(code, letter) AS fails, length(translate(code, earlier, '')) < length(code) AS gone FROM c, s),
+      g AS (SELECT part, filter_order, step, letter, CAST(coalesce(sum(n) FILTER (NOT fails AND NOT gone), 0) AS BIGINT) AS kept, CAST(coalesce(sum(n) FILTER (fails AND NOT gone), 0) AS BIGINT) AS removed,
+        CAST(coalesce(sum(n) FILTER (fails AND gone), 0) AS BIGINT) AS redundant, CAST(coalesce(sum(n) FILTER (code = letter), 0) AS BIGINT) AS unique_fails,
+        CAST(coalesce(sum(good) FILTER (fails AND NOT gone), 0) AS BIGINT) AS good_lost, CAST(coalesce(sum(toxic) FILTER (fails AND NOT gone), 0) AS BIGINT) AS toxic_lost FROM j GROUP BY ALL)
+      SELECT * EXCLUDE (letter), CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley FROM g""",
 }
