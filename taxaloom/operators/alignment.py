@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -60,6 +63,22 @@ def assign(weights: np.ndarray) -> list[int]:
     return out
 
 
+def _above(weights: np.ndarray, floor: float) -> list[int]:
+    """The column of each row in the best assignment, -1 where there is none or it weighs less than the floor."""
+    return [j if j >= 0 and weights[i, j] >= floor else -1 for i, j in enumerate(assign(weights))]
+
+
+def best(matrix: Column, floor: float) -> Column:
+    """For each row of a matrix (array<array<double>>) its column in the best assignment, or -1; a matrix to a row of the table, many to a batch."""
+
+    @F.pandas_udf("array<int>")
+    def run(matrices: pd.Series) -> pd.Series:
+        weights = (np.array([list(r) for r in m], np.float64) if m is not None and len(m) else np.zeros((0, 0)) for m in matrices)
+        return pd.Series([_above(w, floor) if w.size else [-1] * len(w) for w in weights], dtype=object)
+
+    return run(matrix)
+
+
 def align(scores: DataFrame, by: list[str], floor: float) -> DataFrame:
     """The pairs of the best assignment whose score reaches the floor: by, p, g, score.
 
@@ -67,18 +86,29 @@ def align(scores: DataFrame, by: list[str], floor: float) -> DataFrame:
     Groups are a study's experiments or an experiment's signatures, at most a few
     hundred on a side, and are dealt over the cluster by their key.
     """
-    fields = scores.select(*by, "p", "g", "score").schema
-
-    def run(table: pa.Table) -> pa.Table:
-        p, g, s = (table.column(c).to_numpy() for c in ("p", "g", "score"))
-        ps, gs = np.unique(p), np.unique(g)
-        weights = np.zeros((len(ps), len(gs)))
-        weights[np.searchsorted(ps, p), np.searchsorted(gs, g)] = s
-        pairs = [(ps[i], gs[j], weights[i, j]) for i, j in enumerate(assign(weights)) if j >= 0 and weights[i, j] >= floor]
-        keys = {c: [table.column(c)[0].as_py()] * len(pairs) for c in by}
-        return pa.table({**{c: pa.array(keys[c], table.schema.field(c).type) for c in by}, "p": pa.array([x[0] for x in pairs], table.schema.field("p").type), "g": pa.array([x[1] for x in pairs], table.schema.field("g").type), "score": pa.array([x[2] for x in pairs], pa.float64())})
-
-    return scores.select(*by, "p", "g", F.col("score").cast("double")).groupBy(*by).applyInArrow(run, fields)
+    fields = scores.select(*by, "p", "g", F.col("score").cast("double").alias("score")).schema
+    cells = F.collect_list(F.struct("p", "g", F.col("score").cast("double").alias("score")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(len(by))
+            ends, (p, g, s) = lists.offsets.to_numpy(), (lists.values.field(k).to_numpy() for k in range(3))
+            of, out = [], [[], [], []]
+            for k, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
+                ps, i = np.unique(p[a:b], return_inverse=True)
+                gs, j = np.unique(g[a:b], return_inverse=True)
+                weights = np.zeros((len(ps), len(gs)))
+                weights[i, j] = s[a:b]
+                for row, column in enumerate(_above(weights, floor)):
+                    if column >= 0:
+                        of.append(k)
+                        for values, v in zip(out, (ps[row], gs[column], weights[row, column]), strict=True):
+                            values.append(v)
+            keys = [batch.column(c).take(pa.array(of, pa.int32())) for c in range(len(by))]
+            found = [pa.array(v, t) for v, t in zip(out, (lists.values.field(k).type for k in range(3)), strict=True)]
+            yield pa.RecordBatch.from_arrays([*keys, *found], [*by, "p", "g", "score"])
+
+    return scores.groupBy(*by).agg(cells.alias("cells")).mapInArrow(run, fields)
 
 
 def completed(pairs: DataFrame, predicted: DataFrame, curated: DataFrame, by: list[str]) -> DataFrame:

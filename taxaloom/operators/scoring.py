@@ -9,19 +9,6 @@ from ..functions.text import count_bucket, first_word
 from . import sets
 
 
-def resolved_taxa(taxa: DataFrame, by: list[str], names: DataFrame, merged: DataFrame) -> DataFrame:
-    """by, ids, genera, n_unresolved: predicted taxa (taxon_name, ncbi_id) as canonical ids, a name standing in for a missing id."""
-    from . import taxonomy
-
-    from ..functions.text import taxon_key
-
-    keyed = taxa.withColumn("name_norm", taxon_key(F.col("taxon_name")))
-    picks = names.groupBy("name_norm").agg(F.min(F.struct((F.col("name_class") != taxonomy.SCIENTIFIC).alias("o"), "tax_id")).alias("p")).select("name_norm", F.col("p.tax_id").alias("by_name"))
-    found = keyed.join(picks, "name_norm", "left").withColumn("tax_id", F.coalesce("ncbi_id", "by_name"))
-    one = taxonomy.canonical(found, merged)
-    return one.groupBy(*by).agg(F.array_sort(F.collect_set("tax_id")).alias("ids"), F.array_sort(F.collect_set(first_word(F.col("name_norm")))).alias("genera"), F.count_if(F.col("tax_id").isNull()).alias("n_unresolved"))
-
-
 def score_pairs(pairs: DataFrame) -> DataFrame:
     """Aligned and unaligned signatures with counts on taxa and genera, and whether directions agree.
 

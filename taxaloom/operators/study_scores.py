@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import coerce as C
 from ..functions.text import count_bucket, first_word, taxon_key
+from ..working import stored
 from . import alignment, scoring, sets, taxonomy
+from .predictions import PREDICTED, checked  # noqa: F401
 
-#: A predicted study: study_id and experiments of this type.
-PREDICTED = (
-    "array<struct<body_site:array<string>,condition:array<string>,group_0_name:string,group_1_name:string,sequencing_type:string,statistical_test:array<string>,mht_correction:boolean,"
-    "signatures:array<struct<abundance_in_group_1:string,taxa:array<struct<taxon_name:string,ncbi_id:string>>>>>>"
-)
 IDS, WORDS = "array<bigint>", "array<string>"
 COUNTS = ("tp", "fp", "fn", "genus_tp", "genus_fp", "genus_fn")
 
@@ -38,15 +35,18 @@ def _said_names(names: DataFrame) -> DataFrame:
 
 
 def gold_taxa(tree: DataFrame, names: DataFrame, merged: DataFrame) -> DataFrame:
-    """study_id, g, gs, tax_id (canonical, distinct) and said (the key of its name, or null)."""
-    each = _gold_signatures(tree).select("study_id", "g", "gs", F.explode("taxa").alias("tax_id"))
-    return taxonomy.canonical(each, merged).distinct().join(_said_names(names), "tax_id", "left")
+    """study_id, g, gs, tax_id (canonical) and said (the key of its name, or null); a signature without taxa has one row without either."""
+    s = _gold_experiments(tree).select("study_id", "g", F.posexplode("gold.signatures").alias("gs", "s"))
+    return taxonomy.canonical(s.select("study_id", "g", "gs", F.explode_outer("s.taxa").alias("tax_id")), merged).join(_said_names(names), "tax_id", "left")
 
 
 def predicted_taxa(predictions: DataFrame, names: DataFrame, merged: DataFrame) -> DataFrame:
-    """study_id, p, ps, ord, asked (the key of the predicted name), tax_id (canonical; null where neither id nor name tells) and said."""
+    """study_id, p, ps, ord, asked (the key of the predicted name), tax_id (canonical; null where neither id nor name tells) and said.
+
+    A signature without taxa has one row without any (ord is null).
+    """
     s = predictions.select("study_id", F.posexplode("experiments").alias("p", "e")).select("study_id", "p", F.posexplode("e.signatures").alias("ps", "s"))
-    t = s.select("study_id", "p", "ps", F.posexplode("s.taxa").alias("ord", "t")).withColumn("asked", F.nullif(taxon_key(F.col("t.taxon_name")), F.lit("")))
+    t = s.select("study_id", "p", "ps", F.posexplode_outer("s.taxa").alias("ord", "t")).withColumn("asked", F.nullif(taxon_key(F.col("t.taxon_name")), F.lit("")))
     pick = F.min(F.struct((F.col("name_class") != taxonomy.SCIENTIFIC).alias("o"), "tax_id"))
     by_name = names.groupBy(F.col("name_norm").alias("asked")).agg(pick.alias("pick")).select("asked", F.col("pick.tax_id").alias("by_name"))
     given = F.when(F.col("t.ncbi_id").rlike("^[0-9]+([.]0+)?$"), F.split("t.ncbi_id", "[.]")[0].try_cast("bigint"))
@@ -54,102 +54,157 @@ def predicted_taxa(predictions: DataFrame, names: DataFrame, merged: DataFrame)
     return taxonomy.canonical(found, merged).join(_said_names(names), "tax_id", "left")
 
 
-def _sets(taxa: DataFrame, by: list[str], ids: str, genera: str, unresolved: str) -> DataFrame:
-    missing = F.col("said").isNull() if unresolved == "unresolved_gold" else F.col("tax_id").isNull()
-    return taxa.groupBy(*by).agg(F.array_sort(F.collect_set("tax_id")).alias(ids), F.array_sort(F.collect_set(first_word(F.col("said")))).alias(genera), F.count_if(missing).alias(unresolved))
+def _gathered(taxa: DataFrame, experiment: str, signature: str, unresolved: Column, names: Column) -> DataFrame:
+    """study_id and, by experiment and signature, ids, genera, unresolved and names (pairs of a name's key and an id) of all signatures.
+
+    The taxa are dealt by study once; the groupings that follow work within.
+    """
+    ids, genera = F.array_sort(F.collect_set("tax_id")), F.array_sort(F.collect_set(first_word(F.col("said"))))
+    signatures = taxa.repartition("study_id").groupBy("study_id", experiment, signature).agg(ids.alias("ids"), genera.alias("genera"), F.count_if(unresolved).alias("unresolved"), F.collect_set(names).alias("names"))
+    ordered = F.array_sort(F.collect_list(F.struct(signature, "ids", "genera", "unresolved", "names")))
+    by_place = signatures.groupBy("study_id", experiment).agg(ordered.alias("sets"))
+    return by_place.groupBy("study_id").agg(F.map_from_entries(F.collect_list(F.struct(experiment, "sets"))).alias("sets"))
+
+
+def _with_sets(experiments: Column, sets_of: Column) -> Column:
+    """place, e (the experiment), sets (of its signatures, in their order) and pooled ids of each experiment."""
+    own = lambda k: F.coalesce(F.try_element_at(sets_of, k), F.array())
+    with_own = F.transform(experiments, lambda e, k: F.struct(k.alias("place"), e.alias("e"), own(k).alias("sets")))
+    return F.transform(with_own, lambda x: F.struct(x["place"].alias("place"), x["e"].alias("e"), x["sets"].alias("sets"), F.array_distinct(F.flatten(F.transform(x["sets"], lambda s: s["ids"]))).alias("pooled")))
 
 
-def align_experiments(tree: DataFrame, predictions: DataFrame, gold: DataFrame, predicted: DataFrame) -> DataFrame:
-    """study_id, p, g, score of the best one-to-one matches above the floor. gold and predicted: taxa of both sides, which break ties."""
-    pooled = lambda rows, k, name: rows.groupBy("study_id", k).agg(F.collect_set("tax_id").alias(name))
-    g = _gold_experiments(tree).join(pooled(gold, "g", "tg"), ["study_id", "g"], "left")
-    p = predictions.select("study_id", F.posexplode("experiments").alias("p", "pred")).join(pooled(predicted, "p", "tp"), ["study_id", "p"], "left")
-    none = F.array().cast(IDS)
-    score = alignment.experiment_score(F.col("gold"), F.col("pred"), F.coalesce("tg", none), F.coalesce("tp", none))
-    return alignment.align(p.join(g, "study_id").select("study_id", "p", "g", score.alias("score")), ["study_id"], alignment.EXPERIMENT_FLOOR)
+def nested(tree: DataFrame, predictions: DataFrame, names: DataFrame, merged: DataFrame) -> DataFrame:
+    """study_id, gold, pred: a row for each study of the tree, with the resolved taxa of both sides at their signatures."""
+    gold = _gathered(gold_taxa(tree, names, merged), "g", "gs", F.col("tax_id").isNotNull() & F.col("said").isNull(), F.when(F.col("said").isNotNull(), F.struct(F.col("said").alias("name"), "tax_id")))
+    asked = F.when(F.col("asked").isNotNull(), F.struct(F.col("asked").alias("name"), F.col("ord"), F.col("tax_id")))
+    predicted = _gathered(predicted_taxa(predictions, names, merged), "p", "ps", F.col("ord").isNotNull() & F.col("tax_id").isNull(), asked)
+    side = lambda rows, sets_of, name: rows.select("study_id", "experiments").join(sets_of, "study_id", "left").select("study_id", _with_sets(F.col("experiments"), F.col("sets")).alias(name))
+    both = side(tree, gold, "gold").join(side(predictions, predicted, "pred"), "study_id", "left")
+    return both.withColumn("pred", F.coalesce("pred", F.array()))
 
 
-def align_signatures(matched: DataFrame, gold: DataFrame, predicted: DataFrame) -> DataFrame:
-    """study_id, p, g, ps, gs of matched experiments' signatures that match by their taxa, whatever their directions.
+def _with_match(rows: DataFrame, matrix: Column, floor: float) -> DataFrame:
+    """The rows with `match`, the best assignment of a matrix.
 
-    gold (study_id, g, gs, gold_taxa) and predicted (study_id, p, ps, pred_taxa).
+    Rows are in the order of their study already, so the sort costs nothing. It keeps
+    the matrix a column of its own: the optimizer would else move nested lambdas into
+    the Python call, and some such calls cannot be planned.
     """
-    both = matched.select("study_id", "p", "g").join(gold, ["study_id", "g"]).join(predicted, ["study_id", "p"])
-    scores = both.select("study_id", "p", "g", "ps", "gs", sets.jaccard(F.col("gold_taxa"), F.col("pred_taxa"), 1.0).alias("score"))
-    named = scores.select(F.struct("study_id", "p", "g").alias("pair"), F.col("ps").alias("p"), F.col("gs").alias("g"), "score")
-    flat = named.select("pair.study_id", F.col("pair.p").alias("p_of"), F.col("pair.g").alias("g_of"), "p", "g", "score")
-    out = alignment.align(flat, ["study_id", "p_of", "g_of"], alignment.SIGNATURE_FLOOR)
-    return out.select("study_id", F.col("p_of").alias("p"), F.col("g_of").alias("g"), F.col("p").alias("ps"), F.col("g").alias("gs"))
+    return rows.withColumn("matrix", matrix).sortWithinPartitions("study_id").withColumn("match", alignment.best(F.col("matrix"), floor)).drop("matrix")
+
+
+def align_experiments(studies: DataFrame) -> DataFrame:
+    """nested() with `match`: for each predicted experiment the curated one of the best one-to-one match above the floor, or -1."""
+    score = lambda p, g: alignment.experiment_score(g["e"], p["e"], g["pooled"], p["pooled"])
+    matrix = F.transform("pred", lambda p: F.transform("gold", lambda g: score(p, g)))
+    return _with_match(studies, matrix, alignment.EXPERIMENT_FLOOR)
+
 
+def _alone(gold: str) -> Column:
+    """The places of curated ones that nothing is matched with."""
+    return F.array_except(F.transform(gold, lambda x, k: k), F.coalesce("match", F.array().cast("array<int>")))
 
-def signature_pairs(tree: DataFrame, predictions: DataFrame, names: DataFrame, merged: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Scored signatures, and the matched experiments (study_id, p, g, score).
 
-    Each signature of either side comes once: beside the one it is matched with, or
-    alone, a full miss or full false positive. Only a matched curated signature that is
-    known to be incomplete bears no false positives.
+def _side_by_side(studies: DataFrame) -> DataFrame:
+    """study_id, the study's numbers, pred, gold: each experiment of either side once, matched or alone; one row without any for a study that has none."""
+    nobody = F.lit(None).cast(studies.schema["pred"].dataType.elementType)
+    pairs = F.concat(
+        F.transform(F.arrays_zip("pred", "match"), lambda x: F.struct(x["pred"].alias("pred"), F.get(F.col("gold"), x["match"]).alias("gold"))),
+        F.transform(_alone("gold"), lambda k: F.struct(nobody.alias("pred"), F.get(F.col("gold"), k).alias("gold"))),
+    )
+    n = lambda c: c.cast("long")
+    numbers = [n(F.size("gold")).alias("n_gold"), n(F.size("pred")).alias("n_pred"), n(F.size(F.filter("match", lambda m: m >= 0))).alias("n_matched")]
+    return studies.select("study_id", *numbers, F.explode_outer(pairs).alias("x")).select("study_id", "n_gold", "n_pred", "n_matched", "x.*")
+
+
+def align_signatures(experiments: DataFrame) -> DataFrame:
+    """Rows of pred and gold with `match`: for each predicted signature the curated one with the most alike taxa, or -1, whatever their directions."""
+    gold = F.coalesce("gold.sets", F.array().cast(experiments.schema["gold"].dataType["sets"].dataType))
+    matrix = F.transform("pred.sets", lambda p: F.transform(gold, lambda g: sets.jaccard(g["ids"], p["ids"], 1.0)))
+    return _with_match(experiments, matrix, alignment.SIGNATURE_FLOOR)
+
+
+def _names(gold: Column, asked: Column) -> tuple[Column, Column]:
+    """How many asked names are a curated taxon's, and how many of these came to its id (the largest, of several)."""
+    right = lambda a: F.array_max(F.transform(F.filter(gold, lambda n: n["name"] == a["name"]), lambda n: n["tax_id"]))
+    found = F.filter(asked, lambda a: F.exists(gold, lambda n: n["name"] == a["name"]))
+    return F.size(found).cast("long"), F.size(F.filter(found, lambda a: a["tax_id"] == right(a))).cast("long")
+
+
+def scored_signatures(tree: DataFrame, predictions: DataFrame, names: DataFrame, merged: DataFrame) -> DataFrame:
+    """Each signature of either side once, with its study's numbers: beside the one it is matched with, or alone, a full miss or full false positive.
+
+    Only a matched curated signature that is known to be incomplete bears no false
+    positives. A study is one row until its signatures are laid out: both sides' taxa
+    are dealt by study once and meet in one join. A study without any signature has
+    one row whose places g and p are null.
     """
-    predictions = predictions.join(tree.select("study_id"), "study_id", "left_semi")
-    gold, predicted = gold_taxa(tree, names, merged).persist(), predicted_taxa(predictions, names, merged).persist()
-    matched = align_experiments(tree, predictions, gold, predicted).persist()  # several joins read it
-    ids, words = F.array().cast(IDS), F.array().cast(WORDS)
-    zero = F.lit(0).cast("long")
-    g = _gold_signatures(tree).drop("taxa").join(_sets(gold, ["study_id", "g", "gs"], "gold_taxa", "gold_genera", "unresolved_gold"), ["study_id", "g", "gs"], "left")
-    g = g.withColumns({"gold_taxa": F.coalesce("gold_taxa", ids), "gold_genera": F.coalesce("gold_genera", words), "unresolved_gold": F.coalesce("unresolved_gold", zero)})
-    s = predictions.select("study_id", F.posexplode("experiments").alias("p", "e")).select("study_id", "p", F.posexplode("e.signatures").alias("ps", "s")).select("study_id", "p", "ps", F.col("s.abundance_in_group_1").alias("pred_direction"))
-    s = s.join(_sets(predicted, ["study_id", "p", "ps"], "pred_taxa", "pred_genera", "unresolved_pred"), ["study_id", "p", "ps"], "left")
-    s = s.withColumns({"pred_taxa": F.coalesce("pred_taxa", ids), "pred_genera": F.coalesce("pred_genera", words), "unresolved_pred": F.coalesce("unresolved_pred", zero)})
-    pairs = align_signatures(matched, g.select("study_id", "g", "gs", "gold_taxa"), s.select("study_id", "p", "ps", "pred_taxa"))
-    found = _name_to_id(pairs, gold, predicted)
-    together = pairs.join(g, ["study_id", "g", "gs"]).join(s, ["study_id", "p", "ps"]).join(found, ["study_id", "p", "ps"], "left")
-    alone = g.join(pairs, ["study_id", "g", "gs"], "left_anti").unionByName(s.join(pairs, ["study_id", "p", "ps"], "left_anti"), allowMissingColumns=True)
-    return scoring.score_pairs(together.unionByName(alone, allowMissingColumns=True)), matched
-
-
-def _name_to_id(pairs: DataFrame, gold: DataFrame, predicted: DataFrame) -> DataFrame:
-    """Of matched predicted signatures: how many names are a curated taxon's, and how many of these came to its id."""
-    known = gold.where("said is not null").groupBy("study_id", "g", "gs", F.col("said").alias("asked")).agg(F.max("tax_id").alias("right"))
-    asked = predicted.select("study_id", "p", "ps", "asked", F.col("tax_id").alias("got")).join(pairs, ["study_id", "p", "ps"]).join(known, ["study_id", "g", "gs", "asked"])
-    return asked.groupBy("study_id", "p", "ps").agg(F.count("*").alias("names_found"), F.count_if(F.col("got") == F.col("right")).alias("names_right"))
-
-
-def study_scores(tree: DataFrame, pairs: DataFrame, predictions: DataFrame, matched: DataFrame) -> DataFrame:
-    """A row for each study of the tree: numbers of experiments, matches, sums of its pairs, micro and macro measures. A study without a prediction is all missed."""
+    both = align_signatures(_side_by_side(align_experiments(nested(tree, predictions, names, merged))))
+    none = F.array().cast("array<struct<ps:int,gs:int>>")
+    matched = F.transform("match", lambda m, k: F.struct(k.alias("ps"), F.nullif(m, F.lit(-1)).alias("gs")))
+    alone = F.transform(_alone("gold.sets"), lambda k: F.struct(F.lit(None).cast("int").alias("ps"), k.alias("gs")))
+    places = F.explode_outer(F.concat(F.coalesce(matched, none), F.coalesce(alone, none)))
+    laid = both.select("study_id", "n_gold", "n_pred", "n_matched", "pred", "gold", places.alias("k")).withColumns({"ps": F.col("k.ps"), "gs": F.col("k.gs")})
+    g, p = F.get("gold.e.signatures", F.col("gs")), F.get("pred.e.signatures", F.col("ps"))
+    gold_sets, pred_sets = F.get("gold.sets", F.col("gs")), F.get("pred.sets", F.col("ps"))
+    found, right = _names(gold_sets["names"], pred_sets["names"])
+    rows = laid.select(
+        "study_id", "n_gold", "n_pred", "n_matched",
+        F.when(F.col("gs").isNotNull(), F.col("gold.place")).alias("g"), "gs", g["source_type"].alias("source_type"), g["direction"].alias("gold_direction"), g["curation_state"].alias("gold_state"),
+        gold_sets["ids"].alias("gold_taxa"), gold_sets["genera"].alias("gold_genera"), gold_sets["unresolved"].alias("unresolved_gold"),
+        F.when(F.col("ps").isNotNull(), F.col("pred.place")).alias("p"), "ps", p["abundance_in_group_1"].alias("pred_direction"),
+        pred_sets["ids"].alias("pred_taxa"), pred_sets["genera"].alias("pred_genera"), pred_sets["unresolved"].alias("unresolved_pred"),
+        found.alias("names_found"), right.alias("names_right"),
+    )
+    return scoring.score_pairs(rows)
+
+
+def study_scores(rows: DataFrame) -> DataFrame:
+    """A row for each study of scored_signatures(): numbers of experiments, matches, sums of its pairs, micro and macro measures. A study without a prediction is all missed."""
     total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
+    is_pair = F.col("g").isNotNull() | F.col("p").isNotNull()
     genus = sets.measures(F.col("genus_tp"), F.col("genus_fp"), F.col("genus_fn"))["f1"]
-    sums = pairs.withColumn("genus_f1", genus).groupBy("study_id").agg(
+    out = rows.groupBy("study_id").agg(
+        *[F.any_value(c).alias(c) for c in ("n_gold", "n_pred", "n_matched")],
         *[total(c) for c in (*COUNTS, "unresolved_gold", "unresolved_pred", "names_found", "names_right")],
-        F.avg("f1").alias("macro_f1"),
-        F.avg("genus_f1").alias("macro_genus_f1"),
+        F.coalesce(F.avg(F.when(is_pair, F.col("f1"))), F.lit(0.0)).alias("macro_f1"),
+        F.coalesce(F.avg(F.when(is_pair, genus)), F.lit(0.0)).alias("macro_genus_f1"),
         F.count_if("direction_right").alias("direction_right"),
         F.count_if("direction_judged").alias("direction_judged"),
     )
-    n = lambda rows, name: rows.select("study_id", F.size("experiments").cast("long").alias(name))
-    out = n(tree, "n_gold").join(n(predictions, "n_pred"), "study_id", "left").join(matched.groupBy("study_id").agg(F.count("*").alias("n_matched")), "study_id", "left").join(sums, "study_id", "left")
-    out = out.na.fill(0).na.fill(0.0)
     out = out.withColumns({"over_segmentation": F.greatest(F.col("n_pred") - F.col("n_gold"), F.lit(0)), "under_segmentation": F.greatest(F.col("n_gold") - F.col("n_pred"), F.lit(0))})
     return out.withColumns(sets.measures(F.col("tp"), F.col("fp"), F.col("fn")))
 
 
 def score_corpus(tree: DataFrame, predictions: DataFrame, names: DataFrame, merged: DataFrame) -> dict[str, DataFrame]:
-    """studies, pairs, totals, by_stratum and missing, of a curated tree and predictions (study_id, experiments as PREDICTED).
-
-    Of several predictions of a study the caller keeps one; those of unknown studies are
-    left out. Genera are first words of the scientific names of canonical ids. Matches
-    and pairs are kept (`pairs.unpersist()` when done), as all results read them.
+    """studies, pairs, totals, by_stratum, missing and errors, of a curated tree and predictions.
+
+    predictions are (study_id, experiments as PREDICTED) or, as they were written,
+    (study_id, record: JSON). A record that cannot be read as experiments, signatures
+    and taxa is put aside: its study is neither scored nor missed, errors has its row
+    (study_id, error) and all others are scored. Of several predictions of a study the
+    caller keeps one; those of unknown studies are left out. Genera are first words of
+    the scientific names of canonical ids. Scored signatures are written once, to the
+    session's shared folder, and all results but missing and errors come from them.
     """
-    pairs, matched = signature_pairs(tree, predictions, names, merged)
-    pairs = pairs.persist()
-    studies = study_scores(tree, pairs, predictions, matched)
+    if "record" in predictions.columns:
+        predictions = stored(checked(predictions.join(tree.select("study_id"), "study_id", "left_semi")))
+        errors = predictions.where("error is not null").select("study_id", "error")
+        scored, predictions = tree.join(errors, "study_id", "left_anti"), predictions.where("error is null").drop("error")
+    else:
+        errors, scored = tree.limit(0).select("study_id", F.lit("").alias("error")), tree
+        predictions = predictions.join(tree.select("study_id"), "study_id", "left_semi")
+    rows = stored(scored_signatures(scored, predictions, names, merged))
+    pairs, studies = rows.where("g is not null or p is not null"), study_scores(rows)
     total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
     corpus = studies.agg(F.count("*").alias("n_studies"), *[total(c) for c in ("over_segmentation", "under_segmentation", "unresolved_gold", "unresolved_pred", "names_found", "names_right")])
     totals = scoring.roll_up(pairs).crossJoin(corpus).withColumn("name_to_id_accuracy", sets.ratio(F.col("names_right"), F.col("names_found")))  # a row on each side
-    sized = pairs.join(studies.select("study_id", F.col("n_gold").alias("n_experiments")), "study_id")
-    return {"studies": studies, "pairs": pairs, "totals": totals, "by_stratum": scoring.by_stratum(sized), "missing": tree.join(predictions, "study_id", "left_anti").select("study_id")}
+    absent = scored.join(predictions, "study_id", "left_anti").select("study_id")
+    return {"studies": studies, "pairs": pairs, "totals": totals, "by_stratum": scoring.by_stratum(pairs.withColumnRenamed("n_gold", "n_experiments")), "missing": absent, "errors": errors}
 
 
 def matched_fields(tree: DataFrame, predictions: DataFrame, matched: DataFrame) -> DataFrame:
-    """Matched experiments' agreement by field, over the corpus."""
+    """Agreement by field of matched experiments (study_id, p, g: places), over the corpus."""
     both = matched.join(_gold_experiments(tree), ["study_id", "g"]).join(predictions.select("study_id", F.posexplode("experiments").alias("p", "pred")), ["study_id", "p"])
     text = lambda c: (F.nullif(C.strip(F.col(f"gold.{c}")), F.lit("")), F.nullif(C.strip(F.col(f"pred.{c}")), F.lit("")))
     many = lambda c: tuple(F.array_sort(F.coalesce(F.transform(f"{s}.{c}", lambda x: F.lower(C.strip(x))), F.array().cast(WORDS))) for s in ("gold", "pred"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import coerce as C
 from ..functions import text as T
-from ..operators import markup, scoring, taxonomy
+from ..operators import markup, study_scores, taxonomy
 from ..sources import records, sinks
 from .registry import Tables, query
 from .trees import NAMES, _names
@@ -146,6 +146,10 @@ def predicted_taxa_ids(t: Tables) -> DataFrame:
     first = t.part.groupBy("p_name", "p_brand").agg(F.min("p_partkey").alias("new_tax_id"))
     merged = t.part.join(first, ["p_name", "p_brand"]).where("p_partkey <> new_tax_id").select(F.col("p_partkey").alias("old_tax_id"), "new_tax_id")
     name = F.when(F.col("l_linenumber") == 4, "nobody").otherwise(F.concat(F.lit("g__"), "p_name"))
-    said = t.lineitem.join(t.part, F.col("p_partkey") == F.col("l_partkey")).select("l_orderkey", name.alias("taxon_name"), F.when(F.col("l_linenumber") % 2 == 1, F.col("l_partkey")).alias("ncbi_id"))
-    found = scoring.resolved_taxa(said, ["l_orderkey"], _names(t), merged)
-    return found.select("l_orderkey", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"), F.array_join("genera", ",").alias("genera"), "n_unresolved")
+    said = t.lineitem.join(t.part, F.col("p_partkey") == F.col("l_partkey")).select("l_orderkey", name.alias("taxon_name"), F.when(F.col("l_linenumber") % 2 == 1, F.col("l_partkey").cast("string")).alias("ncbi_id"))
+    taxa = said.groupBy(F.col("l_orderkey").alias("study_id")).agg(F.collect_list(F.struct("taxon_name", "ncbi_id")).alias("taxa"))
+    signature = F.struct(F.lit(None).cast("string").alias("abundance_in_group_1"), "taxa")
+    predicted = taxa.select("study_id", F.array(F.struct(F.array(signature).alias("signatures"))).alias("experiments"))
+    found = study_scores.predicted_taxa(predicted, _names(t), merged).groupBy(F.col("study_id").alias("l_orderkey"))
+    ids, genera = F.array_sort(F.collect_set("tax_id")), F.array_sort(F.collect_set(T.first_word(F.col("asked"))))
+    return found.agg(F.array_join(F.transform(ids, lambda x: x.cast("string")), ",").alias("ids"), F.array_join(genera, ",").alias("genera"), F.count_if(F.col("tax_id").isNull()).alias("n_unresolved"))

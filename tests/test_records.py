@@ -58,3 +58,49 @@ def test_config(monkeypatch, tmp_path, capsys):
     record = logging.LogRecord("taxaloom", logging.INFO, "", 0, "hi %s", ("you",), None)
     record.stage = "S1"
     assert json.loads(config.JsonLines().format(record)) | {"ts": 0} == {"ts": 0, "level": "INFO", "message": "hi you", "stage": "S1"}
+
+
+def test_faulty_predictions_are_put_aside(spark):
+    """One error for each record that cannot be scored, its first fault by path; what can be read is read."""
+    from taxaloom.operators import predictions
+
+    good = '{"experiments": [{"body_site": "Feces", "condition": ["a", "b"], "group_0_name": 3, "mht_correction": true, "signatures": [{"abundance_in_group_1": "increased", "taxa": [{"ncbi_id": 12}, {"ncbi_id": " 7 ", "taxon_name": "x"}, {"ncbi_id": true, "taxon_name": "y"}, {"ncbi_id": 1.5, "taxon_name": "z"}, {"taxon_name": null}]}, {"taxa": null}]}, {}]}'
+    rows = {
+        "good": (good, None),
+        "none": (None, None),
+        "empty": ("{}", None),
+        "null": ('{"experiments": null}', None),
+        "cut": ('{"experiments": [', "/: no JSON"),
+        "list": ("[1]", "/: array where object is expected"),
+        "text": ('{"experiments": "many"}', "/experiments: string where array is expected"),
+        "member": ('{"experiments": [{}, 4]}', "/experiments/1: bigint where object is expected"),
+        "site": ('{"experiments": [{"body_site": {"a": 1}}]}', "/experiments/0/body_site: object where string or array is expected"),
+        "taxa": ('{"experiments": [{"signatures": [{}, {"taxa": {"ncbi_id": 3}}]}]}', "/experiments/0/signatures/1/taxa: object where array is expected"),
+        "id": ('{"experiments": [{}, {"signatures": [{"taxa": [{"ncbi_id": 1}, {"ncbi_id": [1]}]}]}, 5]}', "/experiments/1/signatures/0/taxa/1/ncbi_id: array where string or bigint or decimal or double or boolean is expected"),
+        "name": ('{"experiments": [{"signatures": [{"taxa": [{"taxon_name": 9}]}]}]}', "/experiments/0/signatures/0/taxa/0/taxon_name: bigint where string is expected"),
+    }
+    got = {r.study_id: r for r in predictions.checked(spark.createDataFrame([(k, v[0]) for k, v in rows.items()], "study_id string, record string")).collect()}
+    assert {k: r.error for k, r in got.items()} == {k: v[1] for k, v in rows.items()}
+    assert all((r.experiments is None) == (r.error is not None) for r in got.values())
+    e, other = got["good"].experiments
+    assert (e.body_site, e.condition, e.group_0_name, e.mht_correction, other.body_site, other.signatures) == (["Feces"], ["a", "b"], "3", True, None, [])
+    assert [(t.taxon_name, t.ncbi_id) for t in e.signatures[0].taxa] == [(None, "12"), ("x", "7"), (None, None), ("z", None), (None, None)] and e.signatures[1].taxa == []
+    assert got["none"].experiments == got["null"].experiments == got["empty"].experiments == []
+
+
+def test_scoring_goes_on_without_faulty_studies(spark):
+    from taxaloom.operators import study_scores, taxonomy
+
+    kind = "study_id string, pmid string, has_pmc boolean, experiments array<struct<experiment_id:string,experiment_name:string,body_site:array<string>,condition:array<string>,statistical_test:array<string>,group_0_name:string,group_1_name:string,sequencing_type:string,mht_correction:boolean,signatures:array<struct<signature_id:string,signature_name:string,source:string,source_type:string,direction:string,curation_state:string,taxa:array<bigint>>>>>"
+    experiment = ("e", "e", ["Feces"], [], [], None, None, None, None, [("s", "s", "Figure 1", "figure", "increased", "Complete", [1])])
+    tree = spark.createDataFrame([(k, "1", True, [experiment]) for k in "abc"], kind)
+    said = '{"experiments": [{"body_site": ["feces"], "signatures": [{"taxa": [{"ncbi_id": 1}]}]}]}'
+    records = spark.createDataFrame([("a", said), ("b", '{"experiments": "x"}'), ("z", "{")], "study_id string, record string")
+    names = spark.createDataFrame([(1, "Alpha x", "alpha x", taxonomy.SCIENTIFIC)], "tax_id bigint, name_txt string, name_norm string, name_class string")
+    out = study_scores.score_corpus(tree, records, names, spark.createDataFrame([], "old_tax_id bigint, new_tax_id bigint"))
+    assert [tuple(r) for r in out["errors"].collect()] == [("b", "/experiments: string where array is expected")]
+    assert {r.study_id: (r.tp, r.fn, r.n_pred) for r in out["studies"].collect()} == {"a": (1, 0, 1), "c": (0, 1, 0)}
+    assert [r.study_id for r in out["missing"].collect()] == ["c"]
+    assert out["totals"].first().n_studies == 2
+    lines = scoring.records(out["studies"], out["missing"], out["errors"]).collect()
+    assert sorted((r.study_id, r.record_type) for r in lines) == [("a", "study_score"), ("b", "scoring_error"), ("c", "missing_prediction"), ("c", "study_score")]
