@@ -172,15 +172,62 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
     return X.finish(X.states(docs, block_bytes), answers, done, SCHEMA)
 
 
-def block_ids(table: pa.Table, tokenizer, added: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The token ids of a block's texts in a row, and where each text ends; each distinct word of the block is encoded once."""
-    words, place, per_doc = _split(table, added)
-    ids: list[np.ndarray] = []
-    for at in range(0, len(words), 20_000):
-        ids += [np.array(e.ids, np.uint32) for e in tokenizer.encode_batch(words.slice(at, 20_000).to_pylist(), add_special_tokens=False)]
-    counts = np.fromiter(map(len, ids), np.int64, len(ids))
-    flat = _gather(np.concatenate(ids) if ids else np.zeros(0, np.uint32), counts, place)
-    return flat, np.concatenate([[0], np.cumsum(counts[place])])[np.cumsum(per_doc)].astype(np.int64)
+class WordTable:
+    """The ids of the distinct words that a task has met, each encoded once while the table holds it.
+
+    Words are encoded many to a call with an added token between them, which the
+    tokenizer cuts out before anything else, so that each stands as if alone. A table
+    that has grown beyond `most` words is begun anew.
+    """
+
+    GROUP = 64
+
+    def __init__(self, path: str, most: int = 1 << 20) -> None:
+        from tokenizers import Tokenizer
+
+        self.tokenizer, self.most, self.added = Tokenizer.from_file(path), most, read_vocabulary(path)[0]
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        plain = [t for t in self.tokenizer.get_added_tokens_decoder().items() if not (t[1].lstrip or t[1].rstrip or t[1].single_word)]
+        self.between = (plain[0][0], plain[0][1].content) if plain else None
+        self.clear()
+
+    def clear(self) -> None:
+        self.words, self.counts, self.flat = pa.array([], pa.string()), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def _alone(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [e.ids for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+        counts = np.fromiter(map(len, found), np.int64, len(found))
+        return counts, np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(counts.sum()))
+
+    def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each word has, and all ids in a row."""
+        if self.between is None:
+            return self._alone(words)
+        id_between, text = self.between
+        groups = [text.join(words[at : at + self.GROUP]) + text for at in range(0, len(words), self.GROUP)]
+        ids = np.concatenate([np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(groups, add_special_tokens=False)])
+        ends = np.flatnonzero(ids == id_between)
+        if len(ends) != len(words):  # a word holds the token itself
+            return self._alone(words)
+        return np.diff(ends, prepend=-1) - 1, np.delete(ids, ends)
+
+    def ids(self, table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        """The token ids of the texts of a block in a row, and where each text ends."""
+        words, place, per_doc = _split(table, self.added)
+        if len(self.words) > self.most:
+            self.clear()
+        at = pc.index_in(words, value_set=self.words).fill_null(-1).to_numpy().astype(np.int64)
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            fresh = words.take(pa.array(new))
+            counts, flat = self.encode(fresh.to_pylist())
+            at[new] = len(self.words) + np.arange(len(new))
+            self.words = pa.concat_arrays([self.words, fresh])
+            self.counts, self.flat = np.concatenate([self.counts, counts]), np.concatenate([self.flat, flat])
+        place = at[place]
+        flat = _gather(self.flat, self.counts, place)
+        return flat, np.concatenate([[0], np.cumsum(self.counts[place])])[np.cumsum(per_doc)].astype(np.int64)
 
 
 def _gather(flat: np.ndarray, counts: np.ndarray, place: np.ndarray) -> np.ndarray:

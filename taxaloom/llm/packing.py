@@ -44,14 +44,10 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = CA
         from pyspark import TaskContext
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        tokenizer, added = Tokenizer.from_file(tokenizer_path), bpe.read_vocabulary(tokenizer_path)[0]
-        tokenizer.no_truncation()
-        tokenizer.no_padding()
+        words = bpe.WordTable(tokenizer_path)
         met, task, end = np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId(), np.array([end_id], "<u4").tobytes()
         for _, table in X.cut(batches, block_bytes):
-            ids, ends = bpe.block_ids(table, tokenizer, added)
+            ids, ends = words.ids(table)
             out = []
             for k, (a, b) in enumerate(zip(np.concatenate([[0], ends[:-1]]), ends, strict=True)):
                 raw = ids[a:b].astype("<u4").tobytes() + end

@@ -88,5 +88,21 @@ def test_against_the_tokenizer(spark, make_docs):
     assert n == best_fit_decreasing([r.length for r in got], 64) and n <= math.ceil(total / 64) * 1.02 + 1
 
 
+@pytest.mark.parametrize("most", [0, 1 << 20])
+def test_words_are_encoded_as_if_alone(most):
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from taxaloom.llm import bpe
+
+    t, table, rng = Tokenizer.from_file(PATH), bpe.WordTable(PATH, most), np.random.default_rng(7)
+    letters = list("ab 'sé\u2028\n\t.,<|1") + ["<|endoftext|>", "<|endof", "text|>", "日"]
+    for _ in range(4):
+        texts = ["".join(rng.choice(letters, size=int(n))) for n in rng.integers(0, 40, size=300)] + [None, ""]
+        ids, ends = table.ids(pa.table({"text": pa.array(texts, pa.string())}))
+        got = [ids[a:b].tolist() for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+        assert got == [t.encode(x or "", add_special_tokens=False).ids for x in texts]
+
+
 def test_empty_table(spark, make_docs):
     assert packing.pack(make_docs([]), PATH, 2).count() == 0
