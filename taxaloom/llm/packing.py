@@ -15,6 +15,8 @@ from . import bpe, storage
 from . import exchange as X
 
 CAPACITY = 1024
+#: Text bytes that a task encodes at once: more share a look-up of their words, and take more memory.
+BLOCK_BYTES = 8 << 20
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, nth long"
 SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
@@ -35,7 +37,7 @@ def cuts(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, first), *((s, s + capacity) for s in range(first, n, capacity))]
 
 
-def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = CAPACITY, block_bytes: int = X.BLOCK_BYTES) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = CAPACITY, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Every document's pieces; each is numbered (`nth`) among the pieces of its length that its task has met."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
