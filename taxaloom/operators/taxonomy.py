@@ -6,10 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import taxon_key
+from . import labels
 
 SCIENTIFIC = "scientific name"
-#: Edges from a taxon to its root beyond which a path must be a cycle.
-MAX_DEPTH = 64
 
 
 def resolve(queries: DataFrame, names: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -35,23 +34,55 @@ def scientific_names(names: DataFrame) -> DataFrame:
     return names.where(F.col("name_class") == SCIENTIFIC).groupBy("tax_id").agg(F.min("name_txt").alias("name"))
 
 
-def ancestors(taxa: DataFrame, nodes: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def ancestors(taxa: DataFrame, nodes: DataFrame) -> DataFrame:
     """tax_id, ancestor, depth (0: itself) and rank, for each known taxon asked for.
 
     A path ends at a node that is its own parent, at a parent that is missing, or where
-    it would come back to a node it has been at. All paths take each step together in
-    one join, and the recursion ends when none can go on.
+    it would come back to a node it has been at. Ancestors are the nodes whose interval
+    (see labels) holds the taxon's; a store's nodes have theirs, others get them here.
     """
-    asked = taxa.select(F.col("tax_id").cast("bigint")).distinct()
-    tree = nodes.select(F.col("tax_id").cast("bigint"), F.col("parent_tax_id").cast("bigint"), "rank")
+    tree = labels.labelled(nodes)
+    asked = taxa.select(F.col("tax_id").cast("bigint")).distinct().join(tree.select("tax_id", F.col("depth").alias("deep"), F.col("low").alias("at")), "tax_id")
+    found = labels.containing(asked, tree.select(F.col("tax_id").alias("ancestor"), "depth", "low", "high", "rank"))
+    out = found.select("tax_id", "ancestor", (F.col("deep") - F.col("depth")).cast("int").alias("depth"), "rank")
+    looped = tree.where("low is null").count()
+    return out if not looped else out.unionByName(_walked(asked.where("at is null").select("tax_id"), tree.where("low is null"), looped))
+
+
+def _walked(taxa: DataFrame, nodes: DataFrame, most: int) -> DataFrame:
+    """ancestors() of taxa whose paths run into a loop: all paths take each step together, until none can go on."""
     sql = """
-        WITH RECURSIVE path(tax_id, ancestor, up, rank, depth, seen) MAX RECURSION LEVEL {depth} AS (
-          SELECT a.tax_id, n.tax_id, n.parent_tax_id, n.rank, 0, array(n.tax_id) FROM {asked} a JOIN {tree} n ON a.tax_id = n.tax_id
+        WITH RECURSIVE path(tax_id, ancestor, up, rank, depth, seen) MAX RECURSION LEVEL {most} AS (
+          SELECT a.tax_id, n.tax_id, n.parent_tax_id, n.rank, 0, array(n.tax_id) FROM {taxa} a JOIN {nodes} n ON a.tax_id = n.tax_id
           UNION ALL
           SELECT p.tax_id, n.tax_id, n.parent_tax_id, n.rank, p.depth + 1, concat(p.seen, array(n.tax_id))
-          FROM path p JOIN {tree} n ON p.up = n.tax_id WHERE NOT array_contains(p.seen, n.tax_id))
+          FROM path p JOIN {nodes} n ON p.up = n.tax_id WHERE NOT array_contains(p.seen, n.tax_id))
         SELECT tax_id, ancestor, depth, rank FROM path"""
-    return taxa.sparkSession.sql(sql, asked=asked, tree=tree, depth=max_depth)
+    return taxa.sparkSession.sql(sql, taxa=taxa, nodes=nodes.select("tax_id", "parent_tax_id", "rank"), most=most + 1)
+
+
+def subtree(nodes: DataFrame, tax_id: int) -> DataFrame:
+    """tax_id of a taxon and of all that lie below it: the numbers of its interval. In a loop it is every node whose path comes by."""
+    tree = labels.labelled(nodes)
+    own = tree.where(F.col("tax_id") == tax_id).select(F.col("low").alias("first"), F.col("high").alias("last")).first()
+    if own is None:
+        return tree.select("tax_id").limit(0)
+    if own["first"] is not None:
+        return tree.where(F.col("low").between(own["first"], own["last"])).select("tax_id")
+    return ancestors(tree.where("low is null"), tree).where(F.col("ancestor") == tax_id).select("tax_id")
+
+
+def below(taxa: DataFrame, tops: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The distinct taxa (tax_id) that are among the tops, or lie below one. Their paths are not laid out."""
+    tree = labels.labelled(nodes)
+    top = tree.join(tops.select("tax_id").distinct(), "tax_id", "left_semi")
+    asked = taxa.select(F.col("tax_id").cast("bigint")).distinct().join(tree.select("tax_id", F.col("low").alias("at")), "tax_id")
+    found = labels.containing(asked, top.select("low", "high")).select("tax_id").distinct()
+    looped = tree.where("low is null").count()
+    if not looped:
+        return found
+    walked = _walked(asked.where("at is null").select("tax_id"), tree.where("low is null"), looped)
+    return found.unionByName(walked.join(tops.select(F.col("tax_id").alias("ancestor")), "ancestor", "left_semi").select("tax_id").distinct())
 
 
 def lineage(closure: DataFrame, names: DataFrame) -> DataFrame:
@@ -87,7 +118,7 @@ def chosen(candidates: Column, choice: Column) -> Column:
     return F.when(F.array_contains(candidates, choice), choice)
 
 
-def quality_flags(rows: DataFrame, closure: DataFrame, listed: DataFrame) -> DataFrame:
-    """Rows with `flagged`: the taxon or any ancestor of it is on the list (ancestor column `tax_id`)."""
-    bad = closure.join(listed.select(F.col("tax_id").alias("ancestor")).distinct(), "ancestor", "left_semi").select("tax_id").distinct().withColumn("flagged", F.lit(True))
+def quality_flags(rows: DataFrame, nodes: DataFrame, listed: DataFrame) -> DataFrame:
+    """Rows (tax_id) with `flagged`: the taxon or any ancestor of it is on the list."""
+    bad = below(rows, listed, nodes).withColumn("flagged", F.lit(True))
     return rows.join(bad, "tax_id", "left").withColumn("flagged", F.coalesce("flagged", F.lit(False)))

@@ -83,4 +83,4 @@ def taxon_quality(t: Tables) -> DataFrame:
     nodes = _nodes(t)
     ours = nodes.where("rank = 'customer'").select("tax_id")
     listed = t.spark.createDataFrame([(10,), (105,)], "tax_id bigint")
-    return taxonomy.quality_flags(ours, taxonomy.ancestors(ours, nodes), listed)
+    return taxonomy.quality_flags(ours, nodes, listed)
