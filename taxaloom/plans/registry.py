@@ -32,4 +32,4 @@ def query(sql: str | None = None) -> Callable:
     return register
 
 
-from . import cells, fields, joins, scores, trees  # noqa: E402, F401  (they register)
+from . import cells, fields, joins, schedules, scores, trees  # noqa: E402, F401  (they register)
