@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import coerce as C
 from ..functions import text as T
-from ..operators import analytics, markup, normalize
+from ..operators import analytics, markup, normalize, schema
 from ..operators.validation import Slot, validate
 from ..sources import services
 from .registry import Tables, query
@@ -232,6 +232,43 @@ def validation_problems(t: Tables) -> DataFrame:
     return checked.select("c_custkey", F.array_join(F.transform("problems", lambda p: p["path"]), ",").alias("paths"), "valid")
 
 
+#: A study of trials of sets of members.
+NESTED = schema.parse(
+    {
+        "classes": {
+            "Page": {"mixin": True, "slots": ["state"]},
+            "Study": {"mixins": ["Page"], "slots": ["name", "trials"]},
+            "Trial": {"slots": ["host", "sets"]},
+            "Set": {"slots": ["direction", "members"]},
+            "Member": {"attributes": {"number": {"range": "integer", "required": True}}},
+        },
+        "slots": {"state": {"range": "State"}, "name": {"required": True}, "trials": {"range": "Trial", "multivalued": True}, "host": None, "sets": {"range": "Set", "multivalued": True}, "direction": {"range": "Direction"}, "members": {"range": "Member", "multivalued": True}},
+        "enums": {"State": {"permissible_values": {"O": None, "P": None}}, "Direction": {"permissible_values": {"up": None, "down": None}}},
+    }
+)
+
+
+@query(
+    """WITH f AS (SELECT o_orderkey, '/' AS path, 'Study' AS class FROM orders WHERE o_orderpriority = '1-URGENT' UNION ALL SELECT o_orderkey, '/state', 'Study' FROM orders WHERE o_orderstatus = 'F'
+      UNION ALL SELECT l_orderkey, '/trials/#', 'Trial' FROM lineitem WHERE l_quantity > 45 UNION ALL SELECT l_orderkey, '/trials/#/sets/#/direction', 'Set' FROM lineitem WHERE l_discount > 0.09
+      UNION ALL SELECT l_orderkey, '/trials/#/sets/#/members/#', 'Member' FROM lineitem WHERE l_linenumber = 2 UNION ALL SELECT l_orderkey, '/trials/#/sets/#/members/#/number', 'Member' FROM lineitem WHERE l_tax > 0.07 AND l_linenumber <> 2)
+    SELECT o_orderkey, path, class, count(*) AS n FROM f JOIN orders USING (o_orderkey) GROUP BY ALL"""
+)
+def nested_validation(t: Tables) -> DataFrame:
+    """Faults at every depth of an order's record, by path."""
+    number = F.when(F.col("l_linenumber") != 2, F.when(F.col("l_tax") > 0.07, F.concat(F.lit("no "), "l_partkey")).otherwise(F.col("l_partkey").cast("string")))
+    member = F.struct(number.alias("number"))
+    one = F.struct(F.when(F.col("l_discount") > 0.09, "sideways").otherwise("up").alias("direction"), F.array(member).alias("members"))
+    trial = F.struct(F.col("l_returnflag").alias("host"), F.array(one).alias("sets"), F.when(F.col("l_quantity") > 45, 1).alias("odd"))
+    trials = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_list(trial).alias("trials"))
+    whole = F.to_json(F.struct(F.when(F.col("o_orderpriority") != "1-URGENT", F.col("o_orderkey").cast("string")).alias("name"), F.col("o_orderstatus").alias("state"), "trials"))
+    # Digits alone become a number; what is not alone stays a text.
+    record = F.regexp_replace(whole, '"number":"([0-9]+)"', '"number":$1')
+    found = schema.validate(t.orders.join(trials, "o_orderkey", "left").select("o_orderkey", record.alias("record")), NESTED, "Study")
+    each = found.select("o_orderkey", F.explode("problems").alias("p")).select("o_orderkey", F.regexp_replace("p.path", "/[0-9]+", "/#").alias("path"), F.col("p.instantiates").alias("class"))
+    return each.groupBy("o_orderkey", "path", "class").agg(F.count("*").alias("n"))
+
+
 @query("SELECT p_partkey, CASE WHEN p_size < 10 THEN 'http://x/obo/efo_' || p_size END AS address, CASE WHEN p_size < 10 THEN 'EFO:' || p_size END AS term FROM part")
 def ontology_ids(t: Tables) -> DataFrame:
     address = F.when(F.col("p_size") < 10, F.concat(F.lit("http://x/obo/efo_"), "p_size"))
