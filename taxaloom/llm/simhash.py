@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -210,22 +211,57 @@ def _confirmed(whole: DataFrame, pairs: DataFrame, shingle: int, similarity: flo
     return storage.stored(with_text.select("a", "b", "x", "y").mapInArrow(_similar(shingle, similarity), "a long, b long"))
 
 
-def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and component_id, the smallest id reachable by pairs of texts whose sets of word shingles have a Jaccard similarity of 0.8 or more.
-
-    Equal texts are one class. Texts meet in the shingles of their prefixes(), which
-    every similar pair shares. Each is first compared with the smallest text of each of
-    its shingles, so that thousands of copies give a star and not all their pairs; then,
-    of each shingle whose texts are not all in one component, all pairs across its
-    components are. Every pair is confirmed by its shingles. Ids must be distinct; rows
-    with a null id or null text are left out; an empty text is no class. An empty table
-    gives no rows.
+class Classes(NamedTuple):
+    """The distinct texts of a corpus, each known by its SHA-256 (`same`)."""
+
+    rows: DataFrame  # doc_id, same, n: how often a text stands at an id
+    nodes: DataFrame  # same, first (its smallest id), node: a number of its own
+    others: DataFrame  # doc_id, same of rows but a text's first
+    renamed: DataFrame | None  # doc_id, same, node of texts whose first id is also another text's
+
+
+def _same(text: Column) -> Column:
+    return F.unhex(F.sha2(text, 256))
+
+
+def _classes(given: DataFrame) -> Classes:
+    """A text's number is its smallest id; where an id is that of several texts, these get numbers that no id has."""
+    rows = storage.stored(given.groupBy("doc_id", _same(F.col("text")).alias("same")).agg(F.count("*").alias("n")))
+    firsts = storage.stored(rows.groupBy("same").agg(F.min("doc_id").alias("first")))
+    shared = firsts.groupBy("first").count().where("count > 1").select("first")
+    others = rows.select("doc_id", "same").join(firsts.withColumnRenamed("first", "doc_id"), ["doc_id", "same"], "left_anti")
+    if shared.isEmpty():
+        return Classes(rows, firsts.withColumn("node", F.col("first")), others, None)
+    low, high = rows.agg(F.min("doc_id"), F.max("doc_id")).first()
+    number = F.monotonically_increasing_id()
+    free = (F.lit(high) + 1 + number) if high < 1 << 62 else (F.lit(low) - 1 - number)
+    renamed = storage.stored(firsts.join(shared, "first", "left_semi").select(F.col("first").alias("doc_id"), "same", free.alias("node")))
+    nodes = firsts.join(renamed.select("same", "node"), "same", "left").withColumn("node", F.coalesce("node", "first"))
+    return Classes(rows, nodes, others, renamed)
+
+
+def _linked(given: DataFrame, classes: Classes, shingle: int, similarity: float) -> DataFrame:
+    """same, first, component_id, kept: of each text that is similar to another its group's smallest id, and whether it is that text."""
+    keyed = given.where(F.col("text").rlike("[^\\x20\\x09-\\x0D]")).withColumn("same", _same(F.col("text")))
+    whole = storage.without(keyed, classes.others, ["doc_id", "same"])
+    if classes.renamed is not None:
+        ids = F.broadcast(classes.renamed) if classes.renamed.count() <= storage.BROADCAST_IDS else classes.renamed
+        whole = whole.join(ids, ["doc_id", "same"], "left").withColumn("doc_id", F.coalesce("node", "doc_id"))
+    found = _components(whole.select("doc_id", "text"), shingle, similarity)
+    linked = storage.stored(found.join(classes.nodes, "node").select("component", "same", "first"))
+    kept = linked.groupBy("component").agg(F.min(F.struct("first", "same")).alias("kept"))
+    return linked.join(kept, "component").select("same", "first", F.col("kept.first").alias("component_id"), (F.col("kept.same") == F.col("same")).alias("kept"))
+
+
+def _components(whole: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """node and component of the texts (doc_id, text; distinct) that are similar to another, by pairs.
+
+    Texts meet in the shingles of their prefixes(), which every similar pair shares.
+    Each is first compared with the smallest text of each of its shingles, so that
+    thousands of copies give a star and not all their pairs; then, of each shingle whose
+    texts are not all in one component, all pairs across its components are. Every pair
+    is confirmed by its shingles.
     """
-    given = X.texts(docs, id_col, text_col).where("doc_id is not null and text is not null")
-    classes = given.select("doc_id", F.struct(F.sha2("text", 256), F.length("text")).alias("class"))
-    first = classes.groupBy("class").agg(F.min("doc_id").alias("first"))
-    members = storage.stored(classes.join(first, "class").select("doc_id", "first"))
-    whole = storage.without(given.where(F.col("text").rlike("[^\\x20\\x09-\\x0D]")), members.where("doc_id <> first").select("doc_id"), "doc_id")
     rows = storage.stored(prefixes(whole, shingle, similarity))
     heads = rows.groupBy("token").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "size", "left", "low")).alias("head")).where("n > 1")
     shared = storage.stored(rows.join(heads.select("token", "head"), "token"))
@@ -243,11 +279,46 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = SIMILA
     met = across.join(one, ["token", "c"]).join(two, ["token", "d"]).where(_may_pair("x", "y", similarity))
     pairs = met.select(F.greatest("x.doc_id", "y.doc_id").alias("a"), F.least("x.doc_id", "y.doc_id").alias("b")).distinct()
     rest = _confirmed(whole, storage.stored(pairs.join(tried, ["a", "b"], "left_anti")), shingle, similarity)
-    found = graph.components(links.unionByName(rest))
-    return members.join(found, members["first"] == found["node"], "left").select("doc_id", F.coalesce("component", "first").alias("component_id"))
+    return graph.components(links.unionByName(rest))
+
+
+def _given(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return X.texts(docs, id_col, text_col).where("doc_id is not null and text is not null")
+
+
+def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and component_id, the smallest id reachable by pairs of texts whose sets of word shingles have a Jaccard similarity of 0.8 or more.
+
+    Equal texts are one class, whatever their ids; a text without words is similar to
+    its copies only. An id may have several texts: each row has its own text's
+    component. Rows with a null id or null text are left out, a repeated row gives as
+    many. An empty table gives no rows.
+    """
+    given = _given(docs, id_col, text_col)
+    classes = _classes(given)
+    linked = _linked(given, classes, shingle, similarity).select("same", "component_id")
+    each = classes.rows.join(classes.nodes.select("same", "first"), "same").join(linked, "same", "left")
+    return each.select("doc_id", F.coalesce("component_id", "first").alias("component_id"), F.explode(F.array_repeat(F.lit(1), F.col("n").cast("int"))).alias("copy")).drop("copy")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The documents, all columns, without those that are similar to one of a smaller id. Rows without an id or text stay."""
-    gone = similar_groups(docs).where("doc_id <> component_id").select("doc_id")
-    return storage.without(docs, gone, "doc_id")
+    """The documents, all columns: of each group of similar texts one row, that of the smallest id.
+
+    What goes is known by its id and its text, so that no text is lost with an id that
+    other texts have too; of a row that is repeated one stays. Rows without an id or
+    text stay.
+    """
+    given = _given(docs, "doc_id", "text")
+    classes = _classes(given)
+    linked = _linked(given, classes, 5, SIMILARITY)
+    gone = classes.others.unionByName(linked.where("not kept").select(F.col("first").alias("doc_id"), "same"))
+    spare = "_" * (1 + max(map(len, docs.columns)))  # names that docs does not have
+    id_key, text_key = f"id{spare}", f"same{spare}"
+    named = lambda rows: rows.select(F.col("doc_id").alias(id_key), F.col("same").alias(text_key))
+    keyed = docs.withColumns({id_key: docs["doc_id"].cast("long"), text_key: _same(docs["text"].cast("string"))})
+    kept = storage.without(keyed, named(gone), [id_key, text_key])
+    again = storage.stored(named(classes.rows.where("n > 1")))
+    if not again.isEmpty():
+        once = storage.within(kept, again, [id_key, text_key]).dropDuplicates([id_key, text_key])
+        kept = storage.without(kept, again, [id_key, text_key]).unionByName(once)
+    return kept.select(*[kept[f"`{c}`"] for c in docs.columns])

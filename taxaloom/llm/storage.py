@@ -31,13 +31,13 @@ def stored(df: DataFrame) -> DataFrame:
 BROADCAST_IDS = 500_000
 
 
-def without(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+def without(rows: DataFrame, ids: DataFrame, key: str | list[str]) -> DataFrame:
     """The rows whose key is not among the ids. The ids are counted first."""
     ids = stored(ids)
     return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, key, "left_anti").select(*rows.columns)
 
 
-def within(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+def within(rows: DataFrame, ids: DataFrame, key: str | list[str]) -> DataFrame:
     """The rows whose key is among the ids. The ids are counted first."""
     ids = stored(ids)
     return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, key, "left_semi").select(*rows.columns)

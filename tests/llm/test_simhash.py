@@ -61,3 +61,27 @@ def test_links_are_all_found(spark):
 
 def test_empty_table(make_docs):
     assert simhash.near_duplicates(make_docs([])).count() == 0
+
+
+def test_no_text_is_lost_with_an_id(spark):
+    """Ids with several texts, texts with several ids, repeated rows, names of columns that are used inside."""
+    rnd = random.Random(8)
+    new = lambda n: " ".join(f"w{rnd.randrange(10**6)}" for _ in range(n))
+    a, b, c, d = new(50), new(50), new(50), new(100)
+    near = " ".join(d.split()[:96] + ["x"] * 4)
+    rows = [(3, a), (5, a), (5, b), (7, b), (8, c), (8, c), (8, c), (9, d), (9, near), (9, near), (4, near), (None, a), (None, a), (11, None), (11, None), (12, ""), (13, ""), (3, a)]
+    for shift in (0, (1 << 63) - 14):
+        moved = [(None if i is None else i + shift, t) for i, t in rows]
+        got = sorted(((r["doc_id"], r["text"]) for r in simhash.keep_first(spark.createDataFrame([(i, t, 1, "x") for i, t in moved], "doc_id long, text string, same int, node string")).collect()), key=str)
+        want = [(3, a), (5, b), (8, c), (4, near), (None, a), (None, a), (11, None), (11, None), (12, "")]
+        assert got == sorted([(None if i is None else i + shift, t) for i, t in want], key=str)
+    groups = sorted((r.doc_id, r.component_id) for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert groups == sorted([(3, 3), (5, 3), (5, 5), (7, 5), (8, 8), (8, 8), (8, 8), (9, 4), (9, 4), (9, 4), (4, 4), (12, 12), (13, 12), (3, 3)])
+
+
+def test_one_text_of_two_similar_ones_at_the_smallest_id(spark):
+    words = [f"v{k}" for k in range(100)]
+    one, two = " ".join(words), " ".join(words[:97] + ["x", "y", "z"])
+    rows = [(1, one), (1, two), (2, one)]
+    got = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 1 and got[0].doc_id == 1 and got[0].text in (one, two)
