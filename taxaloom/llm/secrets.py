@@ -38,6 +38,10 @@ BINS = 100
 RATE = 0.1
 #: p-values above this are taken to come from random strings alone.
 LAMBDA = 0.5
+#: No string of a smaller p-value is found, whatever its stratum.
+FLOOR = 0.01
+#: Random strings that a stratum is taken to have beside its own: they decide where there are few, and weigh nothing where there are many.
+PRIOR = 100
 KINDS = (*BASE, "random")
 REPLACEMENT = "[secret]"
 
@@ -64,10 +68,11 @@ def battery(rows: DataFrame) -> DataFrame:
     for letters in reversed(ENCODINGS.values()):
         alphabet = F.when(F.col("body").rlike(f"^[{letters.replace('-', chr(92) + '-')}]+$"), F.lit(letters)).otherwise(alphabet)
     halves = F.element_at(F.create_map(*[F.lit(x) for a in ENCODINGS.values() for x in (a, "0" * (len(a) // 2) + "1" * (len(a) - len(a) // 2))]), F.col("alphabet"))
-    letters = F.filter(F.split("alphabet", "(?!^)"), lambda c: F.instr(F.col("body"), c) > 0)
+    characters = lambda text: F.filter(F.split(text, "(?!^)"), lambda c: c != "")  # noqa: E731  behind the last one the split leaves an empty string
+    letters = F.filter(characters("alphabet"), lambda c: F.instr(F.col("body"), c) > 0)
     counts = F.transform(letters, lambda c: F.length("body") - F.length(F.replace(F.col("body"), c, F.lit(""))))
     squares = F.aggregate(counts, F.lit(0.0), lambda s, c: s + c.cast("double") * c)
-    places = F.transform(F.split("body", "(?!^)"), lambda c: F.instr(F.col("alphabet"), c).cast("double"))
+    places = F.transform(characters("body"), lambda c: F.instr(F.col("alphabet"), c).cast("double"))
     n, k, ones, mean, centre = F.col("n"), F.col("k"), F.col("ones"), F.col("mean"), F.col("centre")
     start = F.struct(F.lit(0.0).alias("lag"), F.lit(0.0).alias("spread"), F.lit(0.0).alias("v"))
     step = lambda s, v: F.struct((s["lag"] + v * s["v"]).alias("lag"), (s["spread"] + v * v).alias("spread"), v.alias("v"))
@@ -122,15 +127,21 @@ def thresholds(candidates: DataFrame, rate: float = RATE) -> DataFrame:
     Random strings have even p-values, so the share above LAMBDA tells how many there
     are; what lies at or above a threshold beyond their due number is estimated to be
     false. Each stratum takes the lowest threshold that holds the rate, as short
-    strings of structure look random more often than long ones. The histogram has at
-    most BINS rows a stratum, whatever the corpus.
+    strings of structure look random more often than long ones, but none below FLOOR.
+    PRIOR random strings are counted beside a stratum's own, so that a lone string is
+    judged by the battery alone: a random one is found with probability 1 - FLOOR,
+    whether the corpus has one or millions. The price is that up to PRIOR * rate /
+    (1 - rate) strings of structure may pass before the estimate turns against them.
+    The histogram has at most BINS rows a stratum, whatever the corpus.
     """
     binned = candidates.where("p is not null").groupBy("stratum", F.least(F.floor(F.col("p") * BINS), F.lit(BINS - 1)).alias("bin")).count()
     above = Window.partitionBy("stratum").orderBy(F.desc("bin"))
     whole = Window.partitionBy("stratum")
-    random = F.sum(F.when(F.col("bin") >= LAMBDA * BINS, F.col("count")).otherwise(0)).over(whole) / (1 - LAMBDA)
-    wrong = 1 - random * (1 - F.col("bin") / BINS) / F.sum("count").over(above)
-    return binned.withColumn("wrong", wrong).where(F.col("wrong") <= rate).groupBy("stratum").agg((F.min("bin") / BINS).alias("least_p"))
+    random = (F.sum(F.when(F.col("bin") >= LAMBDA * BINS, F.col("count")).otherwise(0)).over(whole) + PRIOR * (1 - LAMBDA)) / (1 - LAMBDA)
+    even = 1 - F.col("bin") / BINS
+    wrong = 1 - random * even / (F.sum("count").over(above) + PRIOR * even)
+    least = binned.withColumn("wrong", wrong).where(F.col("wrong") <= rate).groupBy("stratum").agg((F.min("bin") / BINS).alias("least_p"))
+    return least.select("stratum", F.greatest("least_p", F.lit(FLOOR)).alias("least_p"))
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate: float = RATE) -> DataFrame:

@@ -1,3 +1,4 @@
+import math
 import hashlib
 import random
 import re
@@ -115,3 +116,69 @@ def test_values_behind_a_name(make_docs):
     got = {r.doc_id: r.spans for r in secrets.digests(secrets.find(make_docs(rows))).collect()}
     found = sum(f"random:{len(names[i % 3])}:{len(t)}" in got[i].split(",") for i, t in rows)
     assert found >= 0.85 * len(keys)
+
+
+def reference_p(value):
+    """The battery in plain Python."""
+    body = value.rstrip("=")
+    alphabet = next((a for a in secrets.ENCODINGS.values() if set(body) <= set(a)), None)
+    if alphabet is None or len(body) < secrets.LEAST_RUN // 2:
+        return None
+    n, k = len(body), len(alphabet)
+    tail = lambda z: 0.5 * math.erfc(z / math.sqrt(2))
+    at = [alphabet.index(c) + 1 for c in body]
+    pairs, equal = n * (n - 1) / 2 / k, sum(body.count(c) * (body.count(c) - 1) for c in set(body)) / 2
+    spread = math.sqrt(pairs * (1 - 1 / k))
+    root = 2 * spread / (1 - 2 / k + 2 * (n - 2) / k)
+    z1 = 3 * root * (max(1 + (equal - 0.5 - pairs) / spread / root, 0.0) ** (1 / 3) - 1) + 1 / (3 * root)
+    high = [a > k // 2 for a in at]
+    ones, runs = sum(high), 1 + sum(a != b for a, b in zip(high, high[1:]))
+    mean = 2 * ones * (n - ones) / n + 1
+    z2 = abs(runs - mean) / math.sqrt(max((mean - 1) * (mean - 2) / (n - 1), 1e-9))
+    dev = [a - sum(at) / n for a in at]
+    z3 = abs((sum(a * b for a, b in zip(dev, dev[1:])) / max(sum(a * a for a in dev), 1e-9) + 1 / (n - 1)) * math.sqrt(n))
+    half = -sum(math.log(max(p, 1e-300)) for p in (tail(z1), 2 * tail(z2), 2 * tail(z3)))
+    return math.exp(-half) * (1 + half + half * half / 2)
+
+
+def reference_thresholds(found, rate=secrets.RATE):
+    """The least p-value of each stratum, by trying every bin."""
+    out = {}
+    for stratum in {s for _, s in found}:
+        bins = [min(int(p * secrets.BINS), secrets.BINS - 1) for p, s in found if s == stratum]
+        random = (sum(b >= secrets.BINS // 2 for b in bins) + secrets.PRIOR / 2) * 2
+        fits = [b for b in sorted(set(bins)) if 1 - random * (1 - b / secrets.BINS) / (sum(c >= b for c in bins) + secrets.PRIOR * (1 - b / secrets.BINS)) <= rate]
+        if fits:
+            out[stratum] = max(fits[0] / secrets.BINS, secrets.FLOOR)
+    return out
+
+
+def test_battery_and_thresholds_against_a_reference(spark):
+    rnd = random.Random(21)
+    letters = string.ascii_letters + string.digits
+    values = ["".join(rnd.choice(a) for _ in range(rnd.randrange(8, 90))) + "=" * rnd.randrange(3) for a in (letters + "+/", "0123456789abcdef", string.ascii_uppercase + "234567") for _ in range(150)]
+    values += ["abcdefghijklmnopqrstuvwxyz0123", "a1" * 20, "version-2-of-the-long-name-here", "a" * 30, "____", "x" * 25 + "é"]
+    got = {r.value: r.p for r in secrets.battery(spark.createDataFrame([(v,) for v in values], "value string")).collect()}
+    for v in values:
+        want = reference_p(v)
+        assert (got[v] is None) == (want is None) and (want is None or math.isclose(got[v], want, rel_tol=1e-3, abs_tol=1e-6)), v
+    found = [(rnd.random() ** rnd.choice([1, 1, 6]), rnd.choice([20, 24, 32])) for _ in range(900)] + [(0.4, 64), (0.001, 128)] + [(rnd.random() / 5, 40) for _ in range(300)]
+    limits = {r.stratum: r.least_p for r in secrets.thresholds(spark.createDataFrame(found, "p double, stratum int")).collect()}
+    assert limits == pytest.approx(reference_thresholds(found))
+
+
+@pytest.mark.parametrize("n", [1, 10, 100, 1000])
+def test_random_keys_are_found_however_few_there_are(make_docs, n):
+    """Of 20 corpora of one key, and of one of more: nine in ten at least; and of as many names and paths few."""
+    rnd = random.Random(n)
+    letters = string.ascii_letters + string.digits
+    key = lambda: "".join(rnd.choice(letters) for _ in range(rnd.choice([24, 32, 40, 64]) - 2)) + "a1"
+    corpora = [[key() for _ in range(n)] for _ in range(12 if n == 1 else 1)]
+    found = false = 0
+    for keys in corpora:
+        names = [f"module_{k % 7}-of-package-{k}/sub_directory/file_number_{k}" for k in range(n)]
+        rows = [(k, f"KEY={v}") for k, v in enumerate(keys)] + [(n + k, f"see {v} there") for k, v in enumerate(names)]
+        got = {r.doc_id: r.spans for r in secrets.digests(secrets.find(make_docs(rows))).collect()}
+        found += sum("random:4:" in got[k] for k in range(n))
+        false += sum("random" in got[n + k] for k in range(n))
+    assert found >= 0.9 * n * len(corpora) and false <= 0.1 * max(found, 1)
