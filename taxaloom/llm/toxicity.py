@@ -23,8 +23,9 @@ SAMPLE, SAMPLE_BYTES = 1500, 8 << 20
 THRESHOLD = 0.3
 #: Marginals below this count as nothing in a document's measures.
 DOUBT = 0.2
-#: Chains are sentences; a longer one is cut after this many words.
-CHAIN = 128
+#: Chains are sentences. Their words are gone through one by one in stretches of this many; the stretches of a longer
+#: sentence meet in the matrices that carry the field over each of them.
+STRETCH = 128
 PREFIXES = (4, 5)
 EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "“”„«»‘’…¿¡–—"
 #: Evidence (a likelihood ratio statistic) that makes a feature's words toxic in toxic documents.
@@ -78,26 +79,63 @@ class Chains:
             begins[self.ends[:-1][np.diff(self.ends) > 0]] = True
         first = np.flatnonzero(begins)
         place = np.arange(n) - first[np.cumsum(begins) - 1] if n else np.zeros(0, np.int64)
-        starts = np.flatnonzero(place % CHAIN == 0)
-        lengths = np.diff(np.append(starts, n))
+        starts = np.flatnonzero(place % STRETCH == 0)
+        lengths, number = np.diff(np.append(starts, n)), place[starts] // STRETCH
         order = np.argsort(-lengths, kind="stable")
-        self.starts, self.lengths = starts[order], lengths[order]
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        self.first, self.starts, self.lengths, self.number = first, starts[order], lengths[order], number[order]
+        further = np.flatnonzero(number > 0)
+        further = further[np.argsort(number[further], kind="stable")]
+        layers = np.split(further, np.flatnonzero(np.diff(number[further])) + 1) if len(further) else []
+        #: The second, third, ... stretches of all sentences that have them, each beside the one before it.
+        self.layers = [(rank[k], rank[k - 1]) for k in layers]
+
+    def _across(self, up: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """P(toxic) of the word before each stretch, and the odds that what follows gives to toxic at its last word."""
+        enter, tail = np.full(len(self.starts), 0.5), np.ones(len(self.starts))
+        if not self.layers:
+            return enter, tail
+        of = np.unique(np.concatenate([k for layer in self.layers for k in layer]))
+        at, lengths, opens = self.starts[of], self.lengths[of], self.number[of] == 0
+        carried = np.broadcast_to(np.eye(2), (len(of), 2, 2)).copy()
+        for t in range(int(lengths[0])):
+            live = int(np.searchsorted(-lengths, -t, "left"))
+            word = np.stack([np.ones(live), up[at[:live] + t]], axis=1)[:, None, :]
+            step = (np.where(opens[:live, None, None], np.eye(2), moves) if t == 0 else moves) * word
+            product = carried[:live] @ step
+            carried[:live] = product / product.max(axis=(1, 2), keepdims=True)
+        place = np.zeros(len(self.starts), np.int64)
+        place[of] = np.arange(len(of))
+        ahead, behind = np.zeros((len(of), 2)), np.ones((len(of), 2))
+        ahead[opens] = carried[opens].sum(axis=1)
+        for own, before in self.layers:
+            v = ahead[place[before]] / ahead[place[before]].sum(axis=1, keepdims=True)
+            enter[own] = v[:, 1]
+            ahead[place[own]] = (v[:, None, :] @ carried[place[own]])[:, 0]
+        for own, before in reversed(self.layers):
+            v = (carried[place[own]] @ behind[place[own]][:, :, None])[:, :, 0]
+            behind[place[before]] = v / v.max(axis=1, keepdims=True)
+            tail[before] = v[:, 1] / v[:, 0]
+        return enter, tail
 
     def marginals(self, pull: np.ndarray, moves: np.ndarray, pairs: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """P(toxic) of each word, and if asked for the expected number of each move; pull is each word's log odds."""
         n = len(pull)
         up, ahead, before, after = np.exp(np.clip(pull, -30, 30)), np.empty(n), np.empty(n), np.ones(n)
         steps = [int(np.searchsorted(-self.lengths, -t, "left")) for t in range(int(self.lengths[0]) if len(self.lengths) else 0)]
-        p = np.full(len(self.starts), 0.5)
+        p, tail = self._across(up, moves)
         for t, live in enumerate(steps):
             at = self.starts[:live] + t
             q = p[:live]
-            to1 = ((1 - q) * moves[0, 1] + q * moves[1, 1]) if t else np.ones(live)
-            to0 = ((1 - q) * moves[0, 0] + q * moves[1, 0]) if t else np.ones(live)
+            to1, to0 = (1 - q) * moves[0, 1] + q * moves[1, 1], (1 - q) * moves[0, 0] + q * moves[1, 0]
+            if t == 0:  # no move leads to a sentence's first word
+                to1, to0 = np.where(self.number == 0, 1.0, to1), np.where(self.number == 0, 1.0, to0)
             before[at] = q
             p = to1 * up[at] / (to1 * up[at] + to0)
             ahead[at] = p
         # `after` is the odds that what follows gives to toxic at this place.
+        after[self.starts + self.lengths - 1] = tail
         for t in range(len(steps) - 2, -1, -1):
             live = steps[t + 1]
             at = self.starts[:live] + t
@@ -107,7 +145,7 @@ class Chains:
         counts = np.zeros((2, 2))
         if pairs:
             inner = np.ones(n, bool)
-            inner[self.starts] = False
+            inner[self.first] = False
             q, w = before[inner], (up * after)[inner]
             joint = np.stack([(1 - q) * moves[0, 0], (1 - q) * moves[0, 1] * w, q * moves[1, 0], q * moves[1, 1] * w])
             counts = (joint / joint.sum(axis=0)).sum(axis=1).reshape(2, 2)
@@ -168,7 +206,7 @@ def fit(text: pa.Array, toxic: np.ndarray) -> Model:
     keys, place = np.unique(features, return_inverse=True)
     place = place.reshape(features.shape)
     after_first = np.ones(len(y), bool)
-    after_first[chains.starts] = False
+    after_first[chains.first] = False
     at = np.flatnonzero(after_first)
     seen_moves = np.bincount(2 * y[at - 1] + y[at], minlength=4).reshape(2, 2).astype(float)
     n_docs = len(toxic)

@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from taxaloom.llm import toxicity
 
@@ -92,3 +93,44 @@ def test_clean_rows_stay(spark):
     ids = sorted((r.doc_id, r.text) for r in out.where("doc_id >= 900 or doc_id is null").collect() if r.doc_id)
     assert ids == [(900, ""), (901, "w1ord"), (901, "w1ord")] and [r.text for r in out.where("doc_id is null").collect()] == [None]
     assert toxicity.keep_clean(frame.limit(0), table).count() == 0
+
+
+def test_long_sentences_are_one_chain(monkeypatch):
+    """Sentences of any length against a plain forward-backward pass, and against stretches of another size."""
+    rng = np.random.default_rng(9)
+    words = [f"w{k}" for k in range(40)]
+    sentences = [int(n) for n in rng.integers(1, 20, size=30)] + [128, 129, 256, 257, 1000]
+    texts = [" ".join(rng.choice(words, size=n)) + "." for n in sentences] + ["", " ".join(rng.choice(words, size=700))]
+    moves = np.array([[1.3, 0.4], [0.7, 2.5]])
+    chains = toxicity.Chains(pa.array(texts))
+    pull = rng.normal(size=len(chains.word)) * 2
+    got, counts = chains.marginals(pull, moves, pairs=True)
+    want, total, at = [], np.zeros((2, 2)), 0
+    for n in [*sentences, 700]:
+        up = np.stack([np.ones(n), np.exp(pull[at : at + n])], axis=1)
+        a, b = np.empty((n, 2)), np.ones((n, 2))
+        a[0] = up[0] / up[0].sum()
+        for t in range(1, n):
+            a[t] = a[t - 1] @ moves * up[t]
+            a[t] /= a[t].sum()
+        for t in range(n - 2, -1, -1):
+            b[t] = moves @ (up[t + 1] * b[t + 1])
+            b[t] /= b[t].sum()
+        want.append((a * b)[:, 1] / (a * b).sum(axis=1))
+        for t in range(1, n):
+            joint = a[t - 1][:, None] * moves * (up[t] * b[t])
+            total += joint / joint.sum()
+        at += n
+    assert np.allclose(got, np.concatenate(want)) and np.allclose(counts, total)
+    monkeypatch.setattr(toxicity, "STRETCH", 7)
+    again, counts_again = toxicity.Chains(pa.array(texts)).marginals(pull, moves, pairs=True)
+    assert np.allclose(got, again) and np.allclose(counts, counts_again)
+
+
+def test_a_sentence_of_a_million_words():
+    import time
+
+    chains = toxicity.Chains(pa.array(["word " * 1_000_000]))
+    began = time.time()
+    assert chains.marginals(np.zeros(1_000_000), np.ones((2, 2)))[0].max() == pytest.approx(0.5)
+    assert time.time() - began < 20
