@@ -66,8 +66,14 @@ def to_members(v: Column, allowed: Sequence[str]) -> Column:
     return F.filter(F.transform(v, lambda x: to_member(x, allowed)), lambda x: x.isNotNull())
 
 
-def none_if_empty(a: Column) -> Column:
-    return F.when(F.size(a) > 0, a)
+def let(value: Column, body) -> Column:
+    """What body makes of a value, which is worked out once however often body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def none_if_empty(v: Column) -> Column:
+    """An empty list as null."""
+    return let(v, lambda x: F.when(F.size(x) > 0, x))
 
 
 def citation_mode(pmid: Column) -> Column:

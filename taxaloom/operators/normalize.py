@@ -78,14 +78,21 @@ def parse_taxon(names: Column, ids: Column) -> Column:
     lineage by rank is kept where the name has more than one segment.
     """
     parts = lambda v: F.filter(F.transform(F.split(F.coalesce(v, F.lit("")), r"\|"), C.strip), lambda x: x != "")
-    n, i = parts(names), parts(ids)
-    prefix, ranks = r"^([a-zA-Z])__(.+)$", F.create_map(*[F.lit(x) for kv in V.RANKS.items() for x in kv])
-    rank = lambda x: F.try_element_at(ranks, F.lower(F.regexp_extract(x, prefix, 1)))
-    bare = lambda x: F.when(x.rlike(prefix), F.regexp_extract(x, prefix, 2)).otherwise(x)
-    last = F.try_element_at(n, F.lit(-1))
-    lineage = F.map_from_entries(F.filter(F.transform(n, lambda x: F.struct(rank(x).alias("k"), bare(x).alias("v"))), lambda e: e["k"].isNotNull()))
-    leaf = C.to_int(F.try_element_at(i, F.lit(-1)))
-    return F.when(leaf.isNotNull(), F.struct(leaf.alias("ncbi_id"), bare(last).alias("taxon_name"), rank(last).alias("rank"), F.when(F.size(n) > 1, F.to_json(lineage)).alias("lineage")))
+    ranks = F.create_map(*[F.lit(x) for kv in V.RANKS.items() for x in kv])
+
+    def segment(x: Column) -> Column:
+        """A name's rank and what stands behind the prefix that tells it; one without a prefix as it is."""
+        told = x.rlike("^[a-zA-Z]__.+$")
+        return F.struct(F.when(told, F.try_element_at(ranks, F.lower(F.left(x, F.lit(1))))).alias("k"), F.when(told, F.substr(x, F.lit(4))).otherwise(x).alias("v"))
+
+    def made(n: Column, leaf: Column) -> Column:
+        last = F.try_element_at(n, F.lit(-1))
+        lineage = F.map_from_entries(F.filter(n, lambda e: e["k"].isNotNull()))
+        return F.struct(leaf.alias("ncbi_id"), last["v"].alias("taxon_name"), last["k"].alias("rank"), F.when(F.size(n) > 1, F.to_json(lineage)).alias("lineage"))
+
+    leaf = C.to_int(F.try_element_at(parts(ids), F.lit(-1)))
+    # Both sides are worked out once, and the names only where there is an id.
+    return C.let(leaf, lambda k: F.when(k.isNotNull(), C.let(F.transform(parts(names), segment), lambda n: made(n, k))))
 
 
 def parse_taxa(names: Column, ids: Column) -> Column:
@@ -100,6 +107,10 @@ def _c(column: str) -> Column:
     return F.col(f"`{column}`")
 
 
+#: The dump's columns that study_fields() reads.
+STUDY_CELLS = ("PMID", "DOI", "URL", "Title", "Journal", "Year", "Authors list", "Keywords", "Study design")
+
+
 def study_fields() -> list[Column]:
     return [
         C.to_int(_c("PMID")).alias("pmid"),
@@ -155,11 +166,15 @@ def load_studies(dump: DataFrame, limit: int | None = None) -> DataFrame:
         stop = rows.groupBy("uid").agg(F.min(ORDER).alias("first")).orderBy("first").offset(limit).limit(1).agg(F.min("first").alias("stop"))
         rows = rows.join(F.broadcast(stop), F.col("stop").isNull() | (F.col(ORDER) < F.col("stop"))).drop("stop")  # one row
     signature = F.when(~C.is_blank(_c("Signature page name")), F.struct(ORDER, *signature_fields()))
-    experiments = rows.groupBy("uid", "experiment").agg(F.min(ORDER).alias("first"), F.min_by(F.struct(*experiment_fields()), ORDER).alias("e"), F.min_by(F.struct(*study_fields()), ORDER).alias("s"), F.array_sort(F.collect_list(signature)).alias("signatures"))
+    # Cells of parents are read once for each parent: of its rows only the first one's raw cells come through the grouping.
+    cells = F.min_by(F.struct(*[_c(c) for c in (*STUDY_CELLS, *EXPERIMENT.values())]), ORDER)
+    raw = rows.groupBy("uid", "experiment").agg(F.min(ORDER).alias("first"), cells.alias("r"), F.array_sort(F.collect_list(signature)).alias("signatures"))
     bare = F.transform("signatures", lambda x: x.dropFields(ORDER))
-    one = F.struct("first", "experiment", "e.*", C.none_if_empty(bare).alias("signatures"))
-    studies = experiments.withColumn("one", one).groupBy("uid").agg(F.min("first").alias("first"), F.min_by("s", "first").alias("s"), F.array_sort(F.collect_list("one")).alias("experiments"))
-    return studies.select("uid", "s.*", F.transform("experiments", lambda x: x.dropFields("first")).alias("experiments"), F.col("first").alias(ORDER))
+    one = F.struct("first", "experiment", *experiment_fields(), C.none_if_empty(bare).alias("signatures"))
+    experiments = raw.select("uid", "experiment", "first", "signatures", "r.*").select("uid", "first", F.struct(*[_c(c) for c in STUDY_CELLS]).alias("r"), one.alias("one"))
+    studies = experiments.groupBy("uid").agg(F.min("first").alias("first"), F.min_by("r", "first").alias("r"), F.array_sort(F.collect_list("one")).alias("experiments"))
+    nested = F.transform("experiments", lambda x: x.dropFields("first"))
+    return studies.select("uid", "first", nested.alias("experiments"), "r.*").select("uid", *study_fields(), "experiments", F.col("first").alias(ORDER))
 
 
 def summarize(studies: DataFrame) -> DataFrame:

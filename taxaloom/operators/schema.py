@@ -11,6 +11,8 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.coerce import let
+
 PROBLEM = "array<struct<severity:string,message:string,instantiates:string,path:string>>"
 #: Kinds of values that a type takes; other types are strings.
 NUMBERS = ("bigint", "decimal", "double", "float")
@@ -107,11 +109,6 @@ def load(path: str) -> Schema:
     return parse(yaml.safe_load(text))
 
 
-def _let(value: Column, body) -> Column:
-    """body of a value that is worked out once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _kind(value: Column) -> Column:
     return F.lower(F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0))
 
@@ -161,19 +158,19 @@ def _object(schema: Schema, of: str, record: Column, path: Column, within: tuple
             if not slot.many:
                 return _value(schema, of, slot, x, here, inner)
             members = lambda xs: F.flatten(F.transform(xs, lambda y, i: _value(schema, of, slot, y, F.concat(here, F.lit("/"), i.cast("string")), inner)))
-            return _let(F.try_variant_get(x, "$", "array<variant>"), lambda xs: F.when(xs.isNull(), F.array(_problem(of, F.concat(F.lit("'"), _shown(x), F.lit("' is no list")), here))).otherwise(members(xs)))
+            return let(F.try_variant_get(x, "$", "array<variant>"), lambda xs: F.when(xs.isNull(), F.array(_problem(of, F.concat(F.lit("'"), _shown(x), F.lit("' is no list")), here))).otherwise(members(xs)))
 
         absent = F.array(_problem(of, f"'{slot.name}' is required", path)) if slot.required else F.array().cast(PROBLEM)
         value = F.try_variant_get(record, f"$['{slot.name}']", "variant")
-        return _let(value, lambda x: F.when(x.isNull() | F.is_variant_null(x), absent).otherwise(present(x)))
+        return let(value, lambda x: F.when(x.isNull() | F.is_variant_null(x), absent).otherwise(present(x)))
 
     def keys(xs: Column) -> Column:
         unknown = F.array_sort(F.array_except(F.map_keys(xs), F.array(*[F.lit(s.name) for s in slots])))
-        extra = _let(unknown, lambda u: _one(_problem(of, F.concat(F.lit("properties that the class does not have: "), F.array_join(u, ", ")), path), F.size(u) > 0))
+        extra = let(unknown, lambda u: _one(_problem(of, F.concat(F.lit("properties that the class does not have: "), F.array_join(u, ", ")), path), F.size(u) > 0))
         return F.concat(extra, *map(checked, slots))
 
     no_object = F.array(_problem(of, F.concat(F.lit("'"), _shown(record), F.lit("' is no object")), path))
-    return _let(F.try_variant_get(record, "$", "map<string,variant>"), lambda xs: F.when(xs.isNull(), no_object).otherwise(keys(xs)))
+    return let(F.try_variant_get(record, "$", "map<string,variant>"), lambda xs: F.when(xs.isNull(), no_object).otherwise(keys(xs)))
 
 
 def problems(record: Column, schema: Schema, target: str) -> Column:
@@ -185,7 +182,7 @@ def problems(record: Column, schema: Schema, target: str) -> Column:
     schema.slots(target)
     fatal = F.array(_problem(target, "no object", F.lit(""), "FATAL"))
     whole = lambda v: F.when(F.coalesce(F.startswith(F.schema_of_variant(v), F.lit("OBJECT")), F.lit(False)), _object(schema, target, v, F.lit(""))).otherwise(fatal)
-    return _let(F.try_parse_json(record), whole)
+    return let(F.try_parse_json(record), whole)
 
 
 def validate(rows: DataFrame, schema: Schema, target: str, column: str = "record") -> DataFrame:
