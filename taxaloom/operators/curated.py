@@ -103,30 +103,50 @@ def agreed_value(rounds: DataFrame, by: list[str]) -> DataFrame:
     return agreed.groupBy(*by).agg(F.min("round").alias("round"), F.min_by("value", "round").alias("value"))
 
 
-#: Words of an item by which it is looked up: all but its first are whole words of any text that holds it.
+#: Words of an item by which it is looked up: all but its first and last are whole words of any text that holds it.
 LOOKUP = 3
-#: Bytes of items too short for that which may be held against every text.
-SHORT_BYTES = 1 << 20
+#: Characters of a word by which shorter items are looked up among the words of all texts.
+GRAM = 3
 
 
-def grounded(texts: DataFrame, items: DataFrame) -> DataFrame:
-    """Rows of texts (text) and items (item) where the text holds the item as it stands.
+def _grams(word: Column) -> Column:
+    """The distinct pieces of a word of one to GRAM characters."""
+    at = lambda n: F.when(F.length(word) >= n, F.transform(F.sequence(F.lit(1), F.length(word) - n + 1), lambda i: F.substr(word, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(*map(at, range(1, GRAM + 1))))
+
 
-    Words between single spaces inside an item are words of the text too, so the two
-    meet by the second to fourth of them before the text is searched. Shorter items are
-    held against every text; there may be SHORT_BYTES of them.
+def grounded(texts: DataFrame, items: DataFrame) -> DataFrame:
+    """Each row of texts (text) beside each row of items (item; not empty) that the text holds as it stands; rows that repeat meet as often as they come.
+
+    Texts and items meet by keys, and only what may hold is searched. Words between
+    single spaces inside an item are words of the text too: items of five words or more
+    meet texts by their second to fourth. Shorter items meet the distinct words of all
+    texts by the first characters of their longest word, and texts by the words that
+    hold it. An item of spaces alone is held against every text; there are as few of
+    these as lengths. Texts are known by their SHA-256 until they are searched.
     """
-    words = items.where("item <> ''").withColumn("__w", F.split("item", " "))
-    long = words.where(F.size("__w") > LOOKUP + 1).withColumn("__k", F.array_join(F.slice("__w", 2, LOOKUP), " ")).drop("__w")
-    w = F.col("__w")
-    runs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(w) - LOOKUP + 1), lambda i: F.array_join(F.slice(w, i, LOOKUP), " ")))
-    with_runs = texts.withColumn("__w", F.split("text", " ")).where(F.size("__w") >= LOOKUP).withColumn("__k", F.explode(runs)).drop("__w")
-    out = with_runs.join(long, "__k").where(F.contains("text", "item")).drop("__k").distinct()
-    short = words.where(F.size("__w") <= LOOKUP + 1).drop("__w")
-    size = short.agg(F.sum(F.octet_length("item"))).first()[0] or 0
-    if size > SHORT_BYTES:
-        raise ValueError(f"{size} bytes of items are too short to be looked up by words")
-    return out.unionByName(texts.join(F.broadcast(short), F.contains("text", "item"))) if size else out
+    whole = texts.where("text is not null").select(F.sha2("text", 256).alias("__text"), "text").dropDuplicates(["__text"])
+    asked = items.where("item <> ''").select("item").distinct().withColumn("w", F.split("item", " "))
+    words = F.split("text", " ")
+    inner = asked.where(F.size("w") > LOOKUP + 1).select("item", F.array_join(F.slice("w", 2, LOOKUP), " ").alias("key"))
+    runs = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - LOOKUP + 1), lambda i: F.array_join(F.slice(w, i, LOOKUP), " "))
+    of_run = whole.where(F.size(words) >= LOOKUP).select("__text", F.explode(F.array_distinct(C.let(words, runs))).alias("key"))
+    longest = F.array_max(F.transform("w", lambda x: F.struct(F.length(x).alias("n"), x.alias("part"))))["part"]
+    short = asked.where(F.size("w") <= LOOKUP + 1).select("item", longest.alias("part"))
+    parts = short.where("part <> ''").withColumn("gram", F.left("part", F.lit(GRAM)))
+    of_word = whole.select("__text", F.explode(F.array_distinct(words)).alias("word"))
+    lengths = [r[0] for r in parts.select(F.length("gram")).distinct().collect()]  # at most GRAM
+    known = of_word.select("word").distinct().select("word", F.explode(F.filter(_grams(F.col("word")), lambda g: F.length(g).isin(*lengths))).alias("gram"))
+    held = known.join(parts, "gram").where(F.contains("word", "part")).select("word", "item")
+    maybe = of_run.join(inner, "key").select("__text", "item")
+    if lengths:
+        maybe = maybe.unionByName(of_word.join(held, "word").select("__text", "item"))
+    blank = short.where("part = ''").select("item")
+    found = whole.join(maybe.distinct(), "__text").where(F.contains("text", "item")).select("__text", "item")
+    if not blank.isEmpty():
+        found = found.unionByName(whole.join(F.broadcast(blank), F.contains("text", "item")).select("__text", "item"))  # a few lengths
+    by_item = found.withColumnRenamed("item", "__item").join(items, F.col("__item") == F.col("item")).drop("__item")
+    return texts.withColumn("__key", F.sha2("text", 256)).join(by_item, F.col("__key") == F.col("__text")).select(*texts.columns, *items.columns)
 
 
 def ungrounded(items: DataFrame, found: DataFrame, key: str) -> DataFrame:

@@ -104,3 +104,18 @@ def test_scoring_goes_on_without_faulty_studies(spark):
     assert out["totals"].first().n_studies == 2
     lines = scoring.records(out["studies"], out["missing"], out["errors"]).collect()
     assert sorted((r.study_id, r.record_type) for r in lines) == [("a", "study_score"), ("b", "scoring_error"), ("c", "missing_prediction"), ("c", "study_score")]
+
+
+def test_grounding_equals_a_search_of_every_text(spark):
+    """Items of any length, of parts of words and of spaces, repeated rows on both sides."""
+    import random
+
+    from taxaloom.operators import curated
+
+    r = random.Random(2)
+    words = ["alpha", "beta", "be", "a", "", "gamma-delta", "é日", "x" * 30, "beta.", "s__Beta"]
+    texts = [(k, " ".join(r.choice(words) for _ in range(r.randrange(0, 14)))) for k in range(60)] + [(100, None), (101, ""), (3, "alpha beta"), (3, "alpha beta")]
+    items = [(k, " ".join(r.choice(words) for _ in range(r.randrange(1, 8)))) for k in range(80)]
+    items += [(200 + k, t[r.randrange(len(t)) :][: r.randrange(1, 12)]) for k, (_, t) in enumerate(texts) if t] + [(300, " "), (301, "   "), (302, ""), (303, None), (304, "eta al"), (304, "eta al"), (305, "日")]
+    got = curated.grounded(spark.createDataFrame(texts, "d int, text string"), spark.createDataFrame(items, "i int, item string")).select("d", "i").collect()
+    assert sorted(map(tuple, got)) == sorted((d, i) for d, t in texts for i, x in items if t is not None and x and x in t)
