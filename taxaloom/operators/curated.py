@@ -71,6 +71,11 @@ def coverage(mapped: DataFrame) -> DataFrame:
     return mapped.agg(n.alias("total"), with_pmc.alias("with_pmc"), (n - with_pmc).alias("without_pmc"), F.when(n == 0, 0.0).otherwise(with_pmc * 100.0 / n).alias("pct"))
 
 
+def distinct_ids(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """Each value of a column once, with the place where it is first seen; nulls are none."""
+    return rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(order).alias(order))
+
+
 def dedup_taxa(rows: DataFrame, by: list[str]) -> DataFrame:
     """One taxon per direction and compared name: the first that has an id, else the first, at the first's place (ord)."""
     key = F.lower(T.one_line(F.col("taxon_name")))

@@ -30,6 +30,26 @@ def canonical(rows: DataFrame, merged: DataFrame, column: str = "tax_id") -> Dat
     return rows.join(hop, column, "left").withColumn(column, F.coalesce("__new", column)).drop("__new")
 
 
+def ranks(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The rows (tax_id) with `rank`, as the id stands: a retired one has none."""
+    return rows.join(nodes.select("tax_id", "rank"), "tax_id", "left")
+
+
+def verified(rows: DataFrame, names: DataFrame, cache: DataFrame | None = None) -> DataFrame:
+    """The rows (taxon_name, ncbi_id) with `confirmed`, and the id only where it is: where the authority comes to it by the name.
+
+    The cache (name_norm, tax_id; null: known to have none) answers before the store.
+    An id that is not that of its name is dropped, not mended.
+    """
+    keyed = rows.withColumn("name_norm", taxon_key(F.col("taxon_name")))
+    pick = F.min(F.struct((F.col("name_class") != SCIENTIFIC).alias("o"), "tax_id"))
+    store = names.groupBy("name_norm").agg(pick.alias("p")).select("name_norm", F.col("p.tax_id").alias("tax_id"))
+    known = store if cache is None else with_cache(keyed.select("name_norm").distinct(), cache, store)
+    found = keyed.join(known.select("name_norm", F.col("tax_id").alias("__id")), "name_norm", "left")
+    same = F.coalesce(F.col("ncbi_id").try_cast("bigint") == F.col("__id"), F.lit(False))
+    return found.withColumn("confirmed", same).withColumn("ncbi_id", F.when(same, F.col("ncbi_id"))).select(*rows.columns, "confirmed")
+
+
 def scientific_names(names: DataFrame) -> DataFrame:
     return names.where(F.col("name_class") == SCIENTIFIC).groupBy("tax_id").agg(F.min("name_txt").alias("name"))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+import warnings
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -117,6 +118,17 @@ def open_store(spark: SparkSession, store: str) -> dict[str, DataFrame]:
     return tables
 
 
+def open_optional(spark: SparkSession, store: str | None) -> dict[str, DataFrame] | None:
+    """The store's tables, or none with a warning where there is no finished or no sound store: what needs names then goes without."""
+    try:
+        if store is None:
+            raise FileNotFoundError("no taxonomy store is named")
+        return open_store(spark, store)
+    except Exception as e:  # noqa: BLE001  whatever keeps a store from being read
+        warnings.warn(f"names cannot be resolved: {e}", RuntimeWarning, stacklevel=2)
+        return None
+
+
 def prune(spark: SparkSession, store: str, keep: int = 1, abandoned: bool = False) -> int:
     """Deletes all finished builds but the last `keep`, for when nobody reads them any more, and with `abandoned` what unfinished ones have left, for when none is under way; how many went."""
     commits = _commits(spark, store)

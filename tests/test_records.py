@@ -1,6 +1,7 @@
 import json
 import logging
 
+import pytest
 from pyspark.sql import functions as F
 
 from taxaloom import config
@@ -119,3 +120,52 @@ def test_grounding_equals_a_search_of_every_text(spark):
     items += [(200 + k, t[r.randrange(len(t)) :][: r.randrange(1, 12)]) for k, (_, t) in enumerate(texts) if t] + [(300, " "), (301, "   "), (302, ""), (303, None), (304, "eta al"), (304, "eta al"), (305, "日")]
     got = curated.grounded(spark.createDataFrame(texts, "d int, text string"), spark.createDataFrame(items, "i int, item string")).select("d", "i").collect()
     assert sorted(map(tuple, got)) == sorted((d, i) for d, t in texts for i, x in items if t is not None and x and x in t)
+
+
+def test_whole_report(spark, tmp_path):
+    """Facts, strata, studies, missing predictions and errors, in order, escaped, as Markdown and as a page."""
+    from taxaloom.operators import study_scores, taxonomy
+
+    kind = "study_id string, pmid string, has_pmc boolean, experiments array<struct<experiment_id:string,experiment_name:string,body_site:array<string>,condition:array<string>,statistical_test:array<string>,group_0_name:string,group_1_name:string,sequencing_type:string,mht_correction:boolean,signatures:array<struct<signature_id:string,signature_name:string,source:string,source_type:string,direction:string,curation_state:string,taxa:array<bigint>>>>>"
+    experiment = lambda source: ("e", "e", ["Feces"], [], [], None, None, None, None, [("s", "s", "x", source, "increased", "Complete", [1, 2])])
+    tree = spark.createDataFrame([("s<1>|x", "1", True, [experiment("figure")]), ("s2", "1", None, [experiment("main-table")]), ("s3", "1", False, [])], kind)
+    said = '{"experiments": [{"body_site": ["feces"], "signatures": [{"abundance_in_group_1": "increased", "taxa": [{"ncbi_id": 1}]}]}]}'
+    records = spark.createDataFrame([("s<1>|x", said), ("s3", "[]")], "study_id string, record string")
+    names = spark.createDataFrame([(1, "Alpha x", "alpha x", taxonomy.SCIENTIFIC)], "tax_id bigint, name_txt string, name_norm string, name_class string")
+    found = study_scores.score_corpus(tree, records, names, spark.createDataFrame([], "old_tax_id bigint, new_tax_id bigint"))
+    report.write_pages(found, tree, str(tmp_path), has_store=False)
+    md = [r.value for r in report.page(found, tree, False).orderBy("section", "part", "ord").select("line").withColumnRenamed("line", "value").collect()]
+    assert [x for x in md if x.startswith("#")] == ["# Scores", "## By type of source", "## By number of experiments", "## By study", "## Without a prediction", "## Not scored"]
+    facts = dict(x[2:].rsplit(": **", 1) for x in md if x.startswith("- "))
+    assert facts["Studies scored"] == "2**" and facts["Studies without a prediction, scored as all missed"] == "1**" and facts["Predictions that could not be scored, left out of all figures"] == "1**"
+    assert facts["F1 of taxa, all pairs together"] == "0.400 (precision 1.000, recall 0.250, Jaccard 0.250)**" and facts["Directions right, of matched signatures"] == "100.0%**"
+    assert "| main-table | 2 | 0.000 | 0.000 | 0.000 | 0.000 |" in md and md.index("| main-table | 2 | 0.000 | 0.000 | 0.000 | 0.000 |") < md.index("| figure | 2 | 1.000 | 0.500 | 0.667 | 0.500 |")
+    assert "| s<1>\\|x | True | 1 | 1 | 1 | 0 | 0 | 0.667 | 1.000 | 1/1 |" in md and "| s2 | ? | 1 | 0 | 0 | 0 | 1 | 0.000 | 0.000 | - |" in md
+    assert "| s3 | /: array where object is expected |" in md and "(none)" not in "".join(md)
+    page = "\n".join(r.value for r in spark.read.text(f"{tmp_path}/report_html").collect())
+    assert page.startswith("<!doctype html>") and page.endswith("</body></html>") and "s&lt;1&gt;|x" in page and report.NO_STORE in page and page.count("<table>") == page.count("</table>") == 5
+    assert [json.loads(r.value)["record_type"] for r in spark.read.text(f"{tmp_path}/scores").collect()].count("scoring_error") == 1
+    empty = study_scores.score_corpus(tree.limit(0), records, names, spark.createDataFrame([], "old_tax_id bigint, new_tax_id bigint"))
+    assert "".join(r.line for r in report.page(empty, tree, False).collect()).count("(none)") == 5
+
+
+def test_ids_ranks_and_an_optional_store(spark, tmp_path):
+    from taxaloom.functions import text as T
+    from taxaloom.operators import curated, taxonomy
+    from taxaloom.sources import taxdump
+
+    names = spark.createDataFrame([(1, "Alpha x", "alpha x", "scientific name"), (2, "Alpha x", "alpha x", "synonym"), (3, "Beta", "beta", "synonym")], "tax_id bigint, name_txt string, name_norm string, name_class string")
+    rows = spark.createDataFrame([(1, "s__Alpha_x", 1), (2, "Alpha x", 2), (3, "beta", 3), (4, "none", 3), (5, "beta", None), (6, "kept", 9), (7, "missed", 4)], "k int, taxon_name string, ncbi_id bigint")
+    cache = spark.createDataFrame([("kept", 9), ("missed", None)], "name_norm string, tax_id bigint")
+    got = {r.k: (r.ncbi_id, r.confirmed) for r in taxonomy.verified(rows, names, cache).collect()}
+    assert got == {1: (1, True), 2: (None, False), 3: (3, True), 4: (None, False), 5: (None, False), 6: (9, True), 7: (None, False)}
+    nodes = spark.createDataFrame([(1, 1, "genus")], "tax_id bigint, parent_tax_id bigint, rank string")
+    assert {r.tax_id: r.rank for r in taxonomy.ranks(spark.createDataFrame([(1,), (33,)], "tax_id bigint"), nodes).collect()} == {1: "genus", 33: None}
+    seen = curated.distinct_ids(spark.createDataFrame([(5, "b"), (1, "a"), (2, "b"), (3, None)], "at int, pmid string"), "pmid", "at")
+    assert [(r.pmid, r.at) for r in seen.orderBy("at").collect()] == [("a", 1), ("b", 2)]
+    for store in (None, str(tmp_path / "none")):
+        with pytest.warns(RuntimeWarning, match="names cannot be resolved"):
+            assert taxdump.open_optional(spark, store) is None
+    says = {"Differentially abundant": True, "by LEfSe": True, "LDA score": True, "valda x": False, "significantly  enriched taxa": True, "significant taxa": False, "insignificant different": True, "": False}
+    assert {r.v: r.s for r in spark.createDataFrame([(v,) for v in says], "v string").select("v", T.differential_signal(F.col("v")).alias("s")).collect()} == says
+    assert spark.range(1).select(T.context(F.lit("é" * 9), 4).alias("a"), T.context(F.lit(None).cast("string"), 4).alias("b")).first() == ("éééé", "")
