@@ -23,7 +23,7 @@ def segment(article: Column) -> Column:
 
 
 def experiment(stub: Column, article: Column) -> Column:
-    wanted = '{"body_site": [text], "condition": [text], "group_0_name": text, "group_1_name": text, "sequencing_type": text, "statistical_test": [text], "mht_correction": true or false}'
+    wanted = '{"host_species": text, "body_site": [text], "condition": [text], "group_0_name": text, "group_1_name": text, "sequencing_type": text, "statistical_test": [text], "mht_correction": true or false}'
     return _said("Describe this comparison; group 1 is the one whose abundance is reported. Leave out what the article does not say.", wanted, comparison=stub, article=article)
 
 

@@ -38,7 +38,8 @@ def grounded_names(names: DataFrame, by: list[str], ask: Callable[[DataFrame, st
     """by, name_norm of names (taxon_name, artifact_text) that a check of the source confirms. One call for each artifact."""
     asked = names.groupBy(*by).agg(F.any_value("artifact_text").alias("artifact_text"), F.array_sort(F.collect_set("taxon_name")).alias("names"))
     said = ask(asked.select(*by, "names", prompts.ground(F.col("names"), F.col("artifact_text")).alias("prompt")), "ground")
-    confirmed = F.array_intersect("names", answered(F.col("answer"), "grounded", "string"))
+    low = lambda names: F.transform(names, lambda x: F.lower(C.strip(x)))
+    confirmed = F.filter("names", lambda x: F.array_contains(low(answered(F.col("answer"), "grounded", "string")), F.lower(C.strip(x))))
     return said.select(*by, F.explode(confirmed).alias("taxon_name")).select(*by, T.taxon_key(F.col("taxon_name")).alias("name_norm")).distinct()
 
 
@@ -60,6 +61,22 @@ def repaired(rows: DataFrame, ask: Callable[[DataFrame, str], DataFrame], rounds
     return out.drop("last").withColumn("changed", ~F.col("settled").eqNullSafe(F.col("direction")))
 
 
+def checked(names: DataFrame, by: list[str], ask: Callable[[DataFrame, str], DataFrame], rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
+    """Names (taxon_name, direction, ncbi_id, ord, artifact_text) that a check of the source confirms, with the direction that is derived anew; and flags (by, flag) on what was dropped.
+
+    A name is confirmed whatever the case of the answer's letters. A direction that does
+    not settle takes its name with it.
+    """
+    columns = [*by, "taxon_name", "direction", "ncbi_id", "ord", "artifact_text"]
+    key = [*by, "name_norm"]
+    keyed = names.select(*columns).withColumn("name_norm", T.taxon_key(F.col("taxon_name")))
+    confirmed = grounded_names(names.select(*columns), by, ask)
+    settled = repaired(keyed.join(confirmed, key, "left_semi").select(*columns), ask, rounds)
+    kept = settled.where("settled is not null").withColumn("direction", F.col("settled")).select(*columns)
+    lost = settled.where("settled is null").select(*by, F.concat(F.lit("direction not settled: "), "taxon_name").alias("flag"))
+    return kept, lost.unionByName(keyed.join(confirmed, key, "left_anti").select(*by, F.concat(F.lit("not confirmed: "), "taxon_name").alias("flag")))
+
+
 def panel(extracted: DataFrame, reviewed: DataFrame, by: list[str], ask: Callable[[DataFrame, str], DataFrame], rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
     """Names after a reviewer's pass, and flags (by, flag) on what was dropped.
 

@@ -264,3 +264,36 @@ def test_random_groups_of_first_and_last(spark):
         last[k] = v
     assert {r.k: r.v for r in normalize.first_wins(frame, "k", "o", ["v"]).collect()} == first
     assert {r.k: r.v for r in normalize.last_wins(frame, "k", F.col("o"), ["v"]).collect()} == last
+
+
+def test_names_are_checked_and_directions_derived_anew(spark):
+    class Scripted:
+        def complete(self, stage, prompt):
+            if stage == "ground":
+                return {"grounded": ["alpha", " BETA ", "gamma"]}
+            name, number = prompt.split("# taxon\n")[1].split("\n")[0], int(prompt.split("Round ")[1][0])
+            return {"direction": {"Alpha": ["increased"] * 3, "Beta": ["decreased"] * 3, "Gamma": ["decreased", "increased", "decreased"]}[name][number - 1]}
+
+    asking = lambda rows, stage: curation.ask(rows, stage, Scripted)
+    rows = spark.createDataFrame([(1, n, "increased", None, k, "t") for k, n in enumerate(["Alpha", "Beta", "Gamma", "Delta"])], "k int, taxon_name string, direction string, ncbi_id bigint, ord int, artifact_text string")
+    kept, flags = review.checked(rows, ["k"], asking)
+    assert sorted((r.taxon_name, r.direction) for r in kept.collect()) == [("Alpha", "increased"), ("Beta", "decreased")]
+    assert sorted(r.flag for r in flags.collect()) == ["direction not settled: Gamma", "not confirmed: Delta"]
+
+
+def test_records_that_were_made_can_be_scored(spark):
+    """From articles to scores: fields lie beside the signatures, and nothing is blank."""
+    experiment = {"host_species": " Homo sapiens ", "body_site": "Feces", "condition": ["x", ""], "group_0_name": "", "sequencing_type": "16s", "statistical_test": ["lefse", "no such"], "mht_correction": "yes"}
+    answers = {"study": {"study_design": []}, "segment": {"experiments": ["one"]}, "experiment": experiment, "taxa": {"taxa": [{"taxon_name": "LEfSe", "direction": "increased", "ncbi_id": 1}, {"taxon_name": "Beta", "direction": "increased", "ncbi_id": 5}]}}
+    studies, id_map, docs = spark.createDataFrame([("1",), ("x2",)], "pmid string"), spark.createDataFrame([("1", "P1")], "pmid string, pmcid string"), spark.createDataFrame([("P1", XML)], "pmcid string, xml string").withColumn("html", F.lit(""))
+    names = spark.createDataFrame([(1, "LEfSe", "lefse", taxonomy.SCIENTIFIC), (2, "Beta", "beta", taxonomy.SCIENTIFIC)], "tax_id bigint, name_txt string, name_norm string, name_class string")
+    made = curation.curate(studies, id_map, docs, lambda: curation.MockModel(answers), verify=lambda rows: taxonomy.verified(rows, names).drop("confirmed")).select("pmid", "record", "valid").collect()
+    records = {r.pmid: json.loads(r.record) for r in made}
+    assert all(r.valid for r in made) and records["x2"] == {"uid": "x2", "citation_mode": "Manual", "experiments": []}
+    one = records["1"]["experiments"][0]
+    assert {k: v for k, v in one.items() if k != "signatures"} == {"host_species": "Homo sapiens", "body_site": ["Feces"], "condition": ["x"], "sequencing_type": "16S", "statistical_test": ["LEfSe"]}
+    assert one["signatures"][0]["taxa"] == [{"taxon_name": "LEfSe", "ncbi_id": 1}, {"taxon_name": "Beta"}] and "study_design" not in records["1"]
+    kind = "study_id string, pmid string, has_pmc boolean, experiments array<struct<experiment_id:string,experiment_name:string,body_site:array<string>,condition:array<string>,statistical_test:array<string>,group_0_name:string,group_1_name:string,sequencing_type:string,mht_correction:boolean,signatures:array<struct<signature_id:string,signature_name:string,source:string,source_type:string,direction:string,curation_state:string,taxa:array<bigint>>>>>"
+    tree = spark.createDataFrame([("1", "1", True, [("e", "e", ["Feces"], [], [], None, None, "16S", None, [("s", "s", "x", "figure", "increased", "Complete", [1, 2])])])], kind)
+    found = study_scores.score_corpus(tree, spark.createDataFrame([(r.pmid, r.record) for r in made], "study_id string, record string"), names, spark.createDataFrame([], "old_tax_id bigint, new_tax_id bigint"))
+    assert found["errors"].count() == 0 and {(r.tp, r.fp, r.fn, r.n_matched) for r in found["studies"].collect()} == {(2, 0, 0, 1)}
