@@ -38,7 +38,13 @@ SPELLED = {
     "zéro": "0", "deux": "2", "trois": "3", "quatre": "4", "cinq": "5", "sept": "7", "huit": "8", "neuf": "9",
     "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9", "plus": "+", "un": "1", "une": "1", "ein": "1", "eine": "1",
 }
+#: Words that say how often the digit behind them comes.
+TIMES = {"double": 2, "triple": 3, "treble": 3}
 AT, DOT = "at|arroba|arobase", "dot|punkt|point|punto"
+#: Ends of domains, but for those that are words of running text.
+ENDS = frozenset("com org net edu gov mil int info biz name io dev app eu de fr es uk ca ch nl se dk pl ru jp cn br au nz ie pt".split())
+#: What is said before an address: behind one of these "bob at example.com" is one, and not only a place.
+CUE = re.compile(r"(?i)\b(?:e-?mail|mail|courriel|correo|contact|kontakt|write|reach|address|adresse|reply)\b[^.!?\n]{0,24}$")
 #: The fewest digits of any kind, an address of four.
 LEAST_DIGITS = 4
 
@@ -62,27 +68,68 @@ class Transducers:
         self.glyphs = _glyphs()
         self.glyph = re.compile("[" + "".join(map(re.escape, self.glyphs)) + "]")
         words = "|".join(sorted(SPELLED, key=len, reverse=True))
-        self.number = re.compile(rf"(?i)\b(?:(?:{words}|\+?[0-9]+)\b[ \t,.\-]{{0,2}})++")
-        self.spelled = re.compile(rf"(?i)\b(?:(plus)\b[ \t]*|(?:{words})\b)")
+        times = rf"(?:(?:{'|'.join(TIMES)})[ \t]{{1,2}})?"
+        self.number = re.compile(rf"(?i)\b(?:(?:{times}(?:{words})|\+?[0-9]+)\b[ \t,.\-]{{0,2}})++")
+        self.spelled = re.compile(rf"(?i)\b(?:(plus)\b[ \t]*|(?:({'|'.join(TIMES)})[ \t]{{1,2}})?({words})\b)")
         wrap = lambda w: rf"[ \t]?[\[({{<][ \t]?(?:{w})[ \t]?[\])}}>][ \t]?"
         dotted = rf"(?:[ \t](?:{DOT})[ \t]|{wrap(DOT + '|[.]')})"
         domain = rf"[A-Za-z0-9-]+(?:(?:\.|{dotted})[A-Za-z0-9-]+)*{dotted}[A-Za-z0-9-]+"
         self.at = re.compile(rf"(?i)(?<=[A-Za-z0-9_%+-])(?:{wrap(AT + '|@')}|[ \t](?:{AT})[ \t](?={domain}))(?=[A-Za-z0-9])")
+        self.domain = re.compile(rf"(?i){domain}")
         self.dot = re.compile(rf"(?i)(?<=[A-Za-z0-9]){dotted}(?=[A-Za-z0-9])")
+        part = rf"(?:[0-9]{{1,3}}|{times}(?:{words})\b(?:[ \t\-]{times}(?:{words})\b){{0,2}})"
+        self.address = re.compile(rf"(?i)(?<![0-9.])\b{part}(?:(?:\.|{dotted}){part}){{3}}(?![0-9])")
+        named = r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
+        self.place = re.compile(rf"(?i)(?<=[A-Za-z0-9_%+-])[ \t]({AT})[ \t](?={named}\b)")
         #: What a text needs for each step to do anything, without look-around, for Arrow's linear-time matcher.
-        self.needs = ["[" + "".join(map(re.escape, self.glyphs)) + "]", rf"(?i)\b(?:{words})\b[ \t,.\-]{{0,2}}\b(?:{words}|[0-9])|(?:{words})\b[ \t,.\-]{{0,2}}\+[0-9]|[0-9][ \t,.\-]{{0,2}}\b(?:{words})\b", rf"(?i)[A-Za-z0-9_%+\-](?:{wrap(AT + '|@')}|[ \t](?:{AT})[ \t]{domain})", rf"(?i)(?:@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*{dotted}[A-Za-z0-9]|[0-9]{dotted}[0-9])"]
+        several = rf"(?:{words})\b[ \t,.\-]{{0,2}}\b(?:{'|'.join(TIMES)}|{words}|[0-9])|(?:{words})\b[ \t,.\-]{{0,2}}\+[0-9]|[0-9][ \t,.\-]{{0,2}}\b(?:{'|'.join(TIMES)}|{words})\b|\b(?:{'|'.join(TIMES)})[ \t]{{1,2}}(?:{words})\b"
+        apart = rf"(?:{words}|[0-9])(?:\.|{dotted})(?:{words})\b|\b(?:{words})(?:\.|{dotted})[0-9]"
+        self.needs = ["[" + "".join(map(re.escape, self.glyphs)) + "]", rf"(?i)\b{several}|{apart}", rf"(?i)[A-Za-z0-9_%+\-](?:{wrap(AT + '|@')}|[ \t](?:{AT})[ \t](?:{domain}|{named}))", rf"(?i)(?:@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*{dotted}[A-Za-z0-9]|[0-9]{dotted}[0-9])"]
+
+    def _digits(self, text: str) -> list[tuple[int, int, str]]:
+        """Spelled digits of runs long enough for an identifier; blanks and hyphens between two of them go."""
+        whole = [(m.start(), m.end()) for m in self.address.finditer(text)]
+        runs = [(m.start(), m.end()) for m in self.number.finditer(text)]
+        out = []
+        for start, end, is_address in sorted([(*r, True) for r in whole] + [(*r, False) for r in runs if not any(a < r[1] and r[0] < b for a, b in whole)]):
+            said = list(self.spelled.finditer(text, start, end))
+            many = [TIMES[w[2].casefold()] if w[2] else 1 for w in said]
+            if not said or (not is_address and len(re.findall("[0-9]", text[start:end])) + sum(n for w, n in zip(said, many, strict=True) if not w[1]) < LEAST_DIGITS):
+                continue
+            for k, (w, n) in enumerate(zip(said, many, strict=True)):
+                if k and not w[1] and not said[k - 1][1] and w.start() > said[k - 1].end() and not text[said[k - 1].end() : w.start()].strip(" \t-"):
+                    out.append((said[k - 1].end(), w.start(), ""))
+                out.append((w.start(), w.end(), "+" if w[1] else SPELLED[w[3].casefold()] * n))
+        return out
+
+    def _ats(self, text: str) -> list[tuple[int, int, str]]:
+        """Disguised at signs. A bare word before a domain with plain dots is one if it is in capitals, if the name before it
+        has a dot, a digit or the like, or if the words before tell of an address; else it may be a place. Where the
+        dots are bare words too, "at one point and" and "at 12 Dot Lane" are none."""
+        found = {(m.start(), m.end()) for m in self.at.finditer(text) if not m[0].strip().isalpha() or self._is_domain(text, m.end())}
+        for m in self.place.finditer(text):
+            start = m.start()
+            while start and text[start - 1] in LOCAL_SET:
+                start -= 1
+            if m[1].isupper() or re.search("[0-9._%+-]", text[start : m.start()]) or CUE.search(text, max(0, start - 40), start):
+                found.add((m.start(), m.end()))
+        return [(a, b, "@") for a, b in sorted(found)]
 
     def edits(self, text: str, step: int) -> list[tuple[int, int, str]]:
         if step == 0:
             return [] if text.isascii() else [(m.start(), m.end(), self.glyphs[m[0]]) for m in self.glyph.finditer(text)]
         if step == 1:
-            out = []
-            for m in self.number.finditer(text):
-                said = list(self.spelled.finditer(m[0]))
-                if said and len(re.findall("[0-9]", m[0])) + sum(not w[1] for w in said) >= LEAST_DIGITS:
-                    out += [(m.start() + w.start(), m.start() + w.end(), "+" if w[1] else SPELLED[w[0].casefold()]) for w in said]
-            return out
-        return [(m.start(), m.end(), "@" if step == 2 else ".") for m in (self.at if step == 2 else self.dot).finditer(text)]
+            return self._digits(text)
+        return self._ats(text) if step == 2 else [(m.start(), m.end(), ".") for m in self.dot.finditer(text)]
+
+    def _is_domain(self, text: str, at: int) -> bool:
+        """Whether what stands behind a bare word for the at sign reads as a domain, by its last part, its first one and its dots."""
+        said = self.domain.match(text, at)[0]
+        dots = [m[0].strip().lower() for m in self.dot.finditer(said)]
+        if not all(d.isalpha() for d in dots):
+            return True
+        labels = re.split(r"[ .]+", said)
+        return labels[-1].lower() in ENDS or (not labels[0].isdigit() and set(dots) == {"dot"})
 
     def normalise(self, text: str) -> tuple[str, list[Rewritten]]:
         steps = []
