@@ -23,13 +23,21 @@ SKIPPED = frozenset("head nav footer aside form button select textarea noscript
 RAW = frozenset("script style textarea title noscript template iframe svg".split())
 BREAKS = frozenset("p br hr h1 h2 h3 h4 h5 h6 li ul ol dl dt dd tr th td table caption blockquote pre address figure figcaption details summary thead tbody tfoot".split()) | CONTAINERS | SKIPPED
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that are no containers, but may be boilerplate by their names.
+NAMED = HEADINGS | frozenset("p li blockquote figure figcaption dd dt pre address summary".split())
 #: A class or id names boilerplate if it is made of such words, and perhaps of words that say nothing ("site-footer", but not "has-footer").
 BOILERPLATE = re.compile(
     "ads?|advert.*|sponsor.*|promo.*|banner.*|cookie.*|consent|gdpr|notices?|alerts?|menus?|nav.*|breadcrumbs?|side|sidebar.*|foot|footer.*|masthead|topbar|comments?|commentlist|disqus|respond|repl(?:y|ies)|reactions?|shar(?:e|ing)|social|related|recommend.*|newsletter|subscri.*|signup|login|popup|modal|overlay|widgets?|toolbar|pagination|pager|skip.*|search|hidden"
+    "|discussions?|responses?|conversations?|talkback|feedback|bio|paywall.*|regwall|dfp|taboola|outbrain|popular|trending|donat.*|survey|poll"
 )
+#: Names that are boilerplate as a whole, however their parts are written.
+BOILERPLATE_NAMES = re.compile("(most|also|further|read|up)(read|viewed|shared|popular|discussed|more|next|reading|on)|(you|people)(may|might|also).*|alsolike.*|morefrom.*|morestories|morenews|sponsoredcontent|partnercontent|authorbox|aboutauthor|abouttheauthor")
 HEADER = re.compile("header|head|top")
-PLAIN = re.compile("site|page|main|global|primary|secondary|left|right|bottom|list|lists|section|box|area|wrap|wrapper|container|block|bar|inner|outer|item|items|links?|buttons?|slot|unit|posts?|articles?|news|stories|form|thread|panel|column|col|sm|md|lg|[0-9]*")
+PLAIN = re.compile("site|page|main|global|primary|secondary|left|right|bottom|list|lists|section|box|area|wrap|wrapper|container|block|bar|inner|outer|item|items|links?|buttons?|slot|unit|posts?|articles?|news|stories|form|thread|panel|column|col|sm|md|lg|[0-9]*"
+    "|story|readers?|users?|visitors?|guests?|all|latest|recent|new|authors?|e?mail|google|native|inline|sticky|floating|fixed|mobile|desktop|holder|placeholder|zone|space|module|component|region|row|grid|cards?|feed|strip|the|of|to|our|your|us|js|ui|c|m|u")
 CONTENT = re.compile("article|content|post|entry|story|text|main|body")
+#: What a header is named that is an article's and not the site's.
+OF_ARTICLE = re.compile("article|content|post|entry|story|headline|title")
 PARTS = re.compile("[^A-Za-z0-9]+|(?<=[a-z])(?=[A-Z])")
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert".split())
 TAG = re.compile(r"""<(/?)([A-Za-z][A-Za-z0-9:-]*+)([^>"']*+(?:"[^"]*+"[^>"']*+|'[^']*+'[^>"']*+)*+)>""")
@@ -70,18 +78,24 @@ class Page:
             junk[k] |= junk[self.parent[k]] or self.against[k] == 1 and text[k] < MOST * most
         self.blocks = [b for b in self.blocks if not junk[b[0]]]
 
-    def _open(self, tag: str, attributes: str, parent: int, inside_main: bool) -> int:
+    def _judge(self, tag: str, attributes: str, parent: int, inside_main: bool) -> tuple[int, str, list[list[str]]]:
+        """What speaks against an element (see Page), its classes, and the words of its names."""
         names = {m[1].lower(): next((g for g in m.groups()[1:] if g is not None), "") for m in ATTRIBUTE.finditer(attributes)} if attributes else {}
         labels = [[w.lower() for w in PARTS.split(label) if w] for label in f"{names.get('class', '')} {names.get('id', '')}".split()]
-        sure = tag in SKIPPED and not (tag == "header" and inside_main) or names.get("role", "").lower() in ROLES or "hidden" in names or names.get("aria-hidden") == "true" or "display:none" in names.get("style", "").replace(" ", "")
+        its_own = tag == "header" and (inside_main or self.content[parent] or any(OF_ARTICLE.fullmatch(w) for words in labels for w in words))
+        sure = tag in SKIPPED and not its_own or names.get("role", "").lower() in ROLES or "hidden" in names or names.get("aria-hidden") == "true" or "display:none" in names.get("style", "").replace(" ", "")
         bad = lambda w: BOILERPLATE.fullmatch(w) or not inside_main and tag in CONTAINERS and HEADER.fullmatch(w)
-        named = tag not in ("body", "article", "main") and any(any(map(bad, words)) and all(bad(w) or PLAIN.fullmatch(w) for w in words) for words in labels)
-        kinds = sorted({re.sub(r"[0-9]+", "", c) for c in names.get("class", "").lower().split()} - {""})
+        named = tag not in ("body", "article", "main") and any(any(map(bad, words)) and all(bad(w) or PLAIN.fullmatch(w) for w in words) or BOILERPLATE_NAMES.fullmatch("".join(words)) for words in labels)
+        return 2 if sure else int(named), names.get("class", ""), labels
+
+    def _open(self, tag: str, attributes: str, parent: int, inside_main: bool) -> int:
+        against, classes, labels = self._judge(tag, attributes, parent, inside_main)
+        kinds = sorted({re.sub(r"[0-9]+", "", c) for c in classes.lower().split()} - {""})
         self.parent.append(parent)
         self.path.append(xxhash.xxh64_intdigest(".".join([tag, *kinds]), self.path[parent]))
         self.tag.append(tag)
         self.content.append(any(CONTENT.fullmatch(w) for words in labels for w in words))
-        self.against.append(2 if sure else int(named))
+        self.against.append(against)
         return len(self.parent) - 1
 
     def _parse(self, source: str) -> None:
@@ -89,6 +103,7 @@ class Page:
         scopes: list[Counter] = [Counter()]  # open tags, anew in each table cell
         words: list[str] = []
         linked, in_link, heading, at, seen_heading = 0, False, False, 0, False
+        dropped = False  # inside a paragraph or heading that is boilerplate by its names, up to the next break
 
         def flush() -> None:
             nonlocal linked, seen_heading
@@ -110,7 +125,7 @@ class Page:
         while at < n:
             lt = source.find("<", at)
             stop = n if lt < 0 else lt
-            if stop > at and not stack[-1][2]:
+            if stop > at and not stack[-1][2] and not dropped:
                 text = source[at:stop]
                 text = entities.unescape(text) if "&" in text else text
                 words.append(text)
@@ -127,7 +142,7 @@ class Page:
                     end = source.find(">", lt)
                     at = n if end < 0 else end + 1
                 else:
-                    if not stack[-1][2]:
+                    if not stack[-1][2] and not dropped:
                         words.append("<")
                     at = lt + 1
                 continue
@@ -142,8 +157,19 @@ class Page:
             if tag not in BREAKS:
                 continue
             flush()
+            dropped = False
             if tag in HEADINGS:
                 heading = not closing
+            if not stack[-1][2] and tag in NAMED and not closing and attributes and self._judge(tag, attributes, stack[-1][1], stack[-1][3])[0]:
+                if tag == "p" or tag in HEADINGS:
+                    dropped = True
+                elif not attributes.endswith("/"):
+                    scopes[-1][tag] += 1
+                    stack.append((tag, stack[-1][1], True, stack[-1][3]))
+                continue
+            if tag in NAMED and scopes[-1][tag] > 0 and stack[-1][0] == tag and (closing or tag == "li"):
+                pop()  # the end of such an element, or a list item behind it
+                continue
             if tag in CONTAINERS or tag in SKIPPED or tag in ("ul", "ol", "table", "dl", "details"):
                 if closing:
                     if tag == "table":
@@ -190,9 +216,14 @@ class Page:
         return " ".join(b[1] for b in (taken or self.blocks))
 
     def _inside(self, path: int) -> list[tuple[int, str, int, bool]]:
-        within = [False]
+        """The blocks in containers with the path, and in headers right beside one."""
+        within, beside = [False], set()
         for k in range(1, len(self.parent)):
             within.append(within[self.parent[k]] or self.path[k] == path)
+            if self.path[k] == path:
+                beside.add(self.parent[k])
+        for k in range(1, len(self.parent)):
+            within[k] |= within[self.parent[k]] or self.tag[k] == "header" and self.parent[k] in beside
         return [b for b in self.blocks if within[b[0]]]
 
 

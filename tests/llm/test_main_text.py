@@ -55,3 +55,39 @@ def test_work_is_linear():
     page = M.Page('<div class="x">' * 10_000 + "text" + "</ul>" * 10_000 + "<td>" * 1000 + "</div>" * 1000)
     assert page.text_at(next(iter(page.scores()))) == "text"
     assert time.time() - began < 5
+
+
+LONG = "This sentence belongs to the article and tells of something at some length. " * 8
+TALK = "I am a reader and I think something else about it, at great length as readers do. " * 6
+
+
+@pytest.mark.parametrize("name", ["reader-comments", "user-comments", "story-comments", "discussion", "comments-area", "comment-list", "author-bio", "email-signup", "dfp-ad", "paywall-notice", "most-read", "mostPopular", "responses", "you-may-also-like", "trending-stories", "newsletter-signup-form"])
+@pytest.mark.parametrize("tag", ["div", "section", "ul"])
+def test_what_stands_around_an_article(name, tag):
+    inner = f"<li>{TALK}</li>" if tag == "ul" else f"<p>{TALK}</p>"
+    for page in (f'<body><article><h1>Title</h1><p>{LONG}</p><{tag} class="{name}">{inner}</{tag}></article></body>', f'<body><div class="post-body"><h1>Title</h1><p>{LONG}</p></div><{tag} id="{name}">{inner}</{tag}></body>'):
+        assert M.Page(page).text_at(None) == "Title " + LONG.strip(), page
+
+
+@pytest.mark.parametrize("element", ['<p class="ad-slot">Buy it now!</p>', '<p class="cookie-notice">We use cookies.<p>', '<li class="sponsored">Buy <b>this</b></li>', '<blockquote class="newsletter">Sign <p>up</p></blockquote>', '<h3 class="related">More of it</h3>', '<figure class="advert"><figcaption>Buy</figcaption></figure>', '<p hidden>secret</p>', '<p style="display: none">x</p>', '<p role="alert">look</p>'])
+def test_boilerplate_in_any_element(element):
+    page = f'<body><article><h1>Title</h1><p>{LONG}</p>{element}<p class="lead has-ads">And it ends.</p></article></body>'
+    assert M.Page(page).text_at(None) == f"Title {LONG.strip()} And it ends."
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f'<body><header class="site-header">The Site</header><div class="post"><header class="article-header"><h1>Title</h1></header><div class="post-body"><p>{LONG}</p></div></div></body>',
+        f'<body><header>The Site</header><div class="entry"><header><h1>Title</h1></header><div class="text"><p>{LONG}</p></div></div><footer>x</footer></body>',
+        f'<body><header>The Site</header><main><header><h1>Title</h1></header><section class="body"><p>{LONG}</p></section></main></body>',
+        f'<body><header role="banner">The Site</header><article><header><h1>Title</h1></header><p>{LONG}</p></article></body>',
+    ],
+)
+def test_an_articles_own_header(page):
+    assert M.Page(page).text_at(None) == "Title " + LONG.strip()
+
+
+def test_lists_in_an_article_stay():
+    page = f'<body><article><p>{LONG}</p><ul><li>one<li class="ad">no<li>two</ul><ol><li>three</li><li class="promo">no<ul><li>no</li></ul></li><li>four</li></ol></article></body>'
+    assert M.Page(page).text_at(None) == f"{LONG.strip()} one two three four"
