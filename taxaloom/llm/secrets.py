@@ -134,7 +134,9 @@ def thresholds(candidates: DataFrame, rate: float = RATE) -> DataFrame:
     (1 - rate) strings of structure may pass before the estimate turns against them.
     The histogram has at most BINS rows a stratum, whatever the corpus.
     """
-    binned = candidates.where("p is not null").groupBy("stratum", F.least(F.floor(F.col("p") * BINS), F.lit(BINS - 1)).alias("bin")).count()
+    counts = candidates.where("p is not null").groupBy("stratum", F.least(F.floor(F.col("p") * BINS), F.lit(BINS - 1)).alias("bin")).count()
+    # Every bin may be the threshold, whether a string lies in it or not.
+    binned = counts.select("stratum").distinct().withColumn("bin", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(BINS - 1).cast("long")))).join(counts, ["stratum", "bin"], "left").fillna(0, ["count"])
     above = Window.partitionBy("stratum").orderBy(F.desc("bin"))
     whole = Window.partitionBy("stratum")
     random = (F.sum(F.when(F.col("bin") >= LAMBDA * BINS, F.col("count")).otherwise(0)).over(whole) + PRIOR * (1 - LAMBDA)) / (1 - LAMBDA)

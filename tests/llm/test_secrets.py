@@ -147,7 +147,7 @@ def reference_thresholds(found, rate=secrets.RATE):
     for stratum in {s for _, s in found}:
         bins = [min(int(p * secrets.BINS), secrets.BINS - 1) for p, s in found if s == stratum]
         random = (sum(b >= secrets.BINS // 2 for b in bins) + secrets.PRIOR / 2) * 2
-        fits = [b for b in sorted(set(bins)) if 1 - random * (1 - b / secrets.BINS) / (sum(c >= b for c in bins) + secrets.PRIOR * (1 - b / secrets.BINS)) <= rate]
+        fits = [b for b in range(secrets.BINS) if 1 - random * (1 - b / secrets.BINS) / (sum(c >= b for c in bins) + secrets.PRIOR * (1 - b / secrets.BINS)) <= rate]
         if fits:
             out[stratum] = max(fits[0] / secrets.BINS, secrets.FLOOR)
     return out
@@ -173,7 +173,7 @@ def test_random_keys_are_found_however_few_there_are(make_docs, n):
     rnd = random.Random(n)
     letters = string.ascii_letters + string.digits
     key = lambda: "".join(rnd.choice(letters) for _ in range(rnd.choice([24, 32, 40, 64]) - 2)) + "a1"
-    corpora = [[key() for _ in range(n)] for _ in range(12 if n == 1 else 1)]
+    corpora = [[key() for _ in range(n)] for _ in range(20 if n == 1 else 1)]
     found = false = 0
     for keys in corpora:
         names = [f"module_{k % 7}-of-package-{k}/sub_directory/file_number_{k}" for k in range(n)]
