@@ -18,9 +18,23 @@ def shared_folder(spark: SparkSession) -> str:
     return named
 
 
+#: Working tables that this driver has written and not removed.
+_written: list[str] = []
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """The same rows from a written table: computed once, and again readable when executors are lost."""
+    """The same rows from a written table: computed once, and again readable when executors are lost. See clear()."""
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> int:
+    """Removes all working tables that this driver has written, for when their results have been written elsewhere; how many there were."""
+    paths, _written[:] = list(_written), []
+    for path in paths:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    return len(paths)

@@ -169,3 +169,13 @@ def test_ids_ranks_and_an_optional_store(spark, tmp_path):
     says = {"Differentially abundant": True, "by LEfSe": True, "LDA score": True, "valda x": False, "significantly  enriched taxa": True, "significant taxa": False, "insignificant different": True, "": False}
     assert {r.v: r.s for r in spark.createDataFrame([(v,) for v in says], "v string").select("v", T.differential_signal(F.col("v")).alias("s")).collect()} == says
     assert spark.range(1).select(T.context(F.lit("é" * 9), 4).alias("a"), T.context(F.lit(None).cast("string"), 4).alias("b")).first() == ("éééé", "")
+
+
+def test_working_tables_can_be_removed(spark):
+    from taxaloom import working
+
+    working.clear(spark)
+    one = working.stored(spark.range(5))
+    assert one.count() == 5 and working.clear(spark) == 1 and working.clear(spark) == 0
+    with pytest.raises(Exception, match="table-"):
+        one.count()
