@@ -131,9 +131,10 @@ class Transducers:
         labels = re.split(r"[ .]+", said)
         return labels[-1].lower() in ENDS or (not labels[0].isdigit() and set(dots) == {"dot"})
 
-    def normalise(self, text: str) -> tuple[str, list[Rewritten]]:
+    def normalise(self, text: str, first: int = 0) -> tuple[str, list[Rewritten]]:
+        """The text after all steps from the first one on that it has a need of, and the steps that changed it."""
         steps = []
-        for step in range(4):
+        for step in range(first, 4):
             found = self.edits(text, step)
             if found:
                 steps.append(Rewritten(text, found))
@@ -202,10 +203,10 @@ def detect(text: str, kinds: Sequence[bool] = (True,) * len(KINDS)) -> list[tupl
     return sorted(out)
 
 
-def find_all(text: str, rewrite: Transducers) -> list[tuple[int, int, int]]:
+def find_all(text: str, rewrite: Transducers, first: int = 0) -> list[tuple[int, int, int]]:
     """Plain spans, and those that show only once disguises are undone (kinds from len(KINDS) on)."""
     base = detect(text)
-    plain, steps = rewrite.normalise(text)
+    plain, steps = rewrite.normalise(text, first)
     if not steps:
         return base
     out = list(base)
@@ -241,7 +242,8 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
             found: list[list] = [[] for _ in range(batch.num_rows)]
             for k in np.flatnonzero(may.any(axis=1)):
                 whole, plain = text[int(k)].as_py(), may[k, : len(KINDS)]
-                found[k] = find_all(whole, rewrite) if may[k, len(KINDS) :].any() else detect(whole, plain)
+                steps = np.flatnonzero(may[k, len(KINDS) :])  # an earlier step leaves the text as it is
+                found[k] = find_all(whole, rewrite, int(steps[0])) if len(steps) else detect(whole, plain)
             spans = [[dict(zip(("start", "kind", "end"), s, strict=True)) for s in f] for f in found]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, pa.list_(kind))], ["doc_id", "spans"])
         X.settle()
