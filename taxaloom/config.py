@@ -34,6 +34,15 @@ def cache_root(override: str | None = None) -> Path:
     return Path(named) if named else Path(os.environ.get("XDG_CACHE_HOME") or Path.home() / ".cache") / "taxaloom"
 
 
+#: Where keys of services are looked for, the first that is set being taken.
+MODEL_KEYS, NAME_SEARCH_KEYS = ("GOOGLE_API_KEY", "GEMINI_API_KEY"), ("NCBI_API_KEY",)
+
+
+def service_key(names: tuple[str, ...]) -> str | None:
+    """A key from the environment. It goes to the tasks that call a service and into no log."""
+    return next((v for v in map(os.environ.get, names) if v), None)
+
+
 class JsonLines(logging.Formatter):
     """Records as the event stream reads them."""
 

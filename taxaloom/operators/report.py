@@ -137,3 +137,36 @@ def write_pages(found: dict[str, DataFrame], tree: DataFrame, folder: str, has_s
     for name, html in (("report_md", False), ("report_html", True)):
         order = ["section", "part", "ord"]
         page(found, tree, html, has_store).repartitionByRange(*order).sortWithinPartitions(*order).select("line").write.mode("overwrite").text(f"{folder}/{name}")
+
+
+def _figure_numbers(rows: DataFrame) -> DataFrame:
+    """gold, pred, p, r, f and genus F of counts; the genus precision is that of all predicted names."""
+    gold, pred = F.col("tp") + F.col("fn"), F.col("tp") + F.col("fp")
+    p, r = sets.ratio(F.col("tp"), pred), sets.ratio(F.col("tp"), gold)
+    gp, gr = sets.ratio(F.col("genus_tp"), pred), sets.ratio(F.col("genus_tp"), gold)
+    return rows.withColumns({"gold": gold, "pred": pred, "p": p, "r": r, "f": sets.ratio(2 * p * r, p + r), "gf": sets.ratio(2 * gp * gr, gp + gr)})
+
+
+def figure_page(scores: DataFrame) -> DataFrame:
+    """section, part, ord, line: a report on scoring.figure_scores(), by figure and by type of figure, as Markdown."""
+    spark = scores.sparkSession
+    two = lambda c: F.format_string("%.2f", c)
+    bar = lambda cells: F.concat(F.lit("| "), F.concat_ws(" | ", *[F.regexp_replace(F.replace(F.coalesce(c, F.lit("")), F.lit("|"), F.lit("\\|")), r"[\r\n]+", " ") for c in cells]), F.lit(" |"))
+    judged = F.concat_ws("/", "direction_right", "direction_judged")
+    one = _figure_numbers(scores)
+    unknown = F.when(F.col("direction_unknown") > 0, F.concat(F.lit(" (+"), "direction_unknown", F.lit(" unknown)"))).otherwise("")
+    each = bar([F.col("figure").cast("string"), F.col("figure_type"), F.col("gold").cast("string"), F.col("pred").cast("string"), F.concat_ws("/", two("p"), two("r"), two("f")), two("gf"), F.concat(judged, unknown)])
+    by_figure = one.select(F.lit(0).alias("section"), F.lit(1).alias("part"), F.array(F.coalesce("figure_type", F.lit("")), F.col("figure").cast("string")).alias("ord"), each.alias("line"))
+    summed = scores.groupBy("figure_type").agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in ("tp", "fp", "fn", "genus_tp", "direction_right", "direction_judged")])
+    share = F.when(F.col("direction_judged") > 0, F.concat(judged, F.format_string(" (%.0f%%)", 100 * F.col("direction_right") / F.col("direction_judged")))).otherwise("-")
+    of_type = bar([F.col("figure_type"), F.col("n").cast("string"), two("f"), two("gf"), share])
+    by_type = _figure_numbers(summed).select(F.lit(1).alias("section"), F.lit(1).alias("part"), F.array(F.coalesce("figure_type", F.lit(""))).alias("ord"), of_type.alias("line"))
+    heads = [_line(spark, 0, 0, "| figure | type | curated | predicted | P/R/F1 | F1 of genera | directions |", "|---|---|---:|---:|---|---:|---|"), _line(spark, 1, 0, "", "## By type of figure", "", "| type | n | F1 | F1 of genera | directions |", "|---|---:|---:|---:|---|")]
+    return reduce(DataFrame.unionByName, [*heads, by_figure, by_type])
+
+
+def write_figures(scores: DataFrame, folder: str) -> None:
+    """results (JSON lines by figure) and report_md under a folder."""
+    sinks.write_lines(scores.select(F.col("figure").alias("study_id"), F.to_json(F.struct(*scores.columns)).alias("line")), f"{folder}/results")
+    order = ["section", "part", "ord"]
+    figure_page(scores).repartitionByRange(*order).sortWithinPartitions(*order).select("line").write.mode("overwrite").text(f"{folder}/report_md")

@@ -112,6 +112,22 @@ def lineage(closure: DataFrame, names: DataFrame) -> DataFrame:
     return named.groupBy("tax_id").agg(F.array_sort(F.collect_list(step)).alias("l")).select("tax_id", F.transform("l", lambda x: x.dropFields("o")).alias("lineage"))
 
 
+def looked_up(asked: DataFrame, store: dict[str, DataFrame]) -> DataFrame:
+    """asked (name or tax_id, as text) with tax_id (canonical), name, rank, ambiguous, candidates and lineage, from a store's tables.
+
+    A name is resolved, an id is taken as it stands, or replaced where it was retired;
+    what is not known has only nulls. lineage: the path from the root, names joined.
+    """
+    given = asked.select("asked").distinct().withColumn("id", F.when(F.col("asked").rlike(r"^\s*[0-9]+\s*$"), F.trim("asked").try_cast("bigint")))
+    by_name = resolve(given.where("id is null").select(F.col("asked").alias("query")), store["names"], store["nodes"]).select(F.col("query").alias("asked"), "tax_id", "ambiguous", "candidates")
+    by_id = canonical(given.where("id is not null").select("asked", F.col("id").alias("tax_id")), store["merged"]).withColumns({"ambiguous": F.lit(False), "candidates": F.array("tax_id")})
+    found = by_name.unionByName(by_id)
+    paths = lineage(ancestors(found.where("tax_id is not null").select("tax_id"), store["nodes"]), store["names"])
+    text = F.array_join(F.transform("lineage", lambda x: F.coalesce(x["name"], x["tax_id"].cast("string"))), " > ")
+    named = scientific_names(store["names"])
+    return ranks(found, store["nodes"]).join(named, "tax_id", "left").join(paths.select("tax_id", text.alias("lineage")), "tax_id", "left").select("asked", "tax_id", "name", "rank", "ambiguous", "candidates", "lineage")
+
+
 def nearest(closure: DataFrame, rank: str) -> DataFrame:
     """tax_id and its nearest ancestor, itself included, of the rank."""
     return closure.where(F.col("rank") == rank).groupBy("tax_id").agg(F.min_by("ancestor", "depth").alias(rank))

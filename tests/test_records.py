@@ -179,3 +179,33 @@ def test_working_tables_can_be_removed(spark):
     assert one.count() == 5 and working.clear(spark) == 1 and working.clear(spark) == 0
     with pytest.raises(Exception, match="table-"):
         one.count()
+
+
+def test_figure_report(spark, tmp_path):
+    gold = spark.createDataFrame([("f1", "heatmap", "alpha x", "increased"), ("f1", "heatmap", "beta y", "decreased"), ("f2", "bar", "alpha x", "increased")], "figure string, figure_type string, name string, direction string")
+    said = spark.createDataFrame([("f1", "alpha x", "increased"), ("f1", "beta z", "unknown"), ("f1", "beta y", "unknown")], "figure string, name string, direction string")
+    scores = scoring.figure_scores(gold, said)
+    report.write_figures(scores, str(tmp_path))
+    lines = [r.line for r in report.figure_page(scores).orderBy("section", "part", "ord").collect()]
+    assert "| f1 | heatmap | 2 | 3 | 0.67/1.00/0.80 | 0.80 | 1/1 (+1 unknown) |" in lines and "| f2 | bar | 1 | 0 | 0.00/0.00/0.00 | 0.00 | 0/0 |" in lines
+    assert lines[-2:] == ["| bar | 1 | 0.00 | 0.00 | - |", "| heatmap | 1 | 0.80 | 0.80 | 1/1 (100%) |"]
+    assert sorted(json.loads(r.value)["figure"] for r in spark.read.text(f"{tmp_path}/results").collect()) == ["f1", "f2"]
+
+
+def test_looking_up_names_and_ids(spark, monkeypatch):
+    from taxaloom.operators import taxonomy
+
+    store = {
+        "names": spark.createDataFrame([(1, "root", "root", "scientific name"), (2, "Alpha", "alpha", "scientific name"), (3, "Alpha beta", "alpha beta", "scientific name"), (4, "alpha", "alpha", "synonym")], "tax_id bigint, name_txt string, name_norm string, name_class string"),
+        "nodes": spark.createDataFrame([(1, 1, "no rank"), (2, 1, "genus"), (3, 2, "species"), (4, 1, "genus")], "tax_id bigint, parent_tax_id bigint, rank string"),
+        "merged": spark.createDataFrame([(33, 3)], "old_tax_id bigint, new_tax_id bigint"),
+    }
+    got = {r.asked: r for r in taxonomy.looked_up(spark.createDataFrame([("g__Alpha",), ("33",), ("nothing",), ("77",), ("4",)], "asked string"), store).collect()}
+    assert (got["g__Alpha"].tax_id, got["g__Alpha"].ambiguous, got["g__Alpha"].candidates, got["g__Alpha"].lineage) == (2, True, [2, 4], "root > Alpha")
+    assert (got["33"].tax_id, got["33"].name, got["33"].rank, got["33"].lineage) == (3, "Alpha beta", "species", "root > Alpha > Alpha beta")
+    assert (got["nothing"].tax_id, got["nothing"].lineage) == (None, None) and (got["77"].tax_id, got["77"].rank) == (77, None) and got["4"].lineage == "root > 4"
+    monkeypatch.delenv("GOOGLE_API_KEY", raising=False)
+    monkeypatch.setenv("GEMINI_API_KEY", "k")
+    assert config.service_key(config.MODEL_KEYS) == "k"
+    monkeypatch.setenv("GOOGLE_API_KEY", "g")
+    assert config.service_key(config.MODEL_KEYS) == "g" and config.service_key(("NO_SUCH_KEY_HERE",)) is None
