@@ -24,6 +24,8 @@ FILTER_BITS = 22
 STRETCH, PAIRS = 1 << 16, 1 << 20
 #: A gram that occurs so often in the items is looked at only now and then inside a run of one character.
 OFTEN = 8
+#: Neighbouring bands from which on they are aligned together, and diagonals that are aligned at once.
+RUN, WIDE = 6, 1 << 15
 SCHEMA = "doc_id long, item_id long, start int, end int, edits int"
 FOLDED = {c: c + 32 for c in range(65, 91)} | dict.fromkeys(range(9, 14), 32)
 FOLD = np.array([FOLDED.get(c, c) for c in range(256)], np.uint8)
@@ -143,6 +145,52 @@ def verify(index: Index, item: int, text: str, band: int) -> tuple[int, int, int
     return max(0, end - back), end, edits
 
 
+def align_run(item: np.ndarray, text: np.ndarray, low: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """align() for each end at once: of each diagonal from low on, the least edits of the item against a stretch that ends on it, and where the stretch starts."""
+    far = np.int32(1 << 20)
+    padded = np.full(width + len(item) + 1, 0, np.int32)
+    lo, hi = max(0, low), min(len(text), low + width + len(item))
+    if hi > lo:
+        padded[lo - low : hi - low] = text[lo:hi].astype(np.int32) + 1
+    steps = np.arange(width, dtype=np.int32)
+    row = np.where((steps + low >= 0) & (steps + low <= len(text)), 0, far).astype(np.int32) - steps
+    start = steps + low
+    for i, c in enumerate(item.astype(np.int32) + 1):
+        best, origin = row + (padded[i : i + width] != c), start.copy()
+        skips = row[1:] + 2 < best[:-1]
+        best[:-1][skips], origin[:-1][skips] = row[1:][skips] + 2, start[1:][skips]
+        first, last = -(i + 1 + low), len(text) - (i + 1 + low)
+        if first > 0:
+            best[:first] = far
+        if last < width - 1:
+            best[max(0, last + 1) :] = far
+        row = np.minimum.accumulate(best)
+        start = origin[np.maximum.accumulate(np.where(best == row, steps, 0))]
+    end = steps + low + len(item)
+    return np.where((end >= 0) & (end <= len(text)), row + steps, far), start
+
+
+def verify_run(index: Index, item: int, text: str, first: int, last: int) -> Iterator[tuple[int, int, int]]:
+    """(start, end, edits) of the item in each of the neighbouring bands first to last, where it is within its budget.
+
+    The bands overlap, so that one alignment of all their diagonals takes a fraction of
+    what one for each would: a text that repeats itself has such runs without end.
+    """
+    e, m = int(index.edits[item]), len(index.items[item])
+    w, raw = e + 1, points(index.items[item])
+    many = max(1, WIDE // w)
+    for b0 in range(first, last + 1, many):
+        b1 = min(last, b0 + many - 1)
+        low, width = b0 * w - e, (b1 - b0 + 2) * w + 2 * e
+        lo = max(0, low)
+        edits, start = align_run(raw, points(text[lo : max(lo, low + width + m)]), low - lo, width)
+        for k in range(b1 - b0 + 1):
+            mine = edits[k * w : k * w + 2 * w + 2 * e]
+            at = int(mine.argmin())
+            if mine[at] <= e:
+                yield lo + max(0, int(start[k * w + at])), low + k * w + at + m, int(mine[at])
+
+
 def candidates(index: Index, raw: np.ndarray, starts: np.ndarray) -> Iterator[np.ndarray]:
     """Columns (text, item, band) of bands with as many of an item's grams as its budget leaves it; texts begin at `starts` of raw.
 
@@ -216,15 +264,27 @@ def scan(index: Index, texts: list[str], first_only: bool = False) -> Iterator[t
     raw = np.concatenate([p for t in texts for p in (bytes_of(t), gap)] or [gap])
     seen, matched = set(), set()
     for found in candidates(index, raw, starts):
-        for d, i, b in found.T.tolist():
-            if first_only and d in matched or (d, i, b) in seen:
+        bands = found[:, np.lexsort(found[::-1])]
+        breaks = np.flatnonzero((np.diff(bands[:2], axis=1) != 0).any(axis=0) | (np.diff(bands[2]) != 1)) + 1
+        for run in np.split(bands, breaks, axis=1):
+            if not run.size:
                 continue
-            seen.add((d, i, b))
-            got = verify(index, i, texts[d], b)
-            if got and (d, i, -1, *got[:2]) not in seen:
-                seen.add((d, i, -1, *got[:2]))
-                matched.add(d)
-                yield d, i, *got
+            d, i = int(run[0, 0]), int(run[1, 0])
+            if first_only and d in matched:
+                continue
+            if run.shape[1] >= RUN:
+                matches = verify_run(index, i, texts[d], int(run[2, 0]), int(run[2, -1]))
+            else:
+                mine = [b for b in run[2].tolist() if (d, i, b) not in seen]
+                seen.update((d, i, b) for b in mine)
+                matches = filter(None, (verify(index, i, texts[d], b) for b in mine))
+            for got in matches:
+                if (d, i, -1, *got[:2]) not in seen:
+                    seen.add((d, i, -1, *got[:2]))
+                    matched.add(d)
+                    yield d, i, *got
+                    if first_only:
+                        break
     for d, text in enumerate(texts if index.short else []):
         plain = fold(text)
         for i in index.short:

@@ -2,6 +2,7 @@ import random
 import resource
 import time
 
+import numpy as np
 import pytest
 
 from taxaloom.llm import decontaminate as D
@@ -76,3 +77,47 @@ def test_keep_clean_and_empty(make_docs, spark):
     assert D.keep_clean(make_docs([]), bench).count() == 0 and D.keep_clean(make_docs(rows), bench.limit(0)).count() == 4
     assert D.find(make_docs([]), bench).count() == 0
     assert D.find(make_docs(rows), bench.limit(0)).count() == 0
+
+
+def test_a_run_of_bands_is_aligned_once():
+    """Ends, edits and starts of all diagonals at once, against one band at a time and a plain distance."""
+    rng = np.random.default_rng(4)
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, last = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j - 1] + (x != y), last[j] + 1, row[-1] + 1))
+        return row[-1]
+
+    for _ in range(40):
+        item = rng.integers(0, 3, size=int(rng.integers(3, 12))).astype(np.uint32)
+        text = rng.integers(0, 3, size=int(rng.integers(0, 40))).astype(np.uint32)
+        low, width = int(rng.integers(-4, 6)), int(rng.integers(1, 30))
+        edits, start = D.align_run(item, text, low, width)
+        best, end = D.align(item, text, low, width)
+        if best < 1000:
+            assert edits.min() == best and low + int(edits.argmin()) + len(item) == end
+        for k in np.flatnonzero(edits < 100):
+            stop = low + int(k) + len(item)
+            assert 0 <= start[k] <= stop <= len(text) and distance(item.tolist(), text[start[k] : stop].tolist()) <= edits[k]
+
+
+@pytest.mark.parametrize("unit", ["-", "-=", "the ", "ab c"])
+def test_hostile_repetition_ends(unit):
+    """A megabyte of one unit, against items of it: every stretch is found, in seconds."""
+    import time
+
+    words = "one two six"
+    items = [(unit * 300)[:300] + words, (unit * 400)[:400]]
+    index, text = D.Index.of(list(enumerate(items))), (unit * 1_000_000)[:1_000_000]
+    began = time.time()
+    assert next(D.scan(index, [text], first_only=True))[0] == 0
+    assert time.time() - began < 20
+    began = time.time()
+    found = list(D.scan(index, [text[:100_000]]))
+    assert time.time() - began < 40
+    for item, size in ((0, 300 + len(words)), (1, 400)):
+        starts = sorted(s for _, i, s, _, _ in found if i == item)
+        assert starts[0] < 100 and starts[-1] > 100_000 - size - 100 and max(np.diff(starts)) < 200
