@@ -35,7 +35,7 @@ def cache_root(override: str | None = None) -> Path:
 
 
 #: Where keys of services are looked for, the first that is set being taken.
-MODEL_KEYS, NAME_SEARCH_KEYS = ("GOOGLE_API_KEY", "GEMINI_API_KEY"), ("NCBI_API_KEY",)
+MODEL_KEYS, NAME_SEARCH_KEYS = ("GOOGLE_API_KEY", "GEMINI_API_KEY", "GOOGLE_GENERATIVE_AI_API_KEY"), ("NCBI_API_KEY",)
 
 
 def service_key(names: tuple[str, ...]) -> str | None:
