@@ -118,21 +118,34 @@ def completed(pairs: DataFrame, predicted: DataFrame, curated: DataFrame, by: li
     return one.unionByName(rest, allowMissingColumns=True)
 
 
-def experiment_score(g: Column, p: Column, taxa_g: Column | None = None, taxa_p: Column | None = None) -> Column:
-    """How alike two experiments are, 0 to 1: the mean of those of body site, condition, groups and sequencing type that either side has.
+def comparable(e: Column) -> Column:
+    """What is compared of an experiment: its body sites, conditions and groups as sets of plain names, and its sequencing type. Worked out once for each experiment, not for each pair."""
+    none = F.array().cast("array<string>")
+    return F.struct(
+        *[T.normal_set(F.coalesce(e[c], none)).alias(c) for c in ("body_site", "condition")],
+        T.normal_set(F.array(e["group_0_name"], e["group_1_name"])).alias("groups"),
+        F.nullif(e["sequencing_type"], F.lit("")).alias("sequencing_type"),
+    )
+
+
+def similarity(g: Column, p: Column, taxa_g: Column | None = None, taxa_p: Column | None = None) -> Column:
+    """How alike two experiments are (see comparable), 0 to 1: the mean of those of body site, condition, groups and sequencing type that either side has.
 
     With taxa a small addition breaks ties.
     """
-    groups = lambda e: T.normal_set(F.array(e["group_0_name"], e["group_1_name"]))
-    parts = [jaccard(T.normal_set(F.coalesce(g[c], F.array().cast("array<string>"))), T.normal_set(F.coalesce(p[c], F.array().cast("array<string>"))), None) for c in ("body_site", "condition")]
-    parts.append(jaccard(groups(g), groups(p), None))
-    a, b = F.nullif(g["sequencing_type"], F.lit("")), F.nullif(p["sequencing_type"], F.lit(""))
+    a, b = g["sequencing_type"], p["sequencing_type"]
+    parts = [jaccard(g[c], p[c], None) for c in ("body_site", "condition", "groups")]
     parts.append(F.when(a.isNotNull() | b.isNotNull(), F.coalesce((a == b).cast("double"), F.lit(0.0))))
     have = F.filter(F.array(*parts), lambda x: x.isNotNull())
     mean = ratio(F.aggregate(have, F.lit(0.0), lambda s, x: s + x), F.size(have))
     return mean if taxa_g is None else mean + TIE_WEIGHT * jaccard(taxa_g, taxa_p, 1.0)
 
 
+def experiment_score(g: Column, p: Column, taxa_g: Column | None = None, taxa_p: Column | None = None) -> Column:
+    """similarity() of two experiments as they are."""
+    return similarity(comparable(g), comparable(p), taxa_g, taxa_p)
+
+
 def field_accuracy(pairs: DataFrame, fields: dict[str, tuple[Column, Column, Column]]) -> DataFrame:
     """The share of matched pairs that agree, by field; pairs with neither side are left out, a field without any gives 0.
 

@@ -67,10 +67,10 @@ def _gathered(taxa: DataFrame, experiment: str, signature: str, unresolved: Colu
 
 
 def _with_sets(experiments: Column, sets_of: Column) -> Column:
-    """place, e (the experiment), sets (of its signatures, in their order) and pooled ids of each experiment."""
+    """place, e (the experiment), sets (of its signatures, in their order), pooled ids and what is compared of each experiment."""
     own = lambda k: F.coalesce(F.try_element_at(sets_of, k), F.array())
     with_own = F.transform(experiments, lambda e, k: F.struct(k.alias("place"), e.alias("e"), own(k).alias("sets")))
-    return F.transform(with_own, lambda x: F.struct(x["place"].alias("place"), x["e"].alias("e"), x["sets"].alias("sets"), F.array_distinct(F.flatten(F.transform(x["sets"], lambda s: s["ids"]))).alias("pooled")))
+    return F.transform(with_own, lambda x: F.struct(x["place"].alias("place"), x["e"].alias("e"), x["sets"].alias("sets"), F.array_distinct(F.flatten(F.transform(x["sets"], lambda s: s["ids"]))).alias("pooled"), alignment.comparable(x["e"]).alias("like")))
 
 
 def nested(tree: DataFrame, predictions: DataFrame, names: DataFrame, merged: DataFrame) -> DataFrame:
@@ -95,7 +95,7 @@ def _with_match(rows: DataFrame, matrix: Column, floor: float) -> DataFrame:
 
 def align_experiments(studies: DataFrame) -> DataFrame:
     """nested() with `match`: for each predicted experiment the curated one of the best one-to-one match above the floor, or -1."""
-    score = lambda p, g: alignment.experiment_score(g["e"], p["e"], g["pooled"], p["pooled"])
+    score = lambda p, g: alignment.similarity(g["like"], p["like"], g["pooled"], p["pooled"])
     matrix = F.transform("pred", lambda p: F.transform("gold", lambda g: score(p, g)))
     return _with_match(studies, matrix, alignment.EXPERIMENT_FLOOR)
 

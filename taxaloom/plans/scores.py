@@ -91,9 +91,10 @@ def _pairs(t: Tables) -> DataFrame:
     """All predicted (even keys) and curated (odd) orders of each customer, each with each."""
     ranked = t.orders.withColumn("side", F.col("o_orderkey") % 2)
     item = F.struct(F.array(F.col("o_orderpriority")).alias("body_site"), F.array(F.col("o_orderstatus")).alias("condition"), F.lit(None).cast("string").alias("group_0_name"), F.lit("").alias("group_1_name"), F.when(F.col("o_orderkey") % 3 == 0, "16S").alias("sequencing_type"))
-    p = ranked.where("side = 0").select("o_custkey", F.col("o_orderkey").alias("p"), item.alias("x"))
-    g = ranked.where("side = 1").select("o_custkey", F.col("o_orderkey").alias("g"), item.alias("y"))
-    return p.join(g, "o_custkey").select("o_custkey", "p", "g", "x", "y", alignment.experiment_score(F.col("y"), F.col("x")).alias("score"))
+    with_item = ranked.withColumn("item", item).withColumn("like", alignment.comparable(F.col("item")))
+    p = with_item.where("side = 0").select("o_custkey", F.col("o_orderkey").alias("p"), F.col("item").alias("x"), F.col("like").alias("u"))
+    g = with_item.where("side = 1").select("o_custkey", F.col("o_orderkey").alias("g"), F.col("item").alias("y"), F.col("like").alias("v"))
+    return p.join(g, "o_custkey").select("o_custkey", "p", "g", "x", "y", alignment.similarity(F.col("v"), F.col("u")).alias("score"))
 
 
 PAIRS = """r AS (SELECT *, o_orderkey % 2 AS side, CASE WHEN o_orderkey % 3 = 0 THEN '16S' END AS seq FROM orders),
