@@ -5,7 +5,7 @@ from __future__ import annotations
 import itertools
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +17,7 @@ from . import exchange as X
 #: The code points with Unicode's White_Space property.
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 SCHEMA = "doc_id long, ids array<int>, decoded binary"
+DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
 def word_splitter(added: list[str]) -> re.Pattern:
@@ -91,8 +92,8 @@ def _word_keys(words: pa.Array) -> np.ndarray:
     return pd.util.hash_array(words.to_numpy(zero_copy_only=False), categorize=False) if len(words) else np.zeros(0, np.uint64)
 
 
-def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = X.BLOCK_BYTES) -> DataFrame:
-    """Token ids of every text, and the text that the ids decode to, as doc_id, ids array<int>, decoded binary (UTF-8).
+def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = X.BLOCK_BYTES, digest: bool = False) -> DataFrame:
+    """Token ids of every text, and the text that the ids decode to, as doc_id, ids array<int>, decoded binary (UTF-8); or only their digests().
 
     Words are split in Spark; each distinct word meets its kind from all blocks in
     one task, is encoded once, and its ids go back to the blocks that have it, which
@@ -126,19 +127,14 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        if "tokenizer" not in held:
-            held["tokenizer"] = Tokenizer.from_file(tokenizer_path)
-        tokenizer = held["tokenizer"]
+        if "words" not in held:
+            held["words"] = WordTable(tokenizer_path)
         sent = [X.read_words(p) for p in payloads]
         table = pa.concat_arrays(sent).dictionary_encode()
-        ids: list[np.ndarray] = []
-        for at in range(0, len(table.dictionary), 20_000):
-            part = tokenizer.encode_batch(table.dictionary.slice(at, 20_000).to_pylist(), add_special_tokens=False)
-            ids += [np.array(e.ids, np.uint32) for e in part]
-        counts = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
+        encoded = [held["words"].encode(table.dictionary.slice(at, 20_000).to_pylist()) for at in range(0, len(table.dictionary), 20_000)]
+        counts = np.concatenate([np.zeros(0, np.int64), *(c for c, _ in encoded)])
+        flat = np.concatenate([np.zeros(0, np.uint32), *(f for _, f in encoded)])
+        del encoded
         out, at, codes = [], 0, table.indices.to_numpy()
         for words in sent:
             mine = codes[at : at + len(words)]
@@ -165,11 +161,13 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
             start = int(np.frombuffer(raw.buffers()[1], np.int32)[raw.offset]) if y > x else 0
             body = raw.buffers()[2].slice(start, n).to_pybytes() if n else b""
             decoded.append(body.decode("utf-8", "replace").encode())
+        if digest:
+            return pa.table(_digested(table.column("doc_id").combine_chunks(), ids, ends, decoded))
         lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
         return pa.table({"doc_id": table.column("doc_id"), "ids": lists, "decoded": pa.array(decoded, pa.binary())})
 
     answers = X.answer(X.requests(docs, emit, block_bytes), reply)
-    return X.finish(X.states(docs, block_bytes), answers, done, SCHEMA)
+    return X.finish(X.states(docs, block_bytes), answers, done, DIGESTS if digest else SCHEMA)
 
 
 class WordTable:
@@ -236,18 +234,21 @@ def _gather(flat: np.ndarray, counts: np.ndarray, place: np.ndarray) -> np.ndarr
     return flat[np.repeat(starts - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))] if len(place) else flat[:0]
 
 
+def _digested(doc_id: pa.Array, ids: np.ndarray, ends: np.ndarray, decoded: Iterable[bytes]) -> dict[str, pa.Array]:
+    import hashlib
+
+    hashes = [hashlib.sha256(ids[x:y].astype("<u4").tobytes()).hexdigest() for x, y in zip(ends[:-1], ends[1:], strict=True)]
+    text = [hashlib.sha256(v).hexdigest() for v in decoded]
+    return {"doc_id": doc_id, "n_tokens": pa.array(np.diff(ends).astype(np.int64)), "ids_sha256": pa.array(hashes, pa.string()), "decoded_sha256": pa.array(text, pa.string())}
+
+
 def digests(encoded: DataFrame) -> DataFrame:
     """doc_id, n_tokens, and the hashes of the ids (little-endian, 32 bits) and of the decoded text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import hashlib
-
         for b in batches:
             ids = b.column("ids")
-            values, offsets = ids.values.to_numpy(), ids.offsets.to_numpy()
-            hashes = [hashlib.sha256(values[x:y].astype("<u4").tobytes()).hexdigest() for x, y in zip(offsets[:-1], offsets[1:], strict=True)]
-            text = [hashlib.sha256(v.as_py()).hexdigest() for v in b.column("decoded")]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.diff(offsets).astype(np.int64)), pa.array(hashes), pa.array(text)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            yield pa.RecordBatch.from_pydict(_digested(b.column("doc_id"), ids.values.to_numpy(), ids.offsets.to_numpy(), (v.as_py() for v in b.column("decoded"))))
         X.settle()
 
-    return encoded.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return encoded.mapInArrow(run, DIGESTS)

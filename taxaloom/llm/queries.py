@@ -30,7 +30,7 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), TOKENIZER))
+    return bpe.encode(table(spark, sf_dir, "documents"), TOKENIZER, digest=True)
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
