@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import root_file_kind
+from ..working import stored
 
 LISTING = "struct<tree:array<struct<path:string,type:string,size:bigint>>>"
 CONVERSION = "struct<status:string,message:string,records:array<struct<pmid:string,pmcid:string,doi:string>>>"
@@ -32,14 +33,15 @@ def batches(ids: DataFrame, size: int = BATCH, key: str = "id", order: str = "or
     """Ids in numbered batches of a fixed size, each as one comma-joined request.
 
     Numbering is by ranges of the order, counted per range first, so that no window
-    runs over the whole table in one task.
+    runs over the whole table in one task. Ranges come from a sample and are not twice
+    the same, so the rows are written with theirs and read for both.
     """
     if size <= 0:
         raise ValueError("a batch needs a positive size")
-    ranged = ids.repartitionByRange(order).withColumn("__part", F.spark_partition_id())
+    ranged = stored(ids.select(order, key).repartitionByRange(order).withColumn("__part", F.spark_partition_id()))
     counts = ranged.groupBy("__part").count()
     before = counts.select("__part", (F.sum("count").over(Window.orderBy("__part")) - F.col("count")).alias("__before"))  # a row for each partition
-    placed = ranged.withColumn("__i", F.row_number().over(Window.partitionBy("__part").orderBy(order))).join(F.broadcast(before), "__part")
+    placed = ranged.withColumn("__i", F.row_number().over(Window.partitionBy("__part").orderBy(order, key))).join(F.broadcast(before), "__part")
     chunk = F.floor((F.col("__before") + F.col("__i") - 1) / size).cast("long").alias("batch")
     members = F.array_sort(F.collect_list(F.struct(order, key)))
     return placed.select(chunk, key, order).groupBy("batch").agg(members.alias("m")).select("batch", F.array_join(F.transform("m", lambda x: x[key].cast("string")), ",").alias("request"), F.size("m").cast("long").alias("n"))
