@@ -178,23 +178,25 @@ def _corpus(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     status P other ones, so that it matches none; of a finished one (F) there is none. A
     predicted signature has the parts of little discount, those of one line by a retired
     id, those of the next by name; and one part that is not known for each large line.
+    Ids that hold are even and retired ones odd, so that no key makes one the other.
     """
     flag = F.expr(FLAG)
+    held, retired = lambda key: F.col(key) * 2, lambda key: F.col(key) * 2 + 1
     tables = _tables(t)
     own = F.concat(F.lit("o"), "experiment_id")
     tables["experiments"] = tables["experiments"].withColumns({"body_site": own, "condition": own})
-    tables["signatures_taxa"] = t.lineitem.select(F.concat_ws("/", "l_orderkey", "l_returnflag").alias("signature_id"), (F.col("l_partkey") + flag).cast("string").alias("ncbi_id"))
+    tables["signatures_taxa"] = t.lineitem.select(F.concat_ws("/", "l_orderkey", "l_returnflag").alias("signature_id"), ((F.col("l_partkey") + flag) * 2).cast("string").alias("ncbi_id"))
     tables["signatures"] = tables["signatures"].withColumn("curation_state", F.when(F.col("signature_name") == "N", "Incomplete").otherwise("Complete"))
     from ..operators import curated
 
     tree = curated.curated_tree(tables)
     name = lambda key: F.concat(F.lit("g"), F.col(key) % 100, F.lit(" s"), F.col(key))
-    parts = t.part.select(F.explode(F.array(*[F.col("p_partkey") + k for k in (1000000, 2000000, 3000000)])).alias("tax_id"))
-    names = parts.select("tax_id", name("tax_id").alias("name_txt"), name("tax_id").alias("name_norm"), F.lit(taxonomy.SCIENTIFIC).alias("name_class"))
-    merged = parts.select((F.col("tax_id") + 50000000).alias("old_tax_id"), F.col("tax_id").alias("new_tax_id"))
+    parts = t.part.select(F.explode(F.array(*[F.col("p_partkey") + k for k in (1000000, 2000000, 3000000)])).alias("tax_id")).distinct()
+    names = parts.select(held("tax_id").alias("tax_id"), name("tax_id").alias("name_txt"), name("tax_id").alias("name_norm"), F.lit(taxonomy.SCIENTIFIC).alias("name_class"))
+    merged = parts.select(retired("tax_id").alias("old_tax_id"), held("tax_id").alias("new_tax_id"))
     lines = t.lineitem.withColumn("tax_id", F.col("l_partkey") + flag)
     by_name = F.col("l_linenumber") % 3 == 2
-    given = F.when(F.col("l_linenumber") % 3 == 1, F.col("tax_id") + 50000000).when(~by_name, F.col("tax_id")).cast("string")
+    given = F.when(F.col("l_linenumber") % 3 == 1, retired("tax_id")).when(~by_name, held("tax_id")).cast("string")
     taxon = F.struct(F.when(by_name, name("tax_id")).alias("taxon_name"), given.alias("ncbi_id"))
     odd = F.when(F.col("l_quantity") > 45, F.struct(F.concat(F.lit("nobody "), "l_linenumber").alias("taxon_name"), F.lit(None).cast("string").alias("ncbi_id")))
     low = F.when(F.col("l_discount") <= 0.07, taxon)
