@@ -19,7 +19,7 @@ def toxic_documents_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def near_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of similar texts, that of the smallest id; no other text of that id goes with it."""
+    """One row of each group of similar texts, linked by SimHash and, beyond its ball, by shared shingles: that of the smallest id; no other text of that id goes with it."""
     return simhash.keep_first(docs)
 
 

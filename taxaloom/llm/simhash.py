@@ -1,4 +1,4 @@
-"""SimHash near-duplicates by multi-index hashing; and texts of similar shingles by an exact prefix join."""
+"""SimHash near-duplicates by multi-index hashing; and texts of similar shingles, by SimHash and an exact prefix join for the rest."""
 
 from __future__ import annotations
 
@@ -253,23 +253,40 @@ def _linked(given: DataFrame, classes: Classes, shingle: int, similarity: float)
     return linked.join(kept, "component").select("same", "first", F.col("kept.first").alias("component_id"), (F.col("kept.same") == F.col("same")).alias("kept"))
 
 
+def _hashed(whole: DataFrame) -> DataFrame:
+    """Pairs (a, b), a > b, of texts whose fingerprints differ in two bits at most: each with the smallest of its own fingerprint, and these with those of linked fingerprints."""
+    prints = storage.stored(fingerprints(whole).select("doc_id", F.col("fingerprint").alias("fp")))
+    vertices = storage.stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    equal = prints.join(vertices, "fp").where(F.col("doc_id") != F.col("first")).select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
+    named = lambda side: vertices.select(F.col("fp").alias(side), F.col("first").alias(f"{side}_first"))
+    near = links(vertices.select("fp")).join(named("a"), "a").join(named("b"), "b")
+    return equal.unionByName(near.select(F.greatest("a_first", "b_first").alias("a"), F.least("a_first", "b_first").alias("b")).distinct())
+
+
 def _components(whole: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """node and component of the texts (doc_id, text; distinct) that are similar to another, by pairs.
 
-    Texts meet in the shingles of their prefixes(), which every similar pair shares.
-    Each is first compared with the smallest text of each of its shingles, so that
-    thousands of copies give a star and not all their pairs; then, of each shingle whose
-    texts are not all in one component, all pairs across its components are. Every pair
-    is confirmed by its shingles.
+    Links are those of SimHash first. What lies beyond its ball meets in the shingles of
+    prefixes(), which every similar pair shares: each text is compared with the smallest
+    text of each of its shingles unless they are linked, so that thousands of copies
+    give a star and not all their pairs; then, of each shingle whose texts are not all
+    in one component, all pairs across its components are. Every pair is confirmed by
+    its shingles.
     """
+    near = storage.stored(_hashed(whole))
+    hashed = _confirmed(whole, near, shingle, similarity)
+    linked = storage.stored(graph.components(hashed))
     rows = storage.stored(prefixes(whole, shingle, similarity))
     heads = rows.groupBy("token").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "size", "left", "low")).alias("head")).where("n > 1")
     shared = storage.stored(rows.join(heads.select("token", "head"), "token"))
     stars = shared.select(F.struct("doc_id", "size", "left", "low").alias("x"), F.col("head").alias("y")).where(F.col("x.doc_id") != F.col("y.doc_id")).where(_may_pair("x", "y", similarity))
     tried = storage.stored(stars.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct())
-    links = _confirmed(whole, tried, shingle, similarity)
+    of = lambda side: linked.select(F.col("node").alias(side), F.col("component").alias(f"{side}_of"))
+    apart = F.coalesce("a_of", "a") != F.coalesce("b_of", "b")
+    beyond = tried.join(of("a"), "a", "left").join(of("b"), "b", "left").where(apart).select("a", "b")
+    found = hashed.unionByName(_confirmed(whole, storage.stored(beyond), shingle, similarity))
 
-    named = storage.stored(shared.drop("head").join(graph.components(links).withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")))
+    named = storage.stored(shared.drop("head").join(graph.components(found).withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")))
     open_tokens = named.groupBy("token").agg(F.min("component").alias("m"), F.max("component").alias("n")).where("m < n").select("token")
     open_rows = storage.stored(named.join(open_tokens, "token"))
     sides = open_rows.select("token", "component").distinct()
@@ -278,8 +295,8 @@ def _components(whole: DataFrame, shingle: int, similarity: float) -> DataFrame:
     two = open_rows.select("token", F.col("component").alias("d"), F.struct("doc_id", "size", "left", "low").alias("y"))
     met = across.join(one, ["token", "c"]).join(two, ["token", "d"]).where(_may_pair("x", "y", similarity))
     pairs = met.select(F.greatest("x.doc_id", "y.doc_id").alias("a"), F.least("x.doc_id", "y.doc_id").alias("b")).distinct()
-    rest = _confirmed(whole, storage.stored(pairs.join(tried, ["a", "b"], "left_anti")), shingle, similarity)
-    return graph.components(links.unionByName(rest))
+    rest = _confirmed(whole, storage.stored(pairs.join(tried.unionByName(near), ["a", "b"], "left_anti")), shingle, similarity)
+    return graph.components(found.unionByName(rest))
 
 
 def _given(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -85,3 +85,18 @@ def test_one_text_of_two_similar_ones_at_the_smallest_id(spark):
     rows = [(1, one), (1, two), (2, one)]
     got = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert len(got) == 1 and got[0].doc_id == 1 and got[0].text in (one, two)
+
+
+def test_near_copies_meet_by_fingerprint(make_docs, monkeypatch):
+    """The stage's first step is SimHash: copies within two bits go without the prefix join, texts that only share a fingerprint stay."""
+    rnd = random.Random(5)
+    new = lambda n: [f"w{rnd.randrange(10**6)}" for _ in range(n)]
+    body = new(4000)
+    rows = [(1, " ".join(body)), (2, " ".join(body + ["end"])), (3, " ".join(new(50)))]
+    rows += [(4, " ".join(["same"] * 300 + new(60))), (5, " ".join(["same"] * 300 + new(60)))]
+    docs = make_docs(rows)
+    prints = {r.doc_id: r.fingerprint for r in simhash.fingerprints(docs).collect()}
+    assert bin((prints[1] ^ prints[2]) & (1 << 64) - 1).count("1") <= 2 and prints[4] == prints[5]
+    whole = simhash.prefixes
+    monkeypatch.setattr(simhash, "prefixes", lambda *given: whole(*given).limit(0))
+    assert sorted(r.doc_id for r in simhash.keep_first(docs).collect()) == [1, 3, 4, 5]
