@@ -59,15 +59,24 @@ def split_dump(dump: DataFrame) -> dict[str, DataFrame]:
     signatures = first_wins(with_signature.select(F.col(ORDER), "signature_id", "experiment_id", *pick(SIGNATURE)), "signature_id", ORDER, ["experiment_id", *SIGNATURE])
     segments = _segments(with_signature)
     taxa = last_wins(segments.where("ncbi_id <> ''"), "ncbi_id", F.struct(ORDER, "taxon", "segment"), ["taxon_name"]).drop("__first")
-    leaves = segments.where("ncbi_id <> ''").groupBy(ORDER, "signature_id", "taxon").agg(F.max_by("ncbi_id", "segment").alias("ncbi_id"))
-    return {"studies": studies.drop(ORDER), "experiments": experiments.drop(ORDER), "signatures": signatures.drop(ORDER), "taxa": taxa, "signatures_taxa": leaves.select("signature_id", "ncbi_id")}
+    leaves = _paired(with_signature).select("signature_id", _last_id(F.col("x.i")).alias("ncbi_id")).where("ncbi_id is not null")
+    return {"studies": studies.drop(ORDER), "experiments": experiments.drop(ORDER), "signatures": signatures.drop(ORDER), "taxa": taxa, "signatures_taxa": leaves}
+
+
+def _paired(rows: DataFrame) -> DataFrame:
+    """A row for each taxon of a signature: x.n and x.i, the lineage's names and ids; they pair by place, the shorter list padded."""
+    names, ids = F.split(_cell("MetaPhlAn taxon names"), ","), F.split(_cell("NCBI Taxonomy IDs"), ";")
+    return rows.select(ORDER, "signature_id", F.posexplode(F.arrays_zip(names.alias("n"), ids.alias("i"))).alias("taxon", "x"))
+
+
+def _last_id(ids: Column) -> Column:
+    """The last of a lineage's ids that is not empty, or null."""
+    return F.try_element_at(F.filter(F.transform(F.split(ids, r"\|"), C.strip), lambda i: i != ""), F.lit(-1))
 
 
 def _segments(rows: DataFrame) -> DataFrame:
     """A row for each segment of each taxon's lineage; names and ids pair by place, the shorter list padded."""
-    names, ids = F.split(_cell("MetaPhlAn taxon names"), ","), F.split(_cell("NCBI Taxonomy IDs"), ";")
-    taxa = rows.select(ORDER, "signature_id", F.posexplode(F.arrays_zip(names.alias("n"), ids.alias("i"))).alias("taxon", "x"))
-    parts = taxa.select(ORDER, "signature_id", "taxon", F.posexplode(F.arrays_zip(F.split("x.n", r"\|").alias("n"), F.split("x.i", r"\|").alias("i"))).alias("segment", "y"))
+    parts = _paired(rows).select(ORDER, "signature_id", "taxon", F.posexplode(F.arrays_zip(F.split("x.n", r"\|").alias("n"), F.split("x.i", r"\|").alias("i"))).alias("segment", "y"))
     return parts.select(ORDER, "signature_id", "taxon", "segment", C.strip(F.coalesce("y.i", F.lit(""))).alias("ncbi_id"), C.strip(F.coalesce("y.n", F.lit(""))).alias("taxon_name"))
 
 
