@@ -176,8 +176,10 @@ def load_studies(dump: DataFrame, limit: int | None = None) -> DataFrame:
         rows = rows.join(F.broadcast(stop), F.col("stop").isNull() | (F.col(ORDER) < F.col("stop"))).drop("stop")  # one row
     signature = F.when(~C.is_blank(_c("Signature page name")), F.struct(ORDER, *signature_fields()))
     # Cells of parents are read once for each parent: of its rows only the first one's raw cells come through the grouping.
-    cells = F.min_by(F.struct(*[_c(c) for c in (*STUDY_CELLS, *EXPERIMENT.values())]), ORDER)
-    raw = rows.groupBy("uid", "experiment").agg(F.min(ORDER).alias("first"), cells.alias("r"), F.array_sort(F.collect_list(signature)).alias("signatures"))
+    cells = F.struct(*[_c(c) for c in (*STUDY_CELLS, *EXPERIMENT.values())])
+    # Rows are dealt by study once, their signatures made before: both groupings then work within, on what is made.
+    dealt = rows.select("uid", "experiment", ORDER, cells.alias("cells"), signature.alias("signature")).repartition("uid")
+    raw = dealt.groupBy("uid", "experiment").agg(F.min(ORDER).alias("first"), F.min_by("cells", ORDER).alias("r"), F.array_sort(F.collect_list("signature")).alias("signatures"))
     bare = F.transform("signatures", lambda x: x.dropFields(ORDER))
     one = F.struct("first", "experiment", *experiment_fields(), C.none_if_empty(bare).alias("signatures"))
     experiments = raw.select("uid", "experiment", "first", "signatures", "r.*").select("uid", "first", F.struct(*[_c(c) for c in STUDY_CELLS]).alias("r"), one.alias("one"))
