@@ -111,3 +111,18 @@ def test_files_and_faulty_schemas(tmp_path):
 
     with pytest.raises(schema.SchemaError, match="nests"):
         schema.problems(F.lit("{}"), loop, "A")
+
+
+def test_problems_are_found_once(spark):
+    """The plan of nested_validation asks for the problems of a record in one place, not in a filter before as well."""
+    from pathlib import Path
+
+    import pytest
+
+    from taxaloom.plans import registry
+
+    data = Path("/root/testdata/sf0.001")
+    if not data.exists():
+        pytest.skip("no test tables")
+    plan = registry.QUERIES["nested_validation"](spark, str(data))._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("Filter" in line and "transform(" in line for line in plan.split("\n"))
