@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .sets import jaccard, ratio
+from .sets import jaccard_of_sets, ratio
 
 EXPERIMENT_FLOOR, SIGNATURE_FLOOR, TIE_WEIGHT = 0.15, 0.1, 0.01
 
@@ -64,7 +64,17 @@ def assign(weights: np.ndarray) -> list[int]:
 
 
 def _above(weights: np.ndarray, floor: float) -> list[int]:
-    """The column of each row in the best assignment, -1 where there is none or it weighs less than the floor."""
+    """The column of each row in the best assignment, -1 where there is none or it weighs less than the floor.
+
+    Where no two weights above zero share a row or column, all of them are assigned and nothing is searched.
+    """
+    if floor > 0 and weights.size and weights.min() >= 0:
+        rows, columns = (k.tolist() for k in weights.nonzero())
+        if len(set(rows)) == len(rows) == len(set(columns)):
+            out = [-1] * len(weights)
+            for i, j in zip(rows, columns, strict=True):
+                out[i] = j if weights[i, j] >= floor else -1
+            return out
     return [j if j >= 0 and weights[i, j] >= floor else -1 for i, j in enumerate(assign(weights))]
 
 
@@ -134,11 +144,11 @@ def similarity(g: Column, p: Column, taxa_g: Column | None = None, taxa_p: Colum
     With taxa a small addition breaks ties.
     """
     a, b = g["sequencing_type"], p["sequencing_type"]
-    parts = [jaccard(g[c], p[c], None) for c in ("body_site", "condition", "groups")]
+    parts = [jaccard_of_sets(g[c], p[c], None) for c in ("body_site", "condition", "groups")]
     parts.append(F.when(a.isNotNull() | b.isNotNull(), F.coalesce((a == b).cast("double"), F.lit(0.0))))
     have = F.filter(F.array(*parts), lambda x: x.isNotNull())
     mean = ratio(F.aggregate(have, F.lit(0.0), lambda s, x: s + x), F.size(have))
-    return mean if taxa_g is None else mean + TIE_WEIGHT * jaccard(taxa_g, taxa_p, 1.0)
+    return mean if taxa_g is None else mean + TIE_WEIGHT * jaccard_of_sets(taxa_g, taxa_p, 1.0)
 
 
 def experiment_score(g: Column, p: Column, taxa_g: Column | None = None, taxa_p: Column | None = None) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.coerce import let
+
 
 def ratio(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
@@ -30,6 +32,13 @@ def jaccard(a: Column, b: Column, both_empty: float | None) -> Column:
     return F.when(union == 0, F.lit(both_empty).cast("double")).otherwise(F.size(F.array_intersect(a, b)).cast("double") / union)
 
 
+def jaccard_of_sets(a: Column, b: Column, both_empty: float | None) -> Column:
+    """jaccard() of arrays that repeat nothing: their sizes tell that of the union, and without a common item neither is compared further."""
+    shared = F.when(F.arrays_overlap(a, b), F.size(F.array_intersect(a, b))).otherwise(0)
+    none = F.when(F.size(a) + F.size(b) == 0, F.lit(both_empty).cast("double")).otherwise(0.0)
+    return let(shared, lambda n: F.when(n > 0, n.cast("double") / (F.size(a) + F.size(b) - n)).otherwise(none))
+
+
 def micro(rows: DataFrame, *by: str) -> DataFrame:
     """Measures of summed counts, for each group."""
     summed = rows.groupBy(*by).agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
