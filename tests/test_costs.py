@@ -32,10 +32,9 @@ def test_jaccard_of_sets_is_that_of_arrays(spark):
 
 @pytest.mark.skipif(not DATA.exists(), reason="no test tables")
 def test_shuffles_of_a_dump(spark):
-    from taxaloom.plans import joins
-    from taxaloom.plans.registry import Tables
+    from taxaloom.plans import registry
 
-    dump = joins._dump(Tables(spark, str(DATA)))
+    dump = registry.joins._dump(registry.Tables(spark, str(DATA)))
     shuffles = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
     own = shuffles(dump)
     assert shuffles(normalize.split_dump(dump)["signatures_taxa"]) == own
