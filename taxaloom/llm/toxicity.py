@@ -147,8 +147,12 @@ class Chains:
             inner = np.ones(n, bool)
             inner[self.first] = False
             q, w = before[inner], (up * after)[inner]
-            joint = np.stack([(1 - q) * moves[0, 0], (1 - q) * moves[0, 1] * w, q * moves[1, 0], q * moves[1, 1] * w])
-            counts = (joint / joint.sum(axis=0)).sum(axis=1).reshape(2, 2)
+            del ahead, before, after, up
+            joint = np.empty((4, len(q)))  # filled and divided in place: one task holds all words
+            joint[0], joint[2] = (1 - q) * moves[0, 0], q * moves[1, 0]
+            joint[1], joint[3] = (1 - q) * moves[0, 1] * w, q * moves[1, 1] * w
+            joint /= joint.sum(axis=0)
+            counts = joint.sum(axis=1).reshape(2, 2)
         return out, counts
 
     def pull(self, model: Model) -> np.ndarray:
