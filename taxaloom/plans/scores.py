@@ -201,7 +201,7 @@ def _corpus(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     odd = F.when(F.col("l_quantity") > 45, F.struct(F.concat(F.lit("nobody "), "l_linenumber").alias("taxon_name"), F.lit(None).cast("string").alias("ncbi_id")))
     low = F.when(F.col("l_discount") <= 0.07, taxon)
     said = F.when(F.col("l_returnflag") == "R", "decreased").otherwise("increased")
-    signatures = lines.groupBy("l_orderkey", "l_returnflag").agg(F.first(said).alias("abundance_in_group_1"), F.concat(F.collect_set(low), F.collect_set(odd)).alias("taxa"))
+    signatures = lines.groupBy("l_orderkey", "l_returnflag").agg(F.first(said).alias("abundance_in_group_1"), F.array_sort(F.concat(F.collect_set(low), F.collect_set(odd))).alias("taxa"))
     experiments = signatures.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(F.struct("abundance_in_group_1", "taxa"))).alias("signatures"))
     place = F.array(F.concat(F.when(F.col("o_orderstatus") == "P", "x").otherwise("o"), "o_orderkey"))
     none = lambda kind: F.lit(None).cast(kind)
@@ -209,7 +209,7 @@ def _corpus(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
         place.alias("body_site"), place.alias("condition"), none("string").alias("group_0_name"), none("string").alias("group_1_name"), none("string").alias("sequencing_type"), none("array<string>").alias("statistical_test"), none("boolean").alias("mht_correction"), F.coalesce("signatures", F.array().cast(experiments.schema["signatures"].dataType)).alias("signatures")
     )
     said_orders = t.orders.where("o_orderstatus <> 'F'").join(experiments, "o_orderkey", "left")
-    predictions = said_orders.groupBy(F.col("o_custkey").cast("string").alias("study_id")).agg(F.collect_list(e).cast(study_scores.PREDICTED).alias("experiments"))
+    predictions = said_orders.groupBy(F.col("o_custkey").cast("string").alias("study_id")).agg(F.array_sort(F.collect_list(e)).cast(study_scores.PREDICTED).alias("experiments"))
     return tree, predictions, names, merged
 
 
