@@ -194,7 +194,8 @@ def _corpus(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     parts = t.part.select(F.explode(F.array(*[F.col("p_partkey") + k for k in (1000000, 2000000, 3000000)])).alias("tax_id")).distinct()
     names = parts.select(held("tax_id").alias("tax_id"), name("tax_id").alias("name_txt"), name("tax_id").alias("name_norm"), F.lit(taxonomy.SCIENTIFIC).alias("name_class"))
     merged = parts.select(retired("tax_id").alias("old_tax_id"), held("tax_id").alias("new_tax_id"))
-    lines = t.lineitem.withColumn("tax_id", F.col("l_partkey") + flag)
+    needed = ("l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_discount", "l_returnflag")
+    lines = t.lineitem.select(*needed).repartition("l_orderkey").withColumn("tax_id", F.col("l_partkey") + flag)  # dealt once for both groupings
     by_name = F.col("l_linenumber") % 3 == 2
     given = F.when(F.col("l_linenumber") % 3 == 1, retired("tax_id")).when(~by_name, held("tax_id")).cast("string")
     taxon = F.struct(F.when(by_name, name("tax_id")).alias("taxon_name"), given.alias("ncbi_id"))

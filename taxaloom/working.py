@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,10 +33,30 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def clear(spark: SparkSession) -> int:
-    """Removes all working tables that this driver has written, for when their results have been written elsewhere; how many there were."""
-    paths, _written[:] = list(_written), []
+@contextmanager
+def steps(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Gives a stored() whose tables are removed at the end: for steps on the way to a table that stays."""
+    made: list[str] = []
+
+    def step(df: DataFrame) -> DataFrame:
+        out = stored(df)
+        made.append(_written.pop())
+        return out
+
+    try:
+        yield step
+    finally:
+        _remove(spark, made)
+
+
+def _remove(spark: SparkSession, paths: list[str]) -> None:
     for path in paths:
         where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def clear(spark: SparkSession) -> int:
+    """Removes all working tables that this driver has written, for when their results have been written elsewhere; how many there were."""
+    paths, _written[:] = list(_written), []
+    _remove(spark, paths)
     return len(paths)

@@ -28,3 +28,26 @@ def test_places_need_not_come_out_alike_twice(spark):
     found = study_scores.score_corpus(tree, predictions.withColumn("experiments", mixed("experiments")), names, merged)
     assert {(r.tp, r.fp, r.fn, r.n_matched, r.unresolved_gold) for r in found["studies"].collect()} == {(8, 0, 0, 4, 4)}
     assert found["missing"].count() == found["errors"].count() == 0 and found["pairs"].count() == 80
+
+
+def test_names_are_not_broadcast(spark, tmp_path, monkeypatch):
+    """Files look small beside what they hold: neither names nor retired ids nor errors go by the driver."""
+    from taxaloom import working
+
+    tree, predictions, *tables = corpus(spark, 3, 2)
+    for k, table in enumerate(tables):
+        table.write.parquet(f"{tmp_path}/{k}")
+    tables = [spark.read.parquet(f"{tmp_path}/{k}") for k in range(2)]
+    plans, real = [], working.stored
+
+    def noted(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df)
+
+    monkeypatch.setattr(working, "stored", noted)
+    monkeypatch.setattr(study_scores, "stored", noted)
+    records = predictions.select("study_id", F.when(F.col("study_id") == "t1", "{").otherwise(F.to_json(F.struct("experiments"))).alias("record"))
+    found = study_scores.score_corpus(tree, records, *tables)
+    assert [tuple(r) for r in found["errors"].collect()] == [("t1", "/: no JSON")]
+    assert {(r.study_id, r.tp, r.fp) for r in found["studies"].collect()} == {("t0", 4, 0), ("t2", 4, 0)}
+    assert plans and not any("Broadcast" in p for p in plans)
