@@ -24,11 +24,27 @@ def shared_folder(spark: SparkSession) -> str:
 _written: list[str] = []
 
 
+#: Has Spark remove the shuffle files of a write when it is done, not when the driver happens to collect its garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """A setting of the session for what is run within."""
+    before = spark.conf.get(name)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """The same rows from a written table: computed once, and again readable when executors are lost. See clear()."""
+    """The same rows from a written table: computed once, and again readable when executors are lost. Its shuffle files are gone then. See clear()."""
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with setting(spark, _CLEANUP, "true"):
+        df.write.parquet(path)
     _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
