@@ -51,3 +51,17 @@ def test_names_are_not_broadcast(spark, tmp_path, monkeypatch):
     assert [tuple(r) for r in found["errors"].collect()] == [("t1", "/: no JSON")]
     assert {(r.study_id, r.tp, r.fp) for r in found["studies"].collect()} == {("t0", 4, 0), ("t2", 4, 0)}
     assert plans and not any("Broadcast" in p for p in plans)
+
+
+def test_the_last_step_sorts_once(spark, monkeypatch):
+    """All groupings of a study's rows follow one order, and none falls back to a sort of its own, which spills."""
+    plans, real = [], study_scores.stored
+
+    def noted(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df)
+
+    monkeypatch.setattr(study_scores, "stored", noted)
+    found = study_scores.score_corpus(*corpus(spark, 3, 2))
+    assert {(r.tp, r.fp, r.fn) for r in found["studies"].collect()} == {(4, 0, 0)}
+    assert "ObjectHashAggregate" not in plans[-1] and plans[-1].count("- Sort [") == 1
